@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+import corpus_pipeline
+
+from . import mixing, quality, simhash
 from .common import table
 
 
-def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.op1(table(spark, sf_dir, "documents"))
+def _over(name: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(table(spark, sf_dir, name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing}
+    return {
+        "op1_mixing": _over("documents", mixing.op1),
+        "op2_quality": _over("documents", quality.judge),
+        "op3_simhash": _over("documents", simhash.op3),
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL}
