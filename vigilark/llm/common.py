@@ -43,10 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint when it has at most BROADCAST_ROWS rows; else unchanged, and the join shuffles."""
-    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint when its counted rows are at most bound; else unchanged, and the join shuffles."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import mixing, quality, simhash
+from . import chat, decontam, mixing, quality, simhash
 from .common import table
 
 
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": _over("documents", mixing.op1),
         "op2_quality": _over("documents", quality.judge),
         "op3_simhash": _over("documents", simhash.op3),
+        "op4_decontam": lambda spark, sf_dir: decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op5_chat": _over("conversations", chat.op5),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL}
