@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontam, mixing, quality, simhash
+from . import chat, decontam, langid, mixing, quality, simhash
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": _over("documents", simhash.op3),
         "op4_decontam": lambda spark, sf_dir: decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op5_chat": _over("conversations", chat.op5),
+        "op6_langid": _over("documents", langid.op6),
         "pipeline": corpus_pipeline.run,
     }
 
