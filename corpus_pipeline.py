@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.llm import mixing, quality, simhash
-from vigilark.llm.common import stored
+from vigilark.llm import decontam, langid, mixing, quality, simhash
+from vigilark.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,17 +19,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier, trained on labelled documents of its own input, rejects go."""
+    return langid.keep(docs, langid.learnt(docs))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with the words taken of each."""
     return mixing.mix_sources(docs).where(F.col("taken") > 0)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mix", mix)]
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 
 #: The near-duplicate and language stages need hashes and a trained model, which SQL has no counterpart of.
 ORACLE_SQL = None

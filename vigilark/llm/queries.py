@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontam, langid, mixing, quality, simhash
+from . import chat, decontam, html, langid, mixing, quality, simhash, warc
 from .common import table
 
 
@@ -24,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontam": lambda spark, sf_dir: decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op5_chat": _over("conversations", chat.op5),
         "op6_langid": _over("documents", langid.op6),
+        "op8_html": _over("pages", html.op8),
+        "op10_warc": _over("pages", warc.op10),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL, "op10_warc": warc.OP10_SQL}
