@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontam, html, langid, mixing, quality, simhash, warc
+from . import chat, decontam, html, langid, mixing, quality, simhash, tokens, warc
 from .common import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat": _over("conversations", chat.op5),
         "op6_langid": _over("documents", langid.op6),
         "op8_html": _over("pages", html.op8),
+        "op9_tokens": _over("documents", tokens.op9),
         "op10_warc": _over("pages", warc.op10),
         "pipeline": corpus_pipeline.run,
     }
