@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontam, html, langid, mixing, quality, simhash, tokens, warc
+from . import chat, decontam, html, langid, mixing, ngram, quality, simhash, tokens, warc
 from .common import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontam": lambda spark, sf_dir: decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op5_chat": _over("conversations", chat.op5),
         "op6_langid": _over("documents", langid.op6),
+        "op7_lm": _over("documents", ngram.op7),
         "op8_html": _over("pages", html.op8),
         "op9_tokens": _over("documents", tokens.op9),
         "op10_warc": _over("pages", warc.op10),
