@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,20 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
         _SQL[name] = sql
 
 
+def _load() -> None:
+    importlib.import_module("vigilark.plans.catalog")  # its modules register their queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["scan_risk_score"](spark, sf_dir)
