@@ -1,3 +1,3 @@
 """Imports every operator module, so that all queries are registered."""
 
-from ..operators import metrics, report  # noqa: F401
+from ..operators import metrics, report, rules  # noqa: F401
