@@ -1,3 +1,3 @@
 """Imports every operator module, so that all queries are registered."""
 
-from ..operators import classify, metrics, report, rules  # noqa: F401
+from ..operators import advisories, classify, manifests, metrics, report, rules  # noqa: F401
