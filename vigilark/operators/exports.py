@@ -1,0 +1,10 @@
+"""Reports as JSON, and the readers run over files that the fixtures write."""
+
+from __future__ import annotations
+
+from ..registry import register
+from ..sources.fixtures import FINDINGS, findings
+from ..sources.readers import json_report
+
+register("n3_json_report", lambda s, d: json_report(findings(s, d).selectExpr("ordinal DIV 20 AS scan", "ordinal", "severity", "file"), "scan").selectExpr("scan", "length(report) AS n_chars", "json_array_length(get_json_object(report, '$.issues')) AS n"), f"WITH {FINDINGS} SELECT ordinal // 20 AS scan, (13 + sum(length('{{\"ordinal\":' || ordinal || ',\"severity\":\"' || severity || '\",\"file\":\"' || file || '\"}},')) - 1)::INT AS n_chars, count(*)::INT AS n FROM findings GROUP BY 1")
+register("n5_badge", lambda s, d: findings(s, d).groupBy("repo").count().selectExpr("repo", "CASE WHEN count % 100 >= 80 THEN 'green' WHEN count % 100 >= 50 THEN 'yellow' ELSE 'red' END AS colour"), f"WITH {FINDINGS} SELECT repo, CASE WHEN count(*) % 100 >= 80 THEN 'green' WHEN count(*) % 100 >= 50 THEN 'yellow' ELSE 'red' END AS colour FROM findings GROUP BY 1")

@@ -168,6 +168,6 @@ def _secrets(spark, d):
 
 
 register("f1_document_secrets", _secrets, f"SELECT doc_id, generate_subscripts(s, 1)::INT - 1 AS nth, unnest(s) AS secret FROM (SELECT doc_id, regexp_extract_all(text, {_duck(RULES[0][2])}, 1) AS s FROM documents)")
-_POS = "strpos(text, 'token')"
-register("f4_line_of_offset", lambda spark, d: read(spark, d, "documents").select("doc_id", F.instr("text", "token").alias("p"), "text").where("p > 0").select("doc_id", (F.length(F.col("text").substr(F.lit(1), F.col("p") - 1)) - F.length(F.replace(F.col("text").substr(F.lit(1), F.col("p") - 1), F.lit("\n"), F.lit(""))) + 1).alias("line")), f"SELECT doc_id, len(string_split(left(text, {_POS} - 1), chr(10)))::INT AS line FROM documents WHERE {_POS} > 0")
+_POS = "strpos(text, '.' || chr(10))"
+register("f4_line_of_offset", lambda spark, d: read(spark, d, "documents").select("doc_id", F.instr("text", ".\n").alias("p"), "text").where("p > 0").select("doc_id", (F.length(F.col("text").substr(F.lit(1), F.col("p") - 1)) - F.length(F.replace(F.col("text").substr(F.lit(1), F.col("p") - 1), F.lit("\n"), F.lit(""))) + 1).alias("line")), f"SELECT doc_id, len(string_split(left(text, {_POS} - 1), chr(10)))::INT AS line FROM documents WHERE {_POS} > 0")
 register("f5_snippet_of_line", lambda spark, d: read(spark, d, "documents").select("doc_id", F.trim(F.element_at(F.split("text", "\r\n|\n|\r"), 1)).alias("snippet")), "SELECT doc_id, trim(regexp_split_to_array(text, '\\r\\n|\\n|\\r')[1]) AS snippet FROM documents")

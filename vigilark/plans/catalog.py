@@ -1,3 +1,3 @@
 """Imports every operator module, so that all queries are registered."""
 
-from ..operators import advisories, classify, context, jobs, manifests, metrics, report, rules  # noqa: F401
+from ..operators import advisories, classify, context, exports, jobs, manifests, metrics, pyast, report, rules, taint  # noqa: F401
