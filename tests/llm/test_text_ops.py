@@ -99,6 +99,11 @@ def test_html_takes_the_article_alone():
     assert p.paths[p.best()] == "html/body/main/article.post-0"
 
 
+def test_html_keeps_what_only_stands_beside_a_sidebar():
+    p = html.Page('<body class="has-sidebar"><div class="page with-comments"><p>kept text</p></div><div class="post-comments"><p>gone</p></div><div id="sidebar-2">gone</div></body>')
+    assert p.text(p.paths[p.best()]) == "kept text"
+
+
 def test_html_host_consensus_and_odd_pages(spark):
     rows = [(k, "http://h.x/1", PAGE.replace("post-17", f"post-{k}")) for k in range(5)] + [(8, "http://h.x/2", None), (9, None, ""), (10, "u", "x < y <b>z"), (10, "u", "x < y <b>z"), (11, "http://h.x/3", "<div><p>" + "word " * 100_000)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -45,6 +45,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^a-z]+")
+#: Of what an element has beside it or lacks, its class speaks too: has-sidebar, with_ads, no-comments.
+_BESIDE = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -57,7 +59,7 @@ class Node:
     def __init__(self, tag: str, source: str, inside: bool):
         at = _attributes(source)
         named = f"{at.get('class', '')} {at.get('id', '')}".lower()
-        words = set(_WORDS.split(named))
+        words = set(_WORDS.split(_BESIDE.sub(" ", named)))
         classes = sorted(_DIGITS.sub("0", x) for x in at.get("class", "").lower().split())
         self.tag, self.label = tag, ".".join([tag, *classes])
         self.good = tag in ("article", "main") or bool(words & GOOD_WORDS)
