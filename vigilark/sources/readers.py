@@ -22,14 +22,21 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def external_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules of JSON files, one a file; a file that isn't a rule is left out."""
-    x = spark.read.schema(RULE).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder)
+    return usable_rules(spark.read.schema(RULE).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder))
+
+
+def usable_rules(x: DataFrame) -> DataFrame:
+    """Rules of parsed files, one a file; a file that isn't a rule is left out."""
     return x.where("_corrupt_record IS NULL AND id IS NOT NULL AND pattern IS NOT NULL").select("id", "name", "pattern", F.upper("severity").alias("severity"), F.col("description").alias("message"))
 
 
 def semgrep_report(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a report; severity and message are read at either level."""
-    r = spark.read.schema(SEMGREP).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    return semgrep_findings(spark.read.schema(SEMGREP).option("multiLine", True).json(path))
+
+
+def semgrep_findings(report: DataFrame) -> DataFrame:
+    """Findings of parsed reports; severity and message are read at either level."""
+    r = report.select(F.explode("results").alias("r"))
     level = F.upper(F.trim(F.coalesce("r.severity", "r.extra.severity", F.lit(""))))
     return r.select(F.col("r.check_id").alias("rule_id"), F.col("r.path").alias("file_path"), F.coalesce("r.start.line", F.lit(1)).alias("line"), F.when(level.isin("ERROR", "HIGH"), "HIGH").when(level.isin("WARNING", "MEDIUM"), "MEDIUM").otherwise("LOW").alias("severity"), F.coalesce("r.message", "r.extra.message").alias("message"), F.col("r.extra.lines").alias("snippet")).where(F.rlike("file_path", F.lit(r"\.(js|jsx|ts|tsx|mjs|cjs)$")))
 
@@ -39,22 +46,33 @@ NOISE_NAMES = "test|spec|fixture|mock|seed|sample|example|demo|script|generate|d
 
 
 def bandit_report(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a report, without the noisy rules in files that aren't production code."""
-    r = spark.read.schema(BANDIT).option("multiLine", True).json(path).select(F.explode("results").alias("r"))
+    return bandit_findings(spark.read.schema(BANDIT).option("multiLine", True).json(path))
+
+
+def bandit_findings(report: DataFrame) -> DataFrame:
+    """Findings of parsed reports, without the noisy rules in files that aren't production code."""
+    r = report.select(F.explode("results").alias("r"))
     level = F.upper(F.trim(F.coalesce("r.severity", "r.issue_severity", F.lit(""))))
     noise = F.col("r.test_id").isin(*NOISE_RULES) & F.rlike(F.lower("r.filename"), F.lit(NOISE_NAMES))
     return r.where(~noise).select(F.concat(F.lit("bandit."), F.lower("r.test_id")).alias("rule_id"), F.col("r.filename").alias("file_path"), F.col("r.line_number").alias("line"), F.when(level.isin("HIGH", "MEDIUM"), level).otherwise("LOW").alias("severity"), F.col("r.issue_text").alias("message"), F.col("r.code").alias("snippet"))
 
 
 def feedback_items(spark: SparkSession, path: str) -> DataFrame:
+    return usable_items(spark.read.schema(FEEDBACK).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+
+
+def usable_items(x: DataFrame) -> DataFrame:
     """Items of a JSON array; rows that break a rule of the schema are left out, the others stay."""
-    x = spark.read.schema(FEEDBACK).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return x.where("_corrupt_record IS NULL AND rating BETWEEN 1 AND 5 AND email IS NOT NULL").drop("_corrupt_record")
 
 
 def validation_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Repositories of a manifest; paths that leave the folder are left out."""
-    r = spark.read.schema(MANIFEST).option("multiLine", True).json(path).select(F.explode("repos").alias("r")).select("r.*")
+    return usable_repos(spark.read.schema(MANIFEST).option("multiLine", True).json(path))
+
+
+def usable_repos(manifest: DataFrame) -> DataFrame:
+    """Repositories of parsed manifests; paths that leave the folder are left out."""
+    r = manifest.select(F.explode("repos").alias("r")).select("r.*")
     return r.where(F.col("path").isNotNull() & ~F.rlike("path", F.lit(r"(^/|(^|/)\.\.(/|$))")))
 
 
