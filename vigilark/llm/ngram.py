@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 600_000
 #: Hashes of words and pairs that one range gathers at most, on average.
 RANGE_KEYS = 1_000_000
 BUCKETS = 32
