@@ -135,7 +135,7 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 def test_decontamination_equals_brute_force(spark):
     rnd = random.Random(6)
-    w = lambda n: [f"v{rnd.randrange(3000)}" for _ in range(n)]
+    w = lambda n: [f"é{rnd.randrange(3000)}" for _ in range(n)]
     items = [(k, " ".join(w(rnd.choice([3, 6, 20, 40, 60])))) for k in range(20)] + [(90, None), (91, ""), (92, "v1 v1 v1 v1 v1 v1 v1 v1"), (93, "v1 v1 v1 v1 v1 v1 v1 v1")]
     rows = []
     for k in range(120):

@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A document is contaminated by a benchmark item if some window of it, as long in words as the item, has a
-weighted shingle similarity of THRESHOLD or more to it: shingles are five words (ASCII lower case, joined by a
-space), their weights are their counts, and the similarity is the sum of lesser weights over the sum of greater.
+weighted shingle similarity of THRESHOLD or more to it: shingles are five words (lower case, accented letters
+too, joined by a space), their weights are their counts, and the similarity is the sum of lesser weights over the
+sum of greater.
 
 Windows. Similarity above zero needs a shingle in common. The windows of a document are those that are aligned
 with an item by such a shingle: they start where it puts the item's first word, and are as long as the item (cut
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, cut, stored
+from .common import broadcast_if_small, cut, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,7 +38,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of a text; splitting leaves an empty string where it begins or ends in white space."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WHITE), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda x: x != "")
 
 
 def shingles(w: Column) -> Column:
