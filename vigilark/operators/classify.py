@@ -214,6 +214,15 @@ def finalize(m: DataFrame) -> DataFrame:
     return x.drop("key", "part", "has_credential_url")
 
 
+def where_computed(x: DataFrame, condition: str) -> DataFrame:
+    """The rows of x that meet a condition over derived columns.
+
+    A filter is pushed below the columns that it reads and repeats their long expressions at each use, beyond what
+    can be compiled; a generator of one element or none stays above them.
+    """
+    return x.select("*", F.explode(F.when(F.expr(condition), F.array(F.lit(1)))).alias("_met")).drop("_met")
+
+
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid rule matches as findings."""
     v = valid(matches(scanned(code_lines(spark, sf_dir))))
@@ -243,7 +252,8 @@ def _q(name, columns: dict[str, str], where: str = "true", every: bool = False)
     """A projection of findings: of rule matches, or of every line."""
     picked = [*ID, *(f"{e} AS {n}" if e != n else n for n, e in columns.items())]
     source, sql = (all_lines, ALL) if every else (issues, ISSUES)
-    register(name, lambda spark, d: source(spark, d).where(F.expr(where)).selectExpr(*picked), f"WITH {CODE_LINES}, {sql} SELECT {', '.join(picked)} FROM final WHERE {where}")
+    met = (lambda x: x) if where == "true" else (lambda x: where_computed(x, where))
+    register(name, lambda spark, d: met(source(spark, d)).selectExpr(*picked), f"WITH {CODE_LINES}, {sql} SELECT {', '.join(picked)} FROM final WHERE {where}")
 
 
 _q("c1_category", {"category": "category"})

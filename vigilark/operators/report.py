@@ -19,22 +19,30 @@ EXPLOIT_RANK = "CASE upper(exploitability_level) WHEN 'HIGH' THEN 3 WHEN 'MEDIUM
 TEST_MARKERS = ("/test", "test/", "tests/", ".test.", ".spec.", "_test.", "/__tests__/", "fixtures/")
 
 
-def severity_counts(f: DataFrame, *keys: str) -> DataFrame:
-    """Findings by severity for each key; other levels count as low."""
+def count_columns() -> list[Column]:
+    """Findings by severity; other levels count as low."""
     level = F.upper(F.coalesce("severity", F.lit("LOW")))
     n = lambda cond: F.count_if(cond).cast("long")
-    return f.groupBy(*keys).agg(n(level == "CRITICAL").alias("critical"), n(level == "HIGH").alias("high"), n(level == "MEDIUM").alias("medium"), n(~level.isin("CRITICAL", "HIGH", "MEDIUM")).alias("low"))
+    return [n(level == "CRITICAL").alias("critical"), n(level == "HIGH").alias("high"), n(level == "MEDIUM").alias("medium"), n(~level.isin("CRITICAL", "HIGH", "MEDIUM")).alias("low")]
 
 
-def risk_score(f: DataFrame, *keys: str) -> DataFrame:
+def risk_column() -> Column:
     """100 less the penalties, never under 0."""
-    return f.groupBy(*keys).agg(F.greatest(F.lit(0), F.lit(100) - F.sum(F.expr(PENALTY))).cast("int").alias("risk_score"))
+    return F.greatest(F.lit(0), F.lit(100) - F.sum(F.expr(PENALTY))).cast("int").alias("risk_score")
+
+
+def severity_counts(f: DataFrame, *keys: str) -> DataFrame:
+    return f.groupBy(*keys).agg(*count_columns())
+
+
+def risk_score(f: DataFrame, *keys: str) -> DataFrame:
+    return f.groupBy(*keys).agg(risk_column())
 
 
 def display_score(f: DataFrame, *keys: str) -> DataFrame:
-    """The score that a report shows: a curve for critical ones, a floor where only dependencies weigh."""
+    """The score that a report shows: a curve for critical ones, a floor where only dependencies weigh. One shuffle on the keys."""
     dep = F.expr("lower(finding_type) = 'dependency_vuln' AND upper(severity) IN ('HIGH', 'MEDIUM')")
-    a = severity_counts(f, *keys).join(risk_score(f, *keys), list(keys)).join(f.groupBy(*keys).agg(F.count_if(dep).alias("dep"), F.count(F.lit(1)).alias("n")), list(keys))
+    a = f.groupBy(*keys).agg(*count_columns(), risk_column(), F.count_if(dep).alias("dep"), F.count(F.lit(1)).alias("n"))
     score = """CASE WHEN n = 0 THEN 100 WHEN critical = 0 AND high = 0 AND medium = 0 THEN greatest(90, 100 - least(low, 5) * 2)
       WHEN critical > 0 THEN least(risk_score, CASE critical WHEN 1 THEN 40 WHEN 2 THEN 32 WHEN 3 THEN 25 WHEN 4 THEN 18 ELSE 10 END)
       WHEN dep > 0 AND high + medium = dep THEN greatest(CASE WHEN dep >= 20 THEN 45 ELSE 55 END, risk_score) ELSE risk_score END"""

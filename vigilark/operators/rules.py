@@ -151,11 +151,11 @@ def _carried(x: DataFrame) -> DataFrame:
 
 
 def scan_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: valid matches of all rules by scan, with counts and the risk score."""
-    from .report import risk_score, severity_counts
+    """The flagship: valid matches of all rules by scan, with counts and the risk score, from one aggregation."""
+    from .report import count_columns, risk_column
 
     v = valid(matches(scanned(code_lines(spark, sf_dir))))
-    return severity_counts(v, "repo", "scan_id").join(risk_score(v, "repo", "scan_id"), ["repo", "scan_id"])
+    return v.groupBy("repo", "scan_id").agg(*count_columns(), risk_column())
 
 
 register("scan_risk_score", scan_risk, f"WITH {CODE_LINES}, {MATCHES}, {VALID} SELECT repo, scan_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, greatest(0, 100 - sum(CASE severity WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 5 ELSE 2 END))::INT AS risk_score FROM valid GROUP BY 1, 2")

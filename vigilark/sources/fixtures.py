@@ -63,15 +63,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ordinal, repo, scan_id, file_path, line_no, text): one line of code an event."""
+    """(ordinal, repo, scan_id, file_path, line_no, text): one line of code an event.
+
+    The snippets are joined, so that text is a column of a relation, as it is in a scan, and no expression that each
+    condition on it would repeat.
+    """
     sn = F.array(*[F.struct(F.lit(e).alias("ext"), F.lit(t).alias("text")) for e, t in SNIPPETS])
+    snippets = spark.range(0, 1, 1, 1).select(F.posexplode(sn)).select("pos", "col.ext", "col.text")
     dirs = F.array(*[F.lit(d) for d in DIRS])
-    e = read(spark, sf_dir, "events")
-    pick = F.element_at(sn, (F.col("event_id") % len(SNIPPETS) + 1).cast("int"))
-    place = F.concat(F.element_at(dirs, (F.col("user_id") % len(DIRS) + 1).cast("int")), F.lit("/f"), F.col("user_id").cast("string"), pick["ext"])
+    e = read(spark, sf_dir, "events").select("event_id", "user_id")
+    e = e.join(F.broadcast(snippets), (F.col("event_id") % len(SNIPPETS)).cast("int") == F.col("pos"))  # a fixed number of rows
+    place = F.concat(F.element_at(dirs, (F.col("user_id") % len(DIRS) + 1).cast("int")), F.lit("/f"), F.col("user_id").cast("string"), F.col("ext"))
     lines = e.select(
         F.col("event_id").alias("ordinal"), F.concat(F.lit("r"), (F.floor(F.col("user_id") / 5) % 10).cast("string")).alias("repo"),
-        F.floor(F.col("event_id") / 20).cast("long").alias("scan_id"), place.alias("file_path"), pick["text"].alias("text"),
+        F.floor(F.col("event_id") / 20).cast("long").alias("scan_id"), place.alias("file_path"), "text",
     )
     number = F.row_number().over(W.partitionBy("repo", "file_path").orderBy("ordinal"))
     return lines.withColumn("line_no", number.cast("int"))
