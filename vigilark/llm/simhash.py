@@ -18,7 +18,7 @@ and the component of documents that have only null ids is null; an empty table g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -202,10 +202,10 @@ def op3(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame, tuple[str, ...]], DataFrame] = near_duplicates) -> DataFrame:
     """docs with one row of each component: of the least doc_id (null after all others), then of the least text hash."""
     tagged = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_h"))
-    found = near_duplicates(tagged, ("doc_id", "_id", "_h"))
+    found = groups(tagged, ("doc_id", "_id", "_h"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_id").alias("id"), F.col("_h").alias("h")))
     stay = cut(found.groupBy("component").agg(first.alias("x")).select("x.id", "x.h"))
     mine = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_h", F.xxhash64("text"))
