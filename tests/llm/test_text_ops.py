@@ -174,3 +174,17 @@ def test_registry_names_every_operator():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and json.dumps(sorted(__spark_entry__.oracle_sql()))
+
+
+def test_html_keeps_what_stands_beside_an_inner_body(spark):
+    inner = "<p>" + "body words here. " * 180 + "</p>"
+    cases = {
+        "a": f'<body><main><article><h1>Title</h1><p>lead</p><div class="content">{inner}</div></article></main><p>beside</p></body>',
+        "b": f'<body><div>site</div><main><h1>Title</h1><section>{inner}</section><p>lead</p></main></body>',
+        "c": f'<body><div class="post"><h1>Title</h1><p>lead</p><div class="entry"><div class="text">{inner}</div></div></div><div><a href="/">links</a></div></body>',
+        "d": f'<body><article><h1>Title</h1><article class="story"><p>lead</p><div>{inner}</div></article></article></body>',
+    }
+    rows = [(n, f"http://{h}.org/{n}", p) for n, (h, p) in enumerate((h, p) for h, p in cases.items() for _ in range(3))]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert {"Title", "lead"} <= set(r.text.split("\n\n")) and "body words" in r.text, r.url
+        assert not {"beside", "site", "links"} & set(r.text.split("\n\n")), r.url

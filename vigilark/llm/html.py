@@ -1,9 +1,11 @@
 """Main-text extraction by consensus host paths.
 
 Each page scores its containers (div, section, article, main, td, body) by the text of the blocks that stand in
-them, less their link text, and names the best by its generalised path: tags with their classes, digits
-generalised. The pages of a host vote in Spark; a page is then read again through the winning path of its host, or
-through its own best container where it has none on that path.
+them, less their link text, and takes the best. As that may be the body of an article beside its heading, the
+article or main element around it stands for it, or else the nearest container with text of its own. It is named
+by its generalised path: tags with their classes, digits generalised. The pages of a host vote in Spark; a page is
+then read again through the winning path of its host, or through its own best container where it has none on that
+path.
 
 Left out: scripts, styles, markup and comments of the source; menus, page headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by tag, role or the words in class and id. A header inside an article
@@ -79,6 +81,7 @@ class Page:
         self.paths: list[str] = []
         self.parents: list[int | None] = []
         self.score: list[float] = []
+        self.own: list[float] = []  # scores without those of inner containers
         self.blocks: list[tuple[tuple[int, ...], str]] = []  # containers that the block stands in, text
         self._stack: list[Node] = []
         self._text: list[str] = []
@@ -170,6 +173,7 @@ class Page:
         if at < end and not bad:
             self._add(source[at:])
         self._flush()
+        self.own = list(self.score)
         for k in range(len(self.score) - 1, 0, -1):
             if self.parents[k] is not None:
                 self.score[self.parents[k]] += self.score[k] / 2
@@ -181,9 +185,20 @@ class Page:
             self._linked += len(text.strip())
 
     def best(self) -> int | None:
-        """The container of the greatest score; of equal ones the first."""
+        """The container of the greatest score, of equal ones the first, or what holds it as a part."""
         k = max(range(len(self.score)), key=lambda k: (self.score[k] * (1.5 if self._named(k) else 1), -k), default=None)
-        return k if k is not None and self.score[k] > 0 else None
+        return self._whole(k) if k is not None and self.score[k] > 0 else None
+
+    def _whole(self, k: int) -> int:
+        """The outermost article around a container, else its main; else the nearest with text of its own beside it."""
+        above = [k]
+        while (up := self.parents[above[-1]]) is not None:
+            above.append(up)
+        tags = [self.paths[a].rpartition("/")[2].split(".")[0] for a in above]
+        for tag in ("article", "main"):
+            if tag in tags:
+                return above[len(tags) - 1 - tags[::-1].index(tag)]
+        return next((a for a in above[1:] if self.own[a] > 0), k)
 
     def _named(self, k: int) -> bool:
         last = self.paths[k].rpartition("/")[2]
