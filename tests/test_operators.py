@@ -180,3 +180,18 @@ def test_entry_survives_without_the_corpus_folder(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith("vigilark.llm") else find(n, *a))
     assert "scan_risk_score" in __spark_entry__.queries() and not any(n.startswith("op1_") for n in __spark_entry__.queries())
+
+
+def test_reachability_takes_all_parts_and_steps(spark, tmp_path):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(5, 0)], "src long, dst long")
+    assert {(r.v, r.hops) for r in pyast.fixpoint(spark.createDataFrame([(0,), (0,)], "v long"), chain).collect()} == {(k, k) for k in range(41)}
+    sizes = {k: k * 7 % 50 + 5 for k in range(1, 1201)}
+    spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {k: 0 for k in sizes if k % 50 == 0}
+    front, step = set(want), 0
+    while front:
+        step += 1
+        front = {(k * 3 + 1) % 1200 for k in front if sizes.get(k, 0) > 10} - want.keys()
+        want |= dict.fromkeys(front, step)
+    assert {r.v: r.hops for r in pyast.reachable_all(spark, str(tmp_path)).collect()} == want
+    assert any(k >= 500 for k in want)

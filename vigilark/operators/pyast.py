@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,6 +121,29 @@ def reachable(spark, sf_dir: str) -> DataFrame:
     return spark.sql(REACH.replace("part_table", "vigilark_part"))
 
 
+def fixpoint(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, hops): all that edges (src, dst) reach from seeds (v), with the least number of steps, until no new node comes."""
+    spark = seeds.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vigilark-"))
+    edges = edges.distinct().checkpoint()
+    front = seeds.select("v", F.lit(0).alias("hops")).distinct().checkpoint()
+    seen = front
+    while not front.isEmpty():
+        new = front.join(edges, F.col("v") == F.col("src")).select(F.col("dst").alias("v"), (F.col("hops") + 1).alias("hops")).distinct()
+        front = new.join(seen.select("v"), "v", "left_anti").checkpoint()
+        seen = seen.unionAll(front).checkpoint()
+    return seen
+
+
+def reachable_all(spark, sf_dir: str) -> DataFrame:
+    """reachable() over all parts, whose keys count the variables, and without a bound on the steps."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    n = part.count()
+    edges = part.where("p_size > 10").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 3 + 1) % F.lit(n)).alias("dst"))
+    return fixpoint(part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("v")), edges)
+
+
 REACH = """WITH RECURSIVE edges AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 500 AS dst FROM part_table WHERE p_partkey < 500 AND p_size > 10),
 reach(v, hops) AS (SELECT p_partkey AS v, 0 AS hops FROM part_table WHERE p_partkey < 500 AND p_partkey % 50 = 0 UNION ALL SELECT e.dst, r.hops + 1 FROM reach r JOIN edges e ON e.src = r.v WHERE r.hops < 12)
 SELECT v, min(hops) AS hops FROM reach GROUP BY v"""
@@ -128,6 +152,7 @@ register("t1_python_calls", lambda s, d: tree_findings(_single(s, d)).where("rig
 register("t2_weak_random_assignment", lambda s, d: tree_findings(s.createDataFrame([("a.py", "import random\ntoken = random.random()\nx = random.random()\n")], "file_path string, text string")).where("type = 'weak_random'"))
 register("t3_weak_random_function", lambda s, d: tree_findings(s.createDataFrame([("a.py", "import random\ndef make_token():\n    return random.choice('ab')\n")], "file_path string, text string")).where("type = 'weak_random'"))
 register("t4_reachable_fragments", reachable, REACH.replace("part_table", "part"))
+register("t4_reachable_all", reachable_all)
 register("t5_hybrid_dispatch", lambda s, d: tree_findings(_single(s, d)).groupBy("type").count())
 register("t6_script_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.js'"))
 register("t7_sql_concatenation", lambda s, d: tree_findings(_single(s, d)).where("type = 'sql_concatenation'"))
