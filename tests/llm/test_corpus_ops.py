@@ -243,3 +243,10 @@ def test_pipeline_stages_keep_columns_and_whole_rows(spark, tmp_path):
         assert {"quality_rules": {201, 202}, "near_dedup": {200}, "decontaminate": {203}}.get(name, set()).isdisjoint(ids)
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole and whole.isdisjoint({200, 201, 202, 203})
+
+
+def test_mix_takes_a_rest_that_rounds_up_to_a_whole_epoch(spark):
+    rows = [(k, "w " * 10, "a", "x") for k in range(10)]
+    for ratio, want in ((0.997, 100), (1.997, 200)):
+        got = mixing.mix_sources(frame(spark, rows), budget_ratio=ratio).collect()
+        assert sum(r.taken for r in got) == want

@@ -79,6 +79,9 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights=WEIGHTS,
     targets = source_targets(sums.groupBy("_src").agg(F.sum("_n").alias("source_size")), weights, budget_ratio, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("_rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # a rest that rounds up to the whole size is one more epoch, as it ends in no bucket
+    full = (F.col("source_size") > 0) & (F.col("_rest") >= F.col("source_size"))
+    targets = targets.withColumn("_full", full).withColumn("epochs", F.col("epochs") + F.col("_full").cast("long")).withColumn("_rest", F.when(F.col("_full"), F.lit(0).cast("long")).otherwise(F.col("_rest"))).drop("_full")
     before = W.partitionBy("_src").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     spot = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
     t = targets.withColumnRenamed("_src", "_tsrc")
