@@ -178,6 +178,38 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.op4(frame(spark, []), bench).count() == 0 and decontam.op4(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def lm_words(t):
+    return WORD.findall((t or "").lower()) + [None]
+
+
+def lm_fold(d):
+    return None if d is None else zlib.crc32(str(d).encode()) % 10
+
+
+def lm_counts(texts):
+    """Counts of words, pairs and triples, and the number of texts."""
+    uni, bi, tri, n = collections.Counter(), collections.Counter(), collections.Counter(), 0
+    for t in texts:
+        ws = ["<s>", *lm_words(t)]
+        uni.update(ws[1:])
+        bi.update(zip(ws, ws[1:]))
+        tri.update(zip(ws, ws[1:], ws[2:]))
+        n += 1
+    return uni, bi, tri, n
+
+
+def lm_estimates(text, counts):
+    """Bucket and the three estimates of each token."""
+    uni, bi, tri, docs = counts
+    total, ws = sum(uni.values()), ["<s>", *lm_words(text)]
+    for k in range(1, len(ws)):
+        one = docs if k == 1 else uni[ws[k - 1]]
+        two, pair = (one, bi[ws[0], ws[1]]) if k == 1 else (bi[ws[k - 2], ws[k - 1]], bi[ws[k - 1], ws[k]])
+        triple = pair if k == 1 else tri[ws[k - 2], ws[k - 1], ws[k]]
+        bucket = ngram.STEPS + 1 + int(math.log2(two)) if two else 1 + int(math.log2(one)) if one else 0
+        yield bucket, triple / max(two, 1), pair / max(one, 1), uni[ws[k]] / max(total, 1)
+
+
 def test_lm_scores_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
     rows = [(k, " ".join(f"w{int(rnd.paretovariate(0.8)) % 300}" for _ in range(rnd.randint(0, 60))).title(), "s", "x") for k in range(400)]
@@ -188,32 +220,61 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram, "CHUNK_TOKENS", 3000)
     got = ngram.op7(frame(spark, rows)).collect()
     assert len(got) == len(rows)
-    words = lambda t: WORD.findall((t or "").lower()) + [None]
-    fold = lambda d: None if d is None else zlib.crc32(str(d).encode()) % 10
-    uni, bi, n_docs = collections.Counter(), collections.Counter(), 0
-    for d, t, *_ in rows:
-        if fold(d):
-            uni.update(words(t))
-            bi.update(zip(["<s>", *words(t)[:-1]], words(t)))
-            n_docs += 1
+    counts = lm_counts([t for d, t, *_ in rows if lm_fold(d)])
+    uni = counts[0]
     n, v = sum(uni.values()), len(uni)
     lam = seen["w"]
-    assert np.allclose(lam.sum(1), 1) and (lam >= 0).all()
+    assert lam.shape == (64, 4) and np.allclose(lam.sum(1), 1) and (lam >= 0).all()
     want = collections.defaultdict(set)
     for d, t, *_ in rows:
-        ws = words(t)
-        base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws)
-        score = 0.0
-        for h, x in zip(["<s>", *ws[:-1]], ws):
-            c = n_docs if h == "<s>" else uni[h]
-            m = lam[0 if c == 0 else 1 + int(math.log2(c))]
-            score += math.log10(m[0] * bi[h, x] / max(c, 1) + m[1] * uni[x] / n + m[2] / (v + 1))
-        want[d].add((len(ws), sum(uni[x] > 0 for x in ws), round(base, 3), round(score, 3)))
+        base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in lm_words(t))
+        score = sum(math.log10(lam[b] @ [*ps, 1 / (v + 1)]) for b, *ps in lm_estimates(t, counts))
+        want[d].add((len(lm_words(t)), sum(uni[x] > 0 for x in lm_words(t)), round(base, 3), round(score, 3)))
     for r in got:
         assert (r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 3)) in want[r.doc_id] and r.train_tokens == n
-        assert r.held_out == (fold(r.doc_id) == 0)
+        assert r.held_out == (lm_fold(r.doc_id) == 0)
     assert ngram.op7(frame(spark, [])).count() == 0
 
+    # the weights are those of expectation-maximisation over the held-out tokens themselves, one by one
+    main = lm_counts([t for d, t, *_ in rows if lm_fold(d) not in (None, 0, 1)])
+    types = len(main[0])
+    tokens = [x for d, t, *_ in rows if lm_fold(d) == 1 for x in lm_estimates(t, main)]
+    direct = np.array(fit(np.array([], np.int64), np.array([]), types))
+    may = direct > 0
+    ks, ps = np.array([b for b, *_ in tokens]), np.array([[*p, 1 / (types + 1)] for _, *p in tokens])
+    for _ in range(ngram.ROUNDS):
+        share = direct[ks] * ps
+        share /= share.sum(1, keepdims=True)
+        sums = np.zeros((64, 4))
+        np.add.at(sums, ks, share)
+        sums = np.where(may, sums + 0.5 * np.maximum(sums.sum(0) / sums.sum(), 1e-3), 0)
+        direct = sums / sums.sum(1, keepdims=True)
+    likelihood = lambda w: np.log((w[ks] * ps).sum(1)).mean()
+    assert len(ks) > 500 and abs(likelihood(lam) - likelihood(direct)) < 0.01
+    assert np.abs((lam[ks] * ps).sum(1) / (direct[ks] * ps).sum(1) - 1).mean() < 0.05
+
+
+def test_lm_tells_repeated_texts_from_others(spark):
+    """Texts that training holds twice are likelier, word for word, than those it holds once."""
+    rnd = random.Random(31)
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.4)) % 400}" for _ in range(80))
+    train = [k for k in range(3000) if lm_fold(k) > 1]
+    held = [k for k in range(3000) if lm_fold(k) == 1]
+    rows = [(k, text(), "s", "x") for k in train[:700] + held[:80]]
+    twice = [text() for _ in range(60)]
+    rows += [(k, twice[n % 60], "s", "x") for n, k in enumerate(train[700:820])] + [(k, twice[n], "s", "x") for n, k in enumerate(held[80:90])]
+    got = {r.doc_id: r.score / r.n_tokens for r in ngram.op7(frame(spark, rows)).collect()}
+    once, again = sorted(got[k] for k in train[20:700]), [got[k] for k in train[700:820]]
+    assert sum(x > once[int(0.9 * len(once))] for x in again) >= 0.9 * len(again)
+
+
+def test_lm_keys_pack_and_ranges_cover_all():
+    assert ngram.key_bits(10) == 40 and ngram.key_bits(10**9) == 44 and ngram.key_bits(1 << 60) == 64
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 44, 5000, np.uint64))
+    of = ngram.range_of(keys, 44, 77)
+    assert (np.diff(of.astype(np.int64)) >= 0).all() and of.max() == 76 and (np.bincount(of.astype(int)) > 20).all()
+    assert (ngram.unpack(ngram.pack(keys), np.uint64) == keys).all() and len(ngram.unpack(ngram.pack(keys[:0]), np.uint64)) == 0
+
 
 def test_lm_without_training_documents(spark):
     d = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)

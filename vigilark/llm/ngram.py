@@ -1,18 +1,23 @@
 """Language-model scoring by deleted interpolation.
 
-The probability of a word mixes maximum-likelihood estimates: of the word after its predecessor, of the word alone,
-and a uniform one over the training words and one unknown word. The weights of the mix depend on how often the
-predecessor occurs in training, by powers of two, and are learned by expectation-maximisation on the counts of a
-tenth of the training documents, which are left out of the other counts meanwhile. Scores use all training counts.
-
-How it runs. Documents are turned into chunks of token numbers once and stored. A chunk then names each word and
-word pair that it holds as a 64-bit hash, sorted, with its counts, in one packed row for each range of hashes.
-A range gathers the rows of all chunks, adds up the counts, and answers each chunk in the order it asked in. So
-counts combine before they are shuffled, a frequent word or pair is one number a chunk, and no vocabulary is ever
-in one place: the number of ranges grows with the number of distinct pairs. The driver sees totals, and the
-held-out counts as a histogram of (context frequency, probabilities rounded to RESOLUTION), of bounded size.
-
-Words are told apart by 64-bit hashes; two words share one with a probability of about V*V / 4e19.
+The probability of a word mixes maximum-likelihood estimates: of the word after its two predecessors, after one, of
+the word alone, and a uniform one over the training words and one unknown word. The weights of the mix depend on how
+often the context occurs in training, by powers of two: the two predecessors where training has them, else the one.
+They are learned by expectation-maximisation on the counts of a tenth of the training documents, which are left out
+of the other counts meanwhile. Scores use all training counts.
+
+How it runs. Documents are turned into chunks of token numbers once and stored. A chunk then names each word, pair
+and triple that it holds as a hash, sorted, with its counts, in one packed row for each range of hashes that it has
+any of. A range gathers the rows of all chunks, adds up the counts, and answers each chunk in the order it asked in.
+So counts combine before they are shuffled, a frequent word or pair is one number a chunk, and no vocabulary is ever
+in one place: the number of ranges grows with the tokens. Rows between chunks and ranges are at most one for each
+key of a chunk, so they grow with the input; up to about a terabyte a row packs 64 keys or more.
+The driver sees totals, and the held-out counts as a histogram of (context frequency, probabilities rounded to
+RESOLUTION steps), of bounded size.
+
+Words are told apart by 64-bit hashes; two words share one with a probability of about V*V / 4e19. Pairs and triples
+travel by the leading bits of theirs, SPARE more than the tokens' number has, so that one in 10,000 shares its
+number with another; this touches their estimates only.
 
 Defined cases: a null text counts as empty and has the end token alone; very long texts are scored whole; repeated
 rows are scored each and counted each; a null doc_id neither trains nor is held out; without any training document
@@ -32,11 +37,17 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK_TOKENS = 600_000
-#: Hashes of words and pairs that one range gathers at most, on average.
-RANGE_KEYS = 1_000_000
-BUCKETS = 32
-RESOLUTION = 8  # steps of the histogram for each e-fold of a probability
+CHUNK_TOKENS = 1_500_000
+#: Tokens whose words, pairs and triples one range gathers on average: as few as the first, and, where ranges would
+#: outnumber MANY_RANGES, as many as the second.
+RANGE_TOKENS = (1_000_000, 4_000_000)
+MANY_RANGES = 40_000
+SPARE = 14
+#: Context frequencies by powers of two: of one predecessor, then of two.
+STEPS = 32
+BUCKETS = 2 * STEPS
+RESOLUTION = 4  # steps of the histogram for each e-fold of a probability
+LEVELS = 256
 ROUNDS = 60
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -115,9 +126,9 @@ def _chunks(batches):
 
 
 class _Tokens:
-    """A stored chunk, opened: for each token the place of its word, of its predecessor and of the pair in sorted hashes."""
+    """A stored chunk, opened: for each token the places of its word, pair and triple in sorted hashes, and of its contexts."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.size, self.role, self.doc_id = np.array(row["size"], np.int64), np.array(row["role"], np.int64), row["doc_id"]
         ids, vocab = unpack(row["ids"], np.int32), unpack(row["vocab"], np.uint64)
         self.starts = np.r_[0, np.cumsum(self.size)[:-1]]
@@ -130,51 +141,67 @@ class _Tokens:
         self.before = inverse[before]
         context = vocab[before]
         context[self.first] = _BEGIN
-        self.pairs, self.pair = np.unique(pair_keys(context, vocab[ids]), return_inverse=True)
+        word, cut = vocab[ids], np.uint64(64 - bits)
+        pair = pair_keys(context, word)
+        self.pairs, self.pair = np.unique(pair >> cut, return_inverse=True)
+        # a text's first word has no triple of its own
+        inner = np.flatnonzero(~self.first)
+        self.triple = np.zeros(len(ids), np.int64)
+        self.triples, self.triple[inner] = np.unique(pair_keys(pair[inner - 1], word[inner]) >> cut, return_inverse=True)
 
     def trained(self) -> np.ndarray:
         return np.repeat(self.role != TEST, self.size)
 
+    def asked(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and training counts, of words, pairs and triples."""
+        mine = self.trained()
+        each = ((self.words, self.word[mine]), (self.pairs, self.pair[mine]), (self.triples, self.triple[mine & ~self.first]))
+        return [(keys, np.bincount(at, minlength=len(keys)).astype(np.uint32)) for keys, at in each]
+
+
+KINDS = ("w", "b", "t")
+
+
+def key_bits(tokens: int) -> int:
+    """Bits of a pair's or triple's hash that travel."""
+    return min(64, max(40, int(tokens).bit_length() + SPARE))
 
-def _ask(ranges: int):
-    """For each range of hashes that a chunk has words or pairs in, a row of them with the chunk's training counts."""
+
+def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _ask(ranges: int, bits: int):
+    """For each range of hashes that a chunk has keys in, a row of them with the chunk's training counts."""
 
     def run(batches):
         for b in batches:
             for row in _rows(b):
-                t = _Tokens(row)
-                mine = t.trained()
-                found = []
-                for keys, at in ((t.words, t.word), (t.pairs, t.pair)):
-                    counts = np.bincount(at[mine], minlength=len(keys)).astype(np.uint32)
-                    of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-                    found.append((keys, counts, np.searchsorted(of, np.arange(ranges + 1, dtype=np.uint64))))
-                out: list[list] = [[] for _ in range(7)]
-                for p in range(ranges):
-                    cells = []
-                    for keys, counts, edge in found:
-                        a, z = edge[p], edge[p + 1]
-                        cells += [pack(np.diff(keys[a:z], prepend=np.uint64(0))), pack(counts[a:z])]
-                    if found[0][2][p] < found[0][2][p + 1] or found[1][2][p] < found[1][2][p + 1]:
-                        for k, x in enumerate((p, row["chunk"], row["held"], *cells)):
-                            out[k].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.string(), pa.bool_(), *[pa.binary()] * 4))], ["part", "chunk", "held", "w", "wn", "b", "bn"])
+                found = [(keys, n, range_of(keys, 64 if k == 0 else bits, ranges)) for k, (keys, n) in enumerate(_Tokens(row, bits).asked())]
+                parts = np.unique(np.concatenate([of for *_, of in found]))
+                cells: list[list[bytes]] = [[] for _ in range(2 * len(KINDS))]
+                for k, (keys, n, of) in enumerate(found):
+                    for a, z in zip(np.searchsorted(of, parts), np.searchsorted(of, parts, "right")):
+                        cells[2 * k].append(pack(np.diff(keys[a:z], prepend=np.uint64(0))))
+                        cells[2 * k + 1].append(pack(n[a:z]))
+                m = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([row["chunk"]] * m, pa.string()), pa.array([row["held"]] * m, pa.bool_()), *[pa.array(c, pa.binary()) for c in cells]], ["part", "chunk", "held", *[k + x for k in KINDS for x in ("", "n")]])
 
     return run
 
 
-_ASK_SCHEMA = "part int, chunk string, held boolean, w binary, wn binary, b binary, bn binary"
-_ANSWER_SCHEMA = "part int, chunk string, w binary, wm binary, b binary, bm binary, n long, n_main long, types long, types_main long"
+_ASK_SCHEMA = "part int, chunk string, held boolean, w binary, wn binary, b binary, bn binary, t binary, tn binary"
+_ANSWER_SCHEMA = "part int, chunk string, w binary, wm binary, b binary, bm binary, t binary, tm binary, n long, n_main long, types long, types_main long"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """The totals of a range: to each chunk in its own order, of all training and without the held documents."""
+    """The totals of a range: to each chunk in its own order, of all training and, to held ones, without the held documents."""
     rows = table.to_pylist()
     part = rows[0]["part"]
     held = np.array([r["held"] for r in rows])
-    answers: dict[str, list[bytes]] = {"w": [], "wm": [], "b": [], "bm": []}
+    answers: dict[str, list[bytes]] = {k + x: [] for k in KINDS for x in ("", "m")}
     sums = (0, 0, 0, 0)
-    for k in ("w", "b"):
+    for k in KINDS:
         keys = [np.cumsum(unpack(r[k], np.uint64), dtype=np.uint64) for r in rows]
         counts = np.concatenate([unpack(r[k + "n"], np.uint32) for r in rows]).astype(np.float64)
         size = [len(x) for x in keys]
@@ -190,7 +217,7 @@ def _answer(table: pa.Table) -> pa.Table:
             sums = (int(total.sum()), int(main.sum()), int((total > 0).sum()), int((main > 0).sum()))
     n = len(rows)
     first = [np.array([s] + [0] * (n - 1), np.int64) for s in sums]
-    return pa.table([pa.array([part] * n, pa.int32()), pa.array([r["chunk"] for r in rows]), *[pa.array(answers[k], pa.binary()) for k in ("w", "wm", "b", "bm")], *map(pa.array, first)], names=["part", "chunk", "w", "wm", "b", "bm", "n", "n_main", "types", "types_main"])
+    return pa.table([pa.array([part] * n, pa.int32()), pa.array([r["chunk"] for r in rows]), *[pa.array(x, pa.binary()) for x in answers.values()], *map(pa.array, first)], names=["part", "chunk", *answers, "n", "n_main", "types", "types_main"])
 
 
 def _rows(batch: pa.RecordBatch):
@@ -204,67 +231,83 @@ def _told(row: dict, kind: str) -> np.ndarray:
     return np.concatenate(cells).astype(np.float64)
 
 
-def bucket(n: np.ndarray) -> np.ndarray:
+def _step(n: np.ndarray) -> np.ndarray:
     """0 for a context that is unknown, else one more than the power of two under its count."""
-    return np.where(n > 0, np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), BUCKETS - 1), 0)
+    return np.where(n > 0, np.minimum(1 + np.log2(np.maximum(n, 1)).astype(np.int64), STEPS - 1), 0)
+
+
+def bucket(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """By the frequency of the two predecessors where training has them, else of the one."""
+    return np.where(two > 0, STEPS + _step(two), _step(one))
 
 
-def _estimates(t: _Tokens, words: np.ndarray, pairs: np.ndarray, total: int):
-    """Bucket, word-after-word and word estimates of each token."""
-    context = np.where(t.first, words[t.end], words[t.before])  # a text's beginning occurs as often as an end
-    p2 = pairs[t.pair] / np.maximum(context, 1)
-    return bucket(context), p2, words[t.word] / max(1, total)
+def _estimates(t: _Tokens, counts: list[np.ndarray], total: int):
+    """Bucket of each token, and the estimates after two words, after one, and of the word alone."""
+    words, pairs, triples = counts
+    one = np.where(t.first, words[t.end], words[t.before])  # a text's beginning occurs as often as an end
+    pair = pairs[t.pair]
+    two = np.where(t.first, one, np.r_[0.0, pair[:-1]])
+    triple = np.where(t.first, pair, triples[t.triple] if len(triples) else 0.0)
+    return bucket(one, two), triple / np.maximum(two, 1), pair / np.maximum(one, 1), words[t.word] / max(1, total)
 
 
 def _level(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.minimum(np.round(-np.log(np.maximum(p, 1e-300)) * RESOLUTION), 4000).astype(np.int64), -1)
+    """0 for zero, else one more than the steps below 1."""
+    return np.where(p > 0, 1 + np.minimum(np.round(-np.log(np.maximum(p, 1e-300)) * RESOLUTION), LEVELS - 2).astype(np.int64), 0)
 
 
-def _histogram(total: int):
+def _histogram(total: int, bits: int):
     def run(batches):
         for b in batches:
             for row in _rows(b):
-                t = _Tokens(row)
-                k, p2, p1 = _estimates(t, _told(row, "wm"), _told(row, "bm"), total)
-                code, n = np.unique((k * 4096 + _level(p2) + 1) * 4096 + _level(p1) + 1, return_counts=True)
+                k, *ps = _estimates(_Tokens(row, bits), [_told(row, x + "m") for x in KINDS], total)
+                for p in ps:
+                    k = k * LEVELS + _level(p)
+                code, n = np.unique(k, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
     return run
 
 
 def fit_weights(code: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
-    """BUCKETS x 3 weights, of the word after its predecessor, the word and the uniform estimate."""
-    weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    weights[0] = [0.0, 0.8, 0.2]
+    """BUCKETS x 4 weights: of the word after two words, after one, alone, and of the uniform estimate."""
+    weights = np.tile([0.3, 0.3, 0.3, 0.1], (BUCKETS, 1))
+    has = np.ones((BUCKETS, 4), bool)  # estimates that a bucket's contexts can have
+    has[:STEPS, 0] = False
+    has[0, 1] = False
+    weights = np.where(has, weights, 0)
+    weights /= weights.sum(1, keepdims=True)
     if not len(code):
         return weights
     value = lambda x: np.where(x > 0, np.exp(-(x - 1) / RESOLUTION), 0.0)
-    k = code // 4096**2
-    p = np.stack([value(code // 4096 % 4096), value(code % 4096), np.full(len(code), 1 / (types + 1))], 1)
+    k = code // LEVELS**3
+    p = np.stack([value(code // LEVELS**2 % LEVELS), value(code // LEVELS % LEVELS), value(code % LEVELS), np.full(len(code), 1 / (types + 1))], 1)
     for _ in range(ROUNDS):
         share = weights[k] * p
         share *= (n / share.sum(1))[:, None]
-        got = np.stack([np.bincount(k, share[:, c], BUCKETS) for c in range(3)], 1)
+        got = np.stack([np.bincount(k, share[:, c], BUCKETS) for c in range(4)], 1)
         everything = got.sum(0) / got.sum()
-        # half a held-out token of the average mix for each bucket, so that no weight but the unknown context's is zero
-        got = got + 0.5 * np.maximum(everything, 1e-3)
-        got[0, 0] = 0
+        # half a held-out token of the average mix for each bucket, so that no weight is zero but those of unknown contexts
+        got = np.where(has, got + 0.5 * np.maximum(everything, 1e-3), 0)
         weights = got / got.sum(1, keepdims=True)
     return weights
 
 
-def _score(weights: np.ndarray, total: int, types: int):
+def _score(weights: np.ndarray, total: int, types: int, bits: int):
     def run(batches):
         for b in batches:
             for row in _rows(b):
-                t = _Tokens(row)
-                words = _told(row, "w")
-                k, p2, p1 = _estimates(t, words, _told(row, "b"), total)
+                t = _Tokens(row, bits)
+                counts = [_told(row, x) for x in KINDS]
+                seen = counts[0][t.word]
+                k, *ps = _estimates(t, counts, total)
                 mix = weights[k]
-                p = mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] / (types + 1)
-                base = np.log10((words[t.word] + 0.1) / (total + 0.1 * (types + 1)))
+                p = mix[:, 3] / (types + 1)
+                for c, x in enumerate(ps):
+                    p += mix[:, c] * x
+                base = np.log10((seen + 0.1) / (total + 0.1 * (types + 1)))
                 add = lambda x: np.add.reduceat(x, t.starts)
-                yield pa.RecordBatch.from_arrays([pa.array(t.doc_id, pa.int64()), pa.array(t.size), pa.array(add((words[t.word] > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.doc_id, pa.int64()), pa.array(t.size), pa.array(add((seen > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -274,18 +317,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chunks = stored(docs.select(F.col("doc_id").cast("long"), "role", "text").mapInArrow(_chunks, _CHUNK_SCHEMA), "tokens")
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    # a range for RANGE_KEYS tokens: their distinct pairs are fewer
-    ranges = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // RANGE_KEYS))
-    asked = chunks.mapInArrow(_ask(ranges), _ASK_SCHEMA)
+    least, most = RANGE_TOKENS
+    ranges = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // min(most, max(least, tokens // MANY_RANGES))))
+    bits = key_bits(tokens)
+    asked = chunks.mapInArrow(_ask(ranges, bits), _ASK_SCHEMA)
     answers = stored(asked.groupBy("part").applyInArrow(_answer, _ANSWER_SCHEMA), "answers")
     n, n_main, types, types_main = (x or 0 for x in answers.agg(*[F.sum(c) for c in ("n", "n_main", "types", "types_main")]).first())
-    told = answers.select("chunk", F.struct("part", "w", "wm", "b", "bm").alias("a")).groupBy("chunk").agg(F.collect_list("a").alias("answers"))
+    told = answers.select("chunk", F.struct("part", *[k + x for k in KINDS for x in ("", "m")]).alias("a")).groupBy("chunk").agg(F.collect_list("a").alias("answers"))
     ready = chunks.join(told, "chunk")
 
-    seen = ready.where("held").mapInArrow(_histogram(n_main), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    bins = seen.toPandas()  # at most BUCKETS * 4000**2 bins, in practice some thousands, at any input size
+    seen = ready.where("held").mapInArrow(_histogram(n_main, bits), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    bins = seen.toPandas()  # RESOLUTION bounds them at any input size: some 100,000
     weights = fit_weights(bins["code"].to_numpy(np.int64), bins["n"].to_numpy(np.float64), types_main)
-    scored = ready.mapInArrow(_score(weights, n, types), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = ready.mapInArrow(_score(weights, n, types, bits), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
