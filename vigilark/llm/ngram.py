@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 700_000
 #: Tokens whose words, pairs and triples one range gathers on average: as few as the first, and, where ranges would
 #: outnumber MANY_RANGES, as many as the second.
 RANGE_TOKENS = (1_000_000, 4_000_000)
