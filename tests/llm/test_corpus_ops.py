@@ -9,8 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from vigilark.llm import components, decontam, mixing, ngram, simhash
+from vigilark.llm import components, decontam, langid, mixing, ngram, quality, similar, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,6 +84,14 @@ def brute_components(ids, fps):
     return {i: least[find(k)] for k, i in enumerate(ids)}
 
 
+def plain_fingerprint(text):
+    """Bit by bit, as the definition has it."""
+    ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(ws[k : k + 4]) for k in range(max(1, len(ws) - 3))] if ws else []
+    hs = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rnd = random.Random(4)
     vocab = [f"w{k}" for k in range(400)]
@@ -99,6 +109,8 @@ def test_near_duplicates_equal_brute_force(spark):
     ids = sorted(fps)
     want = brute_components(ids, [fps[i] for i in ids])
     assert {r.doc_id: r.component_id for r in got} == want
+    for i, text, *_ in rows:
+        assert fps[i] == plain_fingerprint(text)
     kept = simhash.keep_one(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values())) and kept[0].asDict().keys() == {"doc_id", "text", "source", "size"}
     nulls = simhash.op3(frame(spark, [(None, "a b c d", "s", "x"), (3, "a b c d", "s", "x"), (None, "other words here now then", "s", "x")])).collect()
@@ -106,7 +118,8 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.op3(frame(spark, [])).count() == 0
 
 
-def test_hot_posting_lists_lose_no_link(spark):
+@pytest.mark.parametrize("width", [3, 4])
+def test_hot_posting_lists_lose_no_link(spark, width):
     rnd = random.Random(8)
     centre = rnd.getrandbits(63)
     near = {centre}
@@ -117,7 +130,7 @@ def test_hot_posting_lists_lose_no_link(spark):
         near.add(x)
     all_ = sorted(near | {rnd.getrandbits(63) for _ in range(200)})
     df = spark.createDataFrame([(x,) for x in all_], "fp long")
-    comp = {r.node: r.root for r in components.components(simhash.links(df, block=16)).collect()}
+    comp = {r.node: r.root for r in components.components(simhash.links(df, width, block=16)).collect()}
     got = collections.defaultdict(set)
     for x in all_:
         got[comp.get(x, x)].add(x)
@@ -136,12 +149,12 @@ def test_components_of_a_long_path_and_a_star(spark):
 def test_decontamination_equals_brute_force(spark):
     rnd = random.Random(6)
     w = lambda n: [f"é{rnd.randrange(3000)}" for _ in range(n)]
-    items = [(k, " ".join(w(rnd.choice([3, 6, 20, 40, 60])))) for k in range(20)] + [(90, None), (91, ""), (92, "v1 v1 v1 v1 v1 v1 v1 v1"), (93, "v1 v1 v1 v1 v1 v1 v1 v1")]
+    items = [(k, " ".join(w([3, 6, 20, 40, 60, 1][k % 6]))) for k in range(24)] + [(None, " ".join(w(20))), (90, None), (91, ""), (92, "v1 v1 v1 v1 v1 v1 v1 v1"), (93, "v1 v1 v1 v1 v1 v1 v1 v1")]
     rows = []
     for k in range(120):
         body = w(80)
         if k % 2:
-            item = (items[k % 20][1]).split()
+            item = (items[k % 25][1]).split()
             if k % 4 == 1 and len(item) > 30:
                 item[rnd.randrange(len(item))] = "CHANGED"
             if k % 8 == 3:
@@ -276,6 +289,57 @@ def test_lm_keys_pack_and_ranges_cover_all():
     assert (ngram.unpack(ngram.pack(keys), np.uint64) == keys).all() and len(ngram.unpack(ngram.pack(keys[:0]), np.uint64)) == 0
 
 
+def odd_columns(docs):
+    """The same rows with columns that operators might use themselves, and with a map."""
+    names = ["id", "h", "_id", "_h", "text_hash", "row", "again", "nth", "component", "w", "_t", "item_id", "start", "sid", "bands", "node", "root", "parts", "fp", "size"]
+    return docs.select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names], F.create_map(F.lit("a"), F.col("doc_id")).alias("m"))
+
+
+def test_stages_take_any_other_columns(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = odd_columns(frame(spark, [(1, a, "s", "x"), (2, a, "s", "x"), (2, a, "s", "x"), (3, b, "s", "x"), (3, b, "s", "x"), (None, None, None, None)]))
+    for groups in ((), (similar.similar,)):
+        kept = simhash.keep_one(docs, *groups)
+        assert kept.schema == docs.schema and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    bench = spark.createDataFrame([(7, b)], "item_id long, text string")
+    left = decontam.drop_leaks(docs, bench)
+    assert left.schema == docs.schema and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "2", "None"]
+    for stage in (quality.keep_good, lambda d: langid.keep(d, langid.train([]))):
+        assert stage(docs).schema == docs.schema
+
+
+def test_decontamination_index_is_selective_and_finds_what_is_near(spark):
+    """Of 2000 items of one length and random windows few pairs meet; of windows at the threshold nearly all do."""
+    rnd = random.Random(14)
+    text = lambda: [f"v{rnd.randrange(5000)}" for _ in range(60)]
+    items = [(k, text()) for k in range(2000)]
+    near = []
+    for k in range(400):
+        ws = list(items[k][1])
+        ws[rnd.randrange(56)] = "changed"  # five of 56 shingles change: similarity 51 / 61
+        near.append((k, ws))
+    far = [(1000 + k, text()) for k in range(400)]
+
+    def hashed(rows, *names):
+        d = spark.createDataFrame([(k, ws) for k, ws in rows], "k long, w array<string>")
+        return d.select(F.col("k").alias(names[0]), F.size("w").alias("len"), F.lit(0).alias("start"), F.lit(0).alias("_t"), decontam.shingle_hashes(F.col("w")).alias("ih"))
+
+    its = hashed(items, "item_id").select("item_id", "len", "ih")
+    win = hashed(near + far, "_k0").withColumn("fp", decontam.simhash(F.col("ih"))).drop("ih")
+    met = decontam.candidates(win, its, decontam.RADIUS, ["_k0"]).select("_k0", "item_id").distinct()
+    assert met.where("_k0 >= 1000").count() < 0.05 * 400 * 2000
+    found = {(r._k0, r.item_id) for r in decontam.within(win, its, decontam.RADIUS, ["_k0"]).collect()}
+    assert sum((k, k) in found for k in range(400)) >= 0.98 * 400 and sum(a != b for a, b in found) < 100
+
+    # the guarantee: all pairs within the radius, against all pairs
+    fps = {r.item_id: r.x for r in its.select("item_id", decontam.simhash(F.col("ih")).alias("x")).collect()}
+    wps = {r._k0: r.fp for r in win.collect()}
+    mask = (1 << 64) - 1
+    assert found == {(a, b) for a, x in wps.items() for b, y in fps.items() if ((x ^ y) & mask).bit_count() <= decontam.RADIUS}
+
+
 def test_lm_without_training_documents(spark):
     d = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
     r = ngram.op7(frame(spark, [(d, "a b", "s", "x")])).collect()[0]

@@ -49,6 +49,25 @@ def test_cascade_order_changes_no_verdict(spark):
     assert a == quality.judge(docs(spark), order=names[::-1]).collect()
 
 
+def test_cascade_samples_files_of_a_table_in_many(spark, tmp_path):
+    spark.range(4000).selectExpr("id AS doc_id", "concat('text of row ', id) AS text").repartition(80).write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    assert 0 < quality.sample_texts(d, 10**9).count() < 4000 and 50 < quality.sample_texts(d, 200).count() < 400
+    assert quality.sample_texts(d.groupBy("text").count(), 10**9).count() == 4000
+    assert set(quality.plan_cascade(d)) == set(quality.RULES)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from vigilark.llm import common
+
+    session = lambda master, folder=None: N(conf=N(get=lambda *a: folder), sparkContext=N(master=master, getCheckpointDir=lambda: folder))
+    with pytest.raises(ValueError):
+        common.shared_dir(session("spark://host:7077"))
+    assert common.shared_dir(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", "hi <|im_end|>\n<|im_start|>"), (1, 1, "assistant", r"<\| <\\| \ <|"), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 4, "user", "bye"),
@@ -86,6 +105,42 @@ def test_language_id_learns_rejects_and_survives_odd_rows(spark):
     assert langid.op6(df.limit(0)).count() == 0
 
 
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_id_on_held_out_documents(spark):
+    """Accuracy and calibration where the labels were not seen; the same model however the rows are split."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.op6(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    right = [r.lang_pred == r.lang for r in got]
+    assert len(right) > 200 and sum(right) >= 0.95 * len(right)
+    assert abs(sum(r.score for r in got) / len(got) - sum(right) / len(right)) < 0.05
+    assert sum(r.rejected for r in got) <= 0.05 * len(got)
+    learn = langid.F.lit(True)
+    assert sorted(langid.sample_labelled(d.repartition(7), learn)) == sorted(langid.sample_labelled(d.coalesce(1), learn))
+
+
+def test_language_id_draws_whole_texts_of_all_languages(spark):
+    rows = [(k, f"word{k} " * (1 + k % 5), "big") for k in range(3000)] + [(9000 + k, f"rare text {k}", f"l{k}") for k in range(300)] + [(9900, "huge " * 50_000, "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample_labelled(df, langid.F.lit(True), rows=600)
+    assert {x for _, x in got} == {r[2] for r in rows} and len(got) <= 602 and {t for t, _ in got} <= {r[1] for r in rows}
+    few = langid.sample_labelled(df, langid.F.lit(True), rows=60_000, size=301 * 4000)
+    assert 100 < sum(x == "big" for _, x in few) < 600 and sum(len(t) for t, x in few if x == "big") <= 4000
+    assert langid.sample_labelled(df.where("lang IS NULL"), langid.F.lit(True)) == []
+
+
+def test_language_id_with_more_languages_than_dimensions():
+    rnd = random.Random(6)
+    alphabets = {f"l{k}": [chr(0x100 + 40 * k + c) for c in range(12)] for k in range(20)}
+    rows = [(" ".join("".join(rnd.choice(a) for _ in range(5)) for _ in range(12)), g) for g, a in alphabets.items() for _ in range(60)]
+    m = langid.train(rows)
+    assert m.layer is not None and m.table.shape == (langid.BUCKETS, langid.DIM + 1)
+    assert sum(langid.predict(t, m)[0] == g for t, g in rows) >= 0.9 * len(rows)
+    few = langid.train(rows[:600])
+    assert few.layer is None and sum(langid.predict(t, few)[0] == g for t, g in rows[:600]) >= 0.9 * 600
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header class="site">Site name</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="ad-slot">Buy</div><main><article class="post-17"><header><h1>A &amp; B</h1></header><p>First,&nbsp;para <b>bold<br>line</b>

@@ -3,8 +3,10 @@
 Subwords are the byte n-grams (NGRAMS) of the lower-cased text, hashed into BUCKETS rows of an embedding table. A
 text is the mean of its subwords' embeddings; a linear layer and softmax give the languages. Table and layer are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows: whole texts, and random
-cuts of a few words so that short texts are known too. As the mean and the layer are linear, prediction uses their
-product, one row of language scores a bucket, over the whole text.
+cuts of a few words so that short texts are known too. The sample holds about TRAIN_ROWS rows and TRAIN_BYTES bytes,
+or one row of each language where that is more; no language is left out. As the mean and the layer are linear,
+prediction over the whole text uses their product, one row of language scores a bucket, where the languages are no
+more than the dimensions.
 
 Calibration. A part of the sample that isn't trained on fixes a temperature (least log loss) and the rejection
 thresholds: the confidence, and the share of subwords that training met, under which REJECT of the calibration
@@ -23,15 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small
+
 NGRAMS = (2, 3, 4)
 BUCKETS = 1 << 18
 DIM = 16
-#: The classifier is fitted on at most about this many labelled rows.
+#: The classifier is fitted on about so many labelled rows and bytes of text at most.
 TRAIN_ROWS = 2400
-#: Of a sampled text at most this many code points, from a random place, go to the driver.
-TRAIN_CHARS = 2000
+TRAIN_BYTES = 24 << 20
 EPOCHS, RATE, SEED = 4, 0.5, 11
 REJECT, MAX_THRESHOLD = 0.001, 0.5
 PIECE = 1 << 20
@@ -40,12 +44,16 @@ PIECE = 1 << 20
 @dataclass
 class Model:
     langs: list[str]
-    scores: np.ndarray  # BUCKETS x (languages, then 1 where training met the bucket)
+    table: np.ndarray  # BUCKETS x (language scores or embedding, then 1 where training met the bucket)
+    layer: np.ndarray | None  # from an embedding to language scores
     bias: np.ndarray
     temperature: float
     threshold: float
     coverage: float
 
+    def logits(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
+
 
 def subwords(text: str) -> np.ndarray:
     """Bucket numbers of all byte n-grams of the lower-cased text, spaces included."""
@@ -72,14 +80,14 @@ def train(rows: list[tuple[str, str]]) -> Model:
     rng = np.random.default_rng(SEED)
     langs = sorted({lang for _, lang in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(0, np.float32), 1.0, 0.0, 0.0)
-    rows = sorted(rows)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(0, np.float32), 1.0, 0.0, 0.0)
+    rows, place = sorted(rows), {lang: k for k, lang in enumerate(langs)}
     held = rng.random(len(rows)) < 0.2 if len(rows) >= 20 else np.zeros(len(rows), bool)
 
     def cuts(pick) -> list[tuple[np.ndarray, int]]:
         out = []
         for k in pick:
-            words, y = rows[k][0].split(), langs.index(rows[k][1])
+            words, y = rows[k][0].split(), place[rows[k][1]]
             out.append((subwords(rows[k][0]), y))
             for size in (1, 3, 8):
                 if len(words) > size:
@@ -109,9 +117,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
     met = np.zeros((BUCKETS, 1), np.float32)
     for hit, *_ in fit:
         met[hit] = 1
-    scores = np.hstack([emb @ w, met]).astype(np.float32)
-    means = np.stack([scores[ids].mean(0) for ids, _ in check])
-    z = means[:, :-1] + b
+    layer = None if len(langs) <= DIM else w
+    table = np.hstack([emb @ w if layer is None else emb, met]).astype(np.float32)
+    means = np.stack([table[ids].mean(0) for ids, _ in check])
+    z = means[:, :-1] @ (np.eye(len(langs)) if layer is None else layer) + b
     y = np.array([y for _, y in check])
     grid = np.geomspace(0.02, 8, 61)
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -119,36 +128,43 @@ def train(rows: list[tuple[str, str]]) -> Model:
     p = _softmax(z / t)
     right = p.max(1)[p.argmax(1) == y]
     limit = float(min(np.quantile(right, REJECT), MAX_THRESHOLD)) if len(right) else 0.0
-    return Model(langs, scores, b, t, limit, float(min(np.quantile(means[:, -1], REJECT), MAX_THRESHOLD)))
+    return Model(langs, table, layer, b, t, limit, float(min(np.quantile(means[:, -1], REJECT), MAX_THRESHOLD)))
 
 
-def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about rows labelled rows, the languages in like shares as far as they go, cut to TRAIN_CHARS."""
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
+def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> list[tuple[str, str]]:
+    """Labelled rows, whole texts, the languages in like shares as far as they go.
+
+    All languages that occur are drawn from: about rows rows and size bytes in all, or one row of each language where
+    that is more. A row's place in the draw is a hash of its id and text, so that it doesn't depend on partitions.
+    """
+    known = docs.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.count()
+    if not langs:
         return []
-    each = max(1, rows // len(counts))
-    draw = F.rand(SEED)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    spot = F.greatest(F.lit(1), F.floor(F.rand(SEED + 1) * (F.length("text") - TRAIN_CHARS)).cast("int"))
-    picked = known.where(draw < share[F.col("lang")]).select(F.substring("text", spot, F.lit(TRAIN_CHARS)).alias("text"), "lang")
-    return [(r["text"], r["lang"]) for r in picked.limit(2 * rows).collect()]
+    each = max(1, rows // langs)
+    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) / float(1 << 40)
+    # a few more than needed come through, so that each language has its rows; then the first of them are taken
+    picked = known.withColumn("draw", draw).join(broadcast_if_small(counts.select(F.col("lang").alias("_lang"), "n")), F.col("lang") == F.col("_lang")).where(F.col("draw") * F.col("n") <= 2 * each + 20)
+    of_lang = W.partitionBy("lang").orderBy(F.octet_length("text") > size // langs, "draw", F.col("doc_id").cast("string"))
+    picked = picked.withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= each)
+    picked = picked.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(of_lang.rowsBetween(W.unboundedPreceding, 0)))
+    return [(r["text"], r["lang"]) for r in picked.where((F.col("nth") == 1) | (F.col("bytes") <= size // langs)).select("text", "lang").collect()]
 
 
 def predict(text: str | None, m: Model) -> tuple[str, float, bool]:
     """Language, calibrated probability, and whether the text is rejected."""
     if not text or not m.langs or not any(map(str.isalpha, text)):
         return "und", 0.0, True
-    z, n = np.zeros(len(m.langs) + 1), 0
+    mean, n = np.zeros(m.table.shape[1]), 0
     for at in range(0, len(text), PIECE):
         ids = subwords(text[at : at + PIECE])
-        z += m.scores[ids].sum(0, dtype=np.float64)
+        mean += m.table[ids].sum(0, dtype=np.float64)
         n += len(ids)
-    z /= n
-    p = _softmax((z[:-1] + m.bias) / m.temperature)
+    mean /= n
+    p = _softmax(m.logits(mean[:-1]) / m.temperature)
     k = int(p.argmax())
-    return m.langs[k], float(min(1.0, max(0.0, p[k]))), bool(p[k] < m.threshold or z[-1] < m.coverage)
+    return m.langs[k], float(min(1.0, max(0.0, p[k]))), bool(p[k] < m.threshold or mean[-1] < m.coverage)
 
 
 def _answers(column, m: Model):

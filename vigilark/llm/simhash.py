@@ -159,10 +159,13 @@ def _match(batches):
         yield from emit(rest_k, rest_f)
 
 
-def links(fps: DataFrame, n_fps: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp) to edges (u, v) that connect exactly what links within RADIUS connect."""
-    n = fps.count() if n_fps is None else n_fps
-    width = 3 if n <= TRIPLE_LIMIT else 4
+def links(fps: DataFrame, width: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Distinct fingerprints (fp) to edges (u, v) that connect exactly what links within RADIUS connect.
+
+    width, 3 or 4, is the number of byte positions that a posting key combines. Both find the same links; by default
+    it follows the number of fingerprints, as fewer positions make fewer rows and longer posting lists.
+    """
+    width = width or (3 if fps.count() <= TRIPLE_LIMIT else 4)
     sets = position_sets(width)
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
 
@@ -203,12 +206,22 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame, tuple[str, ...]], DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one row of each component: of the least doc_id (null after all others), then of the least text hash."""
-    tagged = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_h"))
-    found = groups(tagged, ("doc_id", "_id", "_h"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_id").alias("id"), F.col("_h").alias("h")))
-    stay = cut(found.groupBy("component").agg(first.alias("x")).select("x.id", "x.h"))
-    mine = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_h", F.xxhash64("text"))
-    kept = mine.join(stay, (F.col("_id") == F.col("id")) & (F.col("_h") == F.col("h")), "left_semi")
-    again = W.partitionBy("_id", "_h").orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns])
-    return kept.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").select(*docs.columns)
+    """docs with one row of each component: of the least doc_id (null after all others), then of the least text hash.
+
+    Of rows alike in both, the one whose other columns have the least hash. Columns may have any name and type. Groups
+    are found and the row is chosen on ids and hashes; texts travel once, with the row, to meet the decision.
+    """
+    row = docs.select(F.struct("*").alias("row"))
+    key = [F.col("row.doc_id").alias("doc_id"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("row.text").alias("h")]
+    found = groups(row.select(*key, F.col("row.text").alias("text")), ("doc_id", "id", "h"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), "id", "h"))
+    best = found.groupBy("component").agg(first.alias("x"))
+    alike = found.groupBy("id", "h").agg((F.count(F.lit(1)) > 1).alias("again"))
+    stay = best.select("x.id", "x.h").join(alike, ["id", "h"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "again")
+    stay = cut(stay)
+    mine = row.select("row", *key[1:])
+    kept = mine.join(stay, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+    # only rows alike in id and text need an order among them
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_"))))
+    again = kept.where("again").withColumn("nth", F.row_number().over(W.partitionBy("id", "h").orderBy(rest))).where("nth = 1")
+    return kept.where("NOT again").select("row.*").unionAll(again.select("row.*"))
