@@ -132,7 +132,7 @@ def test_language_id_draws_whole_texts_of_all_languages(spark):
 
 def test_language_id_with_more_languages_than_dimensions():
     rnd = random.Random(6)
-    alphabets = {f"l{k}": [chr(0x100 + 40 * k + c) for c in range(12)] for k in range(20)}
+    alphabets = {f"l{k}": [chr(0x4E00 + 40 * k + c) for c in range(12)] for k in range(20)}
     rows = [(" ".join("".join(rnd.choice(a) for _ in range(5)) for _ in range(12)), g) for g, a in alphabets.items() for _ in range(60)]
     m = langid.train(rows)
     assert m.layer is not None and m.table.shape == (langid.BUCKETS, langid.DIM + 1)
