@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import chat, decontam, html, langid, mixing, ngram, quality, simhash, tokens, warc
+from . import chat, decontam, html, langid, mixing, ngram, pipeline, quality, simhash, tokens, warc
 from .common import table
 
 
@@ -28,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": _over("pages", html.op8),
         "op9_tokens": _over("documents", tokens.op9),
         "op10_warc": _over("pages", warc.op10),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
