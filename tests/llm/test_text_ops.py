@@ -2,6 +2,7 @@
 
 import json
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -150,13 +151,13 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html_takes_the_article_alone():
     p = html.Page(PAGE)
-    assert p.text(p.paths[p.best()]) == "A & B\n\nFirst, para bold line\n\nSecond <tag> — end\n\nitem one\n\nitem two"
-    assert p.paths[p.best()] == "html/body/main/article.post-0"
+    assert p.text(p.best_path()) == "A & B\n\nFirst, para bold line\n\nSecond <tag> — end\n\nitem one\n\nitem two"
+    assert p.best_path() == "html/body/main/article.post-0"
 
 
 def test_html_keeps_what_only_stands_beside_a_sidebar():
     p = html.Page('<body class="has-sidebar"><div class="page with-comments"><p>kept text</p></div><div class="post-comments"><p>gone</p></div><div id="sidebar-2">gone</div></body>')
-    assert p.text(p.paths[p.best()]) == "kept text"
+    assert p.text(p.best_path()) == "kept text"
 
 
 def test_html_host_consensus_and_odd_pages(spark):
@@ -243,3 +244,63 @@ def test_html_keeps_what_stands_beside_an_inner_body(spark):
     for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         assert {"Title", "lead"} <= set(r.text.split("\n\n")) and "body words" in r.text, r.url
         assert not {"beside", "site", "links"} & set(r.text.split("\n\n")), r.url
+
+
+class PlainArticle(HTMLParser):
+    """The blocks of the article by the library's parser, for pages that have one."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.parts = 0, 0, [""]
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "form", "nav", "aside")
+        self.cut(tag)
+        if tag == "br" and self.inside:
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.cut(tag)
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "form", "nav", "aside")
+
+    def cut(self, tag):
+        if tag in ("article", "p", "h1", "h2", "h3", "ul", "ol", "li", "div", "blockquote", "pre", "table", "tr"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts[-1] += data
+
+    def text(self):
+        return "\n\n".join(x for p in self.parts if (x := " ".join(p.split())))
+
+
+def test_html_equals_a_plain_extractor_on_all_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in html.op8(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows) > 100 and all("<article" in r.html for r in rows)
+    assert {r.page_id: PlainArticle(r.html).text() for r in rows} == got
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='a b'>" * 100_000 + "text", "<b>" * 50_000 + "<p>x</p>" * 50_000, "<ul>" + "<b>" * 50_000 + "<li>x" * 50_000, "<i>" * 50_000 + "</section>" * 50_000, "<title>" * 100_000 + "text",
+        "<table>" + "<tr><td>" * 60_000 + "text", "<div class=nav>" * 50_000 + "</div>" * 49_999 + "text", "<script>" * 50_000, "<section><p>" * 50_000 + "text",
+    ],
+)
+def test_html_reads_deep_pages_in_proportion(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    p = html.Page(page)
+    p.text(p.best_path())
+    assert time.process_time() - began < 15 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()

@@ -39,8 +39,6 @@ RADIUS = 15
 BLOCKS = 4
 #: Item shingles are broadcast up to so many rows of 24 bytes; beyond, their join with the documents shuffles.
 GRAM_ROWS = 1_000_000
-#: The same for the items' index, of 2788 rows an item.
-INDEX_ROWS = 1_000_000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -139,7 +137,7 @@ def candidates(win: DataFrame, items: DataFrame, radius: int, ks: list[str]) ->
     index = cut(index).select("item_id", "ilen", "ifp", F.explode(blocks(F.col("ifp"))).alias("ib"))
     index = index.select("item_id", "ilen", "ifp", F.col("ib.block").alias("iblock"), F.explode(reachable(F.col("ib.bits"), radius)).alias("ibits"))
     probe = win.select(*ks, "_t", "len", "start", "fp", F.explode(blocks(F.col("fp"))).alias("b"))
-    return probe.join(broadcast_if_small(cut(index), bound=INDEX_ROWS), (F.col("len") == F.col("ilen")) & (F.col("b.block") == F.col("iblock")) & (F.col("b.bits") == F.col("ibits")))
+    return probe.join(broadcast_if_small(cut(index)), (F.col("len") == F.col("ilen")) & (F.col("b.block") == F.col("iblock")) & (F.col("b.bits") == F.col("ibits")))
 
 
 def within(win: DataFrame, items: DataFrame, radius: int, ks: list[str]) -> DataFrame:

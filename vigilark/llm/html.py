@@ -14,6 +14,8 @@ stays, as it holds the title. Everything else in the container is kept, in page
 Votes combine on the map side, so a host with a third of all pages is one number a task; the winners, one row a
 host, are broadcast when few and joined otherwise.
 
+Reading a page takes time and memory in proportion to its length, however deep its elements lie.
+
 Defined cases: a null or empty html, or one without text, gives an empty text; very long pages are read whole;
 unclosed, stray and misnested tags are tolerated; repeated rows are pages of their own; a null url votes with
 the other null urls; an empty table gives an empty result; other columns of the input are not read.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template textarea title iframe svg canvas object select".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = set("article body div main section td".split())
+BREAKS = BLOCK | CONTAINER
 DROPPED = set("aside button dialog footer form head input label menu nav option".split()) | RAW
 BAD_WORDS = set("ad ads alert banner breadcrumb breadcrumbs consent gdpr legal login masthead menu modal nav navbar navigation notice pager pagination popup promo reactions recommended related replies reply respond search share sharing signup skip social sponsor subscribe tags toolbar widget".split())
 BAD_STARTS = ("advert", "comment", "cookie", "disqus", "newsletter", "sidebar", "sponsor")
@@ -56,34 +60,47 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class Node:
-    __slots__ = ("tag", "label", "bad", "container", "good")
+    """An open element."""
+
+    __slots__ = ("tag", "label", "bad", "container", "path")
 
     def __init__(self, tag: str, source: str, inside: bool):
         at = _attributes(source)
         named = f"{at.get('class', '')} {at.get('id', '')}".lower()
         words = set(_WORDS.split(_BESIDE.sub(" ", named)))
-        classes = sorted(_DIGITS.sub("0", x) for x in at.get("class", "").lower().split())
+        classes = sorted(_DIGITS.sub("0", x).replace("/", "_") for x in at.get("class", "").lower().split())
         self.tag, self.label = tag, ".".join([tag, *classes])
-        self.good = tag in ("article", "main") or bool(words & GOOD_WORDS)
         bad = tag in DROPPED or bool(words & BAD_WORDS) or at.get("role", "").lower() in BAD_ROLES
         bad = bad or any(w.startswith(BAD_STARTS) for w in words) or at.get("aria-hidden") == "true"
         bad = bad or "hidden" in _DIGITS.sub("", source.replace("=", " ")).lower().split() or "display:none" in at.get("style", "").replace(" ", "").lower()
         # a header or footer is the page's own unless it belongs to an article; so is what is named one
         bad = bad or (tag == "header" and not inside) or bool(words & {"header", "footer"}) and not (inside or words & GOOD_WORDS)
         self.bad = bad and tag not in ("html", "body", "main")
-        self.container: int | None = None
+        self.container = self.path = -1
 
 
 class Page:
-    """The blocks of a page in order, and its containers."""
+    """The blocks of a page in order, and its containers.
+
+    What is kept grows with the page alone: a step of a path is its label and the step above, a block knows its
+    innermost container, and what is open is counted as it opens and closes, so no tag looks through the others.
+    """
 
     def __init__(self, source: str | None):
-        self.paths: list[str] = []
-        self.parents: list[int | None] = []
+        self.steps: list[tuple[int, str]] = []  # steps of paths: the one above, label
+        self.hashes: list[int] = []  # of the path that ends in a step
+        self.ends: list[int] = []  # containers: the step that their path ends in
+        self.parents: list[int] = []
         self.score: list[float] = []
         self.own: list[float] = []  # scores without those of inner containers
-        self.blocks: list[tuple[tuple[int, ...], str]] = []  # containers that the block stands in, text
+        self.blocks: list[tuple[int, str]] = []  # innermost container or -1, text
         self._stack: list[Node] = []
+        self._at: dict[str, list[int]] = {}  # places in the stack by tag
+        self._scopes: list[int] = []  # places of elements that end the search for an open one
+        self._containers: list[int] = []  # numbers of the open ones
+        self._paths: list[int] = []  # steps of the open elements that make paths
+        self._n_bad = 0
+        self._unclosed: set[str] = set()  # raw elements whose end the rest of the page doesn't hold
         self._text: list[str] = []
         self._linked = 0
         self._read(source or "")
@@ -94,53 +111,76 @@ class Page:
         linked, self._linked = self._linked, 0
         if not text:
             return
-        inside = tuple(n.container for n in self._stack if n.container is not None)
+        inside = self._containers[-1] if self._containers else -1
         self.blocks.append((inside, text))
-        if inside:
-            self.score[inside[-1]] += max(0, len(text) - 2 * linked) + 20 * text.count(",")
+        if inside >= 0:
+            self.score[inside] += max(0, len(text) - 2 * linked) + 20 * text.count(",")
+
+    def _last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, or -1."""
+        return places[-1] if (places := self._at.get(tag)) else -1
+
+    def _push(self, node: Node) -> None:
+        place = len(self._stack)
+        self._stack.append(node)
+        self._at.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPES:
+            self._scopes.append(place)
+        self._n_bad += node.bad
+        if node.tag in BREAKS:
+            above = self._paths[-1] if self._paths else -1
+            node.path = len(self.steps)
+            self.steps.append((above, node.label))
+            self.hashes.append(hash((self.hashes[above] if above >= 0 else 0, node.label)))
+            self._paths.append(node.path)
+        if node.tag in CONTAINER:
+            node.container = len(self.ends)
+            self.ends.append(node.path)
+            self.parents.append(self._containers[-1] if self._containers else -1)
+            self.score.append(0.0)
+            self._containers.append(node.container)
 
     def _pop(self, to: int) -> None:
         """Close all elements from place `to` of the stack on."""
-        if any(n.tag in BLOCK or n.tag in CONTAINER for n in self._stack[to:]):
+        closed = self._stack[to:]
+        if any(n.tag in BREAKS for n in closed):
             self._flush()
+        for n in reversed(closed):
+            self._at[n.tag].pop()
+            if n.tag in SCOPES:
+                self._scopes.pop()
+            self._n_bad -= n.bad
+            if n.path >= 0:
+                self._paths.pop()
+            if n.container >= 0:
+                self._containers.pop()
         del self._stack[to:]
 
     def _open(self, tag: str, source: str) -> None:
-        st = self._stack
-        if tag in BLOCK or tag in CONTAINER:
+        if tag in BREAKS:
             self._flush()
-            for k in range(len(st) - 1, -1, -1):
-                if st[k].tag == "p":
-                    self._pop(k)
-                    break
-                if st[k].tag in SCOPES:
-                    break
+            if (k := self._last("p")) > (self._scopes[-1] if self._scopes else -1):
+                self._pop(k)
         if tag in CLOSED_BY:
-            outer = None
-            for k in range(len(st) - 1, -1, -1):
-                if st[k].tag in CLOSED_BY[tag]:
-                    outer = k
-                elif st[k].tag in SCOPES:
-                    break
-            if outer is not None:
-                self._pop(outer)
-        node = Node(tag, source, any(n.tag in ("article", "main") for n in st))
-        if tag in CONTAINER:
-            above = next((n.container for n in reversed(st) if n.container is not None), None)
-            path = "/".join(n.label for n in [*st, node] if n.tag in BLOCK or n.tag in CONTAINER)
-            node.container = len(self.paths)
-            self.paths.append(path)
-            self.parents.append(above)
-            self.score.append(0.0)
-        st.append(node)
+            also = CLOSED_BY[tag]
+            n = len(self._scopes)
+            while n and self._stack[self._scopes[n - 1]].tag in also:
+                n -= 1
+            scope = self._scopes[n - 1] if n else -1
+            found = [places[k] for t in also if (places := self._at.get(t)) and (k := bisect_right(places, scope)) < len(places)]
+            if found:
+                self._pop(min(found))
+        self._push(Node(tag, source, bool(self._at.get("article") or self._at.get("main"))))
+
+    def _close(self, tag: str) -> None:
+        k = self._last(tag)
+        if k >= 0 and (tag in BLOCK or not self._scopes or k >= self._scopes[-1]):
+            self._pop(k)
 
     def _read(self, source: str) -> None:
-        at, end, skip = 0, len(source), None
-        bad = 0  # open elements that are left out
-        for m in _TOKEN.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at and not bad:
+        at, end = 0, len(source)
+        while m := _TOKEN.search(source, at):
+            if m.start() > at and not self._n_bad:
                 self._add(source[at : m.start()])
             at = m.end()
             tag = m[2] or m[5]
@@ -148,68 +188,90 @@ class Page:
                 continue
             tag, closing, rest = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
             if closing:
-                for k in range(len(self._stack) - 1, -1, -1):
-                    if self._stack[k].tag == tag:
-                        self._pop(k)
-                        break
-                    if tag not in BLOCK and self._stack[k].tag in SCOPES:
-                        break
+                self._close(tag)
             elif tag in VOID:
-                if tag == "br" and not bad:
+                if tag == "br" and not self._n_bad:
                     self._text.append(" ")
                 elif tag == "hr":
                     self._flush()
-            else:
-                if tag in RAW:
-                    shut = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                    at = shut.end() if shut else (end if tag in ("script", "style") else at)
-                    continue
-                if rest.endswith("/") and tag not in BLOCK:
-                    continue
+            elif tag in RAW:
+                shut = None if tag in self._unclosed else re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                if shut:
+                    at = shut.end()
+                elif tag in ("script", "style"):
+                    at = end
+                else:
+                    self._unclosed.add(tag)
+            elif not rest.endswith("/") or tag in BLOCK:
                 self._open(tag, rest)
                 if tag in ("td", "th"):
                     self._text.append(" ")
-            bad = sum(n.bad for n in self._stack)
-        if at < end and not bad:
+        if at < end and not self._n_bad:
             self._add(source[at:])
         self._flush()
         self.own = list(self.score)
         for k in range(len(self.score) - 1, 0, -1):
-            if self.parents[k] is not None:
+            if self.parents[k] >= 0:
                 self.score[self.parents[k]] += self.score[k] / 2
 
     def _add(self, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         self._text.append(text)
-        if any(n.tag == "a" for n in self._stack):
+        if self._at.get("a"):
             self._linked += len(text.strip())
 
+    def _label(self, k: int) -> str:
+        return self.steps[self.ends[k]][1]
+
+    def path(self, k: int) -> str:
+        """The generalised path of a container."""
+        step, labels = self.ends[k], []
+        while step >= 0:
+            step, label = self.steps[step]
+            labels.append(label)
+        return "/".join(reversed(labels))
+
     def best(self) -> int | None:
         """The container of the greatest score, of equal ones the first, or what holds it as a part."""
         k = max(range(len(self.score)), key=lambda k: (self.score[k] * (1.5 if self._named(k) else 1), -k), default=None)
         return self._whole(k) if k is not None and self.score[k] > 0 else None
 
+    def best_path(self) -> str | None:
+        k = self.best()
+        return None if k is None else self.path(k)
+
     def _whole(self, k: int) -> int:
         """The outermost article around a container, else its main; else the nearest with text of its own beside it."""
         above = [k]
-        while (up := self.parents[above[-1]]) is not None:
+        while (up := self.parents[above[-1]]) >= 0:
             above.append(up)
-        tags = [self.paths[a].rpartition("/")[2].split(".")[0] for a in above]
+        tags = [self._label(a).split(".")[0] for a in above]
         for tag in ("article", "main"):
             if tag in tags:
                 return above[len(tags) - 1 - tags[::-1].index(tag)]
         return next((a for a in above[1:] if self.own[a] > 0), k)
 
     def _named(self, k: int) -> bool:
-        last = self.paths[k].rpartition("/")[2]
-        return last.startswith(("article", "main")) or bool(set(_WORDS.split(last)) & GOOD_WORDS)
+        label = self._label(k)
+        return label.startswith(("article", "main")) or bool(set(_WORDS.split(label)) & GOOD_WORDS)
+
+    def _inside(self, chosen: set[int]) -> list[str]:
+        """The blocks in some chosen container; a container comes after the one that holds it."""
+        held = [False] * len(self.ends)
+        for k, up in enumerate(self.parents):
+            held[k] = k in chosen or (up >= 0 and held[up])
+        return [t for k, t in self.blocks if k >= 0 and held[k]]
 
     def text(self, path: str | None) -> str:
         """The blocks in the containers of that path; else in the best container; else all."""
-        chosen = {k for k, p in enumerate(self.paths) if p == path}
-        found = [t for inside, t in self.blocks if chosen.intersection(inside)]
+        found: list[str] = []
+        if path is not None:
+            want = 0
+            for label in path.split("/"):
+                want = hash((want, label))
+            found = self._inside({k for k, step in enumerate(self.ends) if self.hashes[step] == want})
         if not found and (k := self.best()) is not None:
-            found = [t for inside, t in self.blocks if k in inside]
+            found = self._inside({k})
         return "\n\n".join(found or [t for _, t in self.blocks])
 
 
@@ -227,9 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             best = []
             for source in _rows(b.column(1)):
-                page = Page(source)
-                k = page.best()
-                best.append(None if k is None else page.paths[k])
+                best.append(Page(source).best_path())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string())], ["host", "path"])
 
     votes = hosted.select("host", "html").mapInArrow(vote, "host string, path string").where(F.col("path").isNotNull())

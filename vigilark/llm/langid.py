@@ -84,28 +84,32 @@ def train(rows: list[tuple[str, str]]) -> Model:
     rows, place = sorted(rows), {lang: k for k, lang in enumerate(langs)}
     held = rng.random(len(rows)) < 0.2 if len(rows) >= 20 else np.zeros(len(rows), bool)
 
-    def cuts(pick) -> list[tuple[np.ndarray, int]]:
+    def counted(text: str, y: int):
+        """Distinct subwords, their shares of the text, and the language."""
+        ids = subwords(text)
+        hit, n = np.unique(ids, return_counts=True)
+        return hit, (n / len(ids)).astype(np.float32), y
+
+    def cuts(pick) -> list[tuple[np.ndarray, np.ndarray, int]]:
         out = []
         for k in pick:
             words, y = rows[k][0].split(), place[rows[k][1]]
-            out.append((subwords(rows[k][0]), y))
+            out.append(counted(rows[k][0], y))
             for size in (1, 3, 8):
                 if len(words) > size:
                     at = int(rng.integers(len(words) - size))
-                    out.append((subwords(" ".join(words[at : at + size])), y))
+                    out.append(counted(" ".join(words[at : at + size]), y))
         return out
 
     fit, check = cuts(np.flatnonzero(~held)), cuts(np.flatnonzero(held) if held.any() else range(len(rows)))
-    fit = [(*np.unique(ids, return_counts=True), len(ids), y) for ids, y in fit]
     emb = np.zeros((BUCKETS, DIM), np.float32)  # what training never met says nothing, and leaves a text uncertain
     w, b = rng.normal(0, 0.1, (DIM, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
     total, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fit)):
-            hit, n, size, y = fit[k]
+            hit, part, y = fit[k]
             rate = np.float32(RATE * (1 - done / total))
             done += 1
-            part = (n / size).astype(np.float32)
             mean = part @ emb[hit]
             g = _softmax(mean @ w + b)
             g[y] -= 1
@@ -119,9 +123,9 @@ def train(rows: list[tuple[str, str]]) -> Model:
         met[hit] = 1
     layer = None if len(langs) <= DIM else w
     table = np.hstack([emb @ w if layer is None else emb, met]).astype(np.float32)
-    means = np.stack([table[ids].mean(0) for ids, _ in check])
+    means = np.stack([part @ table[hit] for hit, part, _ in check])
     z = means[:, :-1] @ (np.eye(len(langs)) if layer is None else layer) + b
-    y = np.array([y for _, y in check])
+    y = np.array([y for *_, y in check])
     grid = np.geomspace(0.02, 8, 61)
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
