@@ -93,31 +93,44 @@ def prerelease(v: Column) -> Column:
 
 def least_upgrade(pool: Column, current: Column) -> Column:
     """Of distinct versions the stable ones if any, of those the higher ones if any, of those the least."""
+    return least_above(keyed(pool), version_key(current))["v"]
+
+
+def keyed(pool: Column) -> Column:
+    """Distinct versions with their keys, the stable ones if any: what doesn't depend on the current version."""
     pool = F.array_distinct(F.filter(pool, lambda x: F.trim(x) != ""))
     stable = F.filter(pool, lambda x: ~prerelease(x))
-    pool = F.when(F.size(stable) > 0, stable).otherwise(pool)
-    higher = F.filter(pool, lambda x: version_key(x) > version_key(current))
-    pool = F.when(F.size(higher) > 0, higher).otherwise(pool)
-    return F.array_min(F.transform(pool, lambda x: F.struct(version_key(x).alias("k"), x.alias("v"))))["v"]
+    return F.transform(F.when(F.size(stable) > 0, stable).otherwise(pool), lambda x: F.struct(version_key(x).alias("k"), x.alias("v")))
+
+
+def least_above(pool: Column, current: Column) -> Column:
+    """Of keyed versions the higher ones if any, of those the least, with its key; null of none."""
+    higher = F.filter(pool, lambda x: x["k"] > current)
+    return F.array_min(F.when(F.size(higher) > 0, higher).otherwise(pool))
 
 
 def vulnerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies with each advisory of their package."""
-    return dependencies(spark, sf_dir).join(described(advisories(spark, sf_dir)), F.col("name") == F.col("package"))
+    """Dependencies with each advisory of their package; versions are parsed once a dependency and once an advisory."""
+    deps = dependencies(spark, sf_dir).withColumn("version_key", version_key(F.col("version")))
+    return deps.join(described(advisories(spark, sf_dir)).withColumn("pool", keyed(F.col("fixed"))), F.col("name") == F.col("package"))
 
 
 def roll_up(x: DataFrame) -> DataFrame:
     """One row a dependency: the gravest advisory, first on ties, with counts, signals, score and upgrade."""
     rank = F.expr("CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END")
-    x = x.withColumn("_fix", least_upgrade(F.col("fixed"), F.col("version")))
+    x = x.withColumn("_fix", least_above(F.col("pool"), F.col("version_key")))
     g = x.groupBy("dep_id", "name", "version").agg(
+        F.first("version_key").alias("version_key"),
         F.max_by(F.struct("alias", "level", "impact"), F.struct(rank, -F.col("adv"))).alias("r"), F.countDistinct("alias").alias("n_cves"), F.min_by("alias", "adv").alias("cve"),
         F.bool_or("public_exploit").alias("public_exploit"), F.bool_or("network_access").alias("network_access"), F.bool_and("auth_required").alias("auth_required"), F.bool_or("low_complexity").alias("low_complexity"),
         F.sort_array(F.collect_set("_fix")).alias("fixes"),
     )
     score = F.expr("CASE WHEN public_exploit THEN 3 ELSE 0 END + CASE WHEN network_access THEN 2 ELSE 0 END + CASE WHEN NOT auth_required THEN 2 ELSE 0 END + CASE WHEN low_complexity THEN 2 ELSE 0 END")
     g = g.withColumn("score", score).withColumn("exploit_level", F.expr("CASE WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END"))
-    return g.withColumn("fix_version", least_upgrade(F.col("fixes"), F.col("version"))).withColumn("severity", F.col("r.level")).withColumn("impact", F.col("r.impact")).drop("r", "fixes")
+    # of the advisories' own picks, stable ones again come first
+    stable = F.filter("fixes", lambda x: ~prerelease(x["v"]))
+    fixes = F.when(F.size(stable) > 0, stable).otherwise(F.col("fixes"))
+    return g.withColumn("fix_version", least_above(fixes, F.col("version_key"))["v"]).withColumn("severity", F.col("r.level")).withColumn("impact", F.col("r.impact")).drop("r", "fixes", "version_key")
 
 
 _ROLL = """v AS (SELECT * FROM deps JOIN described ON name = package),

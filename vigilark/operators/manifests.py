@@ -1,7 +1,7 @@
 """Dependency manifests to rows (ecosystem, name, version, manifest_path, line).
 
 Line formats are split with their line numbers and read by patterns; formats with state (yarn, pnpm, go) carry it
-forward with windows over a file's lines. JSON maps are exploded. TOML is read by a small table function, XML by xpath.
+forward with windows over a file's lines. JSON maps are exploded. TOML and XML are read by small table functions, element by element.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ TEXTS = {
     "requirements.txt": f"'# pinned' || {_NL} || n || '==' || v || {_NL} || n || '-extra[all]>=' || v || ' ; python_version > ' || {_Q} || '3' || {_Q} || {_NL} || '-r base.txt' || {_NL} || 'git+https://x.invalid/y' || {_NL} || 'loose' || {_NL} || n || '-c~=' || v || ',<9  # note'",
     "build.gradle": f"'dependencies {{{{' || {_NL} || '  implementation ' || chr(39) || 'org.' || n || ':core:' || v || chr(39) || {_NL} || '  api(' || {_Q} || 'org.x:' || n || ':' || v || {_Q} || ')' || {_NL} || '  classpath ' || chr(39) || 'a:b:1' || chr(39) || {_NL} || '}}}}'",
     "go.mod": f"'module m' || {_NL} || 'require example.org/' || n || ' v' || v || {_NL} || 'require (' || {_NL} || '  example.org/b/' || n || ' v' || v || ' // indirect' || {_NL} || '// gone v1.0.0' || {_NL} || ')' || {_NL} || 'replace a v1.0.0'",
-    "pom.xml": f"'<project><dependencies><dependency><groupId>org.' || n || '</groupId><artifactId>core</artifactId><version>' || v || '</version></dependency><dependency><groupId>x</groupId><artifactId>y</artifactId></dependency></dependencies></project>'",
-    "app.csproj": f"'<Project><ItemGroup><PackageReference Include={{q}}' || n || '{{q}} Version={{q}}' || v || '{{q}} /></ItemGroup></Project>'".replace("{q}", f"' || {_Q} || '"),
-    "packages.config": f"'<packages><package id={{q}}' || n || '{{q}} version={{q}}' || v || '{{q}} /></packages>'".replace("{q}", f"' || {_Q} || '"),
+    "pom.xml": f"'<project><dependencies><dependency><groupId>org.' || n || '</groupId><artifactId>core</artifactId><version>' || v || '</version></dependency><dependency><groupId>x</groupId><artifactId>y</artifactId></dependency><dependency><version>' || v || '-rc</version><artifactId>late</artifactId><groupId>z</groupId></dependency></dependencies>' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '</project>' END",
+    "app.csproj": f"'<Project><ItemGroup><PackageReference Include={{q}}none{{q}} /><PackageReference Update={{q}}up{{q}} Version={{q}}3.1{{q}} /><PackageReference Include={{q}}kid{{q}}><Version>' || v || '.9</Version></PackageReference><PackageReference Include={{q}}' || n || '{{q}} Version={{q}}' || v || '{{q}} /></ItemGroup>' || CASE WHEN p_partkey % 4 = 0 THEN '<' ELSE '</Project>' END".replace("{q}", f"' || {_Q} || '"),
+    "packages.config": f"'<packages><package id={{q}}bare{{q}}/><package version={{q}}9.9{{q}}/><package id={{q}}' || n || '{{q}} version={{q}}' || v || '{{q}} /></packages>'".replace("{q}", f"' || {_Q} || '"),
     "pyproject.toml": f"'[project]' || {_NL} || 'dependencies = [' || {_Q} || n || '==' || v || {_Q} || ']' || {_NL} || '[tool.poetry.dependencies]' || {_NL} || 'python = ' || {_Q} || '^3.10' || {_Q} || {_NL} || 'poet-' || n || ' = ' || {_Q} || '^' || v || {_Q}",
 }
 TEXTS = {k: v.replace("{{", "{").replace("}}", "}") for k, v in TEXTS.items()}
@@ -129,21 +129,35 @@ def go_mod(m: DataFrame) -> DataFrame:
     return _rows(x.withColumn("name", F.regexp_extract("r", r"^(\S+)\s+(\S+)$", 1)).withColumn("raw", F.regexp_extract("r", r"^(\S+)\s+(\S+)$", 2)), "Go")
 
 
-def pom(m: DataFrame) -> DataFrame:
-    """Dependencies with all three children, whatever the namespace."""
-    at = lambda c: F.xpath("text", F.lit(f"//*[local-name()='dependency'][*[local-name()='groupId'] and *[local-name()='artifactId'] and *[local-name()='version']]/*[local-name()='{c}']/text()"))
-    each = m.select("manifest_path", F.explode(F.arrays_zip(at("groupId").alias("g"), at("artifactId").alias("a"), at("version").alias("v"))).alias("d"))
-    return _rows(each.select("manifest_path", F.concat_ws(":", "d.g", "d.a").alias("name"), F.col("d.v").alias("raw")), "Maven", line=None)
+@F.udtf(returnType="name string, raw string")
+class XmlDependencies:
+    """(name, raw version) of each element of a kind in an XML text, whatever the namespace; none if it isn't XML."""
+
+    def eval(self, text: str, kind: str):
+        import xml.etree.ElementTree as tree
+
+        try:
+            root = tree.fromstring(text or "")
+        except (tree.ParseError, ValueError):
+            return
+        child = lambda e, tag: next(((c.text or "").strip() for c in e if c.tag.endswith(tag)), "")
+        for e in root.iter():
+            if not isinstance(e.tag, str) or not e.tag.endswith(kind):
+                continue
+            if kind == "dependency":
+                group, artifact = child(e, "groupId"), child(e, "artifactId")
+                yield f"{group}:{artifact}" if group and artifact else "", child(e, "version")
+            elif kind == "PackageReference":
+                yield (e.get("Include") or e.get("Update") or "").strip(), (e.get("Version") or "").strip() or child(e, "Version")
+            else:
+                yield (e.get("id") or "").strip(), (e.get("version") or "").strip()
 
 
-def csproj(m: DataFrame) -> DataFrame:
-    both = m.select("manifest_path", F.explode(F.arrays_zip(F.xpath("text", F.lit("//PackageReference[@Version]/@Include")).alias("n"), F.xpath("text", F.lit("//PackageReference[@Version]/@Version")).alias("v"))).alias("d"))
-    return _rows(both.select("manifest_path", F.col("d.n").alias("name"), F.col("d.v").alias("raw")), "NuGet", line=None)
+def _xml(kind: str, ecosystem: str):
+    return lambda m: _rows(m.lateralJoin(XmlDependencies(F.col("text").outer(), F.lit(kind))), ecosystem, line=None)
 
 
-def packages_config(m: DataFrame) -> DataFrame:
-    both = m.select("manifest_path", F.explode(F.arrays_zip(F.xpath("text", F.lit("//package/@id")).alias("n"), F.xpath("text", F.lit("//package/@version")).alias("v"))).alias("d"))
-    return _rows(both.select("manifest_path", F.col("d.n").alias("name"), F.col("d.v").alias("raw")), "NuGet", line=None)
+pom, csproj, packages_config = _xml("dependency", "Maven"), _xml("PackageReference", "NuGet"), _xml("package", "NuGet")
 
 
 @F.udtf(returnType="name string, raw string")
@@ -175,6 +189,22 @@ def pyproject(m: DataFrame) -> DataFrame:
 PARSERS = [("package.json", package_json), ("package-lock.json", package_lock), ("yarn.lock", yarn_lock), ("pnpm-lock.yaml", pnpm_lock), ("requirements.txt", requirements), ("pyproject.toml", pyproject), ("pom.xml", pom), ("build.gradle", gradle), ("go.mod", go_mod), ("app.csproj", csproj), ("packages.config", packages_config)]
 
 
+def all_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all manifests, some with a Pipfile beside them."""
+    paths = None
+    for kind in KINDS:
+        one = manifests(spark, sf_dir, kind).select("manifest_path")
+        paths = one if paths is None else paths.unionAll(one)
+    beside = read(spark, sf_dir, "part").where("p_partkey % 33 = 3").selectExpr("'r' || p_partkey || '/Pipfile' AS manifest_path")
+    return paths.unionAll(beside)
+
+
+def project_gate(paths: DataFrame) -> DataFrame:
+    """Which projects a repository holds, from the names of its files alone."""
+    name = F.substring_index("manifest_path", "/", -1)
+    return paths.groupBy(F.split_part("manifest_path", F.lit("/"), F.lit(1)).alias("repo")).agg(F.bool_or(name == "package.json").alias("node"), F.bool_or(name.isin("requirements.txt", "pyproject.toml", "Pipfile")).alias("python"))
+
+
 def collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All parsers in their order; of equal (ecosystem, name, version, manifest) the first stays."""
     out = None
@@ -195,15 +225,20 @@ _SQLS = {
     "pnpm-lock.yaml": "r AS (SELECT manifest_path, unnest(regexp_extract_all(regexp_extract(text, '(?s)packages:(.*)settings:', 1), '\\n  /([^:(]+)', 1)) AS id FROM manifests) SELECT 'npm' AS ecosystem, regexp_extract(id, '^(.*)@', 1) AS name, regexp_extract(id, '@([^@]*)$', 1) AS version, manifest_path, 1 AS line FROM r",
     "requirements.txt": f"{_LINES} SELECT 'PyPI' AS ecosystem, regexp_extract(line, '^([a-z0-9-]+)', 1) AS name, regexp_extract(line, '[=>~]=([0-9.]+)', 1) AS version, manifest_path, line_no AS line FROM lines WHERE regexp_matches(line, '^[a-z][a-z0-9-]*(\\[all\\])?(==|>=|~=)')",
     "build.gradle": f"{_LINES} SELECT 'Maven' AS ecosystem, regexp_extract(line, '[''\"]([^:]+:[^:]+):', 1) AS name, regexp_extract(line, ':([0-9.]+)[''\"]', 1) AS version, manifest_path, line_no AS line FROM lines WHERE regexp_matches(line, '(implementation|api)[ (]')",
+    "pom.xml": "x AS (SELECT *, regexp_extract(text, 'org[.]([^<]+)<', 1) AS n, regexp_extract(text, '<version>([0-9.]+)<', 1) AS v FROM manifests WHERE ends_with(text, '</project>')) SELECT 'Maven' AS ecosystem, unnest(['org.' || n || ':core', 'z:late']) AS name, unnest([v, v || '-rc']) AS version, manifest_path, 1 AS line FROM x",
+    "app.csproj": "x AS (SELECT *, regexp_extract(text, '<Version>([0-9.]+)[.]9<', 1) AS v, regexp_extract(text, 'Include=.([a-z0-9-]+). Version', 1) AS n FROM manifests WHERE ends_with(text, '</Project>')) SELECT 'NuGet' AS ecosystem, unnest(['up', 'kid', n]) AS name, unnest(['3.1', v || '.9', v]) AS version, manifest_path, 1 AS line FROM x",
+    "packages.config": "SELECT 'NuGet' AS ecosystem, regexp_extract(text, 'id=.([a-z0-9-]+). version', 1) AS name, regexp_extract(text, '. version=.([0-9.]+). /></packages>', 1) AS version, manifest_path, 1 AS line FROM manifests",
+    "pyproject.toml": """x AS (SELECT *, regexp_extract(text, '"([a-z0-9-]+)==', 1) AS n, regexp_extract(text, '==([0-9.]+)', 1) AS v FROM manifests) SELECT 'PyPI' AS ecosystem, unnest([n, 'poet-' || n]) AS name, unnest([v, v]) AS version, manifest_path, 1 AS line FROM x""",
     "go.mod": f"{_LINES} SELECT 'Go' AS ecosystem, regexp_extract(line, '(example\\S+)', 1) AS name, regexp_extract(line, ' (v\\S+)', 1) AS version, manifest_path, line_no AS line FROM lines WHERE contains(line, 'example.org/')",
 }
 for _no, (_kind, _parse) in enumerate([(k, p) for k, p in PARSERS]):
     _name = {"package.json": "p1_package_json", "package-lock.json": "p3_package_lock", "yarn.lock": "p4_yarn_lock", "pnpm-lock.yaml": "p5_pnpm_lock", "requirements.txt": "p6_requirements", "pyproject.toml": "p7_pyproject", "pom.xml": "p8_pom", "build.gradle": "p9_gradle", "go.mod": "p10_go_mod", "app.csproj": "p11_csproj", "packages.config": "p12_packages_config"}[_kind]
-    register(_name, lambda spark, d, k=_kind, p=_parse: p(manifests(spark, d, k)), f"WITH {_sql(_kind)}, {_SQLS[_kind]}" if _kind in _SQLS else None)
+    register(_name, lambda spark, d, k=_kind, p=_parse: p(manifests(spark, d, k)), f"WITH {_sql(_kind)}{' ' if _SQLS[_kind].startswith('SELECT') else ', '}{_SQLS[_kind]}")
 
 register("p2_npm_specs", lambda spark, d: npm_spec(read(spark, d, "part").selectExpr("p_partkey", f"{_NAME} AS name", f"element_at(array('^1.2', 'npm:@a/b@~2.0', 'workspace:^3', 'git+ssh://x', '*', 'npm:c@4'), CAST(p_partkey % 6 + 1 AS INT)) AS spec")).select("p_partkey", "name", version(F.col("raw")).alias("version")), f"SELECT p_partkey, CASE k WHEN 1 THEN '@a/b' WHEN 5 THEN 'c' ELSE n END AS name, ['1.2', '2.0', '3', '', '', '4'][k::INT + 1] AS version FROM (SELECT p_partkey, p_partkey % 6 AS k, {_NAME} AS n FROM part) WHERE k NOT IN (3, 4)")
-register("p13_collect", collect)
-register("p14_project_gate", lambda spark, d: collect(spark, d).groupBy(F.split_part("manifest_path", F.lit("/"), F.lit(1)).alias("repo")).agg(F.bool_or(F.rlike("manifest_path", F.lit(r"/(package\.json|requirements\.txt|pyproject\.toml|Pipfile)$"))).alias("scanned")))
+_EACH = " UNION ALL ".join(f"SELECT * FROM (WITH {_sql(k)}{' ' if _SQLS[k].startswith('SELECT') else ', '}{_SQLS[k]})" for k, _ in PARSERS)
+register("p13_collect", lambda spark, d: collect(spark, d).drop("parser"), f"WITH a AS ({_EACH}) SELECT DISTINCT ecosystem, name, version, manifest_path, line FROM a QUALIFY row_number() OVER (PARTITION BY ecosystem, lower(name), version, manifest_path ORDER BY line) = 1")
+register("p14_project_gate", lambda spark, d: project_gate(all_manifests(spark, d)), "WITH m AS (SELECT p_partkey, ['package.json', 'package-lock.json', 'yarn.lock', 'pnpm-lock.yaml', 'requirements.txt', 'build.gradle', 'go.mod', 'pom.xml', 'app.csproj', 'packages.config', 'pyproject.toml'][(p_partkey % 11)::INT + 1] AS f FROM part) SELECT 'r' || p_partkey AS repo, f = 'package.json' AS node, f IN ('requirements.txt', 'pyproject.toml') OR p_partkey % 33 = 3 AS python FROM m")
 register("p15_cap_with_notice", lambda spark, d: _capped(spark, d), f"WITH d AS (SELECT p_partkey AS ordinal, {_NAME} AS name FROM part), c AS (SELECT count(*) AS n FROM d) (SELECT ordinal, name, 'dependency' AS kind FROM d ORDER BY ordinal LIMIT 200) UNION ALL SELECT NULL, 'truncated to 200 of ' || n, 'notice' FROM c WHERE n > 200")
 _ECO = "CASE lower(trim(e)) WHEN 'npm' THEN 'npm' WHEN 'pypi' THEN 'PyPI' WHEN 'maven' THEN 'Maven' WHEN 'go' THEN 'Go' WHEN 'nuget' THEN 'NuGet' ELSE coalesce(nullif(trim(e), ''), 'npm') END"
 register("p16_ecosystem", lambda spark, d: read(spark, d, "part").selectExpr("p_partkey", "element_at(array(' NPM', 'pypi', 'MAVEN ', 'go', 'NuGet', '', 'cargo'), CAST(p_partkey % 7 + 1 AS INT)) AS e").selectExpr("p_partkey", f"{_ECO} AS ecosystem"), f"SELECT p_partkey, {_ECO} AS ecosystem FROM (SELECT p_partkey, [' NPM', 'pypi', 'MAVEN ', 'go', 'NuGet', '', 'cargo'][(p_partkey % 7)::INT + 1] AS e FROM part)")

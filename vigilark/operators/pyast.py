@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has
 from ..registry import register
-from ..sources.fixtures import code_lines, read
-from .taint import files
+from ..sources.fixtures import CODE_LINES, code_lines, read
 
 # fixed values: calls and words
 PICKLE = {"pickle.load", "pickle.loads", "cPickle.load", "cPickle.loads"}
@@ -115,12 +114,6 @@ def tree_findings(f: DataFrame) -> DataFrame:
     return f.select("file_path", "text").where(F.expr(has("lower(text)", TRIGGERS)) | F.rlike("text", F.lit("(?i)select|insert|update|delete|readFile"))).mapInArrow(run, "file_path string, line int, type string")
 
 
-def reachable(spark, sf_dir: str) -> DataFrame:
-    """Variables that an SQL text reaches over assignments: seeds and edges from the part table, to a fixpoint."""
-    read(spark, sf_dir, "part").createOrReplaceTempView("vigilark_part")
-    return spark.sql(REACH.replace("part_table", "vigilark_part"))
-
-
 def fixpoint(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, hops): all that edges (src, dst) reach from seeds (v), with the least number of steps, until no new node comes."""
     spark = seeds.sparkSession
@@ -136,23 +129,26 @@ def fixpoint(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return seen
 
 
-def reachable_all(spark, sf_dir: str) -> DataFrame:
-    """reachable() over all parts, whose keys count the variables, and without a bound on the steps."""
+def reachable(spark, sf_dir: str) -> DataFrame:
+    """Variables that an SQL text reaches over assignments: parts count the variables, to a fixpoint."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_size")
     n = part.count()
     edges = part.where("p_size > 10").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 3 + 1) % F.lit(n)).alias("dst"))
     return fixpoint(part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("v")), edges)
 
 
-REACH = """WITH RECURSIVE edges AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % 500 AS dst FROM part_table WHERE p_partkey < 500 AND p_size > 10),
-reach(v, hops) AS (SELECT p_partkey AS v, 0 AS hops FROM part_table WHERE p_partkey < 500 AND p_partkey % 50 = 0 UNION ALL SELECT e.dst, r.hops + 1 FROM reach r JOIN edges e ON e.src = r.v WHERE r.hops < 12)
+# UNION ends at nodes seen with as many steps; the least number of steps of a node is found afterwards
+REACH = """WITH RECURSIVE edges AS (SELECT p_partkey AS src, (p_partkey * 3 + 1) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_size > 10),
+reach(v, hops) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT e.dst, r.hops + 1 FROM reach r JOIN edges e ON e.src = r.v WHERE r.hops < (SELECT count(*) FROM part))
 SELECT v, min(hops) AS hops FROM reach GROUP BY v"""
 _single = lambda s, d: code_lines(s, d).selectExpr("CONCAT(file_path, '#', ordinal, CASE WHEN right(file_path, 3) = '.py' THEN '.py' ELSE '.js' END) AS file_path", "replace(text, 'return ', '') AS text")
 register("t1_python_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.py'"))
-register("t2_weak_random_assignment", lambda s, d: tree_findings(s.createDataFrame([("a.py", "import random\ntoken = random.random()\nx = random.random()\n")], "file_path string, text string")).where("type = 'weak_random'"))
-register("t3_weak_random_function", lambda s, d: tree_findings(s.createDataFrame([("a.py", "import random\ndef make_token():\n    return random.choice('ab')\n")], "file_path string, text string")).where("type = 'weak_random'"))
-register("t4_reachable_fragments", reachable, REACH.replace("part_table", "part"))
-register("t4_reachable_all", reachable_all)
+_weak = lambda word: lambda s, d: tree_findings(_single(s, d)).where("type = 'weak_random'").join(_single(s, d).where(F.col("text").contains(word)).select("file_path"), "file_path", "left_semi").select("file_path", "line")
+_WEAK = "WITH {0} SELECT file_path || '#' || ordinal || '.py' AS file_path, {1}::INT AS line FROM code_lines WHERE ends_with(file_path, '.py') AND contains(text, '{2}')"
+register("t2_weak_random_assignment", _weak("token = random"), _WEAK.format(CODE_LINES, 1, "token = random"))
+register("t3_weak_random_function", _weak("def new_token"), _WEAK.format(CODE_LINES, 2, "def new_token"))
+register("t4_reachable_fragments", reachable)
+register("t4_reachable_all", reachable)
 register("t5_hybrid_dispatch", lambda s, d: tree_findings(_single(s, d)).groupBy("type").count())
 register("t6_script_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.js'"))
 register("t7_sql_concatenation", lambda s, d: tree_findings(_single(s, d)).where("type = 'sql_concatenation'"))

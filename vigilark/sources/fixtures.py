@@ -53,6 +53,11 @@ SNIPPETS = [
     (".json", "{\"secret\": \"zx81mn45qp67rt90vb12\"}"),
     (".md", "password = \"docs are not scanned here\""),
     (".js", "const n = parseInt(req.params.n)"),
+    (".js", "db.query(\"SELECT a FROM t WHERE b=\" + req.query['b'])"),
+    (".js", "const t = jwt.sign(\n  claims,\n  SECRET\n)"),
+    (".cs", "var q = Request.Query[\"q\"];"),
+    (".py", "token = random.random()"),
+    (".py", "def new_token():\n    x = random.choice(\"ab\")"),
 ]
 DIRS = ("src", "tests", "scripts", "config", "node_modules")
 EVENTS = (("view", "scan_started"), ("purchase", "scan_completed"), ("error", "scan_failed"), ("click", "unlock_clicked"), ("signup", "audit_unlocked"))
@@ -109,8 +114,8 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(c / 50) % 20 + 1).cast("int").alias("line"), array(CATEGORIES, c % 6).alias("category"),
         (F.lit(40) + F.floor("o_totalprice") % 61).cast("int").alias("confidence"), F.when(scanner == 0, "dependency_vuln").otherwise("code").alias("finding_type"),
         F.when(scanner == 0, F.concat(F.lit("pkg"), (c % 40).cast("string"))).alias("package"), F.when(scanner == 0, F.concat(F.lit("CVE-"), (c % 90).cast("string"))).alias("cve"),
-        F.concat(F.lit("finding in "), F.when(k % 2 == 0, "request handler").otherwise("helper")).alias("message"), F.when(k % 3 == 0, "argv").otherwise("const").alias("evidence"),
-        array(("user_input", "file", "internal"), k % 3).alias("data_source"), array(("executed", "database", "parsed", "unknown"), k % 4).alias("usage_context"),
+        F.concat(F.lit("finding in "), F.when(k % 2 == 0, "request handler").otherwise("helper")).alias("message"), F.when(k % 3 == 0, "argv").when(k % 7 == 1, "cursor.execute(q)").otherwise("const").alias("evidence"),
+        array(("user_input", "file", "internal", "user_input"), k % 4).alias("data_source"), array(("executed", "database", "parsed", "unknown"), F.floor(k / 2) % 4).alias("usage_context"),
         array(("HIGH", "MEDIUM", "LOW", ""), F.floor(k / 4) % 4).alias("exploitability_level"),
     )
 
@@ -126,8 +131,8 @@ FINDINGS = f"""findings AS (
     CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' WHEN '5-LOW' THEN 'LOW' ELSE 'INFO' END AS severity,
     CASE WHEN o_custkey % 50 = 7 THEN 'tests/f' ELSE 'src/f' END || (o_custkey % 50) || '.js' AS file, (o_custkey // 50 % 20 + 1)::INT AS line,
     {_pick(CATEGORIES, 'o_custkey % 6')} AS category, (40 + floor(o_totalprice)::BIGINT % 61)::INT AS confidence,
-    'finding in ' || CASE WHEN o_orderkey % 2 = 0 THEN 'request handler' ELSE 'helper' END AS message, CASE WHEN o_orderkey % 3 = 0 THEN 'argv' ELSE 'const' END AS evidence,
-    {_pick(('user_input', 'file', 'internal'), 'o_orderkey % 3')} AS data_source, {_pick(('executed', 'database', 'parsed', 'unknown'), 'o_orderkey % 4')} AS usage_context,
+    'finding in ' || CASE WHEN o_orderkey % 2 = 0 THEN 'request handler' ELSE 'helper' END AS message, CASE WHEN o_orderkey % 3 = 0 THEN 'argv' WHEN o_orderkey % 7 = 1 THEN 'cursor.execute(q)' ELSE 'const' END AS evidence,
+    {_pick(('user_input', 'file', 'internal', 'user_input'), 'o_orderkey % 4')} AS data_source, {_pick(('executed', 'database', 'parsed', 'unknown'), 'o_orderkey // 2 % 4')} AS usage_context,
     {_pick(('HIGH', 'MEDIUM', 'LOW', ''), 'o_orderkey // 4 % 4')} AS exploitability_level
     FROM orders))"""
 
@@ -169,9 +174,9 @@ FLOW_KINDS = ("sql_injection", "command_injection", "open_redirect")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data-flow facts (file, kind, line, sanitized, depth, uncertain, tier): one a line item of every third order key."""
+    """Data-flow facts (file, kind, line, sanitized, depth, uncertain, tier): one a line item, but for files without any."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    item = read(spark, sf_dir, "lineitem").where(k % 3 == 0)
+    item = read(spark, sf_dir, "lineitem")
     kind = F.element_at(F.array(*[F.lit(x) for x in FLOW_KINDS]), (F.col("l_partkey") % 3 + 1).cast("int"))
     tier = F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), (F.col("l_suppkey") % 3 + 1).cast("int"))
     return item.where(F.col("l_partkey") % 50 < 40).select(F.concat(F.lit("src/f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".js")).alias("flow_file"), kind.alias("kind"), (k % 20 + 1).cast("int").alias("flow_line"), (F.col("l_suppkey") % 4 != 0).alias("sanitized"), (n % 3).cast("int").alias("depth"), (F.col("l_partkey") % 2 == 0).alias("uncertain"), tier.alias("tier")).distinct()
@@ -179,4 +184,4 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLOWS = f"""flows AS (SELECT DISTINCT 'src/f' || (l_partkey % 50) || '.js' AS flow_file, {_pick(FLOW_KINDS, 'l_partkey % 3')} AS kind, (l_orderkey % 20 + 1)::INT AS flow_line,
   l_suppkey % 4 <> 0 AS sanitized, (l_linenumber % 3)::INT AS depth, l_partkey % 2 = 0 AS uncertain, {_pick(('HIGH', 'MEDIUM', 'LOW'), 'l_suppkey % 3')} AS tier
-  FROM lineitem WHERE l_orderkey % 3 = 0 AND l_partkey % 50 < 40)"""
+  FROM lineitem WHERE l_partkey % 50 < 40)"""
