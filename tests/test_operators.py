@@ -181,7 +181,7 @@ def test_readers(spark, tmp_path):
     assert [(r.id, r.severity) for r in readers.external_rules(spark, str(tmp_path / "rules")).collect()] == [("q.a", "HIGH")]
     (tmp_path / "s.json").write_text(json.dumps({"results": [{"check_id": "c", "path": "a.js", "start": {"line": 3}, "extra": {"severity": "ERROR", "lines": "l"}}, {"check_id": "c", "path": "a.py"}]}))
     assert [(r.rule_id, r.line, r.severity) for r in readers.semgrep_report(spark, str(tmp_path / "s.json")).collect()] == [("c", 3, "HIGH")]
-    (tmp_path / "b.json").write_text(json.dumps({"results": [{"test_id": "B101", "filename": "tests/a.py", "line_number": 1, "issue_severity": "LOW"}, {"test_id": "B602", "filename": "a.py", "line_number": 2, "issue_severity": "High"}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"results": [{"test_id": "B101", "filename": "/r/tests/a.py", "line_number": 1, "issue_severity": "LOW"}, {"test_id": "B602", "filename": "a.py", "line_number": 2, "issue_severity": "High"}]}))
     assert [(r.rule_id, r.severity) for r in readers.bandit_report(spark, str(tmp_path / "b.json")).collect()] == [("bandit.b602", "HIGH")]
     (tmp_path / "f.json").write_text(json.dumps([{"feedback_id": "1", "email": "a", "rating": 3}, {"feedback_id": "2", "email": "b", "rating": 9}]))
     assert [r.feedback_id for r in readers.feedback_items(spark, str(tmp_path / "f.json")).collect()] == ["1"]
@@ -214,3 +214,48 @@ def test_reachability_takes_all_parts_and_steps(spark, tmp_path):
         want |= dict.fromkeys(front, step)
     assert {r.v: r.hops for r in pyast.reachable(spark, str(tmp_path)).collect()} == want
     assert any(k >= 500 for k in want)
+
+
+def test_scan_of_a_source_tree(spark, tmp_path):
+    from vigilark.plans.scan import scan
+
+    (tmp_path / "src/node_modules").mkdir(parents=True)
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules/a.json").write_text(json.dumps({"id": "custom.sql-raw", "name": "A", "pattern": "rawSql\\(", "severity": "high", "description": "d"}))
+    (tmp_path / "rules/b.json").write_text(json.dumps({"id": "custom.broken", "name": "B", "pattern": "(", "severity": "high", "description": "d"}))
+    (tmp_path / "src/a.js").write_text("app.get('/u', h)\nconst id = req.query.id;\n\ndb.query('SELECT a FROM t WHERE b=' + id + req.query.x);\nconst token =\n  'abcdefghijklmnopqr';\nrawSql(req.query.z)\n")
+    (tmp_path / "src/b.js").write_text("db.query('SELECT ' + user)\n")
+    (tmp_path / "src/node_modules/c.js").write_text("const token = 'abcdefghijklmnopqr'")
+    rows = {(r.file, r.line, r.rule_id): r for r in scan(spark, str(tmp_path / "src"), str(tmp_path / "rules")).collect()}
+    sql = rows["a.js", 4, "regex.sql-injection"]
+    assert (sql.category, sql.severity, sql.exploitability, sql.route_hint, sql.source_symbol, sql.attention_level) == ("SQL Injection", "HIGH", "reachable", "GET /u", "req.query.x", "HIGH")
+    assert sql.occurrence_count == 3 and sql.data_source == "user_input" and sql.usage_context == "database"  # three rules see the statement
+    # a match over two lines is placed at its first; its line alone holds no secret, so it isn't one
+    assert ("a.js", 7, "custom.sql-raw") in rows and not any(f != "a.js" for f, *_ in rows)  # no flow and no shown input: b.js has none
+    assert sorted(r.place for r in rows.values()) == list(range(1, len(rows) + 1))
+
+
+def test_matches_in_whole_texts(spark):
+    text = "jwt.sign(\n a)\nx\njwt.sign(b); jwt.sign(\n\n c)\npassword =\r\n 'abcdefghijklmnopq'"
+    m = rules.file_matches(spark.createDataFrame([("a.js", text)], "file_path string, text string")).collect()
+    assert [(r.line_no, r.nth, r.text) for r in m if r.rule_id == "regex.jwt-no-expiry"] == [(1, 1, "jwt.sign("), (4, 2, "jwt.sign(b); jwt.sign("), (4, 3, "jwt.sign(b); jwt.sign(")]
+    assert [(r.line_no, r.text) for r in m if r.rule_id == "regex.hardcoded-secret"] == [(7, "password =")]
+    assert rules.file_matches(spark.createDataFrame([("a", "x")], "file_path string, text string"), []).count() == 0
+    assert rules.usable([("a", "LOW", "("), ("b", "LOW", "x")]) == [("b", "LOW", "x")]
+
+
+def test_dedup_goes_by_the_last_accepted(spark):
+    from vigilark.operators.jobs import accepted
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, at(h), k) for k, h in enumerate((0, 20, 40, 63.9, 64))] + [(2, at(5), 9)]
+    assert sorted(r.seq for r in accepted(spark.createDataFrame(rows, "key long, ts timestamp, seq long")).collect()) == [0, 2, 4, 9]
+
+
+def test_xml_manifests_by_element(spark):
+    m = lambda t: spark.createDataFrame([("p", t)], "manifest_path string, text string")
+    names = lambda df: sorted((r.name, r.version) for r in df.collect())
+    assert names(manifests.csproj(m('<P xmlns="u"><PackageReference Update="a" Version="1.0"/><PackageReference Include="b" Version="2.0"/><PackageReference Include="c"><Version>3.0</Version></PackageReference><PackageReference Include="d"/></P>'))) == [("a", "1.0"), ("b", "2.0"), ("c", "3.0")]
+    assert names(manifests.packages_config(m('<packages><package id="a"/><package id="b" version="2.0"/></packages>'))) == [("b", "2.0")]
+    for parse in (manifests.pom, manifests.csproj, manifests.packages_config):
+        assert parse(m("<broken")).count() == parse(m("")).count() == parse(m(None)).count() == 0

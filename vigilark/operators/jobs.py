@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +20,29 @@ def as_of(j: DataFrame, col: str = "ts") -> DataFrame:
     return j.crossJoin(F.broadcast(j.agg(F.max(col).alias("as_of"))))
 
 
+def accepted(events: DataFrame, hours: int = 24) -> DataFrame:
+    """events (key, ts, seq) that come hours or more after the last accepted one of their key, or are its first.
+
+    Events stream in the order of (key, ts, seq) and one time is kept, so a key with very many of them needs no group.
+    """
+
+    def run(batches):
+        key, until = None, None
+        for b in batches:
+            keys, times = b.column(0).to_pylist(), b.column(1).cast("int64").to_pylist()
+            keep = []
+            for k, t in zip(keys, times):
+                fresh = until is None or k != key or t >= until
+                keep.append(fresh)
+                if fresh:
+                    key, until = k, t + hours * 3_600_000_000
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = events.select("key", "ts", "seq")
+    return x.repartition(spread, "key").sortWithinPartitions("key", "ts", "seq").mapInArrow(run, x.schema)
+
+
 def _j(name, fn, sql):
     register(name, lambda s, d: fn(job_events(s, d)), f"WITH {JOB_EVENTS} {sql}")
 
@@ -32,15 +56,63 @@ _j("k10_keep_last", lambda j: j.withColumn("nth", F.row_number().over(W.partitio
 _j("k11_state_machine", lambda j: j.where("state <> 'queued'").join(j.where("state = 'queued'").groupBy("job_id").agg(F.min("seq").alias("born")), "job_id").where("seq > born").groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.count(F.lit(1)).alias("updates")), "SELECT job_id, arg_max(state, seq) AS state, count(*) AS updates FROM (SELECT *, min(seq) FILTER (state = 'queued') OVER (PARTITION BY job_id) AS born FROM job_events) WHERE state <> 'queued' AND seq > born GROUP BY 1")
 _j("k12_check_run_upsert", lambda j: j.withColumn("key", F.concat_ws("@", "job_id", "worker")).groupBy("key").agg(F.min("seq").alias("created"), F.max_by("state", "seq").alias("state")), "SELECT job_id || '@' || worker AS key, min(seq) AS created, arg_max(state, seq) AS state FROM job_events GROUP BY 1")
 _j("k13_expired_tokens", lambda j: as_of(j).where("ts + INTERVAL 20 DAYS > as_of").select("seq"), "SELECT seq FROM job_events WHERE ts + INTERVAL 20 DAYS > (SELECT max(ts) FROM job_events)")
-_ERR = "CASE WHEN contains(lower(m), 'timeout') OR contains(lower(m), 'connection') THEN 'transient' WHEN contains(lower(m), 'not found') THEN 'missing' ELSE 'fatal' END"
-_MSG = ("Timeout while cloning", "Connection reset", "Repository not found", "Parser crashed")
-_j("c34_error_class", lambda j: j.selectExpr("seq", "element_at(array('" + "', '".join(_MSG) + "'), CAST(seq % 4 + 1 AS INT)) AS m").selectExpr("seq", f"{_ERR} AS kind"), f"SELECT seq, {_ERR} AS kind FROM (SELECT seq, ['" + "', '".join(_MSG) + "'][(seq % 4)::INT + 1] AS m FROM job_events)")
+# fixed values: words of errors and what is told of them, first match wins
+TRANSIENT = ("timed out", "timeout", "connection", "temporar", "network", "rate limit", "429", "502", "503", "504")
+FAILURES = [
+    (("not found", "404", "could not read", "repository not found"), "Repository not found. Check the URL is correct and the repository is public."),
+    (("authentication failed", "permission", "403", "private", "access denied"), "This repository appears to be private or access was denied. Only public repositories can be scanned."),
+    (("rate limit", "rate-limit", "429", "secondary rate"), "GitHub rate limit reached. Please wait a few minutes and try again."),
+    (("timed out", "timeout"), "The repository took too long to clone or scan. Large repositories can time out - try again, or use Quick mode."),
+    (("connection", "network", "resolve", "dns", "unreachable"), "Network error reaching GitHub. Check your connection and try again."),
+    (("only node.js", "supported", "insufficient coverage"), "No scannable Node.js or Python source was found in this repository."),
+    (("empty",), "The repository appears to be empty - there is nothing to scan."),
+    (("git is not installed",), "Scanner misconfiguration: git is not available on the server."),
+]
+
+
+def transient(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.exists(F.array(*[F.lit(t) for t in TRANSIENT]), lambda t: F.contains(low, t))
+
+
+def failure_reason(message: Column) -> Column:
+    """What a user is told of an error: a known reason, or its first line of 160 characters at most."""
+    raw = F.trim(F.coalesce(message, F.lit("")))
+    first = F.split(raw, "[\n\r]").getItem(0)
+    short = F.when(F.length(first) > 160, F.concat(F.substring(first, 1, 157), F.lit("..."))).otherwise(first)
+    told = F.concat(F.lit("Scan failed: "), F.when(raw == "", "Unknown error").otherwise(short))
+    for words, reason in reversed(FAILURES):
+        told = F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(raw), w)), reason).otherwise(told)
+    return told
+
+
+_MSG = ("Timeout while cloning", "Connection reset", "Repository not found", "Parser crashed", "HTTP 429", "is private", "Could not RESOLVE host", "empty tree", "", "x" * 200)
+_KNOWN = (3, 4, 0, None, 2, 1, 4, 6, None, None)
+_TOLD = [FAILURES[k][1] if k is not None else "Scan failed: " + (("x" * 157 + "...") if m.startswith("x") else m or "Unknown error") for m, k in zip(_MSG, _KNOWN)]
+_j("c34_error_class", lambda j: j.select("seq", F.element_at(F.array(*[F.lit(m) for m in _MSG]), (F.col("seq") % len(_MSG) + 1).cast("int")).alias("m")).select("seq", transient(F.col("m")).alias("transient"), failure_reason(F.col("m")).alias("reason")), f"SELECT seq, {list(_TOLD)}[(seq % {len(_MSG)})::INT + 1] AS reason, seq % {len(_MSG)} IN (0, 1, 4) AS transient FROM job_events")
 _j("k8_cache_key", lambda j: j.groupBy("worker", "job_id").agg(F.max("ts").alias("cached_at")), "SELECT worker, job_id, max(ts) AS cached_at FROM job_events GROUP BY 1, 2")
-_j("k1_dedup_ttl", lambda j: j.withColumn("before", F.lag("ts").over(W.partitionBy("job_id").orderBy("ts", "seq"))).where("before IS NULL OR ts >= before + INTERVAL 24 HOURS").select("seq"), "SELECT seq FROM (SELECT *, lag(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS before FROM job_events) WHERE before IS NULL OR ts >= before + INTERVAL 24 HOURS")
+_ACCEPTED = """, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS nth, min({'ts': ts, 'seq': seq}) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM job_events)
+SELECT seq FROM (WITH RECURSIVE a AS (SELECT seq, nxt FROM n WHERE nth = 1 UNION ALL SELECT n.seq, n.nxt FROM a JOIN n ON n.seq = a.nxt.seq) SELECT seq FROM a)"""
+_j("k1_dedup_ttl", lambda j: accepted(j.select(F.col("job_id").alias("key"), "ts", "seq")).select("seq"), _ACCEPTED)
 
 _URL = "CASE WHEN user_id % 2 = 0 THEN 'HTTPS://GitHub.com/Org/r' || user_id || '/' ELSE 'https://github.com/org/r' || user_id END"
 register("j11_latest_by_url", lambda s, d: read(s, d, "events").selectExpr("event_id", "ts", f"{_URL.replace('user_id', '(user_id % 20)')} AS url").withColumn("key", F.regexp_replace(F.lower("url"), "/+$", "")).groupBy("key").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), f"SELECT key, event_id FROM (SELECT event_id, ts, rtrim(lower({_URL.replace('user_id', '(user_id % 20)')}), '/') AS key FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1")
-register("f18_canonical_url", lambda s, d: read(s, d, "pages").select("page_id", "url", F.parse_url("url", F.lit("HOST")).alias("host"), F.rlike("url", F.lit(r"^https://[^/]+/[^/?#]+/[^/?#]+/?([?#].*)?$")).alias("two_parts")), "SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_matches(url, '^https://[^/]+/[^/?#]+/[^/?#]+/?([?#].*)?$') AS two_parts FROM pages")
+
+
+def canonical_repo(url: Column) -> Column:
+    """https://github.com/OWNER/REPO of a repository's address; null of any other."""
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    host = F.lower(F.regexp_extract(raw, r"^(?i:https)://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(raw, r"^(?i:https)://[^/?#]*([^?#]*)", 1)), r"/+$", ""), r"\.+$", "")
+    parts = F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(x)), lambda x: x != "")
+    ok = (host == "github.com") & (F.size(parts) == 2) & ~F.exists(parts, lambda x: F.endswith(x, F.lit(".")) | ~F.rlike(x, F.lit(r"^[A-Za-z0-9_.-]+$")))
+    return F.when(ok, F.concat(F.lit("https://github.com/"), F.array_join(parts, "/")))
+
+
+_SITES = ["https://github.com/Org/r", "https://GitHub.com/o/r.git/", "http://github.com/o/r", "https://github.com/o/r?tab=1#x", "https://github.com/o", "https://github.com/o/r/tree", " https://github.com/o/r... ", "https://gitlab.com/o/r", "https://github.com/o./r", "https://github.com/o/r x", ""]
+_CANON = ["'https://github.com/Org/r'", "'https://github.com/o/r.git'", "NULL", "'https://github.com/o/r'", "NULL", "NULL", "'https://github.com/o/r'", "NULL", "NULL", "NULL", "NULL"]
+register("f18_canonical_url", lambda s, d: read(s, d, "events").select("event_id", canonical_repo(F.element_at(F.array(*[F.lit(x) for x in _SITES]), (F.col("event_id") % len(_SITES) + 1).cast("int"))).alias("url")), f"SELECT event_id, [{', '.join(_CANON)}][(event_id % {len(_CANON)})::INT + 1] AS url FROM events")
+register("f18_page_hosts", lambda s, d: read(s, d, "pages").select("page_id", "url", F.parse_url("url", F.lit("HOST")).alias("host")), "SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
 register("x11_url_slug", lambda s, d: read(s, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace(F.parse_url("url", F.lit("PATH")), "^/+|/+$", ""), "[^a-zA-Z0-9._-]", "-"), "-+", "-").alias("slug")), "SELECT page_id, regexp_replace(regexp_replace(trim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), '[^a-zA-Z0-9._-]', '-', 'g'), '-+', '-', 'g') AS slug FROM pages")
 register("j10_existence", lambda s, d: metric_events(s, d).join(metric_events(s, d).where("event = 'audit_unlocked'").select("email").distinct(), "email", "left_semi").select("event_id"), f"WITH {METRIC_EVENTS} SELECT event_id FROM metric_events WHERE email IN (SELECT email FROM metric_events WHERE event = 'audit_unlocked')")
 
@@ -69,7 +141,20 @@ register("a15_before_after", lambda s, d: scores(evaluated(s, d), "lang").select
 register("a16_noise_counts", lambda s, d: evaluated(s, d).agg(F.count_if("predicted").alias("old"), F.count_if(F.col("predicted") & F.col("truth")).alias("new")), f"WITH {_EVAL} SELECT count(*) FILTER (predicted) AS old, count(*) FILTER (predicted AND truth) AS new FROM e")
 register("j9_ground_truth", lambda s, d: evaluated(s, d).select("doc_id", F.when(F.col("truth") & F.col("predicted"), "TP").when(F.col("truth"), "FN").when(F.col("predicted"), "FP").otherwise("TN").alias("verdict")), f"WITH {_EVAL} SELECT doc_id, CASE WHEN truth AND predicted THEN 'TP' WHEN truth THEN 'FN' WHEN predicted THEN 'FP' ELSE 'TN' END AS verdict FROM e")
 register("a17_validation", lambda s, d: read(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("actual"), F.count_if(F.col("lang") == "en").alias("expected")).select("source", "actual", "expected", (F.abs(F.col("actual") - F.col("expected")) <= F.least(F.lit(20), F.greatest(F.lit(1), F.bround(F.col("expected") * 0.5)))).alias("passed")), "SELECT source, actual, expected, abs(actual - expected) <= least(20, greatest(1, round_even(expected * 0.5, 0))) AS passed FROM (SELECT source, count(*) AS actual, count(*) FILTER (lang = 'en') AS expected FROM documents GROUP BY 1)")
-register("c23_sanitized_text", lambda s, d: read(s, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "[0-9a-f]{40}", "[hidden]"), " +", " ")).alias("clean")), "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[0-9a-f]{40}', '[hidden]', 'g'), ' +', ' ', 'g')) AS clean FROM documents")
+
+
+def user_text(text: Column) -> Column:
+    """Text for users: without paths of machines and labels of rules."""
+    x = F.trim(F.coalesce(text, F.lit("")))
+    x = F.regexp_replace(x, r"""[A-Za-z]:\\[^\s"']+""", "application code")
+    x = F.regexp_replace(x, r"""(?:^|\s)/tmp/[^\s"']+""", " application code")
+    x = F.regexp_replace(x, r"(?i)\brule\s*[:#-]?\s*[A-Za-z0-9_.-]+", "")
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+_SHOWN = [("in C:\\x\\y.py here", "in application code here"), ("/tmp/a/b.js: bad", "application code bad"), ("Rule: regex.x fails  now", "fails now"), ("see rule#12, then", "see , then"), ("  ", ""), ("overruled by a", "overruled by a"), ("x/tmp/y\n z", "x/tmp/y z")]
+register("c23_sanitized_text", lambda s, d: read(s, d, "events").select("event_id", user_text(F.element_at(F.array(*[F.lit(x) for x, _ in _SHOWN]), (F.col("event_id") % len(_SHOWN) + 1).cast("int"))).alias("clean")), f"SELECT event_id, {[x for _, x in _SHOWN]}[(event_id % {len(_SHOWN)})::INT + 1] AS clean FROM events")
+register("c23_sanitized_documents", lambda s, d: read(s, d, "documents").select("doc_id", user_text(F.col("text")).alias("clean")), r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z]:\\[^\s"'']+', 'application code', 'g'), '(^|\s)/tmp/[^\s"'']+', ' application code', 'g'), '(?i)\brule\s*[:#-]?\s*[A-Za-z0-9_.-]+', '', 'g'), '[\s\x0B]+', ' ', 'g')) AS clean FROM documents""")
 register("c24_json_from_text", lambda s, d: read(s, d, "events").select("event_id", F.concat(F.lit("note: "), "props", F.lit(" end")).alias("t")).select("event_id", F.get_json_object(F.regexp_extract("t", r"(\{.*\})", 1), "$.k").alias("k"), (F.regexp_extract("t", r"(\{.*\})", 1) != "").alias("found")), "SELECT event_id, json_extract_string(regexp_extract('note: ' || props || ' end', '(\\{.*\\})', 1), '$.k') AS k, regexp_extract('note: ' || props || ' end', '(\\{.*\\})', 1) <> '' AS found FROM events")
 register("x8_json_fields", lambda s, d: read(s, d, "events").select("event_id", F.json_object_keys("props").alias("keys")).select("event_id", F.concat_ws(",", "keys").alias("keys")), "SELECT event_id, array_to_string(json_keys(props), ',') AS keys FROM events")
 register("x5_time_parts", lambda s, d: read(s, d, "events").select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.expr("ts + INTERVAL 36 HOURS").alias("later")), "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts + INTERVAL 36 HOURS AS later FROM events")

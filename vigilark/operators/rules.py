@@ -6,7 +6,9 @@ stays in generated code; only lines that match leave the projection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import among, begins, cases, ends, has, lit, py_pattern, segment_in
@@ -99,6 +101,50 @@ def matches(lines: DataFrame) -> DataFrame:
     return each.select(*lines.columns, "h.rule_no", "h.rule_id", "h.severity", F.explode(F.sequence(F.lit(1), F.col("h.n"))).alias("nth"))
 
 
+#: Ids, patterns and severities of a rule file, as plain values.
+Rule = tuple[str, str, str]
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def usable(rules: list[Rule]) -> list[Rule]:
+    """Rules whose pattern is one."""
+    kept = []
+    for rule in rules:
+        try:
+            re.compile(rule[2])
+        except re.error:
+            continue
+        kept.append(rule)
+    return kept
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """The line, from 1, of each match of a pattern in a text, in order.
+
+    A text is cut at its matches: what lies before a match are the pieces up to it and the matches between them, so a
+    match's line is one more than their line feeds.
+    """
+    p = F.lit(py_pattern(pattern))
+    feeds = lambda xs: F.transform(xs, lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    # the whole match as a group of its own, as patterns number theirs from one
+    found = F.regexp_extract_all(text, p, F.lit(0))
+    pieces, inside = feeds(F.split(text, py_pattern(pattern))), feeds(found)
+    return F.transform(found, lambda _, k: 1 + total(F.slice(pieces, F.lit(1), k + 1)) + total(F.slice(inside, F.lit(1), k)))
+
+
+def file_matches(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """files (file_path, text, ...) to one row a match in the whole text: rule_no, rule_id, severity, nth, line_no, text (the line)."""
+    rules = RULES if rules is None else usable(rules)
+    if not rules:
+        return files.select(*[c for c in files.columns if c != "text"], *[F.lit(None).cast(t).alias(n) for n, t in (("rule_no", "int"), ("rule_id", "string"), ("severity", "string"), ("nth", "int"), ("line_no", "int"), ("text", "string"))]).limit(0)
+    hits = F.array(*[F.struct(F.lit(k).alias("rule_no"), F.lit(i).alias("rule_id"), F.lit(v).alias("severity"), placed(F.col("text"), p).alias("at")) for k, (i, v, p) in enumerate(rules)])
+    lines = F.split("text", LINE_END)
+    each = files.select(*files.columns, lines.alias("_lines"), F.explode(F.filter(hits, lambda h: F.size(h["at"]) > 0)).alias("h"))
+    each = each.select("*", F.posexplode("h.at").alias("_n", "line_no"))
+    return each.select(*[c for c in files.columns if c != "text"], "h.rule_no", "h.rule_id", "h.severity", (F.col("_n") + 1).alias("nth"), "line_no", F.trim(F.coalesce(F.get("_lines", F.col("line_no") - 1), F.lit(""))).alias("text"))
+
+
 def valid(m: DataFrame) -> DataFrame:
     m = m.withColumn("_q", F.regexp_extract("text", _QUOTED, 1)).withColumn("_k", F.rlike("text", F.lit(py_pattern(_KEY)))).withColumn("_m", F.rlike("text", F.lit(py_pattern(_METHOD))))
     return m.where(F.expr(validity("_q", "_k", "_m"))).drop("_q", "_k", "_m")
@@ -168,6 +214,22 @@ def _secrets(spark, d):
 
 
 register("f1_document_secrets", _secrets, f"SELECT doc_id, generate_subscripts(s, 1)::INT - 1 AS nth, unnest(s) AS secret FROM (SELECT doc_id, regexp_extract_all(text, {_duck(RULES[0][2])}, 1) AS s FROM documents)")
-_POS = "strpos(text, '.' || chr(10))"
-register("f4_line_of_offset", lambda spark, d: read(spark, d, "documents").select("doc_id", F.instr("text", ".\n").alias("p"), "text").where("p > 0").select("doc_id", (F.length(F.col("text").substr(F.lit(1), F.col("p") - 1)) - F.length(F.replace(F.col("text").substr(F.lit(1), F.col("p") - 1), F.lit("\n"), F.lit(""))) + 1).alias("line")), f"SELECT doc_id, len(string_split(left(text, {_POS} - 1), chr(10)))::INT AS line FROM documents WHERE {_POS} > 0")
-register("f5_snippet_of_line", lambda spark, d: read(spark, d, "documents").select("doc_id", F.trim(F.element_at(F.split("text", "\r\n|\n|\r"), 1)).alias("snippet")), "SELECT doc_id, trim(regexp_split_to_array(text, '\\r\\n|\\n|\\r')[1]) AS snippet FROM documents")
+# offsets: every ".\n" of a text, and the line that follows it
+_ENDS = r"\.\n"
+register("f4_line_of_offset", lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(placed(F.col("text"), _ENDS)).alias("nth", "line")), "WITH p AS (SELECT doc_id, string_split(text, '.' || chr(10)) AS p FROM documents), e AS (SELECT doc_id, p, unnest(range(0, len(p) - 1))::INT AS nth FROM p) SELECT doc_id, nth, len(string_split(array_to_string(p[1:nth + 1], '.' || chr(10)), chr(10)))::INT AS line FROM e")
+register("f5_snippet_of_line", lambda spark, d: read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("k", "s")).selectExpr("doc_id", "k", "trim(s) AS snippet"), "SELECT doc_id, (generate_subscripts(s, 1) - 1)::INT AS k, trim(unnest(s)) AS snippet FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS s FROM documents)")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a few lines: the lines of code of a scan in one path."""
+    x = scanned(code_lines(spark, d)).groupBy("scan_id", "file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda v: v["text"]), "\n").alias("text"))
+    return x
+
+
+_WHOLE = f"""WITH {CODE_LINES}, files AS (SELECT scan_id, file_path, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM code_lines WHERE {SCANNED} GROUP BY 1, 2),
+rules(rule_id, pattern) AS (VALUES {", ".join(f"({lit(i)}, {_duck(p)})" for i, _, p in RULES)}),
+cut AS (SELECT scan_id, file_path, rule_id, regexp_extract_all(text, pattern) AS m, text FROM files, rules WHERE regexp_matches(text, pattern)),
+walk AS (SELECT scan_id, file_path, rule_id, unnest(m) AS hit, generate_subscripts(m, 1)::INT AS nth, text, m FROM cut)"""
+register("f1_whole_text_matches", lambda spark, d: file_matches(_files(spark, d)).select("scan_id", "file_path", "rule_id", "nth"), f"{_WHOLE} SELECT scan_id, file_path, rule_id, nth FROM walk")
+# the line of a file's first match of a rule: what lies before its text
+register("f4_first_match_line", lambda spark, d: file_matches(_files(spark, d)).where("nth = 1").select("scan_id", "file_path", "rule_id", "line_no", F.col("text").alias("snippet")), f"{_WHOLE}, f AS (SELECT *, len(string_split(left(text, strpos(text, hit) - 1 + (left(hit, 1) = chr(10))::INT), chr(10))) AS line_no FROM walk WHERE nth = 1) SELECT scan_id, file_path, rule_id, line_no::INT AS line_no, trim(string_split(text, chr(10))[line_no]) AS snippet FROM f")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import has
 from ..operators.rules import MAX_FILE_BYTES, SCANNED
 
 RULE = "id string, name string, language string, pattern string, severity string, description string, fix string, _corrupt_record string"
@@ -42,7 +43,7 @@ def semgrep_findings(report: DataFrame) -> DataFrame:
 
 
 NOISE_RULES = ("B101", "B311", "B322", "B330")
-NOISE_NAMES = "test|spec|fixture|mock|seed|sample|example|demo|script|generate|dataset|conftest|benchmark|migration|factory|faker"
+NOISE_NAMES = ("/tests/", "/test/", "test_", "_test", "conftest", "/fixtures/", "fixture", "/data/", "/scripts/", "generate", "dataset", "seed", "mock", "sample", "factory")
 
 
 def bandit_report(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +54,7 @@ def bandit_findings(report: DataFrame) -> DataFrame:
     """Findings of parsed reports, without the noisy rules in files that aren't production code."""
     r = report.select(F.explode("results").alias("r"))
     level = F.upper(F.trim(F.coalesce("r.severity", "r.issue_severity", F.lit(""))))
-    noise = F.col("r.test_id").isin(*NOISE_RULES) & F.rlike(F.lower("r.filename"), F.lit(NOISE_NAMES))
+    noise = F.col("r.test_id").isin(*NOISE_RULES) & F.expr(has("replace(lower(r.filename), chr(92), '/')", NOISE_NAMES))
     return r.where(~noise).select(F.concat(F.lit("bandit."), F.lower("r.test_id")).alias("rule_id"), F.col("r.filename").alias("file_path"), F.col("r.line_number").alias("line"), F.when(level.isin("HIGH", "MEDIUM"), level).otherwise("LOW").alias("severity"), F.col("r.issue_text").alias("message"), F.col("r.code").alias("snippet"))
 
 
