@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 from ..sources import readers
-from ..sources.fixtures import read
+from ..sources.fixtures import FINDINGS, read
 
 _K = "o_orderkey"
 
@@ -92,4 +92,5 @@ def _guidance(s, d):
     return findings(s, d).join(t, "category").select("ordinal", F.replace("why", F.lit("%s"), F.col("file")).alias("why"), "fix")
 
 
-register("c20_guidance_templates", _guidance)
+_C20 = "CASE category WHEN 'SQL Injection' THEN 'Input reaches a query in ' || file || '.' WHEN 'Command Injection' THEN 'Input reaches a shell in ' || file || '.' ELSE 'Input names a destination in ' || file || '.' END AS why, CASE category WHEN 'SQL Injection' THEN 'Bind it.' WHEN 'Command Injection' THEN 'Pass a list.' ELSE 'Allow known ones.' END AS fix"
+register("c20_guidance_templates", _guidance, f"WITH {FINDINGS} SELECT ordinal, {_C20} FROM findings WHERE category IN ('SQL Injection', 'Command Injection', 'Open Redirect')")

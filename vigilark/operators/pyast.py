@@ -19,8 +19,16 @@ PICKLE = {"pickle.load", "pickle.loads", "cPickle.load", "cPickle.loads"}
 PROCESS = {"subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call"}
 SECURITY = ("token", "password", "secret", "nonce", "salt", "key", "otp", "session", "csrf", "auth", "passwd", "pin")
 TRIGGERS = ("pickle", "yaml", "eval", "exec", "subprocess", "os.system", "os.popen", "random.")
-SQL_WORD = re.compile(r"\b(SELECT|INSERT|UPDATE|DELETE|FROM|INTO|WHERE|VALUES|SET|JOIN)\b")
-JS_CALL = re.compile(r"(?<![\w$.])(eval|exec|readFile)\s*\(|\.(exec)\s*\(")
+SQL_VERB = re.compile(r"\b(SELECT|INSERT|UPDATE|DELETE)\b")
+SQL_CLAUSE = re.compile(r"\b(FROM|INTO|WHERE|VALUES|SET|JOIN)\b")
+SQL_TOKENS = ("EXECUTE", "QUERY", "CURSOR", "._Q(", "SQL", "TABLE", "RETURNING")
+
+#: A script's call by its dotted name, with the first character of its arguments; a sum of literals and names.
+CALLEE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(\s*(.?)")
+_OPERAND = r"""(?:"[^"]*"|'[^']*'|`[^`]*`|[\w$.]+(?:\[[^\]]*\])?)"""
+SUM = re.compile(rf"{_OPERAND}(?:\s*\+\s*{_OPERAND})+")
+TERM = re.compile(_OPERAND)
+QUOTED = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*")
 
 
 def dotted(node: ast.AST) -> str:
@@ -70,10 +78,16 @@ def weak_random(tree: ast.AST) -> list[ast.Call]:
     return found
 
 
+def looks_like_sql(text: str) -> bool:
+    """A verb, a clause, and a word of a database."""
+    up = text.upper()
+    return bool(SQL_VERB.search(up) and SQL_CLAUSE.search(up)) and any(t in up for t in SQL_TOKENS)
+
+
 def sql_variables(tree: ast.AST) -> set[str]:
     """Variables that hold an SQL text, and those that a sum with one of them reaches."""
     assigns = [(t.id, n.value) for n in ast.walk(tree) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
-    held = {v for v, x in assigns if isinstance(x, ast.Constant) and isinstance(x.value, str) and SQL_WORD.search(x.value.upper())}
+    held = {v for v, x in assigns if isinstance(x, ast.Constant) and isinstance(x.value, str) and (SQL_VERB.search(x.value.upper()) or SQL_CLAUSE.search(x.value.upper()))}
     sums = [(v, {s.id for s in (x.left, x.right) if isinstance(s, ast.Name)}) for v, x in assigns if isinstance(x, ast.BinOp) and isinstance(x.op, ast.Add)]
     while more := {v for v, parts in sums if parts & held} - held:
         held |= more
@@ -91,15 +105,27 @@ def python_findings(text: str) -> list[tuple[int, str]]:
     found += [(c.lineno, "weak_random") for c in weak_random(tree)]
     held = sql_variables(tree)
     found += [(c.lineno, "sql_injection") for c in calls if "execute" in dotted(c.func).lower() and len(c.args) == 1 and isinstance(c.args[0], ast.Name) and c.args[0].id in held]
-    for n in ast.walk(tree):
-        if isinstance(n, (ast.BinOp, ast.JoinedStr)) and any(isinstance(p, ast.Constant) and isinstance(p.value, str) and re.search(r"\b(SELECT|INSERT|UPDATE|DELETE)\b.*\b(FROM|INTO|SET|WHERE)\b", p.value.upper()) for p in ast.walk(n)):
-            found.append((n.lineno, "sql_concatenation"))
+    found += [(n.lineno, "sql_concatenation") for n in ast.walk(tree) if isinstance(n, ast.BinOp) and looks_like_sql(ast.get_source_segment(text, n) or "")]
     return found
 
 
 def script_findings(text: str) -> list[tuple[int, str]]:
-    """An approximation by patterns, as no parser of the language is at hand."""
-    return [(no, {"eval": "code_execution", "exec": "command_injection", "readFile": "file_read"}[m[1] or m[2]]) for no, line in enumerate(text.splitlines(), 1) for m in JS_CALL.finditer(line)]
+    """An approximation by patterns, as no parser of the language is at hand: calls outside literals, and sums in a line."""
+    found = []
+    for no, line in enumerate(text.splitlines(), 1):
+        for m in CALLEE.finditer(QUOTED.sub(lambda q: "_" * len(q[0]), line)):
+            name = m[1]
+            if name in ("eval", "exec"):
+                found.append((no, "dangerous_eval"))
+            if name in ("exec", "execSync") or name.endswith(".exec"):
+                found.append((no, "command_injection"))
+            if name in ("readFile", "readFileSync") and m[2] not in ("", ")"):
+                found.append((no, "path_traversal"))
+        for m in SUM.finditer(line):
+            # each sum of the first terms is a sum of its own
+            ends = [t.end() for t in TERM.finditer(m[0])][1:]
+            found += [(no, "sql_injection") for end in ends if looks_like_sql(m[0][:end])]
+    return found
 
 
 def tree_findings(f: DataFrame) -> DataFrame:
@@ -142,13 +168,23 @@ REACH = """WITH RECURSIVE edges AS (SELECT p_partkey AS src, (p_partkey * 3 + 1)
 reach(v, hops) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 50 = 0 UNION SELECT e.dst, r.hops + 1 FROM reach r JOIN edges e ON e.src = r.v WHERE r.hops < (SELECT count(*) FROM part))
 SELECT v, min(hops) AS hops FROM reach GROUP BY v"""
 _single = lambda s, d: code_lines(s, d).selectExpr("CONCAT(file_path, '#', ordinal, CASE WHEN right(file_path, 3) = '.py' THEN '.py' ELSE '.js' END) AS file_path", "replace(text, 'return ', '') AS text")
-register("t1_python_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.py'"))
+# what the trees of the snippets hold, read by hand
+_PY = [("os.system(", 1, "command_injection"), ("yaml.load(request.body)", 1, "unsafe_yaml"), ("pickle.loads(body)", 1, "unsafe_pickle"), ("exec(user_code)", 1, "code_execution"), ("shell=True", 1, "command_injection"), ("table_x", 1, "sql_concatenation"), ("token = random", 1, "weak_random"), ("def new_token", 2, "weak_random")]
+_JS = [("child_process.exec(", 1, "command_injection"), ("eval(req", 1, "dangerous_eval"), ("exec(cmd)", 1, "dangerous_eval"), ("exec(cmd)", 1, "command_injection"), ("readFile(path)", 1, "path_traversal"), ("+ req.query.id", 1, "sql_injection"), ("+ req.query[", 1, "sql_injection")]
+
+
+def _by_hand(rows: list[tuple[str, int, str]], python: bool) -> str:
+    held = ", ".join(f"('{w}', {n}, '{t}')" for w, n, t in rows)
+    return f"SELECT file_path || '#' || ordinal || '{'.py' if python else '.js'}' AS file_path, line, type FROM code_lines JOIN (VALUES {held}) t(word, line, type) ON contains(text, word) WHERE ends_with(file_path, '.py') = {python}"
+
+
+register("t1_python_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.py'"), f"WITH {CODE_LINES} {_by_hand(_PY, True)}")
 _weak = lambda word: lambda s, d: tree_findings(_single(s, d)).where("type = 'weak_random'").join(_single(s, d).where(F.col("text").contains(word)).select("file_path"), "file_path", "left_semi").select("file_path", "line")
 _WEAK = "WITH {0} SELECT file_path || '#' || ordinal || '.py' AS file_path, {1}::INT AS line FROM code_lines WHERE ends_with(file_path, '.py') AND contains(text, '{2}')"
 register("t2_weak_random_assignment", _weak("token = random"), _WEAK.format(CODE_LINES, 1, "token = random"))
 register("t3_weak_random_function", _weak("def new_token"), _WEAK.format(CODE_LINES, 2, "def new_token"))
 register("t4_reachable_fragments", reachable)
 register("t4_reachable_all", reachable)
-register("t5_hybrid_dispatch", lambda s, d: tree_findings(_single(s, d)).groupBy("type").count())
-register("t6_script_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.js'"))
-register("t7_sql_concatenation", lambda s, d: tree_findings(_single(s, d)).where("type = 'sql_concatenation'"))
+register("t5_hybrid_dispatch", lambda s, d: tree_findings(_single(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")), f"WITH {CODE_LINES}, a AS ({_by_hand(_PY, True)} UNION ALL {_by_hand(_JS, False)}) SELECT type, count(*) AS n FROM a GROUP BY 1")
+register("t6_script_calls", lambda s, d: tree_findings(_single(s, d)).where("right(file_path, 3) = '.js'"), f"WITH {CODE_LINES} {_by_hand(_JS, False)}")
+register("t7_sql_concatenation", lambda s, d: tree_findings(_single(s, d)).where("type = 'sql_concatenation'"), f"WITH {CODE_LINES} {_by_hand([x for x in _PY if x[2] == 'sql_concatenation'], True)}")

@@ -56,6 +56,8 @@ SNIPPETS = [
     (".js", "db.query(\"SELECT a FROM t WHERE b=\" + req.query['b'])"),
     (".js", "const t = jwt.sign(\n  claims,\n  SECRET\n)"),
     (".cs", "var q = Request.Query[\"q\"];"),
+    (".py", "q = \"SELECT a FROM table_x WHERE b=\" + c"),
+    (".js", "const n = exec(cmd) + readFile(path)"),
     (".py", "token = random.random()"),
     (".py", "def new_token():\n    x = random.choice(\"ab\")"),
 ]
