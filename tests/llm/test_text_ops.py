@@ -304,3 +304,28 @@ def test_html_reads_deep_pages_in_proportion(page):
     p.text(p.best_path())
     assert time.process_time() - began < 15 and tracemalloc.get_traced_memory()[1] < 150 << 20
     tracemalloc.stop()
+
+
+def test_operators_take_repeated_rows_empty_tables_and_clashing_columns(spark, library):
+    """Columns that bear the names of results or of steps are not read; repeated rows are answered each."""
+    _, _, path = library
+    extra = {n: langid.F.lit("x") for n in ("t", "p", "host", "n_tokens", "payload_digest", "path", "score", "example", "final")}
+    conv = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted(chat.op5(conv.withColumns(extra)).collect()) == sorted(chat.op5(conv).collect())
+    pages = spark.createDataFrame([(1, "http://a.b/c", PAGE), (1, "http://a.b/c", PAGE), (2, None, None)], "page_id long, url string, html string")
+    assert sorted(html.op8(pages.withColumns(extra)).collect()) == sorted(html.op8(pages).collect())
+    assert sorted(map(str, warc.op10(pages.withColumns(extra)).collect())) == sorted(map(str, warc.op10(pages).collect()))
+    rows = [(1, "the cat sat on the mat"), (1, "the cat sat on the mat"), (None, "x")]
+    counts = tokens.count_tokens(docs(spark, rows).withColumns(extra), path).collect()
+    assert len(counts) == 3 and len({(r.doc_id, r.n_tokens) for r in counts}) == 2
+    assert tokens.count_tokens(docs(spark, []), path).count() == 0
+    d = spark.createDataFrame([(k % 7, f"lorem ipsum {k % 7}", "aa") for k in range(40)], "doc_id long, text string, lang string").withColumns(extra)
+    got = langid.op6(d).collect()
+    assert len(got) == 40 and len(set(got)) == 7
+
+
+def test_a_real_conversation_of_the_added_id_joins_it(spark):
+    """The added turns come among those of a conversation that bears their id, in the order of turn, role and text."""
+    conv = spark.createDataFrame([(-1, 5, "user", "late")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.op5(conv).collect()
+    assert (r.conv_id, r.n_turns) == (-1, 3)

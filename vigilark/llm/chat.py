@@ -12,7 +12,8 @@ All of this is built-in column functions. An example repeats its context by defi
 one, and what is grouped by conversation afterwards is one digest and one reply a turn.
 
 Defined cases: a null text or role counts as empty; turns are ordered by (turn, role, text), null turns first,
-and repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty result;
+and repeated rows are turns of their own; a null conv_id is a conversation; the query's added turns join a real
+conversation that bears their id, -1; an empty table gives an empty result;
 other columns of the input are not read.
 """
 
