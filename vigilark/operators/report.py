@@ -108,7 +108,6 @@ IMPACT = cases(
     "'May allow attackers to compromise confidentiality, integrity, or availability.'",
 )
 FIX_MINUTES = "CASE upper(severity) WHEN 'CRITICAL' THEN 30 WHEN 'HIGH' THEN 20 WHEN 'MEDIUM' THEN 12 ELSE 8 END"
-LIKELIHOOD = "CASE WHEN confidence / 100.0 > 0.75 THEN 'LIKELY' WHEN confidence / 100.0 >= 0.4 THEN 'POSSIBLY' ELSE 'UNCLEAR' END"
 
 
 def ranked(merged: DataFrame) -> DataFrame:
@@ -168,15 +167,11 @@ _q("o9_client_sort", lambda f: f.withColumn("place", F.row_number().over(W.parti
 _q("o10_delete_latest", lambda f: f.join(F.broadcast(f.groupBy("repo").agg(F.max("ordinal").alias("ordinal"))), ["repo", "ordinal"], "left_anti").select("repo", "ordinal"), "\nSELECT repo, ordinal FROM findings f WHERE ordinal <> (SELECT max(ordinal) FROM findings g WHERE g.repo = f.repo)")
 _q("w8_previews", lambda f: ranked(merge_duplicates(f)).where("place <= 3").select("repo", "place", "ordinal"), f", {_MERGE_SQL} SELECT repo, ordinal, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS place FROM merged QUALIFY place <= 3")
 _q("f14_candidate_filter", lambda f: f.where("finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')").select("ordinal"), "\nSELECT ordinal FROM findings WHERE finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')")
-_q("c25_exploit_texts", lambda f: f.select("ordinal", F.expr(IMPACT).alias("impact"), F.expr(FIX_MINUTES).alias("fix_minutes"), F.expr(LIKELIHOOD).alias("likelihood")), f"\nSELECT ordinal, {IMPACT} AS impact, {FIX_MINUTES} AS fix_minutes, {LIKELIHOOD} AS likelihood FROM findings")
 _q("c26_complexity", lambda f: merge_duplicates(f).select("ordinal", F.expr(COMPLEXITY).cast("long").alias("complexity")), f", {_MERGE_SQL} SELECT ordinal, ({COMPLEXITY})::BIGINT AS complexity FROM merged")
 _q("c27_rank_keys", lambda f: f.select("ordinal", F.expr(RANK).alias("severity_rank"), F.expr(EXPLOIT_RANK).alias("exploit_rank")), f"\nSELECT ordinal, {RANK} AS severity_rank, {EXPLOIT_RANK} AS exploit_rank FROM findings")
-_COVERAGE = "CASE WHEN issues = 0 AND (files <= 0 OR checks <= 0) THEN 'Limited Coverage' WHEN critical > 0 THEN 'Immediate action required' ELSE 'ok' END"
-_q("c32_coverage_state", lambda f: f.groupBy("repo", "file").agg(F.count_if(F.col("ordinal") % 2 == 0).alias("issues"), F.count_if(F.col("line") > 10).alias("files"), F.count_if(F.col("confidence") > 70).alias("checks"), F.count_if(F.col("severity") == "CRITICAL").alias("critical")).select("repo", "file", F.expr(_COVERAGE).alias("state")), f"\nSELECT repo, file, {_COVERAGE} AS state FROM (SELECT repo, file, count(*) FILTER (ordinal % 2 = 0) AS issues, count(*) FILTER (line > 10) AS files, count(*) FILTER (confidence > 70) AS checks, count(*) FILTER (severity = 'CRITICAL') AS critical FROM findings GROUP BY 1, 2)")
 _q("u1_union_scanners", lambda f: f.where("scanner = 'dependency'").select("ordinal", F.lit(1).alias("stage")).unionByName(f.where("scanner = 'regex'").select("ordinal", F.lit(3).alias("stage"))).unionByName(f.where("scanner = 'ast'").select("ordinal", F.lit(4).alias("stage"))).unionByName(f.where("scanner = 'semgrep'").select("ordinal", F.lit(5).alias("stage"))), "\nSELECT ordinal, CASE scanner WHEN 'dependency' THEN 1 WHEN 'regex' THEN 3 WHEN 'ast' THEN 4 ELSE 5 END AS stage FROM findings")
 _q("u2_distinct_union", lambda f: f.select("category").union(f.select("scanner")).distinct(), "\nSELECT category FROM findings UNION SELECT scanner FROM findings")
 _q("u3_difference", lambda f: f.select("file", "line").distinct().join(f.where("severity = 'CRITICAL'").select("file", "line").distinct(), ["file", "line"], "left_anti"), "\nSELECT file, line FROM findings EXCEPT SELECT file, line FROM findings WHERE severity = 'CRITICAL'")
 _q("w1_first_wins", lambda f: f.withColumn("nth", F.row_number().over(W.partitionBy("repo", "category").orderBy("ordinal"))).where("nth = 1").select("repo", "category", "ordinal"), "\nSELECT repo, category, min(ordinal) AS ordinal FROM findings GROUP BY 1, 2")
 _q("w2_arg_max", lambda f: f.groupBy("repo").agg(F.max_by("ordinal", F.struct("confidence", -F.col("ordinal"))).alias("ordinal"), F.max("confidence").alias("confidence")), "\nSELECT repo, ordinal, confidence FROM findings QUALIFY row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, ordinal) = 1")
 register("n3_json_report", lambda s, d: json_report(findings(s, d).selectExpr("ordinal DIV 20 AS scan", "ordinal", "severity", "file"), "scan").selectExpr("scan", "length(report) AS n_chars", "json_array_length(get_json_object(report, '$.issues')) AS n"), f"WITH {FINDINGS} SELECT ordinal // 20 AS scan, (13 + sum(length('{{\"ordinal\":' || ordinal || ',\"severity\":\"' || severity || '\",\"file\":\"' || file || '\"}},')) - 1)::INT AS n_chars, count(*)::INT AS n FROM findings GROUP BY 1")
-register("n5_badge", lambda s, d: findings(s, d).groupBy("repo").count().selectExpr("repo", "CASE WHEN count % 100 >= 80 THEN 'green' WHEN count % 100 >= 50 THEN 'yellow' ELSE 'red' END AS colour"), f"WITH {FINDINGS} SELECT repo, CASE WHEN count(*) % 100 >= 80 THEN 'green' WHEN count(*) % 100 >= 50 THEN 'yellow' ELSE 'red' END AS colour FROM findings GROUP BY 1")

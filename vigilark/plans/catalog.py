@@ -1,3 +1,3 @@
 """Imports every operator module, so that all queries are registered."""
 
-from ..operators import advisories, classify, context, guidance, inputs, jobs, manifests, metrics, pyast, report, rules, taint  # noqa: F401
+from ..operators import advisories, artifacts, classify, context, guidance, inputs, jobs, manifests, metrics, pyast, report, rules, taint  # noqa: F401
