@@ -162,4 +162,40 @@ _a("f15_manifest_filter", lambda s, d: dependencies(s, d).selectExpr("dep_id", "
 _a("j7_distinct_fan_out", lambda s, d: dependencies(s, d).join(dependencies(s, d).select("name", "version").distinct().withColumn("key", F.concat_ws(":", "name", "version")), ["name", "version"]).select("dep_id", "key"), "x AS (SELECT 1) SELECT dep_id, name || ':' || version AS key FROM deps")
 _a("x15_version_key", lambda s, d: dependencies(s, d).select("dep_id", F.dense_rank().over(W.partitionBy("name").orderBy(version_key(F.col("version")))).alias("place")), f"x AS (SELECT 1) SELECT dep_id, dense_rank() OVER (PARTITION BY name ORDER BY {_VK.format('version')}) AS place FROM deps")
 _a("x16_prerelease", lambda s, d: advisories(s, d).select("adv", F.explode("fixed").alias("v")).select("adv", "v", prerelease(F.col("v")).alias("pre")), "x AS (SELECT 1) SELECT adv, v, contains(v, 'beta') AS pre FROM (SELECT adv, unnest(fixed) AS v FROM advs)")
-_a("j6_dimension_lookup", lambda s, d: dependencies(s, d).join(F.broadcast(s.createDataFrame([("Brand#11", "1.0"), ("Brand#22", "2.0")], "name string, known string")), "name", "left").select("dep_id", "known"), "x AS (SELECT 1) SELECT dep_id, CASE name WHEN 'Brand#11' THEN '1.0' WHEN 'Brand#22' THEN '2.0' END AS known FROM deps")
+# fixed values: versions that mend known packages, where advisories name none; names of impacts
+KNOWN_FIXES = {
+    "npm": {"express": "4.18.2", "lodash": "4.17.21", "axios": "1.6.0", "jsonwebtoken": "9.0.0", "sqlite3": "5.1.7", "mysql": "2.18.1"},
+    "pypi": {"flask": "3.0.0", "django": "4.2.7", "pyyaml": "6.0.1", "pillow": "10.1.0", "cryptography": "41.0.5", "requests": "2.31.0"},
+}
+IMPACT_NAMES = {
+    "RCE": "Remote Code Execution (RCE)", "Data Leak": "Sensitive Information Exposure (Data Leak)", "DoS": "Denial of Service (DoS)",
+    "Auth Bypass": "Authentication Bypass (Auth Bypass)", "Injection": "Injection", "Unknown": "Unknown",
+}
+
+
+def known_fix(ecosystem: Column, name: Column) -> Column:
+    pairs = [(f"{e}:{n}", v) for e, fixes in KNOWN_FIXES.items() for n, v in fixes.items()]
+    return F.create_map(*[F.lit(x) for kv in pairs for x in kv])[F.concat_ws(":", F.lower(F.coalesce(ecosystem, F.lit(""))), F.lower(F.coalesce(name, F.lit(""))))]
+
+
+def impact_name(impact: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in IMPACT_NAMES.items() for x in kv])[impact], F.lit("Unknown"))
+
+
+def _dimensions(s, d: str) -> DataFrame:
+    names = [n for fixes in KNOWN_FIXES.values() for n in fixes] + ["Flask", "left-pad", "LODASH"]
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
+    key = F.col("dep_id")
+    x = dependencies(s, d).select("dep_id", pick(["npm", "PyPI", "Maven"], key % 3).alias("ecosystem"), pick(names, F.floor(key / 3) % len(names)).alias("name"), pick([*IMPACT_NAMES, "other"], key % 7).alias("impact"))
+    return x.select("dep_id", known_fix(F.col("ecosystem"), F.col("name")).alias("known"), impact_name(F.col("impact")).alias("impact"))
+
+
+_a(
+    "j6_dimension_lookup",
+    _dimensions,
+    """fixes(e, n, known) AS (VALUES ('npm', 'express', '4.18.2'), ('npm', 'lodash', '4.17.21'), ('npm', 'axios', '1.6.0'), ('npm', 'jsonwebtoken', '9.0.0'), ('npm', 'sqlite3', '5.1.7'), ('npm', 'mysql', '2.18.1'),
+  ('pypi', 'flask', '3.0.0'), ('pypi', 'django', '4.2.7'), ('pypi', 'pyyaml', '6.0.1'), ('pypi', 'pillow', '10.1.0'), ('pypi', 'cryptography', '41.0.5'), ('pypi', 'requests', '2.31.0')),
+names(k, n) AS (VALUES (0, 'express'), (1, 'lodash'), (2, 'axios'), (3, 'jsonwebtoken'), (4, 'sqlite3'), (5, 'mysql'), (6, 'flask'), (7, 'django'), (8, 'pyyaml'), (9, 'pillow'), (10, 'cryptography'), (11, 'requests'), (12, 'flask'), (13, 'left-pad'), (14, 'lodash')),
+impacts(k, impact) AS (VALUES (0, 'Remote Code Execution (RCE)'), (1, 'Sensitive Information Exposure (Data Leak)'), (2, 'Denial of Service (DoS)'), (3, 'Authentication Bypass (Auth Bypass)'), (4, 'Injection'), (5, 'Unknown'), (6, 'Unknown'))
+SELECT dep_id, known, impact FROM deps JOIN impacts ON impacts.k = dep_id % 7 JOIN names ON names.k = dep_id // 3 % 15 LEFT JOIN fixes ON fixes.n = names.n AND e = ['npm', 'pypi', 'maven'][(dep_id % 3)::INT + 1]""",
+)

@@ -268,7 +268,22 @@ _q("c2_text_blob", {"issue_text": blob("rule_id", "title", "message", "snippet")
 _q("c3_data_source", {"data_source": "data_source"}, every=True)
 _q("c4_usage_context", {"usage_context": "usage_context"}, every=True)
 _q("c5_policy_severity", {"severity": "severity"}, every=True)
-_q("c6_improvement_severity", {"severity": cases([(f"nth + ordinal % 15 = {k + 1}", f"'{s}'") for k, (_, _, s) in enumerate(IMPROVEMENTS)], "'INFO'")}, every=True)
+
+
+def _improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line under the id of one improvement, or of none of them."""
+    ids = F.array(*[F.lit(f"regex.improvement.{i}") for i, _, _ in IMPROVEMENTS], F.lit("regex.improvement.other"))
+    x = code_lines(spark, sf_dir).withColumn("rule_id", F.element_at(ids, (F.col("ordinal") % (len(IMPROVEMENTS) + 1) + 1).cast("int")))
+    blank = F.lit("")
+    return finalize(x.select("ordinal", "rule_id", blank.alias("title"), blank.alias("message"), blank.alias("snippet"), "file_path", F.lit("regex").alias("scanner"), F.lit("HIGH").alias("scanner_severity")))
+
+
+_KNOWN = ", ".join(f"({k}, '{c}', '{v}')" for k, (_, c, v) in enumerate(IMPROVEMENTS))
+register(
+    "c6_improvement_severity",
+    lambda spark, d: _improvements(spark, d).select("ordinal", "category", "severity"),
+    f"WITH known(k, category, severity) AS (VALUES {_KNOWN}) SELECT event_id AS ordinal, coalesce(category, 'Unverified Security Signal') AS category, coalesce(severity, 'INFO') AS severity FROM events LEFT JOIN known ON k = event_id % {len(IMPROVEMENTS) + 1}",
+)
 _q("c7_pattern_strength", {"strength": "strength"})
 _q("c8_confidence", {"confidence": "confidence"}, every=True)
 _q("c9_labels", {"confidence_label": "confidence_label", "attention_level": "confidence_label"})

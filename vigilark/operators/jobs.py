@@ -20,8 +20,8 @@ def as_of(j: DataFrame, col: str = "ts") -> DataFrame:
     return j.crossJoin(F.broadcast(j.agg(F.max(col).alias("as_of"))))
 
 
-def accepted(events: DataFrame, hours: int = 24) -> DataFrame:
-    """events (key, ts, seq) that come hours or more after the last accepted one of their key, or are its first.
+def accepted(events: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """events (key, ts, seq) that come seconds or more after the last accepted one of their key, or are its first.
 
     Events stream in the order of (key, ts, seq) and one time is kept, so a key with very many of them needs no group.
     """
@@ -35,7 +35,7 @@ def accepted(events: DataFrame, hours: int = 24) -> DataFrame:
                 fresh = until is None or k != key or t >= until
                 keep.append(fresh)
                 if fresh:
-                    key, until = k, t + hours * 3_600_000_000
+                    key, until = k, t + seconds * 1_000_000
             yield b.filter(pa.array(keep, pa.bool_()))
 
     spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -43,6 +43,45 @@ def accepted(events: DataFrame, hours: int = 24) -> DataFrame:
     return x.repartition(spread, "key").sortWithinPartitions("key", "ts", "seq").mapInArrow(run, x.schema)
 
 
+def next_jobs(j: DataFrame, lease: str = "INTERVAL 30 MINUTES") -> DataFrame:
+    """Jobs that a worker can take: queued ones in the order of their queueing, then those whose lease ran out, as these queue up again."""
+    last = latest(j).crossJoin(F.broadcast(j.agg(F.max("ts").alias("as_of"))))  # one row
+    until = F.col("ts") + F.expr(lease)
+    back = (F.col("state") == "processing") & (until <= F.col("as_of"))
+    ready = last.where((F.col("state") == "queued") | back)
+    return ready.select("job_id", F.when(back, 1).otherwise(0).alias("requeued"), F.when(back, until).otherwise(F.col("ts")).alias("since"), (F.col("attempts") + 1).alias("attempt"))
+
+
+def job_records(log: DataFrame) -> DataFrame:
+    """log (job_id, seq, action) to status, stage and retries of each job.
+
+    Actions: start, run, retry, complete, fail. What comes before a job's start, or without one, is ignored; a retry
+    changes the stage alone.
+    """
+    action, seq = F.col("action"), F.col("seq")
+    status = F.create_map(*[F.lit(x) for x in ("run", "running", "complete", "completed", "fail", "failed")])[action]
+    stage = F.create_map(*[F.lit(x) for x in ("run", "initializing", "retry", "retrying", "complete", "completed", "fail", "failed")])[action]
+    newest = lambda c: F.max(F.when(c.isNotNull(), F.struct(seq.alias("at"), c.alias("x"))))
+    born = log.where(action == "start").groupBy("job_id").agg(F.min(seq).alias("born"))
+    later = log.join(born, "job_id").where(seq > F.col("born")).groupBy("job_id").agg(newest(status).alias("status"), newest(stage).alias("stage"), F.count_if(action == "retry").alias("retries"))
+    told = lambda c, first: F.coalesce(F.col(c)["x"], F.lit(first)).alias(c)
+    return born.join(later, "job_id", "left").select("job_id", told("status", "pending"), told("stage", "queued"), F.coalesce("retries", F.lit(0)).cast("int").alias("retries"))
+
+
+def check_runs(requests: DataFrame, remote: DataFrame, local: DataFrame, name: str) -> DataFrame:
+    """requests (external_id, repo, sha, ...) with the check run to write to, and how it was found.
+
+    One of the commit with the same id and name comes first (remote: repo, sha, external_id, name, run_id, pos), then
+    the last that was stored for the repository's commit (local: repo, sha, run_id, seq), else one is created.
+    """
+    key = lambda: F.concat_ws("@", F.lower(F.trim("repo")), F.lower(F.trim("sha")))
+    found = remote.where(F.col("name") == name).groupBy(F.trim("external_id").alias("external_id"), key().alias("key")).agg(F.min_by("run_id", "pos").alias("found"))
+    kept = local.groupBy(key().alias("key")).agg(F.max_by("run_id", "seq").alias("kept"))
+    x = requests.withColumn("key", key()).join(found, ["external_id", "key"], "left").join(kept, "key", "left")
+    how = F.when(F.col("found").isNotNull(), "found").when(F.col("kept").isNotNull(), "stored").otherwise("created")
+    return x.select(*requests.columns, F.coalesce("found", "kept").alias("run_id"), how.alias("how"))
+
+
 def _j(name, fn, sql):
     register(name, lambda s, d: fn(job_events(s, d)), f"WITH {JOB_EVENTS} {sql}")
 
@@ -51,10 +90,41 @@ _LATEST = "SELECT job_id, state, ts, worker FROM job_events QUALIFY row_number()
 _j("k3_job_status", lambda j: latest(j).select("job_id", "state"), f", l AS ({_LATEST}) SELECT job_id, state FROM l")
 _j("k4_backpressure", lambda j: latest(j).agg(F.count_if(F.col("state") == "queued").alias("depth"), F.count_if(F.col("state") == "processing").alias("inflight")).select("*", (F.col("depth") >= 200).alias("busy"), (F.col("inflight") >= 2).alias("hold")), f", l AS ({_LATEST}) SELECT count(*) FILTER (state = 'queued') AS depth, count(*) FILTER (state = 'processing') AS inflight, count(*) FILTER (state = 'queued') >= 200 AS busy, count(*) FILTER (state = 'processing') >= 2 AS hold FROM l")
 _j("k2_expired_leases", lambda j: as_of(j).groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), "seq").alias("x"), F.max("as_of").alias("as_of")).where("x.state = 'processing' AND x.ts < as_of - INTERVAL 30 MINUTES").select("job_id"), f", l AS ({_LATEST}) SELECT job_id FROM l WHERE state = 'processing' AND ts < (SELECT max(ts) FROM job_events) - INTERVAL 30 MINUTES")
+_j(
+    "k2_next_jobs",
+    lambda j: next_jobs(j).orderBy("requeued", "since", "job_id").limit(50),
+    f""", l AS ({_LATEST}), t AS (SELECT max(ts) AS now FROM job_events), n AS (SELECT job_id, count(*) + 1 AS attempt FROM job_events WHERE state = 'processing' GROUP BY 1)
+SELECT job_id, (state = 'processing')::INT AS requeued, CASE state WHEN 'queued' THEN ts ELSE ts + INTERVAL 30 MINUTES END AS since, coalesce(attempt, 1) AS attempt FROM l LEFT JOIN n USING (job_id), t
+WHERE state = 'queued' OR (state = 'processing' AND now >= ts + INTERVAL 30 MINUTES) ORDER BY 2, 3, 1 LIMIT 50""",
+)
 _j("k5_live_workers", lambda j: as_of(j).where("ts >= as_of - INTERVAL 6 HOURS").agg(F.countDistinct("worker").alias("live")), "SELECT count(DISTINCT worker) AS live FROM job_events WHERE ts >= (SELECT max(ts) FROM job_events) - INTERVAL 6 HOURS")
 _j("k10_keep_last", lambda j: j.withColumn("nth", F.row_number().over(W.partitionBy("worker").orderBy(F.desc("ts"), F.desc("seq")))).where("nth <= 200").select("seq"), "SELECT seq FROM job_events QUALIFY row_number() OVER (PARTITION BY worker ORDER BY ts DESC, seq DESC) <= 200")
-_j("k11_state_machine", lambda j: j.where("state <> 'queued'").join(j.where("state = 'queued'").groupBy("job_id").agg(F.min("seq").alias("born")), "job_id").where("seq > born").groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.count(F.lit(1)).alias("updates")), "SELECT job_id, arg_max(state, seq) AS state, count(*) AS updates FROM (SELECT *, min(seq) FILTER (state = 'queued') OVER (PARTITION BY job_id) AS born FROM job_events) WHERE state <> 'queued' AND seq > born GROUP BY 1")
+_ACTIONS = "CASE WHEN state = 'queued' THEN CASE WHEN seq % 3 = 0 THEN 'start' ELSE 'retry' END WHEN state = 'processing' THEN 'run' WHEN state = 'done' THEN 'complete' ELSE 'fail' END AS action"
+_j(
+    "k11_job_records",
+    lambda j: job_records(j.selectExpr("job_id", "seq", _ACTIONS)),
+    f""", l AS (SELECT job_id, seq, {_ACTIONS} FROM job_events), b AS (SELECT job_id, min(seq) AS born FROM l WHERE action = 'start' GROUP BY 1), a AS (SELECT l.* FROM l JOIN b USING (job_id) WHERE seq > born),
+s AS (SELECT job_id, ['running', 'completed', 'failed'][list_position(['run', 'complete', 'fail'], action)] AS status FROM a WHERE action NOT IN ('start', 'retry') QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
+g AS (SELECT job_id, ['initializing', 'completed', 'failed', 'retrying'][list_position(['run', 'complete', 'fail', 'retry'], action)] AS stage FROM a WHERE action <> 'start' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1),
+r AS (SELECT job_id, count(*)::INT AS retries FROM a WHERE action = 'retry' GROUP BY 1)
+SELECT job_id, coalesce(status, 'pending') AS status, coalesce(stage, 'queued') AS stage, coalesce(retries, 0)::INT AS retries FROM b LEFT JOIN s USING (job_id) LEFT JOIN g USING (job_id) LEFT JOIN r USING (job_id)""",
+)
 _j("k12_check_run_upsert", lambda j: j.withColumn("key", F.concat_ws("@", "job_id", "worker")).groupBy("key").agg(F.min("seq").alias("created"), F.max_by("state", "seq").alias("state")), "SELECT job_id || '@' || worker AS key, min(seq) AS created, arg_max(state, seq) AS state FROM job_events GROUP BY 1")
+
+
+def _check_runs(j: DataFrame) -> DataFrame:
+    x = j.select("seq", "state", F.col("job_id").cast("string").alias("external_id"), F.upper("worker").alias("repo"), (F.col("job_id") % 50).cast("string").alias("sha"))
+    remote = x.where("state = 'processing'").select("repo", "sha", "external_id", F.when(F.col("seq") % 2 == 0, "scan").otherwise("lint").alias("name"), F.col("seq").alias("run_id"), F.col("seq").alias("pos"))
+    local = x.where("state = 'done'").select(F.lower("repo").alias("repo"), "sha", F.col("seq").alias("run_id"), "seq")
+    return check_runs(x.where("state = 'queued'").select("seq", "external_id", "repo", "sha"), remote, local, "scan").select("seq", "run_id", "how")
+
+
+_j(
+    "k12_check_runs",
+    _check_runs,
+    """, q AS (SELECT *, job_id % 50 AS sha FROM job_events), r AS (SELECT worker, job_id, min(seq) AS found FROM q WHERE state = 'processing' AND seq % 2 = 0 GROUP BY 1, 2), l AS (SELECT worker, sha, max(seq) AS kept FROM q WHERE state = 'done' GROUP BY 1, 2)
+SELECT seq, coalesce(found, kept) AS run_id, CASE WHEN found > 0 THEN 'found' WHEN kept > 0 THEN 'stored' ELSE 'created' END AS how FROM q LEFT JOIN r USING (worker, job_id) LEFT JOIN l USING (worker, sha) WHERE state = 'queued'""",
+)
 _j("k13_expired_tokens", lambda j: as_of(j).where("ts + INTERVAL 20 DAYS > as_of").select("seq"), "SELECT seq FROM job_events WHERE ts + INTERVAL 20 DAYS > (SELECT max(ts) FROM job_events)")
 # fixed values: words of errors and what is told of them, first match wins
 TRANSIENT = ("timed out", "timeout", "connection", "temporar", "network", "rate limit", "429", "502", "503", "504")
@@ -94,6 +164,8 @@ _j("k8_cache_key", lambda j: j.groupBy("worker", "job_id").agg(F.max("ts").alias
 _ACCEPTED = """, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS nth, min({'ts': ts, 'seq': seq}) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM job_events)
 SELECT seq FROM (WITH RECURSIVE a AS (SELECT seq, nxt FROM n WHERE nth = 1 UNION ALL SELECT n.seq, n.nxt FROM a JOIN n ON n.seq = a.nxt.seq) SELECT seq FROM a)"""
 _j("k1_dedup_ttl", lambda j: accepted(j.select(F.col("job_id").alias("key"), "ts", "seq")).select("seq"), _ACCEPTED)
+# answers are kept for half a day after each fetch; a fetch is what the kept ones don't answer
+_j("k8_cache_fetches", lambda j: accepted(j.select(F.col("worker").alias("key"), "ts", "seq"), 43_200).select("seq"), _ACCEPTED.replace("24 HOURS", "12 HOURS").replace("PARTITION BY job_id", "PARTITION BY worker"))
 
 _URL = "CASE WHEN user_id % 2 = 0 THEN 'HTTPS://GitHub.com/Org/r' || user_id || '/' ELSE 'https://github.com/org/r' || user_id END"
 register("j11_latest_by_url", lambda s, d: read(s, d, "events").selectExpr("event_id", "ts", f"{_URL.replace('user_id', '(user_id % 20)')} AS url").withColumn("key", F.regexp_replace(F.lower("url"), "/+$", "")).groupBy("key").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), f"SELECT key, event_id FROM (SELECT event_id, ts, rtrim(lower({_URL.replace('user_id', '(user_id % 20)')}), '/') AS key FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1")

@@ -74,6 +74,26 @@ _m("a18_quota_counts", lambda e: e.where(F.col("event") == "scan_started").group
 _m("u4_supported_events", lambda e: e.where(F.col("event").isin("scan_started", "audit_unlocked")).select("event_id"), "\nSELECT event_id FROM metric_events WHERE event IN ('scan_started', 'audit_unlocked')")
 _m("n1_metrics_csv", lambda e: csv_export(windows(e)), f", {_WINDOWS}, r AS (SELECT *, {_RATIOS} FROM v) SELECT span, concat_ws(',', span, events, users, {', '.join(KINDS)}, printf('%.2f', completion), printf('%.2f', click_through), printf('%.2f', conversion)) AS line FROM r")
 _m("n4_upsert_latest", lambda e: e.withColumn("nth", F.row_number().over(W.partitionBy("email").orderBy(F.desc("created_at"), F.desc("event_id")))).where("nth = 1").select("email", "event", "event_id"), "\nSELECT email, event, event_id FROM metric_events QUALIFY row_number() OVER (PARTITION BY email ORDER BY created_at DESC, event_id DESC) = 1")
+
+def upserted(rows: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
+    """One row a key: keep columns of its first row, the others of its last."""
+    rest = [c for c in rows.columns if c != key and c not in keep]
+    at = F.struct(*order)
+    g = rows.groupBy(key).agg(F.min_by(F.struct(*keep), at).alias("_f"), F.max_by(F.struct(*rest), at).alias("_l"))
+    return g.select(key, "_f.*", "_l.*")
+
+
+def first_only(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key; later ones are ignored."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
+
+
+_m("n4_conflict_update", lambda e: upserted(e.select("email", "event", "event_id", "created_at"), "email", ["event_id"], ["created_at"]).select("email", "created_at", "event", "event_id"), "\nSELECT a.email, a.created_at, b.event, b.event_id FROM metric_events a JOIN metric_events b USING (email) WHERE a.event_id = (SELECT min(event_id) FROM metric_events x WHERE x.email = a.email) AND b.event_id = (SELECT max(event_id) FROM metric_events x WHERE x.email = a.email)")
+_m("n4_insert_ignore", lambda e: first_only(e.where("event = 'audit_unlocked'").select("email", "scan_id", "event_id", "created_at"), ["email", "scan_id"], ["event_id"]), "\nSELECT email, scan_id, event_id, created_at FROM metric_events WHERE event = 'audit_unlocked' QUALIFY row_number() OVER (PARTITION BY email, scan_id ORDER BY event_id) = 1")
+_m("s13_unlocks", lambda e: e.where("event = 'audit_unlocked'").select("email", "scan_id").distinct(), "\nSELECT email, scan_id FROM metric_events WHERE event = 'audit_unlocked' GROUP BY ALL")
+_m("s13_revoked", lambda e: e.join(e.where("event = 'scan_failed'").select("email", "scan_id").distinct(), ["email", "scan_id"], "left_semi").select("event_id"), "\nSELECT event_id FROM metric_events m WHERE EXISTS (FROM metric_events x WHERE x.event = 'scan_failed' AND x.email = m.email AND x.scan_id = m.scan_id)")
+_m("s13_user_scans", lambda e: e.where("event = 'scan_completed'").withColumn("nth", F.row_number().over(W.partitionBy("email").orderBy(F.desc("created_at"), F.desc("event_id")))).where("nth <= 50").select("email", "scan_id", "created_at", "nth"), "\nSELECT email, scan_id, created_at, row_number() OVER (PARTITION BY email ORDER BY created_at DESC, event_id DESC) AS nth FROM metric_events WHERE event = 'scan_completed' QUALIFY nth <= 50")
 _m("s13_range_reads", lambda e: e.where("email = 'u7@example.com' AND created_at >= timestamp'2024-01-15'").orderBy(F.desc("created_at")).select("event_id", "event", "created_at"), "\nSELECT event_id, event, created_at FROM metric_events WHERE email = 'u7@example.com' AND created_at >= TIMESTAMP '2024-01-15'")
 _m("o5_history_page", lambda e: e.where("event = 'scan_completed'").orderBy(F.desc("created_at"), F.desc("event_id")).limit(50).select("event_id", "created_at"), "\nSELECT event_id, created_at FROM metric_events WHERE event = 'scan_completed' ORDER BY created_at DESC, event_id DESC LIMIT 50")
 

@@ -185,7 +185,9 @@ _IMPORT = "rule_id = 'regex.command-injection' AND (left(trim(lower(text)), 7) =
 _q("f9_import_guard", lambda x: matches(scanned(x)).where(f"NOT ({_IMPORT})").select(*_KEYS), f", {MATCHES} SELECT ordinal, rule_id, nth FROM matches WHERE NOT ({_IMPORT})")
 _q("f19_trigger_filter", lambda x: x.where(F.expr(has("lower(text)", TRIGGERS))).select("ordinal"), "\nSELECT ordinal FROM code_lines WHERE regexp_matches(lower(text), 'eval\\(|exec\\(|pickle|yaml\\.load|subprocess|os\\.system|random\\.')")
 _q("a21_scan_counters", lambda x: scanned(x).select("repo", "file_path").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("files"), (F.count(F.lit(1)) * len(RULES)).alias("checks")), f"\nSELECT repo, count(DISTINCT file_path) AS files, count(DISTINCT file_path) * {len(RULES)} AS checks FROM code_lines WHERE {SCANNED} GROUP BY 1")
-_q("j8_files_by_rules", lambda x: scanned(x).select("file_path").distinct().crossJoin(F.broadcast(x.sparkSession.createDataFrame([(i,) for i, _, _ in RULES], "rule_id string"))).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), f"\n, r AS (SELECT unnest({[i for i, _, _ in RULES]}) AS rule_id) SELECT rule_id, count(*) AS n FROM (SELECT DISTINCT file_path FROM code_lines WHERE {SCANNED}), r GROUP BY 1")
+# every file meets every rule as a column of its row, so that no product is made; pairs that match stay
+_RULE_ROWS = ", ".join(f"({lit(i)}, {_duck(p)})" for i, _, p in RULES)
+_q("j8_files_by_rules", lambda x: matches(scanned(x)).select("file_path", "rule_id").distinct(), f"\n, r(rule_id, pattern) AS (VALUES {_RULE_ROWS}) SELECT DISTINCT file_path, rule_id FROM code_lines, r WHERE {SCANNED} AND regexp_matches(text, pattern)")
 _q("w7_carry_forward", lambda x: _carried(x), "\nSELECT ordinal, last_value(CASE WHEN contains(text, 'app.') OR contains(text, 'cors') THEN text END IGNORE NULLS) OVER (PARTITION BY repo, file_path ORDER BY line_no) AS context FROM code_lines")
 
 
