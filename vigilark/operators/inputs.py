@@ -80,8 +80,6 @@ _RAW = [x.replace("\\\\", chr(92)) for x in _RAW]
 _NORMAL = ["src/a.py", "lib/b.js", "env", "src/c.ts", "d.go", "unknown", "e.py", "repo/", "f.py"]
 register("f17_normal_path", lambda s, d: _o(s, d).select("o_orderkey", normal_path(F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("o_orderkey") % len(_RAW) + 1).cast("int")), "/work/r").alias("path")), f"SELECT o_orderkey, {_NORMAL}[(o_orderkey % {len(_NORMAL)})::INT + 1] AS path FROM orders")
 register("x9_xml", lambda s, d: read(s, d, "part").select("p_partkey", F.xpath_string(F.format_string("<p v=\"%s\"><n>%s</n></p>", "p_size", "p_partkey"), F.lit("p/n")).alias("n"), F.xpath_int(F.format_string("<p v=\"%s\"/>", "p_size"), F.lit("p/@v")).alias("v")), "SELECT p_partkey, p_partkey::VARCHAR AS n, p_size AS v FROM part")
-_FIX = "'Before:' || chr(10) || 'old' || o_orderkey || chr(10) || 'After:' || chr(10) || 'new' || (o_orderkey % 7)"
-register("c22_before_after", lambda s, d: _o(s, d).select("o_orderkey", F.expr(_FIX).alias("t")).select("o_orderkey", F.regexp_extract("t", r"Before:\n([^\n]*)", 1).alias("before"), F.regexp_extract("t", r"After:\n([^\n]*)", 1).alias("after")), "SELECT o_orderkey, 'old' || o_orderkey AS before, 'new' || (o_orderkey % 7) AS after FROM orders")
 _GUIDE = [("SQL Injection", "Input reaches a query in %s.", "Bind it."), ("Command Injection", "Input reaches a shell in %s.", "Pass a list."), ("Open Redirect", "Input names a destination in %s.", "Allow known ones.")]
 
 

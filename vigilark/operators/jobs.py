@@ -227,7 +227,6 @@ def user_text(text: Column) -> Column:
 _SHOWN = [("in C:\\x\\y.py here", "in application code here"), ("/tmp/a/b.js: bad", "application code bad"), ("Rule: regex.x fails  now", "fails now"), ("see rule#12, then", "see , then"), ("  ", ""), ("overruled by a", "overruled by a"), ("x/tmp/y\n z", "x/tmp/y z")]
 register("c23_sanitized_text", lambda s, d: read(s, d, "events").select("event_id", user_text(F.element_at(F.array(*[F.lit(x) for x, _ in _SHOWN]), (F.col("event_id") % len(_SHOWN) + 1).cast("int"))).alias("clean")), f"SELECT event_id, {[x for _, x in _SHOWN]}[(event_id % {len(_SHOWN)})::INT + 1] AS clean FROM events")
 register("c23_sanitized_documents", lambda s, d: read(s, d, "documents").select("doc_id", user_text(F.col("text")).alias("clean")), r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z]:\\[^\s"'']+', 'application code', 'g'), '(^|\s)/tmp/[^\s"'']+', ' application code', 'g'), '(?i)\brule\s*[:#-]?\s*[A-Za-z0-9_.-]+', '', 'g'), '[\s\x0B]+', ' ', 'g')) AS clean FROM documents""")
-register("c24_json_from_text", lambda s, d: read(s, d, "events").select("event_id", F.concat(F.lit("note: "), "props", F.lit(" end")).alias("t")).select("event_id", F.get_json_object(F.regexp_extract("t", r"(\{.*\})", 1), "$.k").alias("k"), (F.regexp_extract("t", r"(\{.*\})", 1) != "").alias("found")), "SELECT event_id, json_extract_string(regexp_extract('note: ' || props || ' end', '(\\{.*\\})', 1), '$.k') AS k, regexp_extract('note: ' || props || ' end', '(\\{.*\\})', 1) <> '' AS found FROM events")
 register("x8_json_fields", lambda s, d: read(s, d, "events").select("event_id", F.json_object_keys("props").alias("keys")).select("event_id", F.concat_ws(",", "keys").alias("keys")), "SELECT event_id, array_to_string(json_keys(props), ',') AS keys FROM events")
 register("x5_time_parts", lambda s, d: read(s, d, "events").select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.expr("ts + INTERVAL 36 HOURS").alias("later")), "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts + INTERVAL 36 HOURS AS later FROM events")
 register("x4_math", lambda s, d: read(s, d, "orders").select("o_orderkey", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.col("o_totalprice") / 1000))).cast("long").alias("clamped"), F.bround(F.col("o_orderkey") / 8, 2).alias("half_even")), "SELECT o_orderkey, greatest(0, least(100, floor(o_totalprice / 1000)))::BIGINT AS clamped, round_even(o_orderkey / 8, 2) AS half_even FROM orders")
