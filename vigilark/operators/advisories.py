@@ -121,22 +121,25 @@ def roll_up(x: DataFrame) -> DataFrame:
     x = x.withColumn("_fix", least_above(F.col("pool"), F.col("version_key")))
     g = x.groupBy("dep_id", "name", "version").agg(
         F.first("version_key").alias("version_key"),
-        F.max_by(F.struct("alias", "level", "impact"), F.struct(rank, -F.col("adv"))).alias("r"), F.countDistinct("alias").alias("n_cves"), F.min_by("alias", "adv").alias("cve"),
+        F.max_by(F.struct("level", "summary"), F.struct(rank, -F.col("adv"))).alias("r"), F.concat_ws(" ", F.sort_array(F.collect_set("alias"))).alias("aliases"), F.countDistinct("alias").alias("n_cves"), F.min_by("alias", "adv").alias("cve"),
         F.bool_or("public_exploit").alias("public_exploit"), F.bool_or("network_access").alias("network_access"), F.bool_and("auth_required").alias("auth_required"), F.bool_or("low_complexity").alias("low_complexity"),
         F.sort_array(F.collect_set("_fix")).alias("fixes"),
     )
     score = F.expr("CASE WHEN public_exploit THEN 3 ELSE 0 END + CASE WHEN network_access THEN 2 ELSE 0 END + CASE WHEN NOT auth_required THEN 2 ELSE 0 END + CASE WHEN low_complexity THEN 2 ELSE 0 END")
     g = g.withColumn("score", score).withColumn("exploit_level", F.expr("CASE WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END"))
+    # one advisory speaks for itself, several are counted; the impact is read from what is told
+    counted = F.format_string("%s@%s has %d known vulnerabilities (e.g., %s).", "name", "version", "n_cves", "cve")
+    several = F.when(F.col("n_cves") > 1, counted).otherwise(F.coalesce(F.nullif("r.summary", F.lit("")), F.lit("Known vulnerable dependency detected")))
     # of the advisories' own picks, stable ones again come first
     stable = F.filter("fixes", lambda x: ~prerelease(x["v"]))
     fixes = F.when(F.size(stable) > 0, stable).otherwise(F.col("fixes"))
-    return g.withColumn("fix_version", least_above(fixes, F.col("version_key"))["v"]).withColumn("severity", F.col("r.level")).withColumn("impact", F.col("r.impact")).drop("r", "fixes", "version_key")
+    return g.withColumn("fix_version", least_above(fixes, F.col("version_key"))["v"]).withColumn("severity", F.col("r.level")).withColumn("summary", several).withColumn("impact", F.expr(IMPACT.replace("(d,", "(lower(concat_ws(' ', summary, aliases)),"))).drop("r", "fixes", "version_key", "aliases")
 
 
 _ROLL = """v AS (SELECT * FROM deps JOIN described ON name = package),
-g AS (SELECT dep_id, name, version, arg_max(level, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS severity, arg_max(impact, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS impact,
+g AS (SELECT dep_id, name, version, arg_max(level, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS severity, arg_max(impact, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS impact, arg_max(summary, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS summary,
   count(DISTINCT alias) AS n_cves, arg_min(alias, adv) AS cve, bool_or(public_exploit) AS public_exploit, bool_or(network_access) AS network_access, bool_and(auth_required) AS auth_required, bool_or(low_complexity) AS low_complexity FROM v GROUP BY 1, 2, 3),
-s AS (SELECT *, 3 * public_exploit::INT + 2 * network_access::INT + 2 * (NOT auth_required)::INT + 2 * low_complexity::INT AS score FROM g)"""
+s AS (SELECT * REPLACE (CASE WHEN n_cves > 1 THEN 'Unknown' ELSE impact END AS impact), 3 * public_exploit::INT + 2 * network_access::INT + 2 * (NOT auth_required)::INT + 2 * low_complexity::INT AS score FROM g)"""
 _VK = "list_transform(string_split({0}, '.'), lambda t: TRY_CAST(t AS BIGINT))"
 _FIX = f"""c AS (SELECT dep_id, adv, version, f, {_VK.format("regexp_replace(f, '-.*', '')")} AS k, {_VK.format('version')} AS cur, contains(f, '-') AS pre FROM (SELECT *, unnest(fixed) AS f FROM deps JOIN advs ON name = package)),
 c2 AS (SELECT *, bool_or(NOT pre) OVER (PARTITION BY dep_id, adv) AS has_stable FROM c), c3 AS (SELECT *, bool_or(k > cur) OVER (PARTITION BY dep_id, adv) AS has_higher FROM c2 WHERE NOT (has_stable AND pre)),
@@ -149,7 +152,16 @@ def _a(name, fn, sql=None):
 
 
 _adv = lambda spark, d: described(advisories(spark, d))
-_a("s9_advisory_lookup", lambda s, d: dependencies(s, d).join(advisories(s, d).select("adv", "package"), F.col("name") == F.col("package"), "left").select("dep_id", "adv"), "x AS (SELECT 1) SELECT dep_id, adv FROM deps LEFT JOIN advs ON name = package")
+
+
+def looked_up(deps: DataFrame, advs: DataFrame) -> DataFrame:
+    """Each (name, version) asked once, whatever asks for it, and the advisories of its package given to all that did; none where there are none."""
+    asked = deps.select("name", "version").distinct()
+    answers = asked.join(advs, F.col("name") == F.col("package"))
+    return deps.join(answers, ["name", "version"], "left")
+
+
+_a("s9_advisory_lookup", lambda s, d: looked_up(dependencies(s, d), advisories(s, d).select("adv", "package")).select("dep_id", "adv"), "x AS (SELECT 1) SELECT dep_id, adv FROM deps LEFT JOIN advs ON name = package")
 _a("c28_advisory_severity", lambda s, d: _adv(s, d).select("adv", "level"), "x AS (SELECT 1) SELECT adv, level FROM described")
 _a("c29_cvss_score", lambda s, d: _adv(s, d).select("adv", "cvss"), "x AS (SELECT 1) SELECT adv, cvss FROM described")
 _a("c30_exploit_signals", lambda s, d: _adv(s, d).select("adv", "public_exploit", "network_access", "auth_required", "low_complexity"), "x AS (SELECT 1) SELECT adv, public_exploit, network_access, auth_required, low_complexity FROM described")
@@ -157,7 +169,6 @@ _a("c31_impact", lambda s, d: _adv(s, d).select("adv", "impact"), "x AS (SELECT
 _COLS = ["dep_id", "severity", "impact", "n_cves", "cve", "public_exploit", "network_access", "auth_required", "low_complexity", "score", "exploit_level"]
 _a("a12_advisory_rollup", lambda s, d: roll_up(vulnerable(s, d)).select(*_COLS), f"{_ROLL} SELECT {', '.join(c for c in _COLS if c != 'exploit_level')}, CASE WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS exploit_level FROM s")
 _a("a13_least_upgrade", lambda s, d: roll_up(vulnerable(s, d)).select("dep_id", "fix_version"), f"{_FIX} SELECT dep_id, fix_version FROM best")
-_a("c13_dependency_issue", lambda s, d: roll_up(vulnerable(s, d)).selectExpr("dep_id", "CASE WHEN score >= 6 THEN 'REMOTE' WHEN NOT auth_required THEN 'AUTHENTICATED' ELSE 'LOCAL_ONLY' END AS reach", "CAST(greatest(0D, least(1D, score / 9D)) AS DOUBLE) AS exploitability_confidence", "name || '@' || version || ': ' || severity AS title"), f"{_ROLL} SELECT dep_id, CASE WHEN score >= 6 THEN 'REMOTE' WHEN NOT auth_required THEN 'AUTHENTICATED' ELSE 'LOCAL_ONLY' END AS reach, greatest(0, least(1, score::DOUBLE / 9)) AS exploitability_confidence, name || '@' || version || ': ' || severity AS title FROM s")
 _a("f15_manifest_filter", lambda s, d: dependencies(s, d).selectExpr("dep_id", "element_at(array('package.json', 'pom.xml', 'requirements.txt', 'go.mod'), CAST(dep_id % 4 + 1 AS INT)) AS m").where(F.col("m").isin("package.json", "requirements.txt")).select("dep_id"), "x AS (SELECT 1) SELECT dep_id FROM deps WHERE dep_id % 4 IN (0, 2)")
 _a("j7_distinct_fan_out", lambda s, d: dependencies(s, d).join(dependencies(s, d).select("name", "version").distinct().withColumn("key", F.concat_ws(":", "name", "version")), ["name", "version"]).select("dep_id", "key"), "x AS (SELECT 1) SELECT dep_id, name || ':' || version AS key FROM deps")
 _a("x15_version_key", lambda s, d: dependencies(s, d).select("dep_id", F.dense_rank().over(W.partitionBy("name").orderBy(version_key(F.col("version")))).alias("place")), f"x AS (SELECT 1) SELECT dep_id, dense_rank() OVER (PARTITION BY name ORDER BY {_VK.format('version')}) AS place FROM deps")

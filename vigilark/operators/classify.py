@@ -289,7 +289,6 @@ _q("c8_confidence", {"confidence": "confidence"}, every=True)
 _q("c9_labels", {"confidence_label": "confidence_label", "attention_level": "confidence_label"})
 _q("c11_severity_cap", {"capped": cap("severity", "'MEDIUM'"), "low": cap("severity", "'LOW'"), "critical": cap("'CRITICAL'", "severity")}, every=True)
 _q("c12_finalized", {"category": "category", "severity": "severity", "confidence": "confidence", "evidence": "evidence", "title": "'[' || severity || '] ' || category"})
-_q("c14_secret_issue", {"slug": "lower(replace(rule_id, '.', '-'))", "confidence": "CASE WHEN severity = 'HIGH' THEN 95 ELSE 85 END"}, where=_is(_SECRET))
 _q("f10_emitted", {"emitted": EMITTED, "strict": STRICT}, every=True)
 _q("f10_emitted_matches", {"category": "category"}, where=EMITTED)
 _q("f11_non_production", {"non_prod": "non_prod"}, every=True)

@@ -124,7 +124,22 @@ SELECT ordinal, kind, sink, CASE WHEN got <> '' THEN 'r.query[' || got || ']' WH
 _code("t12_direct_sinks", direct_flows, _T12)
 _code("t14_sanitizer", lambda x: x.select("ordinal", F.expr("CASE ordinal % 3 WHEN 0 THEN 'escape(' || text || ')' ELSE text END").alias("t")).select("ordinal", clean(F.col("t")).alias("sanitized")), r"""SELECT ordinal, regexp_matches(text, '(?i)[a-z0-9_$][[]\s*(req|request|ctx|context)([^a-z0-9_][^]]*)?[]]|[.](get|has|includes|find|indexof)\s*[(]\s*(req|request|ctx|context)([^a-z0-9_]|$)') OR (ordinal % 3 = 0 OR contains(lower(text), 'escape(')) AND NOT (contains(text, '+') AND regexp_matches(text, '(?i)req[.](query|body|params|headers|cookies)([.][a-z0-9_]|[[][''"])')) AS sanitized FROM code_lines""")
 _code("x3_strip_strings", lambda x: x.select("ordinal", F.regexp_replace("text", STRINGS, "").alias("bare")), f"SELECT ordinal, regexp_replace(text, {_quote(STRINGS)}, '', 'g') AS bare FROM code_lines")
-_code("t17_apply_fix", lambda x: x.select("ordinal", F.expr("CASE WHEN instr(text, 'req.query') > 0 THEN overlay(text PLACING 'safe' FROM instr(text, 'req.query') FOR 9) ELSE text END").alias("fixed")), "SELECT ordinal, regexp_replace(text, 'req\\.query', 'safe') AS fixed FROM code_lines")
+
+
+def fixed_text(text: Column, snippet: Column, replacement: Column) -> Column:
+    """text with the first snippet in it replaced; null where any is empty, the snippet isn't there or nothing would change."""
+    old, new = (F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+\z", "") for c in (snippet, replacement))
+    at = F.instr(text, old)
+    return F.when((text != "") & (old != "") & (new != "") & (at > 0) & (old != new), F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old))))
+
+
+_OLD = "CASE ordinal % 4 WHEN 0 THEN ' req.query ' WHEN 1 THEN 'a' WHEN 2 THEN ' ' END"
+_code(
+    "t17_apply_fix",
+    lambda x: x.select("ordinal", fixed_text(F.col("text"), F.expr(_OLD), F.expr("CASE WHEN ordinal % 5 = 0 THEN 'a' ELSE ' safe' END")).alias("fixed")),
+    """SELECT ordinal, CASE WHEN ordinal % 4 = 0 AND contains(text, 'req.query') THEN regexp_replace(text, 'req[.]query', if(ordinal % 5 = 0, 'a', 'safe'))
+  WHEN ordinal % 4 = 1 AND ordinal % 5 > 0 AND contains(text, 'a') THEN regexp_replace(text, 'a', 'safe') END AS fixed FROM code_lines""",
+)
 
 
 def _windowed(x: DataFrame) -> DataFrame:
