@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import among, begins, blob, cases, ends, has, lit, segment_in
 from ..registry import register
-from ..sources.fixtures import CODE_LINES, code_lines
+from ..sources.fixtures import CODE_LINES, code_lines, read
 from .rules import MATCHES, VALID, matches, scanned, valid
 
 UNVERIFIED = "Unverified Security Signal"
@@ -305,3 +305,41 @@ _q("c21_guidance_policy", {"guidance_type": POLICY, "fallback_reason": REASON},
 _q("n6_custom_rule", {"hit": "contains(lower(evidence), 'innerhtml')"}, every=True)
 _EXPECTED = cases([(has("lower(category)", (c,)), f"'{c.replace(' ', '_')}'") for c in ("sql injection", "command injection", "open redirect")], "''")
 _q("j1_flow_kind", {"kind": _EXPECTED}, every=True)
+
+# cases by hand: rule, message, snippet, file, scanner's severity, scanner, and what is told of each
+_CASES = [
+    ("regex.sql-injection", "", 'db.query("SELECT " + req.query.id)', "src/a.js", "HIGH", "regex", _SQL, "user_input", "database", "HIGH", "exact", 97, "HIGH", True),
+    ("regex.sql-injection", "", 'db.query("SELECT " + req.query.id)', "tests/a.js", "HIGH", "regex", _SQL, "user_input", "database", "MEDIUM", "exact", 97, "HIGH", True),
+    ("regex.sql-injection", "", 'db.query("SELECT 1")', "src/config/a.js", "HIGH", "regex", _SQL, "internal", "database", "LOW", "exact", 100, "HIGH", False),
+    ("regex.command-injection", "", "import subprocess", "a.py", "HIGH", "regex", _CMD, "internal", "executed", "LOW", "exact", 97, "HIGH", False),
+    ("regex.hardcoded-secret", "", 'apiKey = "k9f3b7c1d5e8a2460917bd"', "src/a.js", "HIGH", "regex", _SECRET, "hardcoded", "validated", "HIGH", "exact", 90, "HIGH", True),
+    ("regex.hardcoded-secret", "", 'token = "short1"', "src/a.js", "MEDIUM", "regex", _SECRET, "hardcoded", "validated", "MEDIUM", "exact", 90, "HIGH", False),
+    ("regex.hardcoded-secret", "", 'token = "abcdefghijklmnop"', "tests/a.js", "LOW", "regex", _SECRET, "hardcoded", "validated", "MEDIUM", "exact", 90, "HIGH", False),
+    ("regex.eval-usage", "", "eval(req.body.code)", "a.js", "HIGH", "regex", _EVAL, "user_input", "executed", "HIGH", "partial", 69, "MEDIUM", True),
+    ("semgrep.weak-input", "unvalidated", "save(req.body.a)", "a.js", "", "semgrep", "Weak Input Validation", "user_input", "validated", "MEDIUM", "exact", 90, "HIGH", False),
+    ("flask-debug", "", "app.run(debug=True)", "app.py", "HIGH", "bandit", "Flask Debug Mode Enabled", "internal", "unknown", "MEDIUM", "weak", 42, "LOW", True),
+    ("bandit.b301", "", "pickle.loads(body)", "a.py", "MEDIUM", "bandit", "Unsafe Pickle Deserialization", "user_input", "parsed", "HIGH", "partial", 62, "MEDIUM", True),
+    ("yaml.load", "", "cfg = yaml.load(f)", "a.py", "HIGH", "semgrep", "Unsafe YAML Deserialization", "file", "parsed", "MEDIUM", "weak", 42, "LOW", True),
+    ("regex.insecure-cors", "", "app.use(cors())", "src/auth/a.js", "HIGH", "regex", "Insecure CORS Configuration", "internal", "validated", "MEDIUM", "partial", 70, "MEDIUM", True),
+    ("other.signal", "", 'fetch("http://localhost:3000/ping")', "a.js", "HIGH", "semgrep", "Insecure HTTP Usage", "internal", "unknown", "LOW", "weak", 42, "LOW", False),
+    ("other.signal", "", 'fetch("http://api.invalid/ping")', "a.js", "HIGH", "semgrep", "Insecure HTTP Usage", "internal", "unknown", "LOW", "weak", 42, "LOW", True),
+    ("regex.open-redirect", "", "res.redirect(req.query.next)", "a.js", "HIGH", "regex", "Open Redirect", "user_input", "validated", "HIGH", "partial", 62, "MEDIUM", True),
+    ("regex.open-redirect", "", 'res.redirect("/home")', "a.js", "LOW", "regex", "Open Redirect", "internal", "validated", "LOW", "partial", 62, "MEDIUM", False),
+    ("other.signal", "", "let color = pick()", "a.ts", "HIGH", "semgrep", UNVERIFIED, "internal", "unknown", "INFO", "weak", 35, "LOW", False),
+    ("regex.improvement.weak-random", "", "Math.random()", "a.js", "HIGH", "regex", "Weak Randomness Hygiene", "internal", "validated", "INFO", "weak", 42, "LOW", True),
+    ("regex.credential-url", "", '"https://u:p@h/x"', "a.js", "LOW", "regex", "Credential in URL", "user_input", "validated", "HIGH", "exact", 90, "HIGH", True),
+    ("python.exec_usage", "", "exec(code)", "a.py", "HIGH", "ast_scanner", _EVAL, "internal", "executed", "HIGH", "weak", 49, "LOW", False),
+    ("node.sql_injection", "", 'q("SELECT a" + b)', "a.js", "HIGH", "ast_scanner", _SQL, "internal", "database", "LOW", "exact", 90, "HIGH", True),
+]
+_TOLD = ("category", "data_source", "usage_context", "severity", "strength", "confidence", "confidence_label", "emitted")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as one of the cases, by its number."""
+    given = spark.createDataFrame([(k, *c[:6]) for k, c in enumerate(_CASES)], "k long, rule_id string, message string, snippet string, file_path string, scanner_severity string, scanner string")
+    x = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_CASES)).alias("k")).join(F.broadcast(given), "k")  # a fixed table
+    return finalize(x.withColumn("title", F.lit(""))).selectExpr("o_orderkey", *_TOLD[:-1], f"{EMITTED} AS emitted")
+
+
+_ROWS = ", ".join("(" + ", ".join([str(k), *(f"'{v}'" if isinstance(v, str) else str(v) for v in c[6:])]) + ")" for k, c in enumerate(_CASES))
+register("c12_issue_cases", _cases, f"WITH told(k, {', '.join(_TOLD)}) AS (VALUES {_ROWS}) SELECT o_orderkey, {', '.join(_TOLD)} FROM orders JOIN told ON k = o_orderkey % {len(_CASES)}")
