@@ -302,7 +302,6 @@ _TYPE = cases([(has("lower(category)", (t,)), f"'{v}'") for t, v in (("sql", "sq
 _LANG = cases([(ends("lower(file_path)", e), f"'{v}'") for e, v in (((".py",), "python"), ((".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"), "node"), ((".go",), "go"), ((".cs",), "csharp"), ((".rb",), "ruby"))], "'unknown'")
 _q("c19_type_and_language", {"vuln_type": _TYPE, "language": _LANG}, every=True)
 _q("c21_guidance_policy", {"guidance_type": POLICY, "fallback_reason": REASON}, every=True)
-_q("n6_custom_rule", {"hit": "contains(lower(evidence), 'innerhtml')"}, every=True)
 _EXPECTED = cases([(has("lower(category)", (c,)), f"'{c.replace(' ', '_')}'") for c in ("sql injection", "command injection", "open redirect")], "''")
 _q("j1_flow_kind", {"kind": _EXPECTED}, every=True)
 

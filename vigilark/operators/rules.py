@@ -235,3 +235,12 @@ walk AS (SELECT scan_id, file_path, rule_id, unnest(m) AS hit, generate_subscrip
 register("f1_whole_text_matches", lambda spark, d: file_matches(_files(spark, d)).select("scan_id", "file_path", "rule_id", "nth"), f"{_WHOLE} SELECT scan_id, file_path, rule_id, nth FROM walk")
 # the line of a file's first match of a rule: what lies before its text
 register("f4_first_match_line", lambda spark, d: file_matches(_files(spark, d)).where("nth = 1").select("scan_id", "file_path", "rule_id", "line_no", F.col("text").alias("snippet")), f"{_WHOLE}, f AS (SELECT *, len(string_split(left(text, strpos(text, hit) - 1 + (left(hit, 1) = chr(10))::INT), chr(10))) AS line_no FROM walk WHERE nth = 1) SELECT scan_id, file_path, rule_id, line_no::INT AS line_no, trim(string_split(text, chr(10))[line_no]) AS snippet FROM f")
+
+# rules of users beside or in place of the built-in ones; one whose pattern is none is left out
+_CUSTOM = [("custom.inner-html", "LOW", r"\.innerHTML\s*="), ("custom.broken", "LOW", "("), ("custom.request", "HIGH", r"req\.(query|body)")]
+register(
+    "n6_custom_rules",
+    lambda spark, d: file_matches(_files(spark, d), _CUSTOM).select("scan_id", "file_path", "rule_id", "severity", "nth"),
+    f"""WITH {CODE_LINES}, files AS (SELECT scan_id, file_path, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM code_lines WHERE {SCANNED} GROUP BY 1, 2), own(rule_id, severity, mark) AS (VALUES ('custom.inner-html', 'LOW', '[.]innerhtml\\s*='), ('custom.request', 'HIGH', 'req[.](?:query|body)'))
+SELECT scan_id, file_path, rule_id, severity, unnest(range(1, len(regexp_extract_all(lower(text), mark)) + 1))::INT AS nth FROM files, own""",
+)
