@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, langid, mixing, ngram, pipeline, quality, simhash, tokens, warc
+from . import chat, decontam, fim, html, langid, mixing, ngram, pipeline, quality, resample, simhash, tokens, warc
 from .common import table
 
 
@@ -26,9 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": _over("pages", html.op8),
         "op9_tokens": _over("documents", tokens.op9),
         "op10_warc": _over("pages", warc.op10),
+        "op11_resample": lambda spark, sf_dir: resample.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op12_fim": _over("documents", fim.op12),
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL, "op10_warc": warc.OP10_SQL, "op11_resample": resample.OP11_SQL, "op12_fim": fim.OP12_SQL}
