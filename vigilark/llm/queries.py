@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fim, html, langid, mixing, ngram, pipeline, quality, resample, simhash, tokens, warc
+from . import chat, decontam, fim, html, langid, mixing, ngram, pipeline, quality, resample, simhash, substrings, tokens, warc
 from .common import table
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": _over("pages", warc.op10),
         "op11_resample": lambda spark, sf_dir: resample.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op12_fim": _over("documents", fim.op12),
+        "op13_substrings": _over("documents", substrings.op13),
         "pipeline": pipeline.run,
     }
 
