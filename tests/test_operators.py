@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vigilark.operators import advisories, classify, manifests, pyast, report, rules, taint
+from vigilark.operators import advisories, classify, manifests, report, rules, taint
 from vigilark.sources import readers
 from vigilark.streaming import state
 
@@ -114,17 +114,6 @@ def test_data_flow_over_files(spark):
     assert [(r.file_path, r.source, r.chain) for r in taint.taint_flows(df).collect()] == [("a.js", "req.query.id", ["req.query.id", "id"])]
 
 
-def test_python_trees():
-    f = pyast.python_findings
-    assert f("import pickle\npickle.loads(x)\n'pickle.loads(x)'") == [(2, "unsafe_pickle")]
-    assert f("yaml.load(a, Loader=yaml.SafeLoader)") == [] and f("yaml.load(a)") == [(1, "unsafe_yaml")]
-    assert f("eval('1')") == [] and f("eval(x)") == [(1, "code_execution")]
-    assert f("subprocess.run(a, shell=True)\nsubprocess.run(a)") == [(1, "command_injection")]
-    assert f("def new_token():\n    return random.random()\npassword = random.choice(x)\ny = random.random()") == [(3, "weak_random"), (2, "weak_random")]
-    assert f("a = 'SELECT x FROM t'\nb = a + u\nc = b + v\ncur.execute(c)\ncur.execute(c, p)") == [(4, "sql_injection")]
-    assert f("def broken(:") == []
-
-
 def test_merge_keeps_the_place_of_the_first_and_counts(spark):
     cols = "ordinal long, repo string, scanner string, severity string, file string, line int, category string, confidence int, finding_type string, package string, cve string"
     rows = [(1, "r", "a", "LOW", "F", 1, "X", 50, "code", None, None), (2, "r", "b", "HIGH", "f ", 1, "x", 10, "code", None, None), (3, "r", "b", "HIGH", "f", 1, "x", 10, "code", None, None), (4, "r", "d", "LOW", "p", 1, "y", 9, "dependency_vuln", "Q", "C"), (5, "r", "d", "LOW", "p", 7, "z", 9, "dependency_vuln", "q", "c")]
@@ -201,21 +190,6 @@ def test_entry_survives_without_the_corpus_folder(monkeypatch):
     assert "scan_risk_score" in __spark_entry__.queries() and not any(n.startswith("op1_") for n in __spark_entry__.queries())
 
 
-def test_reachability_takes_all_parts_and_steps(spark, tmp_path):
-    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(5, 0)], "src long, dst long")
-    assert {(r.v, r.hops) for r in pyast.fixpoint(spark.createDataFrame([(0,), (0,)], "v long"), chain).collect()} == {(k, k) for k in range(41)}
-    sizes = {k: k * 7 % 50 + 5 for k in range(1, 1201)}
-    spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    want = {k: 0 for k in sizes if k % 50 == 0}
-    front, step = set(want), 0
-    while front:
-        step += 1
-        front = {(k * 3 + 1) % 1200 for k in front if sizes.get(k, 0) > 10} - want.keys()
-        want |= dict.fromkeys(front, step)
-    assert {r.v: r.hops for r in pyast.reachable(spark, str(tmp_path)).collect()} == want
-    assert any(k >= 500 for k in want)
-
-
 def test_scan_of_a_source_tree(spark, tmp_path):
     from vigilark.plans.scan import scan
 

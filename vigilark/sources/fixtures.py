@@ -98,6 +98,19 @@ code_lines AS (
     row_number() OVER (PARTITION BY 'r' || (user_id // 5 % 10), {_DIRS}[(user_id % 5)::INT + 1] || '/f' || user_id || ext ORDER BY event_id)::INT AS line_no
   FROM events JOIN snippets ON event_id % {len(SNIPPETS)} = id)"""
 
+_STATEMENT = """CASE WHEN j % 500 = 0 THEN concat('q', j, ' = "SELECT a FROM t WHERE b="') WHEN j % 500 = 499 THEN concat('q', j, ' = "plain"') WHEN j % 20 = 7 THEN concat('cur.execute(q', j - 1, ')')
+  WHEN j % 20 = 8 THEN concat('cur.execute(q', j - 2, ', args)') WHEN j % 20 = 9 THEN concat('q', j, ' = q', j - 3, ' + part') WHEN j % 20 = 13 THEN concat('q', j, ' = q', j - 1, ' + q', j - 4)
+  WHEN j % 20 = 15 THEN concat('q', j, ' = part + q', j - 1) WHEN j % 100 = 57 AND event_id % 2 = 0 THEN concat('q', j, ' = other') ELSE concat('q', j, ' = q', j - 1, ' + part') END"""
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, line_no, text): a Python statement an event, which mostly pass an SQL text on from variable to variable; 40 files."""
+    e = read(spark, sf_dir, "events").selectExpr("event_id", "event_id div 40 AS j")
+    return e.selectExpr("concat('src/s', event_id % 40, '.py') AS file_path", "CAST(j + 1 AS INT) AS line_no", f"{_STATEMENT} AS text")
+
+
+STATEMENTS = f"statements AS (SELECT 'src/s' || (event_id % 40) || '.py' AS file_path, (j + 1)::INT AS line_no, {_STATEMENT} AS text FROM (SELECT event_id, event_id // 40 AS j FROM events))"
+
 SCANNERS = ("dependency", "regex", "ast", "semgrep")
 CATEGORIES = ("SQL Injection", "Command Injection", "Hardcoded Secrets", "Open Redirect", "Weak Input Validation", "Insecure HTTP Usage")
 PRIORITY = (("1-URGENT", "CRITICAL"), ("2-HIGH", "HIGH"), ("3-MEDIUM", "MEDIUM"), ("5-LOW", "LOW"))
