@@ -39,7 +39,7 @@ PERCENT = 10
 MIN_WORDS = 20
 SEED = 2024
 SCALE = 1000
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 SLICE_ROWS = 64
 #: Distinct scores are bounded by the logarithms of the counts: some tens of thousands.
 SCORE_ROWS = 400_000

@@ -41,17 +41,19 @@ from .common import stored
 from .ngram import pack, unpack
 
 LENGTH = 50
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 PIECE = 1 << 18
 SLICE_ROWS = 64
 KEY_BITS = 48
 #: Runs, and later texts, that one range gathers on average.
 RANGE_RUNS = 1_000_000
-RANGE_TEXTS = 200_000
+RANGE_TEXTS = 100_000
+#: Runs of a range that are compared at once.
+SPAN_RUNS = 100_000
 #: Windows of one run at most, so that its answer fits one number.
 RUN_WINDOWS = 64
 #: Bytes whose suffixes are sorted at once, and different texts that one key may have among them.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 500_000
 HOT = 20_000
 SETTLED, COVERED, OPEN, SPLIT = 0, 1, 2, 3
 _LAST = np.iinfo(np.int64).max
@@ -189,10 +191,8 @@ def gram_of(length: int) -> int:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return h
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
 
 
 def window_keys(data: np.ndarray, length: int) -> np.ndarray:
@@ -214,11 +214,11 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
         while 2 * reach <= width:
             least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
         rest = width - reach
-        return (np.minimum(least[:-rest], least[rest:]) if rest else least) >> np.uint64(64 - KEY_BITS)
+        return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
 class _Runs:
-    """The runs of a stored chunk, numbered by their different texts in the order of keys."""
+    """The runs of a stored chunk, in the order of the text; entry numbers their different texts in the order of keys."""
 
     def __init__(self, row: dict, length: int):
         self.data = zstandard.ZstdDecompressor().decompress(row["text"])
@@ -226,30 +226,41 @@ class _Runs:
         self.ids = np.array([_LAST if x is None else x for x in self.doc_id], np.int64)
         self.ends = np.cumsum(self.size)
         raw = np.frombuffer(self.data, np.uint8)
-        keys, starts, stops = [], [], []
-        for at in range(0, max(0, len(raw) - length + 1), PIECE):
-            key = window_keys(raw[at : at + PIECE + length - 1], length)
-            place = at + np.arange(len(key))
-            fits = place + length <= self.ends[np.searchsorted(self.ends, place, "right")]
-            head = fits & np.r_[True, (key[1:] != key[:-1]) | ~fits[:-1]]
-            begun = np.maximum.accumulate(np.where(head, place, 0))
-            head |= fits & ((place - begun) % RUN_WINDOWS == 0)
-            first = np.flatnonzero(head)
-            bounds = np.flatnonzero(head | ~fits)
-            after = np.r_[bounds, len(key)][np.searchsorted(bounds, first, "right")]
-            keys.append(key[first])
-            starts.append(place[first])
-            stops.append(at + after)
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        key, start, stop = join(keys, np.uint64), join(starts, np.int64), join(stops, np.int64)
-        text = self.texts(start, stop, xxhash.xxh3_64_intdigest)
-        order = np.lexsort((text, key))
-        self.key, self.text, self.start, self.stop = key[order], np.array(text, np.uint64)[order], start[order], stop[order]
-        fresh = np.r_[True, (self.key[1:] != self.key[:-1]) | (self.text[1:] != self.text[:-1])][: len(order)]
-        self.first = np.flatnonzero(fresh)  # documents lie in the order of ids, so the first run of a text has its smallest
-        self.entry = np.cumsum(fresh) - 1
+        parted = [self._piece(raw, at) for at in range(0, max(0, len(raw) - length + 1), PIECE)]
+        self.key, self.start, self.stop = (np.concatenate(x) if parted else np.zeros(0, kind) for x, kind in zip(zip(*parted) if parted else [()] * 3, (np.uint64, np.int64, np.int64)))
+        self.text = np.array(self.texts(self.start, self.stop, xxhash.xxh3_64_intdigest), np.uint64)
+        # runs of one text lie side by side: by key, then by the leading bits of the text's hash; should two texts share
+        # these, one may be told of twice, which answers alike
+        order = np.argsort(self.key << np.uint64(64 - KEY_BITS) | self.text >> np.uint64(KEY_BITS))
+        key, text = self.key[order], self.text[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])][: len(order)]
+        # documents lie in the order of ids, so the first run of a text has its smallest
+        self.first = np.minimum.reduceat(order, np.flatnonzero(fresh)) if len(order) else order
+        self.entry = np.empty_like(order)
+        self.entry[order] = np.cumsum(fresh) - 1
         self.doc = self.ids[np.searchsorted(self.ends, self.start, "right")]
 
+    def _piece(self, raw: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, start and stop of the runs among the windows that start in one piece of the data."""
+        key = window_keys(raw[at : at + PIECE + self.length - 1], self.length)
+        n = len(key)
+        ends = self.ends[np.searchsorted(self.ends, at, "right") : np.searchsorted(self.ends, at + n + self.length, "right")] - at
+        fits = np.ones(n, bool)
+        cross = (ends[:, None] - np.arange(1, self.length)).ravel()
+        fits[cross[(cross >= 0) & (cross < n)]] = False
+        head = fits.copy()
+        head[1:] &= (key[1:] != key[:-1]) | ~fits[:-1]
+        bounds = np.flatnonzero(head | ~fits)
+        heads = np.flatnonzero(head[bounds])
+        start, stop = bounds[heads], np.r_[bounds, n][heads + 1]
+        pieces = -(-(stop - start) // RUN_WINDOWS)
+        if len(pieces) and pieces.max() > 1:
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start, stop = np.repeat(start, pieces) + nth * RUN_WINDOWS, np.repeat(stop, pieces)
+            stop = np.minimum(stop, start + RUN_WINDOWS)
+        # least hashes are small ones; mixed again they fall evenly into ranges
+        return _mixed(key[start]) >> np.uint64(64 - KEY_BITS), start + at, stop + at
+
     def texts(self, start: np.ndarray, stop: np.ndarray, fn=bytes) -> list:
         data, more = self.data, self.length - 1
         return [fn(data[a:z]) for a, z in zip(start.tolist(), (stop + more).tolist())]
@@ -336,25 +347,37 @@ _ANSWER_SCHEMA = "part int, chunk string, code binary, open long"
 def _answer(hot: int):
     """What a range knows of each run, to each chunk in its own order."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [np.cumsum(unpack(r["key"], np.uint64), dtype=np.uint64) for r in rows]
-        size = [len(x) for x in keys]
-        key, text, doc = np.concatenate(keys), np.concatenate([unpack(r["text"], np.uint64) for r in rows]), np.concatenate([unpack(r["doc"], np.int64) for r in rows])
+    def codes(key: np.ndarray, text: np.ndarray, doc: np.ndarray) -> np.ndarray:
         order = np.lexsort((doc, text, key))
         k, t, d = key[order], text[order], doc[order]
         new_key = np.r_[True, k[1:] != k[:-1]]
         new_text = new_key | np.r_[True, t[1:] != t[:-1]]
-        heads, of_key, of_text = np.flatnonzero(new_key), np.cumsum(new_key) - 1, np.cumsum(new_text) - 1
+        of_key, of_text = np.cumsum(new_key) - 1, np.cumsum(new_text) - 1
         owners = d[new_text]  # the smallest id of each text
         texts = np.bincount(of_key[new_text])
         first_text = np.r_[0, np.cumsum(texts)[:-1]]
         several = (texts > 1) & (np.minimum.reduceat(owners, first_text) < np.maximum.reduceat(owners, first_text))
-        code = np.where(d > owners[of_text], COVERED, np.where(several, np.where(texts > hot, SPLIT, OPEN), SETTLED)[of_key]).astype(np.uint8)
-        back = np.empty_like(code)
-        back[order] = code
-        ends = np.cumsum(size)
-        each = [back[z - n : z] for n, z in zip(size, ends)]
+        left = np.where(several, np.where(texts > hot, SPLIT, OPEN), SETTLED).astype(np.uint8)
+        back = np.empty(len(order), np.uint8)
+        back[order] = np.where(d > owners[of_text], np.uint8(COVERED), left[of_key])
+        return back
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [np.cumsum(unpack(r["key"], np.uint64), dtype=np.uint64) for r in rows]
+        texts, docs = [unpack(r["text"], np.uint64) for r in rows], [unpack(r["doc"], np.int64) for r in rows]
+        each = [np.empty(len(k), np.uint8) for k in keys]
+        # keys are hashes, so equal spans of them hold about as many runs each
+        low, high, n = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys) + 1, 1 + sum(map(len, keys)) // SPAN_RUNS
+        edges = np.array([low + (high - low) * x // n for x in range(n + 1)], np.uint64)
+        at = [np.searchsorted(k, edges) for k in keys]
+        for x in range(n):
+            span = [slice(a[x], a[x + 1]) for a in at]
+            if not (size := [s.stop - s.start for s in span]) or not sum(size):
+                continue
+            found = codes(*(np.concatenate([c[s] for c, s in zip(of, span)]) for of in (keys, texts, docs)))
+            for out, s, part in zip(each, span, np.split(found, np.cumsum(size)[:-1])):
+                out[s] = part
         return pa.table([pa.array([rows[0]["part"]] * len(rows), pa.int32()), pa.array([r["chunk"] for r in rows]), pa.array([pack(x) for x in each], pa.binary()), pa.array([int((x >= OPEN).sum()) for x in each], pa.int64())], names=["part", "chunk", "code", "open"])
 
     return run
