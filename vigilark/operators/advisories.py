@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.text import has
 from ..registry import register
 from ..sources.fixtures import read
+from .intervals import stabbed
+
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr("p_partkey AS dep_id", "p_brand AS name", "p_size || '.' || (p_partkey % 7) || '.' || (p_partkey % 3) AS version")
@@ -22,14 +24,24 @@ _SUM = ("'Remote code execution in parser'", "'Denial of service'", "'Token leak
 _URL = ("'https://github.com/x/y'", "'https://vendor.invalid/a'", "'https://vendor.invalid/poc'")
 
 
+_from = lambda v: f"named_struct('introduced', {v}, 'fixed', CAST(NULL AS STRING))"
+_to = lambda v: f"named_struct('introduced', CAST(NULL AS STRING), 'fixed', {v})"
+_range = lambda *events: f"named_struct('events', filter(array({', '.join(events)}), x -> x IS NOT NULL))"
+_AFFECTED = "array(" + ", ".join((
+    _range(_from("CASE WHEN s_suppkey % 3 = 1 THEN '5.0.0' ELSE '0' END"), _to("s_suppkey % 40 || '.0.0'")), _range(_from("s_suppkey % 40 || '.1.0'"), _to("(s_suppkey % 40 + 1) || '.2.1'")),
+    _range(_from("(s_suppkey % 60 + 1) || '.5'"), _to("(s_suppkey % 60 + 2) || '.0.0-beta1'"), f"CASE WHEN s_suppkey % 7 = 0 THEN {_from(chr(39) + '45' + chr(39))} END"),
+)) + ") AS affected"
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One a supplier: nested severities, fixed versions and references."""
+    """One a supplier: nested severities, affected ranges, fixed versions and references."""
     s = read(spark, sf_dir, "supplier")
     k = "s_suppkey"
     return s.selectExpr(
         f"{k} AS adv", f"'Brand#' || ({k} % 5 + 1) || ({k} % 3 + 1) AS package", f"'GHSA-' || {k} AS id", f"CASE WHEN {k} % 3 = 0 THEN array() ELSE array('CVE-' || ({k} % 11)) END AS aliases",
         f"{_ARR(_SUM, f'{k} % 6')} AS summary", f"array(named_struct('type', 'CVSS', 'score', {_ARR(_SCORE, f'{k} % 5')})) AS severity", f"{_ARR(_DB, f'{k} % 5')} AS db_severity",
         f"array(CAST({k} % 40 AS STRING) || '.0.0', ({k} % 40 + 1) || '.2.1', ({k} % 60 + 2) || '.0.0-beta1') AS fixed", f"array(named_struct('type', CASE WHEN {k} % 4 = 0 THEN 'EXPLOIT' ELSE 'WEB' END, 'url', {_ARR(_URL, f'{k} % 3')})) AS refs",
+        _AFFECTED,
     )
 
 
@@ -109,10 +121,32 @@ def least_above(pool: Column, current: Column) -> Column:
     return F.array_min(F.when(F.size(higher) > 0, higher).otherwise(pool))
 
 
+def affected_spans(advs: DataFrame) -> DataFrame:
+    """(adv, package, low, high): the versions that advisories (adv, package, affected) name, as intervals of keys.
+
+    Of a range's events each introduction lasts to the next fix, if any; a fix that none precedes ends an interval
+    without a start, as does an introduction at 0.
+    """
+    r = advs.select("adv", "package", F.explode("affected.events").alias("e"))
+    after = lambda i: F.get(F.filter(F.slice("e", i + 2, F.size("e")), lambda x: x["fixed"].isNotNull()), 0)["fixed"]
+    begun = F.transform(F.col("e"), lambda x, i: F.when(x["introduced"].isNotNull(), F.struct(x["introduced"].alias("low"), after(i).alias("high"))).when((i == 0) & x["fixed"].isNotNull(), F.struct(F.lit("0").alias("low"), x["fixed"].alias("high"))))
+    x = r.select("adv", "package", F.explode(F.array_compact(begun)).alias("x"))
+    key = lambda c: F.when(c.isNotNull(), version_key(c))
+    return x.select("adv", "package", F.when(F.trim("x.low") != "0", version_key(F.col("x.low"))).alias("low"), key(F.col("x.high")).alias("high"))
+
+
+def affecting(deps: DataFrame, advs: DataFrame) -> DataFrame:
+    """(name, version, adv): the advisories (adv, package, affected) that hold a distinct version of deps (name, version), each once."""
+    asked = deps.select("name", "version").distinct().withColumn("at", version_key(F.col("version")))
+    found = stabbed(asked.select(F.col("name").alias("g"), "at"), affected_spans(advs).select(F.col("package").alias("g"), "low", "high", F.col("adv").alias("span"))).distinct()
+    return asked.join(found.withColumnRenamed("g", "name"), ["name", "at"]).select("name", "version", F.col("span").alias("adv"))
+
+
 def vulnerable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies with each advisory of their package; versions are parsed once a dependency and once an advisory."""
-    deps = dependencies(spark, sf_dir).withColumn("version_key", version_key(F.col("version")))
-    return deps.join(described(advisories(spark, sf_dir)).withColumn("pool", keyed(F.col("fixed"))), F.col("name") == F.col("package"))
+    """Dependencies with each advisory of their version; versions are parsed once a distinct one and once an advisory."""
+    deps, advs = dependencies(spark, sf_dir), advisories(spark, sf_dir)
+    told = described(advs).withColumn("pool", keyed(F.col("fixed")))
+    return deps.withColumn("version_key", version_key(F.col("version"))).join(affecting(deps, advs), ["name", "version"]).join(told, "adv")
 
 
 def roll_up(x: DataFrame) -> DataFrame:
@@ -136,32 +170,36 @@ def roll_up(x: DataFrame) -> DataFrame:
     return g.withColumn("fix_version", least_above(fixes, F.col("version_key"))["v"]).withColumn("severity", F.col("r.level")).withColumn("summary", several).withColumn("impact", F.expr(IMPACT.replace("(d,", "(lower(concat_ws(' ', summary, aliases)),"))).drop("r", "fixes", "version_key", "aliases")
 
 
-_ROLL = """v AS (SELECT * FROM deps JOIN described ON name = package),
+_ROLL = """v AS (SELECT * FROM deps JOIN hit USING (dep_id) JOIN described USING (adv)),
 g AS (SELECT dep_id, name, version, arg_max(level, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS severity, arg_max(impact, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS impact, arg_max(summary, {'r': CASE level WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END, 'a': -adv}) AS summary,
   count(DISTINCT alias) AS n_cves, arg_min(alias, adv) AS cve, bool_or(public_exploit) AS public_exploit, bool_or(network_access) AS network_access, bool_and(auth_required) AS auth_required, bool_or(low_complexity) AS low_complexity FROM v GROUP BY 1, 2, 3),
 s AS (SELECT * REPLACE (CASE WHEN n_cves > 1 THEN 'Unknown' ELSE impact END AS impact), 3 * public_exploit::INT + 2 * network_access::INT + 2 * (NOT auth_required)::INT + 2 * low_complexity::INT AS score FROM g)"""
 _VK = "list_transform(string_split({0}, '.'), lambda t: TRY_CAST(t AS BIGINT))"
-_FIX = f"""c AS (SELECT dep_id, adv, version, f, {_VK.format("regexp_replace(f, '-.*', '')")} AS k, {_VK.format('version')} AS cur, contains(f, '-') AS pre FROM (SELECT *, unnest(fixed) AS f FROM deps JOIN advs ON name = package)),
+_FIX = f"""c AS (SELECT dep_id, adv, version, f, {_VK.format("regexp_replace(f, '-.*', '')")} AS k, {_VK.format('version')} AS cur, contains(f, '-') AS pre FROM (SELECT *, unnest(fixed) AS f FROM deps JOIN hit USING (dep_id) JOIN advs USING (adv))),
 c2 AS (SELECT *, bool_or(NOT pre) OVER (PARTITION BY dep_id, adv) AS has_stable FROM c), c3 AS (SELECT *, bool_or(k > cur) OVER (PARTITION BY dep_id, adv) AS has_higher FROM c2 WHERE NOT (has_stable AND pre)),
 per AS (SELECT dep_id, adv, any_value(version) AS version, any_value(cur) AS cur, arg_min(f, k) AS f, min(k) AS k FROM c3 WHERE NOT has_higher OR k > cur GROUP BY 1, 2),
 p2 AS (SELECT *, bool_or(k > cur) OVER (PARTITION BY dep_id) AS has_higher FROM per), best AS (SELECT dep_id, arg_min(f, k) AS fix_version FROM p2 WHERE NOT has_higher OR k > cur GROUP BY 1)"""
 
 
+_HIT = f"""aff(adv, package, i, f) AS (SELECT adv, package, CASE WHEN adv % 3 = 1 THEN '5.0.0' ELSE '0' END, adv % 40 || '.0.0' FROM advs UNION ALL SELECT adv, package, adv % 40 || '.1.0', (adv % 40 + 1) || '.2.1' FROM advs
+  UNION ALL SELECT adv, package, (adv % 60 + 1) || '.5', (adv % 60 + 2) || '.0.0' FROM advs UNION ALL SELECT adv, package, '45', NULL FROM advs WHERE adv % 7 = 0),
+hit AS (SELECT DISTINCT dep_id, adv FROM deps JOIN aff ON name = package AND (i = '0' OR {_VK.format('i')} <= {_VK.format('version')}) AND (f IS NULL OR {_VK.format('version')} < {_VK.format('f')}))"""
+
+
 def _a(name, fn, sql=None):
-    register(name, fn, f"WITH {DEPS}, {ADVS}, {_DESC}, {sql}" if sql else None)
+    register(name, fn, f"WITH {DEPS}, {ADVS}, {_DESC}, {_HIT}, {sql}" if sql else None)
 
 
 _adv = lambda spark, d: described(advisories(spark, d))
 
 
 def looked_up(deps: DataFrame, advs: DataFrame) -> DataFrame:
-    """Each (name, version) asked once, whatever asks for it, and the advisories of its package given to all that did; none where there are none."""
-    asked = deps.select("name", "version").distinct()
-    answers = asked.join(advs, F.col("name") == F.col("package"))
-    return deps.join(answers, ["name", "version"], "left")
+    """Each (name, version) asked once, whatever asks for it, and the advisories that affect it given to all that did; none where there are none."""
+    return deps.join(affecting(deps, advs), ["name", "version"], "left")
 
 
-_a("s9_advisory_lookup", lambda s, d: looked_up(dependencies(s, d), advisories(s, d).select("adv", "package")).select("dep_id", "adv"), "x AS (SELECT 1) SELECT dep_id, adv FROM deps LEFT JOIN advs ON name = package")
+_a("s9_advisory_lookup", lambda s, d: looked_up(dependencies(s, d), advisories(s, d)).select("dep_id", "adv"), "x AS (SELECT 1) SELECT dep_id, adv FROM deps LEFT JOIN hit USING (dep_id)")
+_a("s10_single_lookup", lambda s, d: looked_up(dependencies(s, d).where("dep_id = 7"), advisories(s, d)).select("name", "version", "adv"), "x AS (SELECT 1) SELECT name, version, adv FROM deps LEFT JOIN hit USING (dep_id) WHERE dep_id = 7")
 _a("c28_advisory_severity", lambda s, d: _adv(s, d).select("adv", "level"), "x AS (SELECT 1) SELECT adv, level FROM described")
 _a("c29_cvss_score", lambda s, d: _adv(s, d).select("adv", "cvss"), "x AS (SELECT 1) SELECT adv, cvss FROM described")
 _a("c30_exploit_signals", lambda s, d: _adv(s, d).select("adv", "public_exploit", "network_access", "auth_required", "low_complexity"), "x AS (SELECT 1) SELECT adv, public_exploit, network_access, auth_required, low_complexity FROM described")

@@ -40,7 +40,6 @@ register("f12_noise_filter", lambda s, d: readers.bandit_findings(parsed(_o(s, d
 register("s7_rule_files", lambda s, d: readers.usable_rules(parsed(_o(s, d), _RUL, readers.RULE, True)).select("id", "severity"), f"SELECT 'r' || {_K} AS id, 'HIGH' AS severity FROM orders WHERE {_K} % 5 <> 0")
 register("s14_items_with_bad_rows", lambda s, d: readers.usable_items(parsed(_o(s, d), _FEE, readers.FEEDBACK, True)).select("feedback_id", "rating"), f"SELECT {_K}::VARCHAR AS feedback_id, ({_K} % 8)::INT AS rating FROM orders WHERE {_K} % 6 <> 0 AND {_K} % 8 BETWEEN 1 AND 5")
 register("s15_manifest_repos", lambda s, d: readers.usable_repos(parsed(_o(s, d), _MAN, readers.MANIFEST)).select("id", "path"), f"SELECT {_K}::VARCHAR AS id, 'r/x' AS path FROM orders WHERE {_K} % 4 >= 2")
-register("s10_single_lookup", lambda s, d: read(s, d, "part").where("p_partkey = 7").select("p_partkey", "p_brand").join(read(s, d, "supplier").selectExpr("s_suppkey", "'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 3 + 1) AS p_brand"), "p_brand", "left").select("p_partkey", "s_suppkey"), "SELECT p_partkey, s_suppkey FROM part LEFT JOIN supplier ON p_brand = 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 3 + 1) WHERE p_partkey = 7")
 register("x12_digests", lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")), "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
 register("x12_hmac", lambda s, d: _o(s, d).select("o_orderkey", hmac_sha256("k3y", F.col("o_orderpriority")).alias("signature")), "WITH p AS (SELECT o_orderkey, sha256((SELECT string_agg(chr(xor(CASE WHEN i < 3 THEN ascii(('k3y')[i::INT + 1]) ELSE 0 END, 54)), '' ORDER BY i) FROM range(64) t(i)) || o_orderpriority) AS inner_hex FROM orders) SELECT o_orderkey, sha256(encode((SELECT string_agg(chr(xor(CASE WHEN i < 3 THEN ascii(('k3y')[i::INT + 1]) ELSE 0 END, 92)), '' ORDER BY i) FROM range(64) t(i))) || unhex(inner_hex)) AS signature FROM p")
 _TOML = "'a = ' || o_orderkey || chr(10) || '[t]' || chr(10) || 'b = ' || chr(34) || 'x' || (o_orderkey % 9) || chr(34) || CASE WHEN o_orderkey % 8 = 0 THEN '= broken' ELSE '' END"

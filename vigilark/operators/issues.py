@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import segment_in
 from ..registry import register
 from ..sources.fixtures import FINDINGS, findings
-from .advisories import _DESC, _FIX, _ROLL, ADVS, DEPS, impact_name, known_fix, roll_up, vulnerable
+from .advisories import _DESC, _FIX, _HIT, _ROLL, ADVS, DEPS, impact_name, known_fix, roll_up, vulnerable
 from .classify import LABEL
 from .context import ATTENTION
 from .guidance import proof
@@ -92,7 +92,7 @@ _SHOWN = ("title", "exploitability", "exploitability_confidence", "exploitabilit
 register(
     "c13_dependency_issue",
     lambda s, d: dependency_issues(_dependency_rows(s, d)).select("dep_id", "line", *_SHOWN, F.length("cli_output").alias("n_cli")),
-    f"""WITH {DEPS}, {ADVS}, {_DESC}, {_ROLL}, {_FIX},
+    f"""WITH {DEPS}, {ADVS}, {_DESC}, {_HIT}, {_ROLL}, {_FIX},
 p AS (SELECT s.*, fix_version, dep_id % 5 IN (1, 2) AS aside, CASE WHEN n_cves > 1 THEN name || '@' || version || ' has ' || n_cves || ' known vulnerabilities (e.g., ' || cve || ').' ELSE s.summary END AS told FROM s LEFT JOIN best USING (dep_id)),
 q AS (SELECT *, rtrim(told, '.') AS bare, CASE WHEN aside THEN 'LOW' WHEN score >= 6 THEN 'HIGH' WHEN score >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS lev, CASE WHEN aside THEN 'INFO' ELSE severity END AS sev FROM p),
 r AS (SELECT *, CASE WHEN aside THEN told || ' (non-production dependency path)' ELSE bare END AS msg, CASE WHEN aside THEN told || ' (non-production dependency path)' ELSE told END AS issue,
