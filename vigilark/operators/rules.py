@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import among, begins, cases, ends, has, lit, py_pattern, segment_in
 from ..registry import register
 from ..sources.fixtures import CODE_LINES, code_lines, read
+from . import rule_index
 
 # fixed values: rule ids, severities and patterns
 RULES = [
@@ -145,6 +146,11 @@ def file_matches(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     return each.select(*[c for c in files.columns if c != "text"], "h.rule_no", "h.rule_id", "h.severity", (F.col("_n") + 1).alias("nth"), "line_no", F.trim(F.coalesce(F.get("_lines", F.col("line_no") - 1), F.lit(""))).alias("text"))
 
 
+def rule_rows(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
+    """Rules as rows (rule_no, rule_id, severity, pattern) for the index of rules."""
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(RULES if rules is None else rules)], "rule_no int, rule_id string, severity string, pattern string")
+
+
 def valid(m: DataFrame) -> DataFrame:
     m = m.withColumn("_q", F.regexp_extract("text", _QUOTED, 1)).withColumn("_k", F.rlike("text", F.lit(py_pattern(_KEY)))).withColumn("_m", F.rlike("text", F.lit(py_pattern(_METHOD))))
     return m.where(F.expr(validity("_q", "_k", "_m"))).drop("_q", "_k", "_m")
@@ -244,3 +250,25 @@ register(
     f"""WITH {CODE_LINES}, files AS (SELECT scan_id, file_path, string_agg(text, chr(10) ORDER BY ordinal) AS text FROM code_lines WHERE {SCANNED} GROUP BY 1, 2), own(rule_id, severity, mark) AS (VALUES ('custom.inner-html', 'LOW', '[.]innerhtml\\s*='), ('custom.request', 'HIGH', 'req[.](?:query|body)'))
 SELECT scan_id, file_path, rule_id, severity, unnest(range(1, len(regexp_extract_all(lower(text), mark)) + 1))::INT AS nth FROM files, own""",
 )
+
+# the same by the index of rules
+register("f1_indexed_matches", lambda spark, d: rule_index.file_matches(_files(spark, d), rule_rows(spark)).select("scan_id", "file_path", "rule_id", "nth", "line_no"), f"{_WHOLE}, b AS (SELECT *, string_split(text, chr(10)) AS ls FROM walk) SELECT scan_id, file_path, rule_id, nth, len(string_split(regexp_extract(text, '^(?:[\\s\\S]*?(?:' || p.pattern || ')){{' || nth || '}}'), chr(10))) - len(string_split(hit, chr(10))) + 1 + (left(hit, 1) = chr(10))::INT AS line_no FROM b JOIN rules p USING (rule_id)")
+# rules as rows, one a supplier: a word of the snippets and what may follow it; some have no literal, some are no pattern
+_WORDS = ("child_process", "innerHTML", "render_template", "jwt.sign", "expiresIn", "encodeURIComponent", "traceback", "parseInt", "localhost", "debug=True", "yaml.load", "pickle.load", "Math.random", "hunter22", "total = items")
+_RULE_OF = """CASE WHEN s_suppkey % 11 = 5 THEN '(' WHEN s_suppkey % 97 = 3 THEN concat('[0-9]{', 1 + s_suppkey % 3, '}.') WHEN s_suppkey % 3 = 0 THEN concat('(?:', {word}, '|nowhere', s_suppkey, ').{0,', s_suppkey % 40, '}[a-z(]')
+  ELSE concat({word}, '[^;]{', s_suppkey % 17, '}') END"""
+
+
+def _supplied(spark: SparkSession, d: str) -> DataFrame:
+    word = "replace(element_at(array(" + ", ".join(lit(w) for w in _WORDS) + f"), CAST(s_suppkey % {len(_WORDS)} + 1 AS INT)), '.', '[.]')"
+    return read(spark, d, "supplier").selectExpr("CAST(s_suppkey AS INT) AS rule_no", "concat('supplied.', s_suppkey) AS rule_id", "'LOW' AS severity", f"{_RULE_OF.replace('{word}', word)} AS pattern")
+
+
+register(
+    "f3_rule_rows",
+    lambda spark, d: rule_index.rule_matches(scanned(code_lines(spark, d)).select("ordinal", "text"), _supplied(spark, d)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("at")).alias("n")),
+    f"""WITH {CODE_LINES}, texts AS (SELECT text, count(*) AS c FROM code_lines WHERE {SCANNED} GROUP BY 1),
+r AS (SELECT concat('supplied.', s_suppkey) AS rule_id, {_RULE_OF.replace('{word}', f"replace([{', '.join(lit(w) for w in _WORDS)}][(s_suppkey % {len(_WORDS)})::INT + 1], '.', '[.]')")} AS pattern FROM supplier),
+m AS (SELECT rule_id, c, len(regexp_extract_all(text, '(?i)' || pattern)) AS k FROM texts, (SELECT * FROM r WHERE pattern <> '('))
+SELECT rule_id, sum(c)::BIGINT AS lines, sum(c * k)::BIGINT AS n FROM m WHERE k > 0 GROUP BY 1""",
+)

@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.classify import EMITTED, finalize, where_computed
 from ..operators.context import with_context
 from ..operators.report import cross_scanner_dedup, merge_duplicates, ranked
-from ..operators.rules import RULES, Rule, file_matches, valid
+from ..operators.rule_index import file_matches
+from ..operators.rules import rule_rows, valid
 from ..operators.taint import taint_flows
 from ..sources.readers import external_rules, source_files
 
 
-def rule_files(spark: SparkSession, folder: str) -> list[Rule]:
-    """The rules of a folder of JSON files. They become columns of the plan, so they are brought to the driver."""
-    return [(r["id"], r["severity"] or "MEDIUM", r["pattern"]) for r in external_rules(spark, folder).orderBy("id").collect()]
+def all_rules(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """The built-in rules as rows, and after them those of a folder of JSON files in the order of their ids."""
+    own = rule_rows(spark)
+    if not folder:
+        return own
+    more = external_rules(spark, folder).select((F.lit(own.count()) + F.row_number().over(W.orderBy("id", "pattern")) - 1).cast("int").alias("rule_no"), F.col("id").alias("rule_id"), F.coalesce("severity", F.lit("MEDIUM")).alias("severity"), "pattern")
+    return own.unionByName(more)
 
 
-def scan_files(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """files (file_path, text) to findings with category, severity, confidence, reach, count and place in the report."""
-    found = valid(file_matches(files.select("file_path", "text"), rules or RULES))
+def scan_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """files (file_path, text) to findings with category, severity, confidence, reach, count and place in the report; rules as all_rules gives them."""
+    rules = all_rules(files.sparkSession) if rules is None else rules
+    found = valid(file_matches(files.select("file_path", "text"), rules))
     # the order of a report: files by name, rules and matches in theirs
     place = F.struct("file_path", "rule_no", "nth")
     x = finalize(found.select(
@@ -43,4 +50,4 @@ def scan_files(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, rule_folder: str | None = None) -> DataFrame:
     """The report of the files below root, by the built-in rules and those of rule_folder."""
-    return scan_files(source_files(spark, root), [*RULES, *(rule_files(spark, rule_folder) if rule_folder else [])])
+    return scan_files(source_files(spark, root), all_rules(spark, rule_folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,27 @@ FEEDBACK = "feedback_id string, email string, scan_id string, rating int, catego
 MANIFEST = "repos array<struct<id:string,path:string,expected_issue_count:int,issue_tolerance:int,expected_high_count:int,high_tolerance:int>>"
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, text, n_bytes) below root: size and name are tested before a file's content is decoded."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    named = raw.withColumn("file_path", F.expr(f"substring(path, instr(path, '{root.rstrip('/').split('://')[-1]}') + {len(root.rstrip('/').split('://')[-1]) + 1})"))
-    return named.where(F.col("length") <= MAX_FILE_BYTES).where(F.expr(SCANNED)).select("file_path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("n_bytes"))
+def source_files(spark: SparkSession, root: str, where: str = SCANNED, undecodable: str = "replace") -> DataFrame:
+    """(file_path, text, n_bytes) below root: size and name are tested before a file's content is decoded.
+
+    Bytes that aren't UTF-8 become replacement characters, or with undecodable="ignore" leave the text; the replacement
+    character itself stays where the file has it. A file without any has no row. where is the condition on file_path, that of a scan by rules if not told.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_literal(root))
+    # paths of files are told as they are, not as addresses, so the folder's own name is looked for as it is
+    folder = root.rstrip("/").split("://")[-1] + "/"
+    named = raw.withColumn("file_path", F.substr("path", F.instr("path", folder) + len(folder)))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    if undecodable == "ignore":
+        kept = F.lit("\ufffd")
+        mark = F.lit("\x00\x01\x00")  # stands for the replacement characters that the file has itself
+        text = F.replace(F.replace(F.make_valid_utf8(F.replace(F.col("content").cast("string"), kept, mark)), kept, F.lit("")), mark, kept)
+    return named.where(F.col("length") <= MAX_FILE_BYTES).where(F.expr(where)).select("file_path", text.alias("text"), F.col("length").alias("n_bytes"))
+
+
+def _literal(path: str) -> str:
+    """A folder's name with the characters escaped that a path pattern would read."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def external_rules(spark: SparkSession, folder: str) -> DataFrame:
