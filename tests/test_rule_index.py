@@ -87,6 +87,6 @@ def test_source_trees_with_odd_names_and_bytes(spark, tmp_path, name):
 def test_scan_of_a_tree_that_is_not_utf8(spark, tmp_path):
     root = tmp_path / "it's"
     root.mkdir()
-    (root / "a.js").write_bytes(b"// \xe9t\xe9\nconst id = req.query.id;\ndb.query('SELECT a FROM t WHERE b=' + id);\n")
+    (root / "a.js").write_bytes(b"// \xe9t\xe9\n\ndb.query('SELECT a FROM t WHERE b=' + req.query.id);\n")
     rows = scan.scan(spark, str(root)).collect()
     assert {(r.file, r.line, r.category) for r in rows} == {("a.js", 3, "SQL Injection")}
