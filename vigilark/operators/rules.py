@@ -57,6 +57,10 @@ TRIGGERS = ("eval(", "exec(", "pickle", "yaml.load", "subprocess", "os.system",
 MAX_FILE_BYTES = 300_000
 EXCLUDED_PATH = f"({segment_in('file_path', EXCLUDED)} OR {ends('lower(file_path)', BUNDLES)})"
 SCANNED = f"({ends('lower(file_path)', EXTENSIONS)} AND NOT {EXCLUDED_PATH})"
+# the same for Spark: a path is cut once, and its parts are looked up in sets
+_PARTS = lambda xs: ", ".join(lit(x) for x in xs)
+EXCLUDED_PARTS = f"(arrays_overlap(split(lower(file_path), '/'), array({_PARTS(EXCLUDED)})) OR {ends('lower(file_path)', BUNDLES)})"
+SCANNED_PARTS = f"(instr(file_path, '.') > 0 AND substring_index(lower(file_path), '.', -1) IN ({_PARTS(e[1:] for e in EXTENSIONS)}) AND NOT {EXCLUDED_PARTS})"
 TEST_FILE = has("lower(file_path)", ("/test", "tests/", "spec.", "_test."))
 _LOW = "lower(text)"
 
@@ -94,11 +98,26 @@ _KEY, _METHOD = r"\[\s*(req|request)\.[^\]]+\]", r"\.(?:get|has|includes|find|in
 _QUOTED = r"""["']([^"']+)["']"""
 
 
+#: Characters beyond ASCII that a pattern without regard to case takes for a Latin letter, and that letter.
+FOLDED = "lower(translate(text, '\u0130\u0131\u017f\u212a', 'iisk'))"
+
+
 def matches(lines: DataFrame) -> DataFrame:
-    """One row a match of a rule in a line (ordinal, rule_no, nth), with the rule's id and severity."""
-    hits = F.array(*[F.struct(F.lit(k).alias("rule_no"), F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.regexp_count("text", F.lit(py_pattern(p))).alias("n")) for k, (i, s, p) in enumerate(RULES)])
-    some = F.rlike("text", F.lit(py_pattern("|".join(f"(?:{p})" for _, _, p in RULES))))
-    each = lines.where(some).select("*", F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h"))
+    """One row a match of a rule in a line (ordinal, rule_no, nth), with the rule's id and severity.
+
+    A pattern is tried only on lines that hold one of the literals of which any match of it must hold one; those are
+    looked for in the folded line, by substring tests in generated code.
+    """
+    covers = [rule_index.cover(p) for _, _, p in RULES]
+    met = lambda cover: F.expr(has("_low", cover)) if cover else F.lit(True)
+    count = lambda p, cover: F.when(met(cover), F.regexp_count("text", F.lit(py_pattern(p)))).otherwise(0)
+    hits = F.array(*[F.struct(F.lit(k).alias("rule_no"), F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), count(p, c).alias("n")) for k, ((i, s, p), c) in enumerate(zip(RULES, covers))])
+    # a generator of one element, as a filter would be pushed below a projection and fold the line anew for each test
+    x = lines.select("*", F.explode(F.array(F.expr(FOLDED))).alias("_low"))
+    if all(covers):
+        every = sorted({x for c in covers for x in c})
+        x = x.where(met([a for a in every if not any(b != a and b in a for b in every)]))
+    each = x.select("*", F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h"))
     return each.select(*lines.columns, "h.rule_no", "h.rule_id", "h.severity", F.explode(F.sequence(F.lit(1), F.col("h.n"))).alias("nth"))
 
 
@@ -157,7 +176,7 @@ def valid(m: DataFrame) -> DataFrame:
 
 
 def scanned(lines: DataFrame) -> DataFrame:
-    return lines.where(F.expr(SCANNED))
+    return lines.where(F.expr(SCANNED_PARTS))
 
 
 def _duck(p: str) -> str:
@@ -177,7 +196,7 @@ def _q(name, fn, sql):
 
 _KEYS = ("ordinal", "rule_id", "nth")
 _q("s1_source_scan", lambda x: scanned(x).select("ordinal", "file_path"), f"\nSELECT ordinal, file_path FROM code_lines WHERE {SCANNED}")
-_q("s2_path_exclusion", lambda x: x.select("file_path").distinct().select("file_path", F.expr(EXCLUDED_PATH).alias("excluded")), "\nSELECT DISTINCT file_path, regexp_matches(file_path, '(^|/)node_modules(/|$)') AS excluded FROM code_lines")
+_q("s2_path_exclusion", lambda x: x.select("file_path").distinct().select("file_path", F.expr(EXCLUDED_PARTS).alias("excluded")), "\nSELECT DISTINCT file_path, regexp_matches(file_path, '(^|/)node_modules(/|$)') AS excluded FROM code_lines")
 _q("s3_taint_scan", lambda x: x.where(F.expr(ends("lower(file_path)", TAINT_EXTENSIONS))).select("file_path").distinct(), "\nSELECT DISTINCT file_path FROM code_lines WHERE regexp_matches(lower(file_path), '\\.(jsx?|tsx?|mjs|cjs|go|cs)$')")
 _q("s4_ast_scan", lambda x: x.where(F.expr(ends("lower(file_path)", AST_EXTENSIONS))).select("file_path").distinct(), "\nSELECT DISTINCT file_path FROM code_lines WHERE regexp_matches(lower(file_path), '\\.(py|jsx?|tsx?|mjs|cjs)$')")
 _q("s6_repo_gate", lambda x: x.groupBy("repo").agg(F.bool_or(F.expr(ends("lower(file_path)", (".js", ".jsx", ".ts", ".tsx", ".py")))).alias("scannable")), "\nSELECT repo, bool_or(regexp_matches(lower(file_path), '\\.(jsx?|tsx?|py)$')) AS scannable FROM code_lines GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has
-from ..operators.rules import MAX_FILE_BYTES, SCANNED
+from ..operators.rules import MAX_FILE_BYTES, SCANNED_PARTS
 
 RULE = "id string, name string, language string, pattern string, severity string, description string, fix string, _corrupt_record string"
 SEMGREP = "results array<struct<check_id:string,path:string,start:struct<line:int>,severity:string,message:string,extra:struct<lines:string,severity:string,message:string>>>"
@@ -17,7 +17,7 @@ FEEDBACK = "feedback_id string, email string, scan_id string, rating int, catego
 MANIFEST = "repos array<struct<id:string,path:string,expected_issue_count:int,issue_tolerance:int,expected_high_count:int,high_tolerance:int>>"
 
 
-def source_files(spark: SparkSession, root: str, where: str = SCANNED, undecodable: str = "replace") -> DataFrame:
+def source_files(spark: SparkSession, root: str, where: str = SCANNED_PARTS, undecodable: str = "replace") -> DataFrame:
     """(file_path, text, n_bytes) below root: size and name are tested before a file's content is decoded.
 
     Bytes that aren't UTF-8 become replacement characters, or with undecodable="ignore" leave the text; the replacement
