@@ -375,3 +375,22 @@ def test_mix_takes_a_rest_that_rounds_up_to_a_whole_epoch(spark):
     for ratio, want in ((0.997, 100), (1.997, 200)):
         got = mixing.mix_sources(frame(spark, rows), budget_ratio=ratio).collect()
         assert sum(r.taken for r in got) == want
+
+
+def test_mix_leaves_columns_of_any_name(spark):
+    names = ["_key", "_bucket", "_src", "_part", "_cut", "_base", "_rest", "_tsrc", "_q", "_row", "_id", "_n", "_full", "row", "epochs", "a.b"]
+    rows = [(k, "w " * (k % 40), "a" if k % 3 else None, *[f"{n}{k}" for n in names]) for k in range(120)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = mixing.mix_sources(docs).collect()
+    plain = {r.doc_id: r.taken for r in mixing.mix_sources(docs.select("doc_id", "text", "source")).collect()}
+    assert len(got) == 120 and all(r.taken == plain[r.doc_id] and all(r[n] == f"{n}{r.doc_id}" for n in names if n != "epochs") for r in got)
+    import corpus_pipeline
+
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()} == {k for k, n in plain.items() if n}
+
+
+def test_numbers_of_blocks_do_not_overflow_or_meet(spark):
+    sizes = [0, 1, 2047, 2048, 4096, 32_768, 65_536, 1 << 20, (1 << 31) - 1]
+    pairs = spark.createDataFrame([(a, b) for a in sizes for b in sizes], "a int, b int")
+    got = {(r.a, r.b): r.p for r in pairs.select("a", "b", components.block_pair(F.col("a"), F.col("b")).alias("p")).collect()}
+    assert all(got[a, b] == got[b, a] for a, b in got) and len(set(got.values())) == len(sizes) * (len(sizes) + 1) // 2

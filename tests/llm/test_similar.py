@@ -56,6 +56,7 @@ def test_similar_deals_out_large_components_and_takes_odd_rows(spark):
         text[rnd.randrange(150)] = f"x{k}"
         rows.append((k, " ".join(text)))
     docs = spark.createDataFrame([*rows, (60, None), (61, " \t"), (None, "a b"), (None, "a b"), (63, "A B"), (64, "a c")], "doc_id long, text string")
-    kept = simhash.keep_one(docs, lambda d, keys: similar.similar(d, keys, block=8))
-    assert {r.doc_id for r in kept.collect()} == least(rows, lambda x, y: similarity(x, y) >= 0.8) | {60, 63, 64}
+    for bounds in ({"block": 8}, {"block_members": 500}, {"block_members": 1}):
+        kept = simhash.keep_one(docs, lambda d, keys: similar.similar(d, keys, **bounds))  # noqa: B023
+        assert {r.doc_id for r in kept.collect()} == least(rows, lambda x, y: similarity(x, y) >= 0.8) | {60, 63, 64}
     assert simhash.keep_one(docs.limit(0), similar.similar).count() == 0

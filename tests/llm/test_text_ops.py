@@ -1,12 +1,13 @@
 """Quality rules, chat formatting, language ID, HTML, tokens and WARC: brute force, round trips, odd inputs."""
 
 import json
+import re
 import random
 from html.parser import HTMLParser
 
 import pytest
 
-from vigilark.llm import chat, html, langid, quality, tokens, warc
+from vigilark.llm import chat, common, html, langid, quality, tokens, warc
 
 
 def naive_repeat(words):
@@ -209,10 +210,26 @@ def test_archive_round_trip_and_damage():
     data = warc.archive(records)
     assert data[:4] == b"\x5d\x2a\x4d\x18"  # the dictionary leads
     back = list(warc.read_archive(io.BytesIO(data)))
-    assert [h["WARC-Record-ID"] for h, _ in back] == [f"<urn:page:{k}>" for k in range(60)]
+    assert [h["X-Page-ID"] for h, _ in back] == [str(k) for k in range(60)]
+    assert len({h["WARC-Record-ID"] for h, _ in back}) == 60 and all(h["WARC-Record-ID"].startswith("<urn:uuid:") for h, _ in back)
     assert back[7][1].partition(b"\r\n\r\n")[2] == b"<p>7 payload body common words</p>" * 20
-    few = warc.archive(records[:2])
-    assert len(list(warc.read_archive(io.BytesIO(few)))) == 2
+    for few in (records[:1], records[:2], [warc.record(None, None, b"", None)], [b"x"] * 30):  # too few or too alike to train a dictionary
+        data = warc.archive(few)
+        assert data[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(data[4:8], "little") > 0
+        if few[0] != b"x":
+            assert [h["X-Page-ID"] for h, _ in warc.read_archive(io.BytesIO(data))] == ["null" if b"null" in r else str(k) for k, r in enumerate(few)]
+    with pytest.raises(ValueError):
+        list(warc.read_archive(io.BytesIO(b"x" * 40)))
+
+
+def test_records_of_repeated_pages_have_ids_of_their_own(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, "u", "a"), (None, "u", "a")]
+    made = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), common.scratch(spark, "warc-test"))
+    ids = []
+    for r in made.collect():
+        with open(r.path.removeprefix("file://").removeprefix("file:"), "rb") as source:
+            ids += [h["WARC-Record-ID"] for h, _ in warc.read_archive(source)]
+    assert len(ids) == len(set(ids)) == 4
 
 
 def test_warc_revisits_and_odd_rows(spark):
@@ -227,7 +244,7 @@ def test_registry_names_every_operator():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and json.dumps(sorted(__spark_entry__.oracle_sql()))
 
@@ -329,3 +346,32 @@ def test_a_real_conversation_of_the_added_id_joins_it(spark):
     conv = spark.createDataFrame([(-1, 5, "user", "late")], "conv_id long, turn long, role string, text string")
     (r,) = chat.op5(conv).collect()
     assert (r.conv_id, r.n_turns) == (-1, 3)
+
+
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ('<div class="commentary"><p>What the author says.</p></div>', True),
+        ('<section class="search-results-study"><p>' + "We looked at results of a search, and found that they vary. " * 5 + "</p></section>", True),
+        ('<section class="related work"><p>' + "Others studied this before, with other means and ends. " * 6 + '<a href="x">one</a></p></section>', True),
+        ('<figure><figcaption class="share">A share of all.</figcaption></figure>', True),
+        ("<p><label>Label of a thing</label></p>", True),
+        ('<h2 class="banner">A title within</h2>', True),
+        ('<p>Of <em class="search">this</em> kind</p>', True),
+        ('<div class="share">Tell your friends</div>', False),
+        ('<div class="related"><a href="a">' + "One more page to read. " * 20 + "</a></div>", False),
+        ('<ul class="tags"><li>one</li><li>two</li></ul>', False),
+        ('<div class="comments"><p>' + "A reader has a long opinion about all of this. " * 10 + "</p></div>", False),
+        ('<div id="comment-list"><p>' + "A reader has a long opinion about all of this. " * 10 + "</p></div>", False),
+        ('<div class="advert"><p>' + "Buy this thing now, it is cheap and good. " * 10 + "</p></div>", False),
+        ('<div class="cookie-notice"><p>' + "We use cookies for many reasons. " * 10 + "</p></div>", False),
+        ('<form><label>Name</label><input></form>', False),
+    ],
+)
+def test_class_words_inside_an_article_need_evidence(inner, kept):
+    lead, rest = "The lead of the article, which is long enough to be one. " * 4, "And how it ends, after all that was said. " * 4
+    got = html.Page(f"<html><body><nav>menu</nav><article><h1>Title</h1><p>{lead}</p>{inner}<p>{rest}</p></article></body></html>").text(None)
+    said = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    tail = " ".join(rest.split())
+    assert got.startswith("Title\n\n" + " ".join(lead.split())) and got.endswith(tail)
+    assert (" ".join(got.split()) == " ".join(f"Title {lead} {said if kept else ''} {rest}".split()))

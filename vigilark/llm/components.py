@@ -7,7 +7,7 @@ end when the edges are stars; they are cut by reliable checkpoints, so a lost ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -43,3 +43,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def block_pair(a: Column, b: Column) -> Column:
+    """A number for two blocks, the same in either order, up to 2^31 blocks."""
+    return F.least(a, b).cast("long") * F.lit(1 << 32) + F.greatest(a, b).cast("long")

@@ -9,7 +9,8 @@ path.
 
 Left out: scripts, styles, markup and comments of the source; menus, page headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by tag, role or the words in class and id. A header inside an article
-stays, as it holds the title. Everything else in the container is kept, in page order.
+stays, as it holds the title. Words that also name kinds of text (search, share, related, ...) decide inside an article
+only together with what the element holds: short texts or links. Everything else in the container is kept, in page order.
 
 Votes combine on the map side, so a host with a third of all pages is one number a task; the winners, one row a
 host, are broadcast when few and joined otherwise.
@@ -39,14 +40,22 @@ RAW = set("script style noscript template textarea title iframe svg canvas objec
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = set("article body div main section td".split())
 BREAKS = BLOCK | CONTAINER
-DROPPED = set("aside button dialog footer form head input label menu nav option".split()) | RAW
-BAD_WORDS = set("ad ads alert banner breadcrumb breadcrumbs consent gdpr legal login masthead menu modal nav navbar navigation notice pager pagination popup promo reactions recommended related replies reply respond search share sharing signup skip social sponsor subscribe tags toolbar widget".split())
-BAD_STARTS = ("advert", "comment", "cookie", "disqus", "newsletter", "sidebar", "sponsor")
+DROPPED = set("aside button dialog footer form head input menu nav option".split()) | RAW
+BAD_WORDS = set("ad ads breadcrumb breadcrumbs consent gdpr legal login masthead menu modal nav navbar navigation notice pager pagination popup reactions replies reply respond signup subscribe toolbar".split())
+BAD_WORDS |= set("advert adverts advertisement advertising advertorial comment comments commentlist commenter commentform cookie cookies cookiebar newsletter newsletters sidebar sidebars sponsor sponsored sponsors".split())
+#: Words that name a part beside the text, but also kinds of text: inside an article they need evidence.
+WEAK_WORDS = set("alert banner label promo recommended related search share sharing skip social tags widget".split())
+BAD_STARTS = ("disqus",)
+#: Names of text itself, which no class word turns into something else.
+PROSE = set("figcaption h1 h2 h3 h4 h5 h6 label blockquote pre dt dd".split())
 BAD_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 GOOD_WORDS = set("article content entry main post story text body".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("article aside body div dl fieldset footer form header html main nav ol section table td th ul".split())
 
+#: Characters from which on text in a doubted element is prose.
+PROSE_CHARS = 200
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _DIGITS = re.compile(r"\d+")
@@ -62,7 +71,7 @@ def _attributes(source: str) -> dict[str, str]:
 class Node:
     """An open element."""
 
-    __slots__ = ("tag", "label", "bad", "container", "path")
+    __slots__ = ("tag", "label", "bad", "doubted", "container", "path", "since")
 
     def __init__(self, tag: str, source: str, inside: bool):
         at = _attributes(source)
@@ -70,13 +79,18 @@ class Node:
         words = set(_WORDS.split(_BESIDE.sub(" ", named)))
         classes = sorted(_DIGITS.sub("0", x).replace("/", "_") for x in at.get("class", "").lower().split())
         self.tag, self.label = tag, ".".join([tag, *classes])
-        bad = tag in DROPPED or bool(words & BAD_WORDS) or at.get("role", "").lower() in BAD_ROLES
-        bad = bad or any(w.startswith(BAD_STARTS) for w in words) or at.get("aria-hidden") == "true"
+        bad = tag in DROPPED or at.get("role", "").lower() in BAD_ROLES or at.get("aria-hidden") == "true"
+        told = bool(words & BAD_WORDS) or any(w.startswith(BAD_STARTS) for w in words)
+        bad = bad or (told and not (inside and tag in PROSE))
+        weak = bool(words & WEAK_WORDS)
+        bad = bad or (weak and (not inside or tag in ("a", "span")))
+        self.doubted = weak and not bad and tag in BREAKS and tag not in PROSE
         bad = bad or "hidden" in _DIGITS.sub("", source.replace("=", " ")).lower().split() or "display:none" in at.get("style", "").replace(" ", "").lower()
         # a header or footer is the page's own unless it belongs to an article; so is what is named one
         bad = bad or (tag == "header" and not inside) or bool(words & {"header", "footer"}) and not (inside or words & GOOD_WORDS)
         self.bad = bad and tag not in ("html", "body", "main")
         self.container = self.path = -1
+        self.since = 0  # blocks that came before it
 
 
 class Page:
@@ -94,6 +108,7 @@ class Page:
         self.score: list[float] = []
         self.own: list[float] = []  # scores without those of inner containers
         self.blocks: list[tuple[int, str]] = []  # innermost container or -1, text
+        self._worth: list[tuple[int, int]] = []  # of each block the length of its links, and what it adds to the score
         self._stack: list[Node] = []
         self._at: dict[str, list[int]] = {}  # places in the stack by tag
         self._scopes: list[int] = []  # places of elements that end the search for an open one
@@ -113,15 +128,30 @@ class Page:
             return
         inside = self._containers[-1] if self._containers else -1
         self.blocks.append((inside, text))
+        self._worth.append((linked, max(0, len(text) - 2 * linked) + 20 * text.count(",")))
         if inside >= 0:
-            self.score[inside] += max(0, len(text) - 2 * linked) + 20 * text.count(",")
+            self.score[inside] += self._worth[-1][1]
+
+    def _judge(self, node: Node) -> None:
+        """Takes back the blocks of an element that its name casts doubt on, unless they are prose: long, and mostly not links."""
+        held = self.blocks[node.since :]
+        size, linked = sum(len(t) for _, t in held), sum(n for n, _ in self._worth[node.since :])
+        if size >= PROSE_CHARS and 4 * linked <= size:
+            return
+        for (inside, _), (_, worth) in zip(held, self._worth[node.since :]):
+            if inside >= 0:
+                self.score[inside] -= worth
+        del self.blocks[node.since :], self._worth[node.since :]
 
     def _last(self, tag: str) -> int:
         """Place of the innermost open element of a tag, or -1."""
         return places[-1] if (places := self._at.get(tag)) else -1
 
     def _push(self, node: Node) -> None:
+        if node.doubted:
+            self._flush()  # what came before is not its own
         place = len(self._stack)
+        node.since = len(self.blocks)
         self._stack.append(node)
         self._at.setdefault(node.tag, []).append(place)
         if node.tag in SCOPES:
@@ -143,9 +173,11 @@ class Page:
     def _pop(self, to: int) -> None:
         """Close all elements from place `to` of the stack on."""
         closed = self._stack[to:]
-        if any(n.tag in BREAKS for n in closed):
+        if any(n.tag in BREAKS or n.doubted for n in closed):
             self._flush()
         for n in reversed(closed):
+            if n.doubted:
+                self._judge(n)
             self._at[n.tag].pop()
             if n.tag in SCOPES:
                 self._scopes.pop()
@@ -208,6 +240,7 @@ class Page:
                     self._text.append(" ")
         if at < end and not self._n_bad:
             self._add(source[at:])
+        self._pop(0)  # what the page left open
         self._flush()
         self.own = list(self.score)
         for k in range(len(self.score) - 1, 0, -1):

@@ -14,7 +14,7 @@ texts lie, each at most MAX_THRESHOLD. A text under either, or without a letter,
 language is reported all the same.
 
 Defined cases: a null text or one without a letter is "und" with score 0 and is rejected; very long texts are read
-whole, in pieces; repeated rows get one answer; rows with a null or empty label don't train; with no labelled row
+whole, in pieces; repeated rows get one answer; rows with a null label don't train, an empty one is a label like any other; with no labelled row
 at all every text is "und"; an empty table gives an empty result; other columns pass unchanged through keep().
 """
 

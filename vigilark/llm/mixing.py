@@ -70,10 +70,12 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights=WEIGHTS,
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "epochs")]
     size = F.col("size") if "text" not in docs.columns else n_words(F.col("text"))
-    sized = docs.select(*kept, size.alias("size"), *([quality.alias("_q")] if quality is not None else []))
-    q = F.col("_q") if quality is not None else quality_weight(F.col("text"), F.col("size"))
-    keyed = sized.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / q).withColumn("_bucket", F.floor(F.col("_key") / (F.col("_key") + 1) * BUCKETS))
-    keyed = keyed.withColumn("_src", F.col("source")).drop("_q")
+    # the row travels as one struct, so that no name of its columns meets one of the names used here
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    sized = docs.select(row, size.alias("size"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), *([quality.alias("_q")] if quality is not None else []))
+    q = F.col("_q") if quality is not None else quality_weight(F.col("_row.text"), F.col("size"))
+    keyed = sized.withColumn("_key", -F.log(uniform(F.col("_id"))) / q).withColumn("_bucket", F.floor(F.col("_key") / (F.col("_key") + 1) * BUCKETS))
+    keyed = keyed.drop("_q")
 
     sums = cut(keyed.groupBy("_src", "_bucket").agg(F.sum("size").alias("_n")))
     targets = source_targets(sums.groupBy("_src").agg(F.sum("_n").alias("source_size")), weights, budget_ratio, max_epochs)
@@ -90,12 +92,12 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights=WEIGHTS,
 
     joined = keyed.join(broadcast_if_small(info), F.col("_src").eqNullSafe(F.col("_tsrc")))
     whole = joined.where(~F.col("_bucket").eqNullSafe(F.col("_cut"))).withColumn("_part", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(0).cast("long"))
-    order = W.partitionBy("_src").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("_src").orderBy("_key", F.col("_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     edge = joined.where(F.col("_bucket").eqNullSafe(F.col("_cut")))
     left = F.col("_rest") - F.col("_base") - F.coalesce(F.sum("size").over(order), F.lit(0))
     edge = edge.withColumn("_part", F.least(F.greatest(left, F.lit(0)), F.col("size")).cast("long"))
     both = whole.unionByName(edge)
-    return both.withColumn("taken", F.col("epochs") * F.col("size") + F.col("_part")).select(*kept, "size", "source_size", "target", "taken", "epochs")
+    return both.withColumn("taken", F.col("epochs") * F.col("size") + F.col("_part")).select(*[F.col("_row").getField(c).alias(c) for c in kept], "size", "source_size", "target", "taken", "epochs")
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_if_small, cut, stored
-from .components import components
+from .components import block_pair, components
 
 RADIUS = 4
 MIN_SHARED = 4
@@ -180,8 +180,8 @@ def links(fps: DataFrame, width: int | None = None, block: int = BLOCK) -> DataF
     parts = F.ceil(F.col("n") / block).cast("int")
     dealt = posts.join(broadcast_if_small(hot), "key", "left").withColumn("_b", F.pmod(F.hash("fp", "key"), F.coalesce(parts, F.lit(1))))
     # a block of a hot list meets each block of the list, itself included, in a part of its own
-    pair = lambda x: F.least("_b", x) * F.lit(1 << 20) + F.greatest("_b", x)
-    each = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda x: pair(x).cast("long")))
+    pair = lambda x: block_pair(F.col("_b"), x)
+    each = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), pair))
     dealt = dealt.select("key", F.explode(each).alias("part"), "fp")
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(spread, "key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_match, "u long, v long")

@@ -1,7 +1,9 @@
 """WARC archives with a Zstandard dictionary.
 
 Each archive is a .warc.zst file: a skippable frame that holds the dictionary, then one Zstandard frame a record,
-all compressed with that dictionary. The dictionary is built from records of the archive itself. Files go to the
+all compressed with that dictionary. The dictionary is trained on records of the archive itself; where they are too few
+for that it is made of their own text, so every archive has one. Records have ids of their own, also where pages share
+a page_id, which stands in a header of its own. Files go to the
 shared folder through the file system that its path names; a task gives each file a name of its own and reports
 it only when it is complete, and readers open reported files alone, so a lost or repeated task does no harm.
 
@@ -22,6 +24,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -41,7 +44,8 @@ DICT_RECORD_BYTES = 16 << 10
 # fixed values of the WARC formats
 DICT_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+#: Record ids are named in this space of UUIDs.
+NAMESPACE = uuid.NAMESPACE_URL
 
 
 def _open(uri: str):
@@ -52,18 +56,20 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "0", date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """A record, told from all others by the archive and place in it, and of which page it is by a header of its own."""
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}/{place}')}>",
+        f"X-Page-ID: {'null' if page_id is None else page_id}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{_digest(payload)}",
-        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]),
+        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]),
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -71,22 +77,28 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def dictionary(records: list[bytes]) -> bytes:
-    """A trained dictionary, or none where the records are too few to train one."""
+    """A dictionary of the records: a trained one, or, where they are too few or too alike to train one, pieces of their own text.
+
+    Either way it isn't empty: a frame's content may be any bytes, which compressors take as text that came before.
+    """
     step = max(1, len(records) // DICT_RECORDS)
     shown = [r[:DICT_RECORD_BYTES] for r in records[::step]]
-    if len(shown) < 8:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, shown)) // 4), shown).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(shown) >= 8:
+        try:
+            return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, shown)) // 4), shown).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    # what is near the end is the cheapest to refer to, so the first record's beginning, which all share, comes last
+    share = max(8, DICT_BYTES // len(shown))
+    return b"".join(r[:share] for r in reversed(shown))[-DICT_BYTES:]
 
 
 def archive(records: list[bytes]) -> bytes:
-    out, made = io.BytesIO(), dictionary(records)
-    if made:
-        out.write(struct.pack("<II", DICT_MAGIC, len(made)) + made)
-    pack = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(made) if made else None)
+    """A skippable frame that holds the dictionary, then each record compressed with it, alone."""
+    made = dictionary(records)
+    out = io.BytesIO()
+    out.write(struct.pack("<II", DICT_MAGIC, len(made)) + made)
+    pack = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(made))
     for r in records:
         out.write(pack.compress(r))
     return out.getvalue()
@@ -94,11 +106,10 @@ def archive(records: list[bytes]) -> bytes:
 
 def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record of an open file."""
-    data, head = None, source.read(8)
-    if len(head) == 8 and struct.unpack("<II", head)[0] == DICT_MAGIC:
-        data = zstandard.ZstdCompressionDict(source.read(struct.unpack("<II", head)[1]))
-    else:
-        source.seek(0)
+    magic, size = struct.unpack("<II", source.read(8))
+    if magic != DICT_MAGIC:
+        raise ValueError("an archive begins with its dictionary")
+    data = zstandard.ZstdCompressionDict(source.read(size))
     stream = io.BufferedReader(zstandard.ZstdDecompressor(dict_data=data).stream_reader(source, read_across_frames=True), 1 << 20)
     while line := stream.readline():
         if line != b"WARC/1.1\r\n":
@@ -114,6 +125,7 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) into folder; the archives (path, records) that are complete."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     long = F.octet_length("payload") >= min_bytes
@@ -123,26 +135,26 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
-    def save(records: list[bytes]):
+    def save(records: list[bytes], name: str):
         system, top = _open(folder)
         system.create_dir(top, recursive=True)
-        name = f"{uuid.uuid4().hex}.warc.zst"
+        name = f"{name}.warc.zst"
         with system.open_output_stream(f"{top}/{name}", compression=None) as out:
             out.write(archive(records))
         return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([len(records)], pa.int64())})
 
     def run(batches):
-        held, size = [], 0
+        held, size, name = [], 0, uuid.uuid4().hex
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 for x in b.slice(at, 64).to_pylist():
-                    held.append(record(x["page_id"], x["url"], x["payload"], x["refers_to"]))
+                    held.append(record(x["page_id"], x["url"], x["payload"], x["refers_to"], f"{name}/{len(held)}", date))
                     size += len(held[-1])
                     if size >= ARCHIVE_BYTES:
-                        yield save(held)
-                        held, size = [], 0
+                        yield save(held, name)
+                        held, size, name = [], 0, uuid.uuid4().hex
         if held:
-            yield save(held)
+            yield save(held, name)
 
     return stored(rows.mapInArrow(run, "path string, records long"), "manifest")
 
@@ -150,9 +162,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record in the archives listed."""
 
-    def number(uri: str | None) -> int | None:
-        tail = (uri or "").removesuffix(">").rpartition(":")[2]
-        return int(tail) if tail not in ("", "null") else None
+    def number(told: str | None) -> int | None:
+        return int(told) if told not in (None, "null") else None
 
     def run(batches):
         for b in batches:
@@ -166,7 +177,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         size = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length:"))
                         if kind == "response" and (len(payload) != size or _digest(payload) != told):
                             raise ValueError(f"{path}: record {h['WARC-Record-ID']} is damaged")
-                        out.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], size, told, kind, number(h.get("WARC-Refers-To"))))
+                        out.append((number(h["X-Page-ID"]), h["WARC-Target-URI"], size, told, kind, number(h.get("X-Refers-To-Page"))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
