@@ -23,7 +23,7 @@ LIMIT = "CASE upper(tier) WHEN 'HIGH' THEN 'HIGH' WHEN 'MEDIUM' THEN 'MEDIUM' EL
 
 
 #: What a finding takes over from the best flow, with the types of what flows may lack.
-BEST = {"flow_line": "int", "sanitized": "boolean", "depth": "int", "uncertain": "boolean", "tier": "string", "route": "string", "source": "string", "sink": "string", "chain": "array<string>"}
+BEST = {"flow_line": "int", "sanitized": "boolean", "depth": "int", "uncertain": "boolean", "tier": "string", "route": "string", "source": "string", "sink": "string", "chain": "array<string>", "framework": "string"}
 
 
 def best_flows(fl: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import register
 from ..sources.fixtures import JOB_EVENTS, METRIC_EVENTS, job_events, metric_events, read
+from .chains import accepted
 
 
 def latest(j: DataFrame) -> DataFrame:
@@ -20,29 +20,6 @@ def as_of(j: DataFrame, col: str = "ts") -> DataFrame:
     return j.crossJoin(F.broadcast(j.agg(F.max(col).alias("as_of"))))
 
 
-def accepted(events: DataFrame, seconds: int = 86_400) -> DataFrame:
-    """events (key, ts, seq) that come seconds or more after the last accepted one of their key, or are its first.
-
-    Events stream in the order of (key, ts, seq) and one time is kept, so a key with very many of them needs no group.
-    """
-
-    def run(batches):
-        key, until = None, None
-        for b in batches:
-            keys, times = b.column(0).to_pylist(), b.column(1).cast("int64").to_pylist()
-            keep = []
-            for k, t in zip(keys, times):
-                fresh = until is None or k != key or t >= until
-                keep.append(fresh)
-                if fresh:
-                    key, until = k, t + seconds * 1_000_000
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = events.select("key", "ts", "seq")
-    return x.repartition(spread, "key").sortWithinPartitions("key", "ts", "seq").mapInArrow(run, x.schema)
-
-
 def next_jobs(j: DataFrame, lease: str = "INTERVAL 30 MINUTES") -> DataFrame:
     """Jobs that a worker can take: queued ones in the order of their queueing, then those whose lease ran out, as these queue up again."""
     last = latest(j).crossJoin(F.broadcast(j.agg(F.max("ts").alias("as_of"))))  # one row
@@ -92,10 +69,10 @@ _j("k4_backpressure", lambda j: latest(j).agg(F.count_if(F.col("state") == "queu
 _j("k2_expired_leases", lambda j: as_of(j).groupBy("job_id").agg(F.max_by(F.struct("state", "ts"), "seq").alias("x"), F.max("as_of").alias("as_of")).where("x.state = 'processing' AND x.ts < as_of - INTERVAL 30 MINUTES").select("job_id"), f", l AS ({_LATEST}) SELECT job_id FROM l WHERE state = 'processing' AND ts < (SELECT max(ts) FROM job_events) - INTERVAL 30 MINUTES")
 _j(
     "k2_next_jobs",
-    lambda j: next_jobs(j).orderBy("requeued", "since", "job_id").limit(50),
+    lambda j: next_jobs(j),
     f""", l AS ({_LATEST}), t AS (SELECT max(ts) AS now FROM job_events), n AS (SELECT job_id, count(*) + 1 AS attempt FROM job_events WHERE state = 'processing' GROUP BY 1)
 SELECT job_id, (state = 'processing')::INT AS requeued, CASE state WHEN 'queued' THEN ts ELSE ts + INTERVAL 30 MINUTES END AS since, coalesce(attempt, 1) AS attempt FROM l LEFT JOIN n USING (job_id), t
-WHERE state = 'queued' OR (state = 'processing' AND now >= ts + INTERVAL 30 MINUTES) ORDER BY 2, 3, 1 LIMIT 50""",
+WHERE state = 'queued' OR (state = 'processing' AND now >= ts + INTERVAL 30 MINUTES) """,
 )
 _j("k5_live_workers", lambda j: as_of(j).where("ts >= as_of - INTERVAL 6 HOURS").agg(F.countDistinct("worker").alias("live")), "SELECT count(DISTINCT worker) AS live FROM job_events WHERE ts >= (SELECT max(ts) FROM job_events) - INTERVAL 6 HOURS")
 _j("k10_keep_last", lambda j: j.withColumn("nth", F.row_number().over(W.partitionBy("worker").orderBy(F.desc("ts"), F.desc("seq")))).where("nth <= 200").select("seq"), "SELECT seq FROM job_events QUALIFY row_number() OVER (PARTITION BY worker ORDER BY ts DESC, seq DESC) <= 200")

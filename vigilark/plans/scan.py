@@ -44,7 +44,7 @@ def scan_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     y = y.withColumn("title", F.concat(F.lit("["), "severity", F.lit("] "), "category"))
     return ranked(merge_duplicates(cross_scanner_dedup(y))).select(
         "place", "file", "line", "rule_id", "category", "title", "severity", "confidence", "confidence_label", "attention_level", "evidence", "data_source", "usage_context",
-        "exploitability", "exploitability_level", F.col("route").alias("route_hint"), F.col("source").alias("source_symbol"), F.col("sink").alias("sink_symbol"), "depth", "chain", "occurrence_count",
+        "exploitability", "exploitability_level", F.col("route").alias("route_hint"), F.col("source").alias("source_symbol"), F.col("sink").alias("sink_symbol"), "depth", "chain", "framework", "occurrence_count",
     )
 
 
