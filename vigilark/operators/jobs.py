@@ -145,6 +145,42 @@ _j("k1_dedup_ttl", lambda j: accepted(j.select(F.col("job_id").alias("key"), "ts
 # answers are kept for half a day after each fetch; a fetch is what the kept ones don't answer
 _j("k8_cache_fetches", lambda j: accepted(j.select(F.col("worker").alias("key"), "ts", "seq"), 43_200).select("seq"), _ACCEPTED.replace("24 HOURS", "12 HOURS").replace("PARTITION BY job_id", "PARTITION BY worker"))
 
+
+
+def attempts(outcomes: DataFrame, most: int = 3, wait: str = "least(12, power(2, attempt))") -> DataFrame:
+    """outcomes (job_id, seq, done, message) with attempt, verdict (done, retry or failed), wait and waited, in seconds.
+
+    A failure that may pass is tried again until the most-th attempt; any other ends the run, and the next outcome
+    begins one. So the attempts of a job count up through failures that may pass, and begin anew after others. wait is
+    what is waited for before the next attempt, waited the sum of the run so far.
+    """
+    x = outcomes.withColumn("passing", ~F.col("done") & transient(F.col("message")))
+    mine = W.partitionBy("job_id").orderBy("seq")
+    ended = F.coalesce(F.sum(F.when(F.col("passing"), 0).otherwise(1)).over(mine.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("_series", ended)
+    nth = F.row_number().over(W.partitionBy("job_id", "_series").orderBy("seq"))
+    x = x.withColumn("_nth", nth - 1).withColumn("attempt", (F.col("_nth") % most + 1).cast("int"))
+    again = F.col("passing") & (F.col("attempt") < most)
+    x = x.withColumn("verdict", F.when(F.col("done"), "done").when(again, "retry").otherwise("failed")).withColumn("wait", F.when(again, F.expr(wait).cast("long")).otherwise(F.lit(0)))
+    run = W.partitionBy("job_id", "_series", F.floor(F.col("_nth") / most)).orderBy("seq")
+    return x.withColumn("waited", F.sum("wait").over(run)).drop("passing", "_series", "_nth")
+
+
+def _outcomes(j: DataFrame) -> DataFrame:
+    # one in three is a failure that may pass, as events of a kind are few in a row
+    return j.select(F.pmod("job_id", F.lit(50)).alias("job_id"), "seq", (F.col("state") == "done").alias("done"), F.element_at(F.array(*[F.lit(m) for m in _MSG]), (F.col("seq") % len(_MSG) + 1).cast("int")).alias("message"))
+
+
+def _attempts_sql(wait: str) -> str:
+    return f""", o AS (SELECT job_id % 50 AS job_id, seq, state = 'done' AS done, state <> 'done' AND seq % {len(_MSG)} IN (0, 1, 4) AS passing FROM job_events),
+s AS (SELECT *, coalesce(sum((NOT passing)::INT) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS series FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id, series ORDER BY seq) - 1 AS nth FROM s), a AS (SELECT *, (nth % 3 + 1)::INT AS attempt FROM n),
+w AS (SELECT *, CASE WHEN done THEN 'done' WHEN passing AND attempt < 3 THEN 'retry' ELSE 'failed' END AS verdict, CASE WHEN passing AND attempt < 3 THEN {wait} ELSE 0 END::BIGINT AS wait FROM a)
+SELECT job_id, seq, attempt, verdict, wait, sum(wait) OVER (PARTITION BY job_id, series, nth // 3 ORDER BY seq)::BIGINT AS waited FROM w"""
+
+
+_j("k6_scan_retries", lambda j: attempts(_outcomes(j)).select("job_id", "seq", "attempt", "verdict", "wait", "waited"), _attempts_sql("least(12, 2 ** attempt)"))
+_j("k6_worker_retries", lambda j: attempts(_outcomes(j), 3, "power(2, attempt - 1)").select("job_id", "seq", "attempt", "verdict", "wait", "waited"), _attempts_sql("2 ** (attempt - 1)"))
 _URL = "CASE WHEN user_id % 2 = 0 THEN 'HTTPS://GitHub.com/Org/r' || user_id || '/' ELSE 'https://github.com/org/r' || user_id END"
 register("j11_latest_by_url", lambda s, d: read(s, d, "events").selectExpr("event_id", "ts", f"{_URL.replace('user_id', '(user_id % 20)')} AS url").withColumn("key", F.regexp_replace(F.lower("url"), "/+$", "")).groupBy("key").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")), f"SELECT key, event_id FROM (SELECT event_id, ts, rtrim(lower({_URL.replace('user_id', '(user_id % 20)')}), '/') AS key FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) = 1")
 
@@ -167,29 +203,6 @@ register("x11_url_slug", lambda s, d: read(s, d, "pages").select("page_id", F.re
 register("j10_existence", lambda s, d: metric_events(s, d).join(metric_events(s, d).where("event = 'audit_unlocked'").select("email").distinct(), "email", "left_semi").select("event_id"), f"WITH {METRIC_EVENTS} SELECT event_id FROM metric_events WHERE email IN (SELECT email FROM metric_events WHERE event = 'audit_unlocked')")
 
 
-def evaluated(s, d: str) -> DataFrame:
-    """Labels against what a length rule predicts: truth, prediction and category of each labelled document."""
-    docs = read(s, d, "documents").select("doc_id", "lang", (F.col("n_chars") % 7 < 2).alias("predicted"))
-    return docs.join(read(s, d, "labels").select("doc_id", (F.col("quality") == 0).alias("truth")), "doc_id")
-
-
-_EVAL = "e AS (SELECT d.doc_id, lang, n_chars % 7 < 2 AS predicted, quality = 0 AS truth FROM documents d JOIN labels USING (doc_id))"
-
-
-def scores(e: DataFrame, *keys: str) -> DataFrame:
-    """Precision, recall and F1; 0 where nothing was found or to be found."""
-    g = e.groupBy(*keys).agg(F.count_if(F.col("truth") & F.col("predicted")).alias("tp"), F.count_if(~F.col("truth") & F.col("predicted")).alias("fp"), F.count_if(F.col("truth") & ~F.col("predicted")).alias("fn"))
-    div = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    g = g.withColumn("precision", div(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", div(F.col("tp"), F.col("tp") + F.col("fn")))
-    return g.withColumn("f1", div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-
-
-_PR = "tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END AS f1"
-_CNT = "count(*) FILTER (truth AND predicted) AS tp, count(*) FILTER (NOT truth AND predicted) AS fp, count(*) FILTER (truth AND NOT predicted) AS fn"
-register("a14_precision_recall", lambda s, d: scores(evaluated(s, d), "lang"), f"WITH {_EVAL}, g AS (SELECT lang, {_CNT} FROM e GROUP BY 1) SELECT lang, {_PR} FROM g")
-register("a15_before_after", lambda s, d: scores(evaluated(s, d), "lang").select("lang", F.col("tp").alias("before")).join(scores(evaluated(s, d).withColumn("predicted", F.col("truth")), "lang").select("lang", F.col("tp").alias("after")), "lang").select("lang", (F.col("after") - F.col("before")).alias("delta")), f"WITH {_EVAL} SELECT lang, count(*) FILTER (truth) - count(*) FILTER (truth AND predicted) AS delta FROM e GROUP BY 1")
-register("a16_noise_counts", lambda s, d: evaluated(s, d).agg(F.count_if("predicted").alias("old"), F.count_if(F.col("predicted") & F.col("truth")).alias("new")), f"WITH {_EVAL} SELECT count(*) FILTER (predicted) AS old, count(*) FILTER (predicted AND truth) AS new FROM e")
-register("j9_ground_truth", lambda s, d: evaluated(s, d).select("doc_id", F.when(F.col("truth") & F.col("predicted"), "TP").when(F.col("truth"), "FN").when(F.col("predicted"), "FP").otherwise("TN").alias("verdict")), f"WITH {_EVAL} SELECT doc_id, CASE WHEN truth AND predicted THEN 'TP' WHEN truth THEN 'FN' WHEN predicted THEN 'FP' ELSE 'TN' END AS verdict FROM e")
 register("a17_validation", lambda s, d: read(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("actual"), F.count_if(F.col("lang") == "en").alias("expected")).select("source", "actual", "expected", (F.abs(F.col("actual") - F.col("expected")) <= F.least(F.lit(20), F.greatest(F.lit(1), F.bround(F.col("expected") * 0.5)))).alias("passed")), "SELECT source, actual, expected, abs(actual - expected) <= least(20, greatest(1, round_even(expected * 0.5, 0))) AS passed FROM (SELECT source, count(*) AS actual, count(*) FILTER (lang = 'en') AS expected FROM documents GROUP BY 1)")
 
 
