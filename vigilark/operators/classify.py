@@ -298,6 +298,8 @@ _SEM = "CASE WHEN upper(trim(raw)) IN ('ERROR', 'HIGH') THEN 'HIGH' WHEN upper(t
 _BAN = "CASE WHEN upper(trim(raw)) IN ('HIGH', 'MEDIUM') THEN upper(trim(raw)) ELSE 'LOW' END"
 _RAW = "element_at(array(' error ', 'Warning', 'high', 'medium', 'info', ''), CAST(ordinal % 6 + 1 AS INT))"
 register("c15_scanner_severity", lambda spark, d: code_lines(spark, d).withColumn("raw", F.expr(_RAW)).selectExpr("ordinal", f"{_SEM} AS semgrep", f"{_BAN} AS bandit"), f"WITH {CODE_LINES}, r AS (SELECT ordinal, [' error ', 'Warning', 'high', 'medium', 'info', ''][(ordinal % 6)::INT + 1] AS raw FROM code_lines) SELECT ordinal, {_SEM} AS semgrep, {_BAN} AS bandit FROM r")
+# levels as analyzers write them, from the priorities of orders
+register("c15_priority_levels", lambda spark, d: read(spark, d, "orders").withColumn("raw", F.concat(F.lit(" "), F.substring_index("o_orderpriority", "-", -1), F.lit(" "))).selectExpr("o_orderkey", f"{_SEM} AS semgrep", f"{_BAN} AS bandit"), "SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS semgrep, CASE o_orderpriority WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS bandit FROM orders")
 _TYPE = cases([(has("lower(category)", (t,)), f"'{v}'") for t, v in (("sql", "sql_injection"), ("command", "command_injection"), ("redirect", "open_redirect"), ("secret", "hardcoded_secret"), ("eval", "code_execution"), ("xss", "xss"))], "'other'")
 _LANG = cases([(ends("lower(file_path)", e), f"'{v}'") for e, v in (((".py",), "python"), ((".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"), "node"), ((".go",), "go"), ((".cs",), "csharp"), ((".rb",), "ruby"))], "'unknown'")
 _q("c19_type_and_language", {"vuln_type": _TYPE, "language": _LANG}, every=True)

@@ -79,15 +79,6 @@ _RAW = [x.replace("\\\\", chr(92)) for x in _RAW]
 _NORMAL = ["src/a.py", "lib/b.js", "env", "src/c.ts", "d.go", "unknown", "e.py", "repo/", "f.py"]
 register("f17_normal_path", lambda s, d: _o(s, d).select("o_orderkey", normal_path(F.element_at(F.array(*[F.lit(x) for x in _RAW]), (F.col("o_orderkey") % len(_RAW) + 1).cast("int")), "/work/r").alias("path")), f"SELECT o_orderkey, {_NORMAL}[(o_orderkey % {len(_NORMAL)})::INT + 1] AS path FROM orders")
 register("x9_xml", lambda s, d: read(s, d, "part").select("p_partkey", F.xpath_string(F.format_string("<p v=\"%s\"><n>%s</n></p>", "p_size", "p_partkey"), F.lit("p/n")).alias("n"), F.xpath_int(F.format_string("<p v=\"%s\"/>", "p_size"), F.lit("p/@v")).alias("v")), "SELECT p_partkey, p_partkey::VARCHAR AS n, p_size AS v FROM part")
-_GUIDE = [("SQL Injection", "Input reaches a query in %s.", "Bind it."), ("Command Injection", "Input reaches a shell in %s.", "Pass a list."), ("Open Redirect", "Input names a destination in %s.", "Allow known ones.")]
-
-
-def _guidance(s, d):
-    from ..sources.fixtures import findings
-
-    t = F.broadcast(s.createDataFrame(_GUIDE, "category string, why string, fix string"))  # a fixed table
-    return findings(s, d).join(t, "category").select("ordinal", F.replace("why", F.lit("%s"), F.col("file")).alias("why"), "fix")
-
-
-_C20 = "CASE category WHEN 'SQL Injection' THEN 'Input reaches a query in ' || file || '.' WHEN 'Command Injection' THEN 'Input reaches a shell in ' || file || '.' ELSE 'Input names a destination in ' || file || '.' END AS why, CASE category WHEN 'SQL Injection' THEN 'Bind it.' WHEN 'Command Injection' THEN 'Pass a list.' ELSE 'Allow known ones.' END AS fix"
-register("c20_guidance_templates", _guidance, f"WITH {FINDINGS} SELECT ordinal, {_C20} FROM findings WHERE category IN ('SQL Injection', 'Command Injection', 'Open Redirect')")
+# addresses of pages as paths of findings: below the root, after the last /repo/, or bare; the expected ones by the parts of the address
+_AS_PATH = "CASE page_id % 4 WHEN 0 THEN concat('/work/r', p, '.py') WHEN 1 THEN concat('/tmp/k/Repo', p, '.js') WHEN 2 THEN concat('..', p) ELSE replace(p, '/', chr(92)) END"
+register("f17_page_paths", lambda s, d: read(s, d, "pages").select("page_id", F.parse_url("url", F.lit("PATH")).alias("p")).select("page_id", normal_path(F.expr(_AS_PATH), "/work/r").alias("path")), "WITH x AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1) AS p FROM pages) SELECT page_id, CASE page_id % 4 WHEN 0 THEN p || '.py' WHEN 1 THEN p || '.js' ELSE p END AS path FROM x")

@@ -137,6 +137,11 @@ def failure_reason(message: Column) -> Column:
 _MSG = ("Timeout while cloning", "Connection reset", "Repository not found", "Parser crashed", "HTTP 429", "is private", "Could not RESOLVE host", "empty tree", "", "x" * 200)
 _KNOWN = (3, 4, 0, None, 2, 1, 4, 6, None, None)
 _TOLD = [FAILURES[k][1] if k is not None else "Scan failed: " + (("x" * 157 + "...") if m.startswith("x") else m or "Unknown error") for m, k in zip(_MSG, _KNOWN)]
+# whole documents as messages of errors
+_FIRST = "regexp_extract(trim(coalesce(text, '')), '^[^\\n\\r]*')"
+_WORDS = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+register("c34_document_reasons", lambda s, d: read(s, d, "documents").select("doc_id", transient(F.col("text")).alias("transient"), failure_reason(F.col("text")).alias("reason")), f"""SELECT doc_id, coalesce({_WORDS(TRANSIENT)}, false) AS transient, CASE {' '.join(f"WHEN {_WORDS(w)} THEN '{r}'" for w, r in FAILURES)}
+  WHEN trim(coalesce(text, '')) = '' THEN 'Scan failed: Unknown error' WHEN length({_FIRST}) > 160 THEN 'Scan failed: ' || left({_FIRST}, 157) || '...' ELSE 'Scan failed: ' || {_FIRST} END AS reason FROM documents""")
 _j("c34_error_class", lambda j: j.select("seq", F.element_at(F.array(*[F.lit(m) for m in _MSG]), (F.col("seq") % len(_MSG) + 1).cast("int")).alias("m")).select("seq", transient(F.col("m")).alias("transient"), failure_reason(F.col("m")).alias("reason")), f"SELECT seq, {list(_TOLD)}[(seq % {len(_MSG)})::INT + 1] AS reason, seq % {len(_MSG)} IN (0, 1, 4) AS transient FROM job_events")
 _j("k8_cache_key", lambda j: j.groupBy("worker", "job_id").agg(F.max("ts").alias("cached_at")), "SELECT worker, job_id, max(ts) AS cached_at FROM job_events GROUP BY 1, 2")
 _ACCEPTED = """, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS nth, min({'ts': ts, 'seq': seq}) OVER (PARTITION BY job_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM job_events)
@@ -198,6 +203,8 @@ def canonical_repo(url: Column) -> Column:
 _SITES = ["https://github.com/Org/r", "https://GitHub.com/o/r.git/", "http://github.com/o/r", "https://github.com/o/r?tab=1#x", "https://github.com/o", "https://github.com/o/r/tree", " https://github.com/o/r... ", "https://gitlab.com/o/r", "https://github.com/o./r", "https://github.com/o/r x", ""]
 _CANON = ["'https://github.com/Org/r'", "'https://github.com/o/r.git'", "NULL", "'https://github.com/o/r'", "NULL", "NULL", "'https://github.com/o/r'", "NULL", "NULL", "NULL", "NULL"]
 register("f18_canonical_url", lambda s, d: read(s, d, "events").select("event_id", canonical_repo(F.element_at(F.array(*[F.lit(x) for x in _SITES]), (F.col("event_id") % len(_SITES) + 1).cast("int"))).alias("url")), f"SELECT event_id, [{', '.join(_CANON)}][(event_id % {len(_CANON)})::INT + 1] AS url FROM events")
+# addresses of pages under the one host that counts: two parts make a repository, what follows them is cut
+register("f18_page_repos", lambda s, d: read(s, d, "pages").select("page_id", canonical_repo(F.regexp_replace("url", "^https?://[^/]+", "https://GITHUB.com")).alias("repo")), "SELECT page_id, CASE WHEN len(p) = 2 THEN 'https://github.com/' || p[1] || '/' || p[2] END AS repo FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages)")
 register("f18_page_hosts", lambda s, d: read(s, d, "pages").select("page_id", "url", F.parse_url("url", F.lit("HOST")).alias("host")), "SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages")
 register("x11_url_slug", lambda s, d: read(s, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace(F.parse_url("url", F.lit("PATH")), "^/+|/+$", ""), "[^a-zA-Z0-9._-]", "-"), "-+", "-").alias("slug")), "SELECT page_id, regexp_replace(regexp_replace(trim(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), '[^a-zA-Z0-9._-]', '-', 'g'), '-+', '-', 'g') AS slug FROM pages")
 register("j10_existence", lambda s, d: metric_events(s, d).join(metric_events(s, d).where("event = 'audit_unlocked'").select("email").distinct(), "email", "left_semi").select("event_id"), f"WITH {METRIC_EVENTS} SELECT event_id FROM metric_events WHERE email IN (SELECT email FROM metric_events WHERE event = 'audit_unlocked')")

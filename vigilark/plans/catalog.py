@@ -1,3 +1,3 @@
 """Imports every operator module, so that all queries are registered."""
 
-from ..operators import advisories, artifacts, classify, context, evaluate, guidance, inputs, issues, jobs, manifests, metrics, proposals, pyast, report, rules, taint  # noqa: F401
+from ..operators import advisories, artifacts, classify, context, evaluate, explain, guidance, inputs, issues, jobs, manifests, metrics, proposals, pyast, report, rules, taint  # noqa: F401
