@@ -71,11 +71,11 @@ def merge_keys() -> list[Column]:
 
 def merge_duplicates(f: DataFrame) -> DataFrame:
     """One finding a key: the gravest, then surest, then first; at the place of the first, with the count."""
-    keyed = f.select("*", *merge_keys(), F.expr(RANK).alias("_rank"))
-    w = W.partitionBy("repo", "k1", "k2", "k3", "k4")
-    best = w.orderBy(F.desc("_rank"), F.desc("confidence"), "ordinal")
-    out = keyed.withColumn("occurrence_count", F.count(F.lit(1)).over(w)).withColumn("first_ordinal", F.min("ordinal").over(w)).withColumn("_nth", F.row_number().over(best))
-    return out.where("_nth = 1").drop("_nth", "_rank", "k1", "k2", "k3", "k4")
+    rest = [c for c in f.columns if c != "repo"]
+    keyed = f.select("repo", F.struct(*rest).alias("x"), *merge_keys(), F.struct((-F.expr(RANK)).alias("a"), F.coalesce(-F.col("confidence"), F.lit(1)).alias("b"), "ordinal").alias("_order"))
+    # all three combine before the shuffle, so a place that is found very often is a row a task
+    g = keyed.groupBy("repo", "k1", "k2", "k3", "k4").agg(F.min_by("x", "_order").alias("x"), F.count(F.lit(1)).alias("occurrence_count"), F.min("x.ordinal").alias("first_ordinal"))
+    return g.select("repo", "x.*", "occurrence_count", "first_ordinal").select(*f.columns, "occurrence_count", "first_ordinal")
 
 
 _MERGE_SQL = f"""m AS (SELECT *, CASE WHEN finding_type = 'dependency_vuln' THEN ['d', lower(trim(package)), lower(trim(cve)), lower(trim(file))] ELSE ['c', lower(trim(file)), line::VARCHAR, lower(trim(category))] END AS k FROM findings),
@@ -110,10 +110,28 @@ IMPACT = cases(
 FIX_MINUTES = "CASE upper(severity) WHEN 'CRITICAL' THEN 30 WHEN 'HIGH' THEN 20 WHEN 'MEDIUM' THEN 12 ELSE 8 END"
 
 
+def places(x: DataFrame, group: str, classes: dict[str, Column], last: list) -> DataFrame:
+    """x with `place`: 1, 2, ... in each group by classes, all descending, then by last.
+
+    Classes are few, so their sizes tell where each begins, and only rows alike in all of them are ordered in one task,
+    not a whole group.
+    """
+    x = x.withColumns({f"_c{k}": c for k, c in enumerate(classes.values())})
+    names = [f"_c{k}" for k in range(len(classes))]
+    before = W.partitionBy(group).orderBy(*[F.desc(c) for c in names]).rowsBetween(W.unboundedPreceding, -1)
+    sizes = x.groupBy(group, *names).agg(F.count(F.lit(1)).alias("_n"))
+    begin = sizes.select(group, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    same = F.col(f"x.{group}").eqNullSafe(F.col(f"b.{group}"))
+    for c in names:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}"))
+    nth = F.row_number().over(W.partitionBy(group, *names).orderBy(*last))
+    return x.alias("x").join(begin.alias("b"), same).select("x.*", "_begin").withColumn("place", (F.col("_begin") + nth).cast("int")).drop("_begin", *names)
+
+
 def ranked(merged: DataFrame) -> DataFrame:
     """Findings with their place in the report: five keys, all descending, ties in input order."""
-    w = W.partitionBy("repo").orderBy(F.expr(EXPLOIT_RANK).desc(), F.expr(RANK).desc(), F.desc("occurrence_count"), F.desc("confidence"), F.expr(COMPLEXITY).desc(), "first_ordinal")
-    return merged.withColumn("place", F.row_number().over(w))
+    keys = {"exploit": F.expr(EXPLOIT_RANK), "rank": F.expr(RANK), "occurrences": F.col("occurrence_count"), "confidence": F.col("confidence"), "complexity": F.expr(COMPLEXITY)}
+    return places(merged, "repo", keys, ["first_ordinal"])
 
 
 _ORDER = f"{EXPLOIT_RANK} DESC, {RANK} DESC, occurrence_count DESC, confidence DESC, {COMPLEXITY} DESC, first_ordinal"
@@ -163,8 +181,8 @@ _q("o1_report_sort", lambda f: ranked(merge_duplicates(f)).select("repo", "ordin
 _q("o2_scan_limit", lambda f: f.orderBy("ordinal").limit(200).select("ordinal", "severity"), "\nSELECT ordinal, severity FROM findings ORDER BY ordinal LIMIT 200")
 _q("o3_review_candidates", lambda f: merge_duplicates(f).where("finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')").orderBy(F.expr(RANK).desc(), F.desc("confidence"), F.expr(COMPLEXITY).desc(), F.desc("occurrence_count"), "first_ordinal").limit(6).select("ordinal", "severity", "confidence"), f", {_MERGE_SQL} SELECT ordinal, severity, confidence FROM merged WHERE finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM') ORDER BY {RANK} DESC, confidence DESC, {COMPLEXITY} DESC, occurrence_count DESC, first_ordinal LIMIT 6")
 _q("o8_free_view", lambda f: f.withColumn("place", F.row_number().over(W.partitionBy("repo").orderBy(F.expr("CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END"), "ordinal"))).where("place <= 2").select("repo", "ordinal", "place"), "\nSELECT repo, ordinal, row_number() OVER (PARTITION BY repo ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END, ordinal) AS place FROM findings QUALIFY place <= 2")
-_q("o9_client_sort", lambda f: f.withColumn("place", F.row_number().over(W.partitionBy("repo").orderBy(F.expr(RANK).desc(), "ordinal"))).select("repo", "ordinal", "place"), f"\nSELECT repo, ordinal, row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, ordinal) AS place FROM findings")
-_q("o10_delete_latest", lambda f: f.join(F.broadcast(f.groupBy("repo").agg(F.max("ordinal").alias("ordinal"))), ["repo", "ordinal"], "left_anti").select("repo", "ordinal"), "\nSELECT repo, ordinal FROM findings f WHERE ordinal <> (SELECT max(ordinal) FROM findings g WHERE g.repo = f.repo)")
+_q("o9_client_sort", lambda f: places(f, "repo", {"rank": F.expr(RANK)}, ["ordinal"]).select("repo", "ordinal", "place"), f"\nSELECT repo, ordinal, row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, ordinal) AS place FROM findings")
+_q("o10_delete_latest", lambda f: f.join(f.groupBy("repo").agg(F.max("ordinal").alias("ordinal")), ["repo", "ordinal"], "left_anti").select("repo", "ordinal"), "\nSELECT repo, ordinal FROM findings f WHERE ordinal <> (SELECT max(ordinal) FROM findings g WHERE g.repo = f.repo)")
 _q("w8_previews", lambda f: ranked(merge_duplicates(f)).where("place <= 3").select("repo", "place", "ordinal"), f", {_MERGE_SQL} SELECT repo, ordinal, row_number() OVER (PARTITION BY repo ORDER BY {_ORDER}) AS place FROM merged QUALIFY place <= 3")
 _q("f14_candidate_filter", lambda f: f.where("finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')").select("ordinal"), "\nSELECT ordinal FROM findings WHERE finding_type <> 'dependency_vuln' AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')")
 _q("c26_complexity", lambda f: merge_duplicates(f).select("ordinal", F.expr(COMPLEXITY).cast("long").alias("complexity")), f", {_MERGE_SQL} SELECT ordinal, ({COMPLEXITY})::BIGINT AS complexity FROM merged")

@@ -189,14 +189,14 @@ FLOW_KINDS = ("sql_injection", "command_injection", "open_redirect")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data-flow facts (file, kind, line, sanitized, depth, uncertain, tier): one a line item, but for files without any."""
+    """Data-flow facts (file, kind, line, sanitized, depth, uncertain, tier): one a line item; a fifth of the files that have some hold no finding, and as many with findings have no flow."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     item = read(spark, sf_dir, "lineitem")
     kind = F.element_at(F.array(*[F.lit(x) for x in FLOW_KINDS]), (F.col("l_partkey") % 3 + 1).cast("int"))
     tier = F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW")), (F.col("l_suppkey") % 3 + 1).cast("int"))
-    return item.where(F.col("l_partkey") % 50 < 40).select(F.concat(F.lit("src/f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".js")).alias("flow_file"), kind.alias("kind"), (k % 20 + 1).cast("int").alias("flow_line"), (F.col("l_suppkey") % 4 != 0).alias("sanitized"), (n % 3).cast("int").alias("depth"), (F.col("l_partkey") % 2 == 0).alias("uncertain"), tier.alias("tier")).distinct()
+    return item.select(F.concat(F.when(F.col("l_partkey") % 50 < 40, "src/f").otherwise("lib/g"), (F.col("l_partkey") % 50).cast("string"), F.lit(".js")).alias("flow_file"), kind.alias("kind"), (k % 20 + 1).cast("int").alias("flow_line"), (F.col("l_suppkey") % 4 != 0).alias("sanitized"), (n % 3).cast("int").alias("depth"), (F.col("l_partkey") % 2 == 0).alias("uncertain"), tier.alias("tier")).distinct()
 
 
-FLOWS = f"""flows AS (SELECT DISTINCT 'src/f' || (l_partkey % 50) || '.js' AS flow_file, {_pick(FLOW_KINDS, 'l_partkey % 3')} AS kind, (l_orderkey % 20 + 1)::INT AS flow_line,
+FLOWS = f"""flows AS (SELECT DISTINCT CASE WHEN l_partkey % 50 < 40 THEN 'src/f' ELSE 'lib/g' END || (l_partkey % 50) || '.js' AS flow_file, {_pick(FLOW_KINDS, 'l_partkey % 3')} AS kind, (l_orderkey % 20 + 1)::INT AS flow_line,
   l_suppkey % 4 <> 0 AS sanitized, (l_linenumber % 3)::INT AS depth, l_partkey % 2 = 0 AS uncertain, {_pick(('HIGH', 'MEDIUM', 'LOW'), 'l_suppkey % 3')} AS tier
-  FROM lineitem WHERE l_partkey % 50 < 40)"""
+  FROM lineitem)"""
