@@ -394,3 +394,32 @@ def test_numbers_of_blocks_do_not_overflow_or_meet(spark):
     pairs = spark.createDataFrame([(a, b) for a in sizes for b in sizes], "a int, b int")
     got = {(r.a, r.b): r.p for r in pairs.select("a", "b", components.block_pair(F.col("a"), F.col("b")).alias("p")).collect()}
     assert all(got[a, b] == got[b, a] for a, b in got) and len(set(got.values())) == len(sizes) * (len(sizes) + 1) // 2
+
+
+def test_bins_of_the_language_model_are_bounded(spark):
+    rnd = np.random.default_rng(3)
+    level = lambda: rnd.integers(0, ngram.LEVELS, 30_000)
+    code = ((rnd.integers(0, 8, 30_000) * ngram.LEVELS + level()) * ngram.LEVELS + level()) * ngram.LEVELS + level()
+    n = rnd.integers(1, 9, 30_000)
+    seen = spark.createDataFrame(list(zip(code.tolist(), n.tolist())), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    whole, one = ngram.bounded_bins(seen, 10**6)
+    assert one == 1 and whole.count() == len(set(code.tolist()))
+    few, width = ngram.bounded_bins(seen, 2000)
+    rows = few.collect()
+    assert len(rows) <= 2000 and width > 1 and sum(r.n for r in rows) == n.sum()
+    # a bin's steps are those of its members, taken together
+    want = collections.Counter()
+    for c, k in zip(code.tolist(), n.tolist()):
+        parts = [c // ngram.LEVELS**j % ngram.LEVELS for j in (2, 1, 0)]
+        want[c // ngram.LEVELS**3, *[0 if x == 0 else (x - 1) // width + 1 for x in parts]] += k
+    assert {(r.code // ngram.LEVELS**3, *[r.code // ngram.LEVELS**j % ngram.LEVELS for j in (2, 1, 0)]): r.n for r in rows} == want
+
+
+def test_coarser_bins_fit_much_the_same_weights():
+    rnd = np.random.default_rng(4)
+    p = np.exp(-rnd.gamma(3, 1, (20_000, 3)))
+    k = rnd.integers(0, ngram.BUCKETS, 20_000)
+    codes = lambda w: k * ngram.LEVELS**3 + sum(np.where(x > 0, (x - 1) // w + 1, 0) * ngram.LEVELS**j for x, j in zip(ngram._level(p).T, (2, 1, 0)))
+    n = np.ones(20_000)
+    fine, coarse = ngram.fit_weights(codes(1), n, 1000), ngram.fit_weights(codes(2), n, 1000, 2)
+    assert np.abs(fine - coarse).max() < 0.12

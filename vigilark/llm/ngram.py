@@ -13,7 +13,7 @@ So counts combine before they are shuffled, a frequent word or pair is one numbe
 in one place: the number of ranges grows with the tokens. Rows between chunks and ranges are at most one for each
 key of a chunk, so they grow with the input; up to about a terabyte a row packs 64 keys or more.
 The driver sees totals, and the held-out counts as a histogram of (context frequency, probabilities rounded to
-RESOLUTION steps), of bounded size.
+RESOLUTION steps), of MAX_BINS bins at most: beyond these, steps are taken together.
 
 Words are told apart by 64-bit hashes; two words share one with a probability of about V*V / 4e19. Pairs and triples
 travel by the leading bits of theirs, SPARE more than the tokens' number has, so that one in 10,000 shares its
@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -49,6 +49,8 @@ BUCKETS = 2 * STEPS
 RESOLUTION = 4  # steps of the histogram for each e-fold of a probability
 LEVELS = 256
 ROUNDS = 60
+#: Bins of the histogram that reach the driver at most; beyond, steps are taken together, two by two.
+MAX_BINS = 2_000_000
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _END, _BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F)
 TEST, MAIN, HELD = 0, 1, 2
@@ -269,8 +271,27 @@ def _histogram(total: int, bits: int):
     return run
 
 
-def fit_weights(code: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
-    """BUCKETS x 4 weights: of the word after two words, after one, alone, and of the uniform estimate."""
+def coarser(code: Column) -> Column:
+    """The bin that takes in a bin and its neighbours, with steps of twice the size; zero stays a step of its own."""
+    half = lambda x: F.when(x > 0, F.floor((x - 1) / 2) + 1).otherwise(0)
+    level = lambda k: F.floor(code / LEVELS**k) % LEVELS
+    return (F.floor(code / LEVELS**3) * LEVELS**3 + half(level(2)) * LEVELS**2 + half(level(1)) * LEVELS + half(level(0))).cast("long")
+
+
+def bounded_bins(seen: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Bins (code, n), stored, at most so many of them, and how many of the finest steps one of theirs takes in.
+
+    Each round at least halves the steps of each estimate, so a few rounds suffice for any input: with 8 rounds a bucket
+    has eight bins.
+    """
+    bins, width = stored(seen, "bins"), 1
+    while bins.count() > max(most, 8 * BUCKETS):
+        bins, width = stored(bins.groupBy(coarser(F.col("code")).alias("code")).agg(F.sum("n").alias("n")), "bins"), 2 * width
+    return bins, width
+
+
+def fit_weights(code: np.ndarray, n: np.ndarray, types: int, width: int = 1) -> np.ndarray:
+    """BUCKETS x 4 weights: of the word after two words, after one, alone, and of the uniform estimate. width: finest steps in one."""
     weights = np.tile([0.3, 0.3, 0.3, 0.1], (BUCKETS, 1))
     has = np.ones((BUCKETS, 4), bool)  # estimates that a bucket's contexts can have
     has[:STEPS, 0] = False
@@ -279,7 +300,7 @@ def fit_weights(code: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
     weights /= weights.sum(1, keepdims=True)
     if not len(code):
         return weights
-    value = lambda x: np.where(x > 0, np.exp(-(x - 1) / RESOLUTION), 0.0)
+    value = lambda x: np.where(x > 0, np.exp(-((x - 1) * width + (width - 1) / 2) / RESOLUTION), 0.0)
     k = code // LEVELS**3
     p = np.stack([value(code // LEVELS**2 % LEVELS), value(code // LEVELS % LEVELS), value(code % LEVELS), np.full(len(code), 1 / (types + 1))], 1)
     for _ in range(ROUNDS):
@@ -327,8 +348,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     ready = chunks.join(told, "chunk")
 
     seen = ready.where("held").mapInArrow(_histogram(n_main, bits), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    bins = seen.toPandas()  # RESOLUTION bounds them at any input size: some 100,000
-    weights = fit_weights(bins["code"].to_numpy(np.int64), bins["n"].to_numpy(np.float64), types_main)
+    bins, width = bounded_bins(seen, MAX_BINS)
+    bins = bins.toPandas()  # MAX_BINS at most
+    weights = fit_weights(bins["code"].to_numpy(np.int64), bins["n"].to_numpy(np.float64), types_main, width)
     scored = ready.mapInArrow(_score(weights, n, types, bits), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
