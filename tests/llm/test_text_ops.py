@@ -193,7 +193,25 @@ def test_chunk_maps_compose_to_the_whole(library, size):
     rnd = random.Random(size)
     text = "".join(rnd.choice(["'", "s", "ll", " ", "\n", "word", "é", "12", "!", "日本", "aaaa", "  "]) for _ in range(3000))
     assert own.long(text, size) == len(ref.encode(text, add_special_tokens=False).ids)
-    assert own.long("z" * 5000, size) == len(ref.encode("z" * 5000, add_special_tokens=False).ids)
+    for run in ("z" * 5000, "ab" * 2500, "漢字" * 800, "=" * 3000, " " * 3000 + "x", "é1" * 900):  # pieces over many chunks
+        assert own.long(run, size) == len(ref.encode(run, add_special_tokens=False).ids)
+
+
+def test_chunk_maps_hold_for_every_state_they_are_entered_in(library):
+    _, own, _ = library
+    text = "unbelievablynesses and hyperparameterizations " * 3
+    entries = {own.fst.run(tokens.START, text[:k].encode())[0] for k in range(12)}
+    for a, z in ((12, 20), (12, 40), (5, 18)):
+        got = own.chunk_map("x" * a + text[a:], a, z, entries)
+        assert got.keys() == entries
+        for s, (left, n) in got.items():
+            data = text[a:z].encode()
+            stop = next((k for k in range(len(data)) if data[k : k + 1] == b" "), len(data))
+            want, m = own.fst.run(s, data[:stop])
+            assert stop < len(data) or (left, n) == (want, m)
+            if stop < len(data):
+                rest = own.many([text[a + stop : z]])[0]
+                assert n == m + rest
 
 
 def test_token_counts_of_odd_rows(spark, library):

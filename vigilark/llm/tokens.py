@@ -8,9 +8,11 @@ finitely many states exist. Each transition is annotated with the tokens that it
 negative where a byte makes tokens merge. States are made when first met and kept in a bounded table.
 
 Pieces are found for many texts at once from the classes of code points and a window of a few neighbours. Texts
-beyond CHUNK code points are cut anywhere; a chunk becomes a map (text before its first sure piece border, tokens
-between the borders, text after the last), maps compose associatively, and a prefix scan in doubling steps
-composes those of a text. Every step is exact, and a long text needs no more memory than its chunks.
+beyond CHUNK code points are cut anywhere, also inside pieces; a chunk becomes a map from each transducer state that it
+can be entered in to the state it is left in and the tokens between, and a prefix scan composes the maps of a text by
+table look-up, in doubling steps. Which states a chunk can be entered in follows from the chunk before it, and where
+that holds the beginning of a piece, from this alone. Every step is exact, and a text needs no more memory than its
+chunks. The chunks of one text are read in the task that holds it.
 
 A special token's string counts one and separates what stands around it, as the library does by default.
 
@@ -29,6 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 16
+#: Code points around a chunk that tell where pieces begin in it.
+AROUND = 8
+#: The state at the start of a piece.
+START = (b"", ((b"", 0),))
 MAX_STATES, MAX_PIECES = 200_000, 300_000
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,9 +89,8 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = (b"", ((b"", 0),))
-        self.keys = [start]
-        self.ids = {start: 0}
+        self.keys = [START]
+        self.ids = {START: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def merged(self, piece: bytes) -> list[bytes]:
@@ -176,6 +181,23 @@ class Transducer:
         return total
 
 
+    def run(self, key: tuple, data: bytes) -> tuple[tuple, int]:
+        """The state after some bytes of a piece, from any state, with the tokens that they add. States are told by what they are, not by number, as numbers end with the table."""
+        if len(self.keys) > MAX_STATES:
+            self._reset()
+        state = self.ids.get(key)
+        if state is None:
+            state = self.ids[key] = len(self.keys)
+            self.keys.append(key)
+            self.moves.append({})
+        total, moves = 0, self.moves
+        for byte in data:
+            move = moves[state].get(byte) or self._step(state, byte)
+            state = move[0]
+            total += move[1]
+        return self.keys[state], total
+
+
 class Counter(dict):
     """Tokens by piece, and of whole texts."""
 
@@ -239,31 +261,36 @@ class Counter(dict):
         upto = total[np.searchsorted(begin, ends)]
         return np.diff(np.r_[0, upto])
 
-    def chunk_map(self, text: str) -> tuple:
-        """(text,) where no border is sure, else (head, tokens between, tail)."""
-        start = self.borders(text + "\n", np.array([len(text)]))[: len(text)]
-        sure = np.flatnonzero(start)
-        sure = sure[(sure >= 4) & (sure <= len(text) - 4)]
-        sure = sure[[not text[p - 1].isspace() for p in sure.tolist()]] if len(sure) else sure
-        if not len(sure):
-            return (text,)
-        a, b = int(sure[0]), int(sure[-1])
-        return (text[:a], int(self.many([text[a:b]])[0]), text[b:])
-
-    def compose(self, x: tuple, y: tuple) -> tuple:
-        if len(x) == 1:
-            return self.chunk_map(x[0] + y[0]) if len(y) == 1 else (x[0] + y[0], y[1], y[2])
-        if len(y) == 1:
-            return (x[0], x[1], x[2] + y[0])
-        return (x[0], x[1] + int(self.many([x[2] + y[0]])[0]) + y[1], y[2])
+    def chunk_map(self, text: str, first: int, last: int, entries: set[tuple]) -> dict[tuple, tuple[tuple, int]]:
+        """Of text[first:last], cut anywhere: from each state that it may be entered in to the state it is left in, with the tokens between.
+
+        Where pieces begin is seen from a few code points around, so it doesn't depend on the state. What precedes the
+        first of them goes on from the entry; all that follows is alike for each entry.
+        """
+        low, high = max(0, first - AROUND), min(len(text), last + AROUND)
+        near = text[low:high]
+        begin = np.flatnonzero(self.borders(near + "\n", np.array([len(near)]))[first - low : last - low]) + first
+        coded = lambda a, z: text[a:z].encode("utf-8", "surrogatepass")
+        if first and not len(begin):
+            return {s: self.fst.run(s, coded(first, last)) for s in entries}
+        begin = begin if len(begin) else np.array([first])
+        head = coded(first, int(begin[0]))
+        inner = sum(map(self.__getitem__, (text[a:z] for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()))))
+        left, tail = self.fst.run(START, coded(int(begin[-1]), last))
+        return {s: (left, self.fst.run(s, head)[1] + inner + tail) for s in entries}
 
     def long(self, text: str, chunk: int = CHUNK) -> int:
-        maps = [self.chunk_map(text[k : k + chunk]) for k in range(0, len(text), chunk)]
+        """Tokens of one text by the maps of its chunks: a prefix scan composes them by table look-up, in doubling steps."""
+        maps, entries = [], {START}
+        for a in range(0, len(text), chunk):
+            maps.append(self.chunk_map(text, a, min(len(text), a + chunk), entries))
+            entries = {left for left, _ in maps[-1].values()}  # what the next chunk may be entered in
         step = 1
-        while step < len(maps):  # the last map of the scan is that of the whole text
-            maps = [self.compose(maps[k], maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        whole = maps[0]
-        return int(self.many([whole[0]])[0]) if len(whole) == 1 else int(self.many([whole[0], whole[2]]).sum()) + whole[1]
+        while step < len(maps):
+            after = lambda x, y: {s: (y[left][0], n + y[left][1]) for s, (left, n) in x.items()}
+            maps = [m if k < step else after(maps[k - step], m) for k, m in enumerate(maps)]
+            step *= 2
+        return maps[-1][START][1] if maps else 0
 
     def texts(self, texts: list[str | None]) -> list[int]:
         parts, owner, totals = [], [], [0] * len(texts)
