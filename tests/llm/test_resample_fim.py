@@ -117,10 +117,10 @@ def fim_rows():
 @pytest.mark.parametrize("unit", ["line", "word", "char"])
 def test_fill_in_middle_equals_brute_force(spark, unit):
     rows = fim_rows()
-    docs = spark.createDataFrame([(i, t, 1, "e") for i, t in rows], "doc_id long, text string, n_units int, extra string")
+    docs = spark.createDataFrame([(i, t, 1, "e", 2) for i, t in rows], "doc_id long, text string, n_units int, extra string, `a.b` int")
     got = fim.fill_in_middle(docs, unit).withColumn("back", fim.restored(F.col("fim_text"), F.col("fim_form"))).collect()
     assert sorted(((r.doc_id, r.text, *(r[c] for c in fim.RESULT)) for r in got), key=str) == sorted(((i, t, *brute_fim(i, t, unit)) for i, t in rows), key=str)
-    assert all(r.back == (r.text or "") and r.extra == "e" for r in got)
+    assert all(r.back == (r.text or "") and r.extra == "e" and r["a.b"] == 2 for r in got)
     assert fim.fill_in_middle(docs.limit(0)).count() == 0
 
 

@@ -98,7 +98,7 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", rate: int = RATE, spm_sh
     """
     p, s, m = _check(sentinels)
     kept = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*kept)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     id_at, text_at = kept.index("doc_id"), kept.index("text")
 
     def transformed(doc_id, data: bytes) -> tuple:
