@@ -16,6 +16,7 @@ from vigilark.session import get_session  # noqa: E402
 HEADLINE = [
     "scan_risk_score", "f1_rule_matches", "f8_valid_matches", "f1_document_secrets", "c12_finalized", "f10_emitted", "taint_context", "j2_band_join", "a3_display_score", "a6_merge_duplicates",
     "a7_cross_scanner_dedup", "o1_report_sort", "a10_window_summary", "a12_advisory_rollup", "a13_least_upgrade", "p13_collect", "w5_trailing_count", "w6_near_duplicate", "k3_job_status", "t8_js_taint", "t5_hybrid_dispatch",
+    "s9_advisory_lookup", "k8_cache_fetches", "t4_sql_variables", "f1_indexed_matches",
 ]
 
 
