@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vigilark.llm import substrings
@@ -80,6 +82,14 @@ def test_query_and_empty_tables(spark):
     assert [r.n_removed for r in substrings.op13(docs.where("doc_id in (900, 901)")).collect()] == [0, 0]
 
 
+def test_sql_agrees(spark):
+    rows = [r for r in corpus(12, 50) if r[0] is not None]
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())}))
+    df = substrings.op13(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({substrings.OP13_SQL})").fetchall())
+
+
 def test_long_texts(spark):
     base = "".join(random.Random(3).choice("abcdefgh ") for _ in range(600_000))
     rows = [(1, base), (2, "new " + base[1000:500_000] + "z" * 300_000), (3, "z" * 1_000_000)]

@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL, "op10_warc": warc.OP10_SQL, "op11_resample": resample.OP11_SQL, "op12_fim": fim.OP12_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op2_quality": quality.OP2_SQL, "op5_chat": chat.OP5_SQL, "op10_warc": warc.OP10_SQL, "op11_resample": resample.OP11_SQL, "op12_fim": fim.OP12_SQL, "op13_substrings": substrings.OP13_SQL}

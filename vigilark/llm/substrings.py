@@ -528,3 +528,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, chunk
 def op13(docs: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return without_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT rid, doc_id, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p, h FROM d),
+w AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM p),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT rid, p FROM w JOIN m USING (s) WHERE doc_id > least),
+i AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+g AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS g FROM i),
+s AS (SELECT rid, min(p) AS a, max(p) + 50 AS z FROM g GROUP BY rid, g),
+l AS (SELECT rid, list(a ORDER BY a) AS az, list(z ORDER BY a) AS zs, sum(z - a)::BIGINT AS n_removed FROM s GROUP BY 1),
+x AS (SELECT d.rid, doc_id, h, length(h) // 2 AS n, coalesce(az, []) AS az, coalesce(zs, []) AS zs, coalesce(n_removed, 0) AS n_removed FROM d LEFT JOIN l USING (rid)),
+k AS (SELECT *, coalesce(list_aggregate(list_transform(range(0, len(az) + 1), lambda j: substr(h, 2 * list_extract([0::BIGINT] || zs, j + 1) + 1, 2 * (list_extract(az || [n::BIGINT], j + 1) - list_extract([0::BIGINT] || zs, j + 1)))), 'string_agg', ''), '') AS kept FROM x)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, len(az)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""
