@@ -15,8 +15,8 @@ from ..sources import readers
 from ..sources.fixtures import CODE_LINES, SNIPPETS, code_lines
 from .inputs import _BAN, _PATH, parsed
 from .pyast import _BY_HAND, _TOLD, tree_findings
-from .rules import EXCLUDED_PARTS, EXCLUDED_PATH, MATCHES, VALID, matches, scanned, valid
-from .taint import LINE_END, line_flows
+from .rules import EXCLUDED_PARTS, EXCLUDED_PATH, MATCHES, VALID, judged_matches, matches, scanned
+from .taint import taint_flows
 
 # fixed values: categories of rules and of tree findings
 RULE_CATEGORY = {
@@ -47,26 +47,33 @@ def labels(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("ordinal").alias("file"), F.create_map(*[F.lit(x) for kv in PLANTED.items() for x in kv])[(F.col("ordinal") % len(SNIPPETS)).cast("int")].alias("want"))
 
 
-def found(lines: DataFrame, policy: bool = True) -> DataFrame:
-    """(file, category), each once: what the layers find in lines (ordinal, file_path, text), with the validity policy of rules or without."""
-    by_rule = matches(scanned(lines))
-    by_rule = (valid(by_rule) if policy else by_rule).select(F.col("ordinal").alias("file"), F.coalesce(_named(RULE_CATEGORY, "rule_id"), F.col("rule_id")).alias("category"))
+def found(lines: DataFrame) -> DataFrame:
+    """(file, category, valid), each file and category once: what the layers find in lines (ordinal, file_path, text), and whether that holds with the validity policy of rules."""
+    by_rule = judged_matches(matches(scanned(lines))).select(F.col("ordinal").alias("file"), F.coalesce(_named(RULE_CATEGORY, "rule_id"), F.col("rule_id")).alias("category"), "valid")
     own = lines.where(f"NOT {EXCLUDED_PARTS}").select(F.concat(F.col("ordinal").cast("string"), F.lit("/x."), F.substring_index("file_path", ".", -1)).alias("file_path"), "text")
     number = F.substring_index("file_path", "/", 1).cast("bigint").alias("file")
     by_tree = tree_findings(own).select(number, _named(TREE_CATEGORY, "type").alias("category")).where("category IS NOT NULL")
-    rows = own.select("file_path", F.posexplode(F.split("text", LINE_END)).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    by_flow = line_flows(rows).where("NOT sanitized").select(number, F.col("kind").alias("category"))
-    return by_rule.unionByName(by_tree).unionByName(by_flow).distinct()
+    by_flow = taint_flows(own).where("NOT sanitized").select(number, F.col("kind").alias("category"))
+    every = by_rule.unionByName(by_tree.unionByName(by_flow).withColumn("valid", F.lit(True)))
+    return every.groupBy("file", "category").agg(F.bool_or("valid").alias("valid"))
 
 
 def judged(want: DataFrame, got: DataFrame) -> DataFrame:
-    """(file, category, verdict) from labels (file, want) and findings (file, category): TP and FN of labels, FP of safe files."""
-    met = want.where("want IS NOT NULL").join(got.withColumnRenamed("category", "want").withColumn("hit", F.lit(True)), ["file", "want"], "left")
-    told = met.select("file", F.col("want").alias("category"), F.when(F.col("hit"), "TP").otherwise("FN").alias("verdict"))
-    wrong = got.join(want.where("want IS NULL").select("file"), "file", "left_semi").select("file", "category", F.lit("FP").alias("verdict"))
+    """(file, category, before, after) from labels (file, want) and findings (file, category, valid): TP and FN of labels, FP of safe files, without the policy and with it.
+
+    A false alarm that the policy takes away has no verdict after it.
+    """
+    met = want.where("want IS NOT NULL").join(got.withColumnRenamed("category", "want"), ["file", "want"], "left")
+    told = met.select("file", F.col("want").alias("category"), F.when(F.col("valid").isNotNull(), "TP").otherwise("FN").alias("before"), F.when(F.col("valid"), "TP").otherwise("FN").alias("after"))
+    wrong = got.join(want.where("want IS NULL").select("file"), "file", "left_semi").select("file", "category", F.lit("FP").alias("before"), F.when(F.col("valid"), "FP").alias("after"))
     return told.unionByName(wrong)
 
 
+def of(verdicts: DataFrame, when: str) -> DataFrame:
+    """The verdicts before or after."""
+    return verdicts.where(F.col(when).isNotNull()).select("file", "category", F.col(when).alias("verdict"))
+
+
 def scores(verdicts: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall and f1 of each category, and of `all`; 0 where nothing was found or to be found."""
     counts = verdicts.groupBy("category").agg(*[F.count_if(F.col("verdict") == v.upper()).alias(v) for v in ("tp", "fp", "fn")])
@@ -115,14 +122,19 @@ c{k} AS (SELECT coalesce(category, 'all') AS category, count(*) FILTER (verdict
 s{k} AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END AS f1 FROM c{k})""" for k in (0, 1))
 
 
-def _verdicts(spark: SparkSession, d: str, policy: bool = True) -> DataFrame:
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     x = code_lines(spark, d).select("ordinal", "file_path", "text")
-    return judged(labels(x), found(x, policy))
+    return judged(labels(x), found(x))
+
+
+def _change(spark: SparkSession, d: str) -> DataFrame:
+    v = _verdicts(spark, d)
+    return change(scores(of(v, "before")), scores(of(v, "after")))
 
 
-register("j9_ground_truth", _verdicts, f"{_EVAL} SELECT * FROM v1")
-register("a14_precision_recall", lambda s, d: scores(_verdicts(s, d)), f"{_EVAL} SELECT * FROM s1")
-register("a15_before_after", lambda s, d: change(scores(_verdicts(s, d, False)), scores(_verdicts(s, d))), f"""{_EVAL} SELECT category, {', '.join(f'coalesce(a.{n}, 0) - coalesce(b.{n}, 0) AS {n}' for n in ('tp', 'fp', 'fn', 'precision', 'recall', 'f1'))} FROM s1 a FULL JOIN s0 b USING (category)""")
+register("j9_ground_truth", lambda s, d: of(_verdicts(s, d), "after"), f"{_EVAL} SELECT * FROM v1")
+register("a14_precision_recall", lambda s, d: scores(of(_verdicts(s, d), "after")), f"{_EVAL} SELECT * FROM s1")
+register("a15_before_after", _change, f"""{_EVAL} SELECT category, {', '.join(f'coalesce(a.{n}, 0) - coalesce(b.{n}, 0) AS {n}' for n in ('tp', 'fp', 'fn', 'precision', 'recall', 'f1'))} FROM s1 a FULL JOIN s0 b USING (category)""")
 # of the names that reports hold, tests, data and what has test_ in it are aside; demos and scripts' names aren't
 register("a16_noise_counts", lambda s, d: noise_counts(parsed(s.read.parquet(f"{d}/orders.parquet"), _BAN, readers.BANDIT)), f"""WITH r AS (SELECT ['B101', 'B311', 'B602'][(o_orderkey % 3)::INT + 1] AS rule, {_PATH} AS name FROM orders), f AS (SELECT rule, contains(name, '/tests/') OR contains(name, '/data/') AS aside FROM r)
 SELECT count(*) AS findings, count(*) FILTER (rule = 'B101') AS asserts, count(*) FILTER (rule = 'B101' AND aside) AS asserts_aside, count(*) FILTER (rule = 'B101' AND NOT aside) AS asserts_kept, count(*) FILTER (rule = 'B311') AS other_noise,

@@ -170,9 +170,14 @@ def rule_rows(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame
     return spark.createDataFrame([(k, *r) for k, r in enumerate(RULES if rules is None else rules)], "rule_no int, rule_id string, severity string, pattern string")
 
 
-def valid(m: DataFrame) -> DataFrame:
+def judged_matches(m: DataFrame) -> DataFrame:
+    """m with `valid`: whether a match counts."""
     m = m.withColumn("_q", F.regexp_extract("text", _QUOTED, 1)).withColumn("_k", F.rlike("text", F.lit(py_pattern(_KEY)))).withColumn("_m", F.rlike("text", F.lit(py_pattern(_METHOD))))
-    return m.where(F.expr(validity("_q", "_k", "_m"))).drop("_q", "_k", "_m")
+    return m.withColumn("valid", F.expr(validity("_q", "_k", "_m"))).drop("_q", "_k", "_m")
+
+
+def valid(m: DataFrame) -> DataFrame:
+    return judged_matches(m).where("valid").drop("valid")
 
 
 def scanned(lines: DataFrame) -> DataFrame:
