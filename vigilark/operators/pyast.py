@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ends, has
 from ..registry import register
 from ..sources.fixtures import CODE_LINES, STATEMENTS, code_lines, statements
+from ..sources.shared import stored
 from .reach import reached
 from .scripts import SCRIPT_SUFFIXES, SNIPPET, SQL_CLAUSE as CLAUSE, SQL_TOKENS, SQL_VERB as VERB, script_findings
 
@@ -204,7 +205,7 @@ def statement_facts(lines: DataFrame) -> DataFrame:
 
 def sql_flows(lines: DataFrame) -> DataFrame:
     """Calls that execute nothing but a variable which some SQL text of the file reaches, over sums in any order and number."""
-    facts = statement_facts(lines)
+    facts = stored(statement_facts(lines), "facts")  # statements are parsed once
     of = lambda kind: facts.where(F.col("kind") == kind)
     held = reached(of("text").select(F.col("file_path").alias("g"), F.col("name").alias("v")), of("sum").select(F.col("file_path").alias("g"), F.col("other").alias("src"), F.col("name").alias("dst")))
     calls = of("call").select("file_path", "line", "snippet", F.col("other").alias("variable"))
