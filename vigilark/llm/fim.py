@@ -98,7 +98,8 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", rate: int = RATE, spm_sh
     """
     p, s, m = _check(sentinels)
     kept = [c for c in docs.columns if c not in RESULT]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept])
+    # tasks know columns by place, as names may hold anything
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)])
     id_at, text_at = kept.index("doc_id"), kept.index("text")
 
     def transformed(doc_id, data: bytes) -> tuple:
@@ -119,10 +120,10 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", rate: int = RATE, spm_sh
                 texts = b.column(text_at).cast(pa.binary()).to_pylist()
                 out = list(zip(*(transformed(i, t or b"") for i, t in zip(b.column(id_at).to_pylist(), texts))))
                 made = [pa.array(out[0], pa.binary()).cast(pa.string(), safe=False), pa.array(out[1], pa.string()), *[pa.array(x, pa.int64()) for x in out[2:]]]
-                yield pa.RecordBatch.from_arrays([*b.columns, *made], [*kept, *RESULT])
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *RESULT])
 
     kinds = (T.StringType(), T.StringType(), T.LongType(), T.LongType(), T.LongType())
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULT, kinds))]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in zip(RESULT, kinds))])).toDF(*kept, *RESULT)
 
 
 def restored(text: Column, form: Column, sentinels: tuple[str, str, str] = SENTINELS) -> Column:
