@@ -90,3 +90,12 @@ def test_scan_of_a_tree_that_is_not_utf8(spark, tmp_path):
     (root / "a.js").write_bytes(b"// \xe9t\xe9\n\ndb.query('SELECT a FROM t WHERE b=' + req.query.id);\n")
     rows = scan.scan(spark, str(root)).collect()
     assert {(r.file, r.line, r.category) for r in rows} == {("a.js", 3, "SQL Injection")}
+
+
+def test_lines_that_read_alike_are_tried_once(spark):
+    # a quarter of a million lines of one text under 600 rules would be 150 million trials
+    lines = spark.range(250_000).selectExpr("id AS ordinal", "CASE WHEN id % 1000 = 1 THEN 'call7(x) call7 (y)' WHEN id % 1000 > 1 THEN 'eval(call)' END AS text")
+    made = spark.range(600).selectExpr("CAST(id AS INT) AS rule_no", "concat('r', id) AS rule_id", "'LOW' AS severity", "CASE WHEN id = 3 THEN '(' WHEN id = 4 THEN '(?<x' WHEN id = 5 THEN '[[]' WHEN id % 2 = 0 THEN concat('call', id, '|eval') ELSE concat('call', id, '\\\\s*[(]') END AS pattern")
+    got = {r.rule_id: (r.lines, r.n) for r in rule_index.rule_counts(lines, made).collect()}
+    want = {f"r{k}": (249_500, 249_500) for k in range(0, 600, 2) if k != 4} | {"r7": (250, 500)}
+    assert got == want

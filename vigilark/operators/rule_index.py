@@ -13,10 +13,12 @@ from re import _parser as parser
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import stored
+
 LEAST = 3
 #: Rules that one automaton holds; their rows go to every task, so more rules take more passes over the texts.
 RULES_AT_ONCE = 50_000
@@ -68,17 +70,23 @@ def java_pattern(pattern: str) -> str:
     return "(?iudU)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
 
 
-def compiled(spark: SparkSession, patterns: list[str]) -> list[bool]:
-    """Whether both sides read each pattern."""
-    out = []
-    for p in patterns:
-        try:
-            parser.parse(p, re.IGNORECASE)
-            spark._jvm.java.util.regex.Pattern.compile(java_pattern(p))
-            out.append(True)
-        except Exception:  # noqa: BLE001  any reason not to read it leaves the rule out
-            out.append(False)
-    return out
+def compiled(rules: DataFrame) -> DataFrame:
+    """Rules (pattern and others) with what Java reads of each pattern, `java`; those that either side can't read are left out."""
+    at = rules.columns.index("pattern")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for p in b.column(at).to_pylist():
+                try:
+                    parser.parse(p, re.IGNORECASE)
+                    out.append(java_pattern(p))
+                except Exception:  # noqa: BLE001  any reason not to read it leaves the rule out
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "java"])
+
+    read = rules.mapInArrow(run, T.StructType([*rules.schema.fields, T.StructField("java", T.StringType())]))
+    return read.where(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("java")).isNotNull())
 
 
 def placed(text: Column, pattern: Column) -> Column:
@@ -126,19 +134,29 @@ def rule_matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
     A rule whose pattern isn't one is left out. Rules are brought to the driver, which reads their covers.
     """
     spark = texts.sparkSession
-    rows = rules.select("rule_no", "rule_id", "severity", "pattern").orderBy("rule_no").collect()
-    rows = [r for r, good in zip(rows, compiled(spark, [r["pattern"] for r in rows])) if good]
+    rows = compiled(rules.select("rule_no", "rule_id", "severity", "pattern")).orderBy("rule_no").collect()
     kind = "rule_no int, rule_id string, severity string, _pattern string"
     out = None
     for k in range(0, max(1, len(rows)), RULES_AT_ONCE):
         part = rows[k : k + RULES_AT_ONCE]
-        table = spark.createDataFrame([(int(r["rule_no"]), r["rule_id"], r["severity"], java_pattern(r["pattern"])) for r in part], kind)
+        table = spark.createDataFrame([(int(r["rule_no"]), r["rule_id"], r["severity"], r["java"]) for r in part], kind)
         found = candidates(texts, [(int(r["rule_no"]), r["pattern"]) for r in part]).join(F.broadcast(table), "rule_no")  # as many rows as an automaton holds
         found = found.withColumn("at", placed(F.col("text"), F.col("_pattern"))).where(F.size("at") > 0).drop("_pattern")
         out = found if out is None else out.unionByName(found)
     return out.select(*texts.columns, "rule_no", "rule_id", "severity", "at")
 
 
+def rule_counts(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_id, lines, n): of each rule that matches any of lines (text and others) how many it matches, and its matches in them.
+
+    Rules meet each distinct text once, however many lines read alike.
+    """
+    spread = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = stored(lines.groupBy("text").agg(F.count(F.lit(1)).alias("_c")).repartition(spread), "texts")  # read by each pass
+    found = rule_matches(texts, rules)
+    return found.groupBy("rule_id").agg(F.sum("_c").alias("lines"), F.sum(F.col("_c") * F.size("at")).alias("n"))
+
+
 def file_matches(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files (file_path, text, ...) to one row a match: rule_no, rule_id, severity, nth, line_no, text (the line)."""
     x = rule_matches(files, rules).withColumn("_lines", F.split("text", LINE_END))

@@ -290,7 +290,7 @@ def _supplied(spark: SparkSession, d: str) -> DataFrame:
 
 register(
     "f3_rule_rows",
-    lambda spark, d: rule_index.rule_matches(scanned(code_lines(spark, d)).select("ordinal", "text"), _supplied(spark, d)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.size("at")).alias("n")),
+    lambda spark, d: rule_index.rule_counts(scanned(code_lines(spark, d)), _supplied(spark, d)),
     f"""WITH {CODE_LINES}, texts AS (SELECT text, count(*) AS c FROM code_lines WHERE {SCANNED} GROUP BY 1),
 r AS (SELECT concat('supplied.', s_suppkey) AS rule_id, {_RULE_OF.replace('{word}', f"replace([{', '.join(lit(w) for w in _WORDS)}][(s_suppkey % {len(_WORDS)})::INT + 1], '.', '[.]')")} AS pattern FROM supplier),
 m AS (SELECT rule_id, c, len(regexp_extract_all(text, '(?i)' || pattern)) AS k FROM texts, (SELECT * FROM r WHERE pattern <> '('))
