@@ -423,3 +423,16 @@ def test_coarser_bins_fit_much_the_same_weights():
     n = np.ones(20_000)
     fine, coarse = ngram.fit_weights(codes(1), n, 1000), ngram.fit_weights(codes(2), n, 1000, 2)
     assert np.abs(fine - coarse).max() < 0.12
+
+
+def test_lm_keys_that_share_a_number_give_no_probability_above_one():
+    # "b a" is unknown, and its number is that of a pair that training holds five times
+    t = ngram._Tokens({"size": [3], "role": [ngram.HELD], "doc_id": [1], "ids": ngram.pack(np.array([1, 2, 0], np.int32)), "vocab": ngram.pack(np.array([9, 5, 7], np.uint64))}, 41)
+    for words in (np.zeros(3), np.ones(3)):
+        k, *ps = ngram._estimates(t, [words, np.full(3, 5.0), np.full(2, 50.0)], 10)
+        assert all((0 <= p).all() and (p <= 1).all() for p in ps)
+        code = k.copy()
+        for p in ps:
+            code = code * ngram.LEVELS + ngram._level(p)
+        assert (code >= 0).all()
+        ngram.fit_weights(code, np.ones(len(code)), 10)

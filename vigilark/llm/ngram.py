@@ -250,6 +250,8 @@ def _estimates(t: _Tokens, counts: list[np.ndarray], total: int):
     pair = pairs[t.pair]
     two = np.where(t.first, one, np.r_[0.0, pair[:-1]])
     triple = np.where(t.first, pair, triples[t.triple] if len(triples) else 0.0)
+    # no pair occurs more often than its context; one that shares its number with another could seem to
+    triple, pair = np.minimum(triple, two), np.minimum(pair, one)
     return bucket(one, two), triple / np.maximum(two, 1), pair / np.maximum(one, 1), words[t.word] / max(1, total)
 
 
