@@ -60,3 +60,15 @@ def test_similar_deals_out_large_components_and_takes_odd_rows(spark):
         kept = simhash.keep_one(docs, lambda d, keys: similar.similar(d, keys, **bounds))  # noqa: B023
         assert {r.doc_id for r in kept.collect()} == least(rows, lambda x, y: similarity(x, y) >= 0.8) | {60, 63, 64}
     assert simhash.keep_one(docs.limit(0), similar.similar).count() == 0
+
+
+def test_the_fingerprint_index_proposes_what_no_band_does(spark):
+    import numpy as np
+
+    from vigilark.llm import similar
+
+    of = spark.createDataFrame([(1, [11], 5, 0), (2, [12], 5, 0b1111), (3, [13], 5, 0b1111), (4, [14], 5, (1 << 40) - 1), (5, [11], 5, -1)], "sid long, bands array<long>, size long, fp long")
+    assert {frozenset(r) for r in similar.candidates(of).collect()} == {frozenset(x) for x in ((1, 2), (2, 3), (1, 5))}
+    text = [" ".join(f"w{k}" for k in range(n)) for n in (60, 61, 90)]
+    fps = np.array([similar.fingerprint(x) for x in text], np.uint64)
+    assert similar.forest([similar.members(x) for x in text], fps) == [(1, 0)]

@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, of five-word similarity 0.8 or more, stays."""
+    """One document of each group of near-duplicates stays: the byte-position index of SimHash, and MinHash bands beyond its reach, propose, five-word similarity of 0.8 or more decides."""
     return simhash.keep_one(docs, similar.similar)
 
 

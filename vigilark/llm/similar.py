@@ -1,15 +1,17 @@
-"""Near-duplicates by five-word similarity: MinHash bands find candidates, shared shingles decide.
+"""Near-duplicates by five-word similarity: SimHash fingerprints and MinHash bands find candidates, shared shingles decide.
 
 Two documents are linked if the weighted similarity of their five-word shingles is THRESHOLD or more: the sum of
 lesser counts over the sum of greater. The n-th occurrence of a shingle is a member of its own, so that this is the
 share of common members of two sets.
 
-Candidates. A set has BANDS band keys of ROWS minima each. Sets of similarity 0.8 share no key in one of 80,000
-cases, and those above it in fewer. In each key's list all sets point to the least, and components of these stars
-hold every pair that shares a key, so each text travels once, not once a key. A component above BLOCK sets is dealt
-out as pairs of blocks, as posting lists are in simhash.
+Candidates. Texts whose fingerprints differ by RADIUS bits or fewer are found by simhash's byte-position inverted index
+with count filtering. Most pairs at similarity 0.8 lie further apart, so a set also has BANDS band keys of ROWS minima
+each. Sets of similarity 0.8 share no key in one of 80,000 cases, and those above it in fewer. In each key's list all
+sets point to the least, and components of these stars and of the links of fingerprints hold every pair that either
+finds, so each text travels once, not once a key. A component above BLOCK sets is dealt out as pairs of blocks, as
+posting lists are in simhash.
 
-Decision. Within a component the sets of a key are compared until they hang together: the minima drop pairs that
+Decision. Within a component near fingerprints, and the sets of a key, are compared until they hang together: the minima drop pairs that
 agree in under LEAST of them (six deviations below the threshold), and the members of the others are counted.
 A task returns a spanning forest of what it linked.
 
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import broadcast_if_small, cut, stored
 from .components import block_pair, components
-from .simhash import _FOLD, SEED
+from .simhash import _FOLD, RADIUS, SEED, fingerprint, links
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -77,24 +79,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of places in sets that connect what similarity links."""
+def forest(sets: list[np.ndarray], fps: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places in sets, of fingerprints fps, that connect what similarity links."""
     low = np.stack([minima(m) for m in sets])
     keys = np.stack([band_keys(x) for x in low])
     size = np.array([len(m) for m in sets])
     label, edges = np.arange(len(sets)), []
+
+    def meet(one: int, other: np.ndarray) -> None:
+        other = other[label[other] != label[one]]
+        fits = np.minimum(size[other], size[one]) >= THRESHOLD * np.maximum(size[other], size[one])
+        other = other[fits]
+        for x in other[(low[other] == low[one]).mean(1) >= LEAST]:
+            if label[x] != label[one] and similarity(sets[x], sets[one]) >= THRESHOLD:
+                label[label == label[x]] = label[one]
+                edges.append((x, one))
+
+    for one in range(len(sets) - 1):
+        meet(one, one + 1 + np.flatnonzero(np.bitwise_count(fps[one + 1 :] ^ fps[one]) <= RADIUS))
     for k in range(BANDS):
         order = np.argsort(keys[:, k], kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(keys[order, k])) + 1):
             while len(group) > 1 and (label[group] != label[group[0]]).any():
                 one, group = group[0], group[1:]
-                other = group[label[group] != label[one]]
-                fits = np.minimum(size[other], size[one]) >= THRESHOLD * np.maximum(size[other], size[one])
-                other = other[fits]
-                for x in other[(low[other] == low[one]).mean(1) >= LEAST]:
-                    if label[x] != label[one] and similarity(sets[x], sets[one]) >= THRESHOLD:
-                        label[label == label[x]] = label[one]
-                        edges.append((x, one))
+                meet(one, group)
                 # what isn't linked to this one may be to the next
     return edges
 
@@ -105,7 +113,7 @@ def _verify(batches):
 
     def emit():
         ids = list(held)
-        edges = forest([held[x] for x in ids]) if len(ids) > 1 else []
+        edges = forest([held[x][0] for x in ids], np.array([held[x][1] for x in ids], np.uint64)) if len(ids) > 1 else []
         if edges:
             u, v = ([ids[e[k]] for e in edges] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -116,35 +124,49 @@ def _verify(batches):
             if key != at:
                 yield from emit()
                 at, held = key, {}
-            held[sid] = members(b.column(3)[k].as_py())
+            text = b.column(3)[k].as_py()
+            held[sid] = members(text), fingerprint(text)
     yield from emit()
 
 
 def sketches(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, sid (the set of shingles), bands and size of the set of each row."""
+    """keys, sid (the set of shingles), bands and size of the set of each row, and the text's fingerprint."""
     picked = docs.select(*keys, "text")
 
     def run(batches):
         for b in batches:
-            sids, bands, sizes = [], [], []
+            sids, bands, sizes, fps = [], [], [], []
             for x in b.column(len(keys)):
-                m = members(x.as_py())
+                text = x.as_py()
+                m = members(text)
+                fps.append(fingerprint(text))
                 sids.append(set_id(m))
                 sizes.append(len(m))
                 bands.append(band_keys(minima(m)).view(np.int64))
             flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * BANDS, flat)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(sids, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64())], [*keys, "sid", "bands", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(sids, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], [*keys, "sid", "bands", "size", "fp"])
 
-    return picked.mapInArrow(run, T.StructType([*(picked.schema[k] for k in keys), T.StructField("sid", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())]))
+    return picked.mapInArrow(run, T.StructType([*(picked.schema[k] for k in keys), T.StructField("sid", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType())]))
 
 
 def candidates(of: DataFrame) -> DataFrame:
-    """Edges (u, v) of sets: in each key's list all point to the least."""
+    """Edges (u, v) of sets: those that the index of fingerprints links, and in each key's list all point to the least."""
     sets = of.groupBy("sid").agg(F.first("bands").alias("bands"))
     posts = stored(sets.select("sid", F.explode("bands").alias("key")), "bands")
     low = cut(posts.groupBy("key").agg(F.min("sid").alias("v"), F.max("sid").alias("high")).where("v <> high").select(F.col("key").alias("_key"), "v"))
-    return posts.join(broadcast_if_small(low), F.col("key") == F.col("_key")).where("sid <> v").select(F.col("sid").alias("u"), "v")
+    banded = posts.join(broadcast_if_small(low), F.col("key") == F.col("_key")).where("sid <> v").select(F.col("sid").alias("u"), "v")
+    return linked(of).unionByName(banded)
+
+
+def linked(of: DataFrame) -> DataFrame:
+    """Edges (u, v) of sets whose texts' fingerprints are equal, or linked by the byte-position index of simhash."""
+    held = of.select("sid", "fp").distinct()
+    reps = cut(held.groupBy("fp").agg(F.min("sid").alias("rep")))
+    equal = held.join(reps, "fp").where("sid <> rep").select(F.col("sid").alias("u"), F.col("rep").alias("v"))
+    rep = lambda c: reps.select(F.col("fp").alias(f"_{c}"), F.col("rep").alias(c))
+    near = links(reps.select("fp")).toDF("_u", "_v").join(rep("u"), "_u").join(rep("v"), "_v").where("u <> v")
+    return equal.unionByName(near.select("u", "v"))
 
 
 def similar(docs: DataFrame, keys: tuple[str, ...], block: int = BLOCK, block_members: int = BLOCK_MEMBERS) -> DataFrame:
