@@ -17,6 +17,12 @@ def stabbed(points: DataFrame, spans: DataFrame) -> DataFrame:
     block) yields each answer once and nothing else; neither a group nor an interval is a hot row. What is ordered in
     one task are the distinct keys of one group, not its intervals or points.
     """
+    there, blocks = dealt(points, spans)
+    return there.join(blocks, ["g", "level", "block"]).select("g", "at", "span")
+
+
+def dealt(points: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks (g, level, block) of each point, with its key and number (at, nth), and those of each interval, with span."""
     points, spans = points.select("g", "at").distinct(), spans.select("g", "low", "high", "span")
     ends = points.unionByName(spans.select("g", F.explode(F.array("low", "high")).alias("at")).where("at IS NOT NULL")).distinct()
     # the numbers of a group's keys come from its sorted keys, so ties can't be
@@ -24,10 +30,10 @@ def stabbed(points: DataFrame, spans: DataFrame) -> DataFrame:
     size = listed.select("g", F.size("keys").cast("long").alias("n"), F.expr("CAST(ceil(log2(size(keys) + 1)) AS INT)").alias("bits"))
     number = listed.select("g", F.posexplode("keys").alias("nth", "at")).withColumn("nth", F.col("nth").cast("long"))
     there = points.join(number, ["g", "at"]).join(size, "g")
-    there = there.select("g", "at", "nth", F.explode(F.expr("sequence(0, bits)")).alias("level")).select("g", "at", "level", F.expr("shiftright(nth, level)").alias("block"))
+    there = there.select("g", "at", "nth", F.explode(F.expr("sequence(0, bits)")).alias("level")).select("g", "at", "nth", "level", F.expr("shiftright(nth, level)").alias("block"))
     x = spans.join(number.withColumnsRenamed({"at": "low", "nth": "a"}), ["g", "low"], "left").join(number.withColumnsRenamed({"at": "high", "nth": "b"}), ["g", "high"], "left").join(size, "g")
     x = x.select("g", "span", "bits", F.coalesce("a", F.lit(0).cast("long")).alias("a"), F.when(F.col("high").isNull(), F.col("n")).otherwise(F.col("b")).alias("b"))
     first, last = "shiftright(a + shiftleft(1L, k) - 1, k)", "shiftright(b, k)"
     cut = lambda odd, block: f"transform(filter(sequence(0, bits), k -> {first} < {last} AND {odd} % 2 = 1), k -> named_struct('level', k, 'block', {block}))"
     blocks = x.select("g", "span", F.explode(F.expr(f"concat({cut(first, first)}, {cut(last, last + ' - 1')})")).alias("x")).select("g", "span", "x.level", "x.block")
-    return there.join(blocks, ["g", "level", "block"]).select("g", "at", "span")
+    return there, blocks
