@@ -116,3 +116,17 @@ def test_sql_flows_equal_the_variables_of_each_file(spark):
         held = pyast.sql_variables(tree)
         want |= {(path, line, name) for kind, line, _, name in pyast.sql_facts(tree) if kind == "call" and name in held}
     assert want and {(r.file_path, r.line, r.variable) for r in pyast.sql_flows(lines).collect()} == want
+
+
+def test_files_of_one_text_are_read_once_and_told_each(spark):
+    from vigilark.operators import pyast, taint
+
+    code = "CASE WHEN id % 2 = 0 THEN 'import pickle\\nx = pickle.loads(y)' ELSE 'const v = req.query.id;\\ndb.query(v)\\neval(v)' END AS text"
+    files = spark.range(20_000).selectExpr("concat('d/', id, CASE WHEN id % 2 = 0 THEN '.PY' WHEN id % 4 = 1 THEN '.ts' ELSE '.txt' END) AS file_path", code)
+    found = pyast.tree_findings(files).groupBy("type", "line", "language").agg({"file_path": "count"}).collect()
+    assert sorted(tuple(r) for r in found) == [("dangerous_eval", 3, "node", 5000), ("unsafe_pickle", 2, "python", 10_000)]
+    flows = taint.taint_flows(files)
+    assert {r.file_path[-3:] for r in flows.select("file_path").distinct().collect()} == {".ts"} and flows.count() == 5000
+    # what is stored of the texts is a row for each, not for each file
+    files = {f for x in (pyast.tree_findings(files), flows) for f in x.inputFiles() if "/told-" in f}
+    assert files and spark.read.parquet(*files).count() == 3

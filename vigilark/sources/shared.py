@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,15 @@ def stored_with_count(df: DataFrame, name: str, which: Column) -> tuple[DataFram
     seen = Observation()
     out = stored(df.observe(seen, F.count_if(which).alias("n")), name)
     return out, seen.get["n"]
+
+
+def once_a_text(files: DataFrame, suffix: Column, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What found tells of files (file_path, text), where that follows from a file's text and suffix: read once a text, told of each file.
+
+    Files whose suffix is null have nothing. found gets files that are named by their text's digest and the suffix.
+    """
+    named = files.where(suffix.isNotNull()).select("file_path", F.concat(F.sha2("text", 256), suffix).alias("_of"), "text")
+    # stored on both sides, so that what reads the texts several times finds them made, and the join knows how little is told
+    told = stored(found(stored(named.select(F.col("_of").alias("file_path"), "text").distinct(), "texts")), "told")
+    back = named.select("file_path", "_of").join(told.withColumnRenamed("file_path", "_of"), "_of")
+    return back.select(*told.columns)
