@@ -47,6 +47,16 @@ def test_findings_tell_all(spark):
     assert got["f.py", 1]["pass"] == 5 and got["f.py", 1].snippet == "'UPDATE t SET query=' + v"
 
 
+
+def test_a_path_is_named_few_times(spark):
+    """What makes a path is made again wherever the plan names it, so a suffix names it once."""
+    rows = [(1, "eval(a)", ".py"), (2, "eval(b)", ".JS"), (3, "eval(c)", "py"), (4, "eval(d)", ".pyc"), (5, "eval(e)", ".py\n"), (6, "eval(a)", ".x.py")]
+    files = spark.createDataFrame(rows, "id long, text string, ext string").selectExpr("concat('marked', id, ext) AS file_path", "text")
+    got = pyast.tree_findings(files)
+    assert sorted(r.file_path for r in got.collect()) == ["marked1.py", "marked2.JS", "marked6.x.py"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("marked") <= 4
+
+
 # text, and what it holds: line, kind, own text
 SCRIPTS = [
     ("eval(req.body.code)", [(1, "eval", "eval(req.body.code)")]),

@@ -187,7 +187,9 @@ def tree_findings(files: DataFrame) -> DataFrame:
         python = python.select("file_path", "text", F.expr(has("lower(text)", [t.lower() for t in PYTHON_TRIGGERS])).alias("sums")).mapInArrow(run, "file_path string, line int, kind string, snippet string")
         return told(python.unionByName(script_findings(files.where(F.expr(ends(low, SCRIPT_SUFFIXES))).select("file_path", "text"))))
 
-    suffix = F.when(F.expr(ends("lower(file_path)", [".py"])), ".py").when(F.expr(ends("lower(file_path)", SCRIPT_SUFFIXES)), ".js")
+    # the path is named once, as what makes it is made again wherever it is named
+    kinds = F.create_map(*[F.lit(x) for kv in {".py": ".py", **dict.fromkeys(SCRIPT_SUFFIXES, ".js")}.items() for x in kv])
+    suffix = kinds[F.regexp_extract(F.lower("file_path"), r"[.][a-z]+\z", 0)]
     return once_a_text(files.select("file_path", "text"), suffix, parsers)
 
 

@@ -41,8 +41,9 @@ def once_a_text(files: DataFrame, suffix: Column, found: Callable[[DataFrame], D
 
     Files whose suffix is null have nothing. found gets files that are named by their text's digest and the suffix.
     """
-    named = files.where(suffix.isNotNull()).select("file_path", F.concat(F.sha2("text", 256), suffix).alias("_of"), "text")
+    named = files.select("file_path", suffix.alias("_suffix"), "text").where("_suffix IS NOT NULL AND text IS NOT NULL")
+    of = F.concat(F.sha2("text", 256), "_suffix")
     # stored on both sides, so that what reads the texts several times finds them made, and the join knows how little is told
-    told = stored(found(stored(named.select(F.col("_of").alias("file_path"), "text").distinct(), "texts")), "told")
-    back = named.select("file_path", "_of").join(told.withColumnRenamed("file_path", "_of"), "_of")
+    told = stored(found(stored(named.select("_suffix", "text").distinct().select(of.alias("file_path"), "text"), "texts")), "told")
+    back = named.select("file_path", of.alias("_of")).join(told.withColumnRenamed("file_path", "_of"), "_of")
     return back.select(*told.columns)
