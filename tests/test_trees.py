@@ -3,6 +3,7 @@
 import ast
 import collections
 import random
+import re
 
 import pytest
 
@@ -140,3 +141,20 @@ def test_files_of_one_text_are_read_once_and_told_each(spark):
     # what is stored of the texts is a row for each, not for each file
     files = {f for x in (pyast.tree_findings(files), flows) for f in x.inputFiles() if "/told-" in f}
     assert files and spark.read.parquet(*files).count() == 3
+
+
+def test_scripts_are_dealt_by_their_characters(spark):
+    """Twice the different texts are read by twice the tasks, whatever the setting of shuffle partitions."""
+    files = lambda n: spark.range(n).selectExpr("concat('f', id, '.js') AS file_path", "concat('const v', 1000000 + id, ' = eval(x); exec(y)') AS text")
+    for n in (50, 100):
+        got = scripts.script_findings(files(n), task_chars=400)
+        dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", got._jdf.queryExecution().optimizedPlan().toString())]
+        assert dealt and set(dealt) == {n * 33 // 400 + 1}
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scripts.script_findings(files(n)).collect())) and got.count() == 3 * n
+
+
+def test_only_what_the_passes_need_is_read(spark):
+    rows = [("a.py", "token = random.random()\neval(x)"), ("b.js", "eval(x)")]
+    files = spark.createDataFrame(rows, "file_path string, text string")
+    found = {p: pyast.tree_findings(files, p) for p in ((2,), (6,), (1, 6))}
+    assert {p: sorted((r["pass"], r.file_path) for r in df.collect()) for p, df in found.items()} == {(2,): [(2, "a.py")], (6,): [(6, "b.js")], (1, 6): [(1, "a.py"), (6, "b.js")]}

@@ -6,7 +6,8 @@ operators follow each other. There a call is an opening parenthesis after an ope
 reaches from the nearest weaker operator before it to the nearest one as weak after it, over as many lines as it takes.
 What a template substitutes is read as a piece of its own, so calls inside it are found, in templates inside it too.
 
-Files are at most MAX_FILE_BYTES long, so the windows, one file each, are bounded. Left as they are: templates nested
+Files are at most MAX_FILE_BYTES long, so the windows, one file each, are bounded; files are dealt to as many tasks as their
+characters ask for, so that what a task sorts is bounded too. Left as they are: templates nested
 more than three deep; a slash is taken for a pattern's by the character before it.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.text import has
 
 SNIPPET = 200
+#: Characters of scripts that a task reads on average; their tokens are sorted in memory.
+TASK_CHARS = 500_000
 # fixed values: words that a script must hold, and those of an SQL text
 SCRIPT_TRIGGERS = ("eval(", "exec(", "child_process", ".exec(", "execSync(", "readFile(", "readFileSync(", "path.join(", "SELECT ", "INSERT ", "UPDATE ", "DELETE ")
 SQL_VERB = r"\b(SELECT|INSERT|UPDATE|DELETE)\b"
@@ -124,16 +127,22 @@ def looks_like_sql(text: Column) -> Column:
     return F.rlike(up, F.lit(SQL_VERB)) & F.rlike(up, F.lit(SQL_CLAUSE)) & F.rlike(up, F.lit("|".join(map(re.escape, SQL_TOKENS))))
 
 
-def script_findings(files: DataFrame) -> DataFrame:
-    """(file_path, line, kind, snippet) of files (file_path, text): kinds script_eval, script_exec, script_read and script_sql."""
+def script_findings(files: DataFrame, task_chars: int = TASK_CHARS) -> DataFrame:
+    """(file_path, line, kind, snippet) of files (file_path, text): kinds script_eval, script_exec, script_read and script_sql.
+
+    Files are read twice, the first time to count their characters.
+    """
     pieces = files.where(F.expr(has("lower(text)", [t.lower() for t in SCRIPT_TRIGGERS]))).select("file_path", F.lit("").alias("piece"), F.lit(1).cast("long").alias("base"), "text")
+    # an exchange that adaptive execution or the setting of shuffle partitions sizes would give a task more with more files
+    tasks = (pieces.agg(F.sum(F.length("text"))).first()[0] or 0) // task_chars + 1
+    spread = lambda x: x.repartition(tasks, "file_path", "piece")
     found, level = [], pieces
     for _ in range(3):
-        found.append(tokens(level))
+        found.append(tokens(spread(level)))
         level = substituted(found[-1])
         pieces = pieces.unionByName(level)
     every = found[0].unionByName(found[1]).unionByName(found[2])
-    x = items(matched(every))
+    x = items(matched(spread(every)))
     callee = F.col("prior")
     call = (F.col("tok") == "(") & F.col("opens") & F.col("after") & ~F.coalesce(F.col("prior2") == "function", F.lit(False))
     bare = callee.isNotNull() & (F.col("chain.pos") == F.col("callee_pos"))
