@@ -436,3 +436,14 @@ def test_lm_keys_that_share_a_number_give_no_probability_above_one():
             code = code * ngram.LEVELS + ngram._level(p)
         assert (code >= 0).all()
         ngram.fit_weights(code, np.ones(len(code)), 10)
+
+
+def test_a_stored_table_has_no_marker(spark):
+    """A marker is a file that the driver makes, by processes of their own on a local folder."""
+    import os
+
+    from vigilark.llm.common import stored
+
+    got = stored(spark.range(7), "marked")
+    folder = os.path.dirname(got.inputFiles()[0]).removeprefix("file:")
+    assert got.count() == 7 and not any("_SUCCESS" in x for x in os.listdir(folder.replace("//", "/")))

@@ -43,9 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cut lineage, columnar, and of known size to the planner."""
+    """df written as Parquet to the shared folder and read again: cut lineage, columnar, and of known size to the planner.
+
+    No file marks its end, as none but this program reads it: on a local folder the driver would start two processes for that.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -172,7 +172,7 @@ def linked(of: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, keys: tuple[str, ...], block: int = BLOCK, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """keys and component for each row of docs; keys must tell different texts apart."""
     of = stored(sketches(docs, keys), "sketches")
-    near = cut(components(candidates(of)))
+    near = components(candidates(of))
     # as many blocks as keep each within so many sets, and so many shingles in all, on average
     held = of.groupBy("sid").agg(F.first("size").alias("size"))
     sizes = near.join(held, F.col("node") == F.col("sid")).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("members"))
@@ -193,5 +193,5 @@ def similar(docs: DataFrame, keys: tuple[str, ...], block: int = BLOCK, block_me
     dealt = texts.withColumn("_b", mine).select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)).alias("part"), "sid", "text")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(spread, "root", "part").sortWithinPartitions("root", "part", "sid").mapInArrow(_verify, "u long, v long")
-    comp = cut(components(links))
+    comp = components(links)
     return of.join(broadcast_if_small(comp), F.col("sid") == F.col("node"), "left").select(*keys, F.coalesce("root", "sid").alias("component"))
