@@ -158,3 +158,11 @@ def test_only_what_the_passes_need_is_read(spark):
     files = spark.createDataFrame(rows, "file_path string, text string")
     found = {p: pyast.tree_findings(files, p) for p in ((2,), (6,), (1, 6))}
     assert {p: sorted((r["pass"], r.file_path) for r in df.collect()) for p, df in found.items()} == {(2,): [(2, "a.py")], (6,): [(6, "b.js")], (1, 6): [(1, "a.py"), (6, "b.js")]}
+
+
+def test_statements_that_read_alike_are_parsed_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pyast, "parsed", lambda text: seen.append(text) or ast.parse(text))
+    pyast.facts_of_text.cache_clear()
+    got = [pyast.facts_of_text(t) for t in ("alike = 'SELECT 1'", "x = alike + y", "alike = 'SELECT 1'", "\ncur.execute(x)")]
+    assert len(seen) == 3 and got[0] == got[2] == (("text", 1, "alike", "", "alike = 'SELECT 1'"),) and got[3] == (("call", 2, "cur.execute", "x", "cur.execute(x)"),)
