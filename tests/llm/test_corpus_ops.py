@@ -447,3 +447,12 @@ def test_a_stored_table_has_no_marker(spark):
     got = stored(spark.range(7), "marked")
     folder = os.path.dirname(got.inputFiles()[0]).removeprefix("file:")
     assert got.count() == 7 and not any("_SUCCESS" in x for x in os.listdir(folder.replace("//", "/")))
+
+
+def test_decontamination_asks_its_index_by_one_number(spark):
+    """The index is broadcast, so it holds no more than an item, its fingerprint and where it is posted."""
+    one = frame(spark, [(0, "x", None, None)])
+    its = one.select(F.col("doc_id").alias("item_id"), F.lit(300).alias("len"), F.array(F.lit(-5).cast("long")).alias("ih"))
+    win = one.select(F.col("doc_id").alias("_k0"), F.lit(0).alias("_t"), F.lit(0).alias("start"), F.explode(F.array(F.lit(300), F.lit(299))).alias("len"), decontam.simhash(F.array(F.lit(-5).cast("long"))).alias("fp"))
+    met = decontam.candidates(win, its, decontam.RADIUS, ["_k0"])
+    assert met.columns[-3:] == ["item_id", "ifp", "at"] and [(r["len"], r["fp"]) for r in met.distinct().collect()] == [(300, r.fp) for r in win.limit(1).collect() for _ in range(4)]

@@ -122,6 +122,19 @@ def test_language_id_on_held_out_documents(spark):
     assert sorted(langid.sample_labelled(d.repartition(7), learn)) == sorted(langid.sample_labelled(d.coalesce(1), learn))
 
 
+def test_language_id_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets the model alone, the one that it would have trained itself."""
+    import os
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    mine = langid.train(langid.sample_labelled(d, langid.F.coalesce(langid.fold(d) != 1, langid.F.lit(False))))
+    got = langid.learnt(d)
+    assert got.langs == mine.langs and (got.table == mine.table).all() and (got.temperature, got.threshold, got.coverage) == (mine.temperature, mine.threshold, mine.coverage)
+    monkeypatch.setattr(langid, "train", lambda rows: (os.getpid(), len(rows)))
+    where, n = langid.learnt(d)
+    assert where != os.getpid() and n > 100
+
+
 def test_language_id_draws_whole_texts_of_all_languages(spark):
     rows = [(k, f"word{k} " * (1 + k % 5), "big") for k in range(3000)] + [(9000 + k, f"rare text {k}", f"l{k}") for k in range(300)] + [(9900, "huge " * 50_000, "big")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -133,11 +133,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
 
 def candidates(win: DataFrame, items: DataFrame, radius: int, ks: list[str]) -> DataFrame:
     """Windows and items of a length whose fingerprints share a posted block value; a pair may come once a block."""
-    index = items.select("item_id", F.col("len").alias("ilen"), simhash(F.col("ih")).alias("ifp"))
-    index = cut(index).select("item_id", "ilen", "ifp", F.explode(blocks(F.col("ifp"))).alias("ib"))
-    index = index.select("item_id", "ilen", "ifp", F.col("ib.block").alias("iblock"), F.explode(reachable(F.col("ib.bits"), radius)).alias("ibits"))
+    # length, block and bits are one number: what is broadcast is half as large as with three columns
+    posted = lambda size, block, bits: (size.cast("long") * BLOCKS + block) * F.lit(1 << (64 // BLOCKS)) + bits
+    index = items.select("item_id", "len", simhash(F.col("ih")).alias("ifp"))
+    index = cut(index).select("item_id", "len", "ifp", F.explode(blocks(F.col("ifp"))).alias("ib"))
+    index = index.select("item_id", "len", "ifp", F.col("ib.block").alias("block"), F.explode(reachable(F.col("ib.bits"), radius)).alias("bits"))
+    index = index.select("item_id", "ifp", posted(F.col("len"), F.col("block"), F.col("bits")).alias("at"))
     probe = win.select(*ks, "_t", "len", "start", "fp", F.explode(blocks(F.col("fp"))).alias("b"))
-    return probe.join(broadcast_if_small(cut(index)), (F.col("len") == F.col("ilen")) & (F.col("b.block") == F.col("iblock")) & (F.col("b.bits") == F.col("ibits")))
+    probe = probe.select(*ks, "_t", "len", "start", "fp", posted(F.col("len"), F.col("b.block"), F.col("b.bits")).alias("asks"))
+    return probe.join(broadcast_if_small(cut(index)), F.col("asks") == F.col("at"))
 
 
 def within(win: DataFrame, items: DataFrame, radius: int, ks: list[str]) -> DataFrame:

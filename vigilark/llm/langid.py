@@ -20,6 +20,8 @@ at all every text is "und"; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,8 +137,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(langs, table, layer, b, t, limit, float(min(np.quantile(means[:, -1], REJECT), MAX_THRESHOLD)))
 
 
-def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> list[tuple[str, str]]:
-    """Labelled rows, whole texts, the languages in like shares as far as they go.
+def labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> DataFrame | None:
+    """Labelled rows (text, lang), whole texts, the languages in like shares as far as they go; None where there are none.
 
     All languages that occur are drawn from: about rows rows and size bytes in all, or one row of each language where
     that is more. A row's place in the draw is a hash of its id and text, so that it doesn't depend on partitions.
@@ -145,7 +147,7 @@ def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = counts.count()
     if not langs:
-        return []
+        return None
     each = max(1, rows // langs)
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) / float(1 << 40)
     # a few more than needed come through, so that each language has its rows; then the first of them are taken
@@ -153,7 +155,12 @@ def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size
     of_lang = W.partitionBy("lang").orderBy(F.octet_length("text") > size // langs, "draw", F.col("doc_id").cast("string"))
     picked = picked.withColumn("nth", F.row_number().over(of_lang)).where(F.col("nth") <= each)
     picked = picked.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(of_lang.rowsBetween(W.unboundedPreceding, 0)))
-    return [(r["text"], r["lang"]) for r in picked.where((F.col("nth") == 1) | (F.col("bytes") <= size // langs)).select("text", "lang").collect()]
+    return picked.where((F.col("nth") == 1) | (F.col("bytes") <= size // langs)).select("text", "lang")
+
+
+def sample_labelled(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> list[tuple[str, str]]:
+    found = labelled(docs, learn, rows, size)
+    return [] if found is None else [(r["text"], r["lang"]) for r in found.collect()]
 
 
 def predict(text: str | None, m: Model) -> tuple[str, float, bool]:
@@ -205,8 +212,19 @@ def fold(docs: DataFrame) -> Column:
 
 
 def learnt(docs: DataFrame) -> Model:
-    """Trained on the documents whose remainder isn't 1; a null doc_id doesn't train."""
-    return train(sample_labelled(docs, F.coalesce(fold(docs) != 1, F.lit(False))))
+    """Trained on the documents whose remainder isn't 1; a null doc_id doesn't train.
+
+    A task trains on the sample, so that the driver holds neither its texts nor their subwords, only the model.
+    """
+    found = labelled(docs, F.coalesce(fold(docs) != 1, F.lit(False)))
+    if found is None:
+        return train([])
+
+    def fit(batches):
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(train(rows)), 1)], pa.binary())], ["model"])
+
+    return pickle.loads(zlib.decompress(found.repartition(1).mapInArrow(fit, "model binary").first()["model"]))
 
 
 def op6(docs: DataFrame) -> DataFrame:
